@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_mixing": op3_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
