@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.substring_dedup import op1_substring_dedup
+from tessera.llm.topk import OP9_SQL, op9_exact_topk
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
+    "op9_exact_topk": op9_exact_topk,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op9_exact_topk": OP9_SQL,
 }
