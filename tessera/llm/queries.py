@@ -5,13 +5,16 @@ from __future__ import annotations
 from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.substring_dedup import op1_substring_dedup
 from tessera.llm.topk import OP9_SQL, op9_exact_topk
+from tessera.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op9_exact_topk": op9_exact_topk,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op9_exact_topk": OP9_SQL,
+    "op10_warc": OP10_SQL,
 }
