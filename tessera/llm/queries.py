@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.mixing import OP3_SQL, op3_mixing
+from tessera.llm.quality import op4_quality
 from tessera.llm.substring_dedup import op1_substring_dedup
 from tessera.llm.topk import OP9_SQL, op9_exact_topk
 from tessera.llm.warc import OP10_SQL, op10_warc
@@ -10,6 +11,7 @@ from tessera.llm.warc import OP10_SQL, op10_warc
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op9_exact_topk": op9_exact_topk,
     "op10_warc": op10_warc,
 }
