@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.html_text import op8_html_text
 from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.quality import op4_quality
 from tessera.llm.substring_dedup import op1_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op8_html_text": op8_html_text,
     "op9_exact_topk": op9_exact_topk,
     "op10_warc": op10_warc,
 }
