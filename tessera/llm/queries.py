@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.html_text import op8_html_text
+from tessera.llm.minhash import OP7_SQL, op7_minhash
 from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.quality import op4_quality
 from tessera.llm.substring_dedup import op1_substring_dedup
@@ -13,12 +14,14 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op7_minhash": op7_minhash,
     "op8_html_text": op8_html_text,
     "op9_exact_topk": op9_exact_topk,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op7_minhash": OP7_SQL,
     "op9_exact_topk": OP9_SQL,
     "op10_warc": OP10_SQL,
 }
