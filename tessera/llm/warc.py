@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import checkpoint_dir, checkpointed
+
 #: Payload bytes from which an archive file is closed; a reader's task holds one file.
 ARCHIVE_BYTES = 16 << 20
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -79,12 +82,14 @@ def with_roles(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", u
     shared = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("same"))
     rank = F.struct(F.col("page_id").isNull(), "page_id")
     shared = shared.groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(F.min(F.struct(rank.alias("rank"), "same")).alias("first"), F.sum("same").alias("all"))
-    shared = shared.where("all > 1").select("d", "b", F.col("first.rank.page_id").alias("first_id"), F.col("first.same").alias("same"))
+    shared = checkpointed(shared.where("all > 1").select("d", "b", F.col("first.rank.page_id").alias("first_id"), F.col("first.same").alias("same")))
     joined = rows.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
     is_first = F.col("d").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(F.col("d").isNull() | (is_first & (F.col("same") == 1)), F.lit("response")).when(is_first, F.lit("one of")).otherwise(F.lit("revisit"))
     joined = joined.withColumn("kind", kind)
     out = ["page_id", "url", "payload", "kind", F.when(F.col("kind") == "revisit", F.col("first_id")).alias("refers_to")]
+    if not shared.where("same > 1").limit(1).count():
+        return joined.select(*out)
     plain = joined.where(F.col("kind") != "one of").select(*out)
     repeated = joined.where(F.col("kind") == "one of")
     nth = F.row_number().over(Window.partitionBy("digest", "bytes").orderBy("url"))
@@ -224,10 +229,6 @@ def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     """All ``pages`` written as WARC archives into the shared folder and read back."""
-    import uuid
-
-    from tessera.llm.shared import checkpoint_dir
-
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
