@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.html_text import op8_html_text
+from tessera.llm.language_model import OP2_SQL, op2_lm_scoring
 from tessera.llm.minhash import OP7_SQL, op7_minhash
 from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.quality import op4_quality
@@ -12,6 +13,7 @@ from tessera.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op7_minhash": op7_minhash,
@@ -20,6 +22,7 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_lm_scoring": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op7_minhash": OP7_SQL,
     "op9_exact_topk": OP9_SQL,
