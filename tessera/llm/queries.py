@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontamination import OP5_SQL, op5_decontamination
 from tessera.llm.html_text import op8_html_text
 from tessera.llm.language_model import OP2_SQL, op2_lm_scoring
 from tessera.llm.minhash import OP7_SQL, op7_minhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op5_decontamination": op5_decontamination,
     "op7_minhash": op7_minhash,
     "op8_html_text": op8_html_text,
     "op9_exact_topk": op9_exact_topk,
@@ -24,6 +26,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_lm_scoring": OP2_SQL,
     "op3_mixing": OP3_SQL,
+    "op5_decontamination": OP5_SQL,
     "op7_minhash": OP7_SQL,
     "op9_exact_topk": OP9_SQL,
     "op10_warc": OP10_SQL,
