@@ -8,6 +8,7 @@ from tessera.llm.language_model import OP2_SQL, op2_lm_scoring
 from tessera.llm.minhash import OP7_SQL, op7_minhash
 from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.quality import op4_quality
+from tessera.llm.secrets import op6_secrets
 from tessera.llm.substring_dedup import op1_substring_dedup
 from tessera.llm.topk import OP9_SQL, op9_exact_topk
 from tessera.llm.warc import OP10_SQL, op10_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_secrets": op6_secrets,
     "op7_minhash": op7_minhash,
     "op8_html_text": op8_html_text,
     "op9_exact_topk": op9_exact_topk,
