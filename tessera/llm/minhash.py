@@ -7,9 +7,9 @@ collisions, estimates the similarity of a candidate pair by bit counts. Pairs wh
 standard deviations of the threshold are confirmed on the full sets.
 
 All pairs of a band would be quadratic for large groups of copies. Only components matter, so a band's members are
-first held against one leader, components are merged, and the next rounds work on bands that still hold more than
-one component, until the pairs across components are no more than a few for each member; these are then tested
-one and all. Pairs within a component are never formed, and no pair across components of a band is left out.
+first held against one leader and components are merged, as long as the pairs across components are many for each
+member. Those left are then tested one and all: row by row in small bands, in blocks against blocks in large ones.
+Pairs within a component are not formed, and no pair across components of a band is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from tessera.llm.shared import checkpointed
 from tessera.llm.words import U64, mix, shingles, utf8, words
 
 MINIMA, ROWS, BITS = 128, 3, 4
+#: Members of a band from which its pairs are tested in blocks of BLOCK members rather than joined row by row.
+BLOCK_FROM, BLOCK = 64, 512
+#: Pairs across components for each member of a band up to which they no star round is needed.
+ENUMERATE = 16
 #: Chance that a pair right at the threshold shares no band.
 MISS = 1e-6
 _LANES = 64 // BITS
@@ -118,6 +122,63 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(collect, f"node {kind}, set binary")
 
 
+_ASK = "bucket int, batch int, keys binary"
+_ANSWER = "batch int, bucket int, bits binary"
+
+
+def _matchable(sets: DataFrame, percent: int, batch_bytes: int = lookup.BATCH_BYTES) -> DataFrame:
+    """(node, set, n, m) of sets that can reach the threshold at all: m of their n shingles occur in another set.
+
+    No intersection is larger than the smaller m, so a set with too few such shingles has no partner, and pairs can
+    be ruled out by their counts alone. This is what keeps groups of loosely similar texts from meeting pairwise.
+    """
+    kind = sets.schema["node"].dataType.simpleString()
+    buckets = max(1, math.ceil((sets.agg(F.sum(F.octet_length("set").cast("long"))).first()[0] or 0) / batch_bytes))
+    dealt = sets.withColumn("batch", F.pmod(F.xxhash64("node", "set"), F.lit(buckets)).cast("int"))
+    last_bit = U64(1)
+
+    def keys_of(rows: pa.Table):
+        each = [lookup.unpack(x) for x in rows.column("set").to_pylist()]
+        keys, back, count = np.unique(np.concatenate(each) & ~last_bit, return_inverse=True, return_counts=True)
+        return [len(x) for x in each], keys, back, count
+
+    def ask(key, rows):
+        _, keys, _, count = keys_of(rows)
+        flagged, cut = keys | (count > 1).astype(np.uint64), lookup.cuts(keys, buckets)
+        full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        return pa.table([pa.array(full, pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array([lookup.pack(flagged[cut[b] : cut[b + 1]]) for b in full], pa.binary())], ["bucket", "batch", "keys"])
+
+    def answer(key, rows):
+        runs = [lookup.unpack(x) for x in rows.column("keys").to_pylist()]
+        merged = np.concatenate(runs)
+        _, back, count = np.unique(merged & ~last_bit, return_inverse=True, return_counts=True)
+        again = count > 1
+        again[back[(merged & last_bit) > 0]] = True
+        ends = np.cumsum([len(r) for r in runs])
+        bits = [np.packbits(again[back[e - len(r) : e]]).tobytes() for r, e in zip(runs, ends, strict=True)]
+        return pa.table([rows.column("batch"), pa.array([key[0].as_py()] * len(runs), pa.int32()), pa.array(bits, pa.binary())], ["batch", "bucket", "bits"])
+
+    def count(key, rows, answers):
+        sizes, keys, back, _ = keys_of(rows)
+        cut, again = lookup.cuts(keys, buckets), np.zeros(len(keys), bool)
+        for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+            again[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cut[b + 1] - cut[b]))
+        m = np.diff(np.concatenate(([0], np.cumsum(again[back])))[np.concatenate(([0], np.cumsum(sizes)))])
+        n = np.array(sizes)
+        out = pa.table([rows.column("node"), rows.column("set"), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["node", "set", "n", "m"])
+        return out.filter(pa.array(100 * m >= percent * n))
+
+    answers = dealt.groupBy("batch").applyInArrow(ask, _ASK).groupBy("bucket").applyInArrow(answer, _ANSWER)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(count, f"node {kind}, set binary, n long, m long")
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether two nodes, by the fields n, m and sig of their structs, may reach the threshold."""
+    least = F.least(F.col(f"{a}.m"), F.col(f"{b}.m"))
+    counts = 100 * least >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - least)
+    return counts & (estimate(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= floor_for(percent / 100))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -130,9 +191,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if two != last:
                     last, right = two, lookup.unpack(two)
                 left = lookup.unpack(one.as_py())
-                small, big = (left, right) if len(left) <= len(right) else (right, left)
-                at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                both = int(np.count_nonzero(big[at] == small))
+                both = _overlap(left, right)
                 fine.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
@@ -141,7 +200,83 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 6) -> DataFrame:
+def _overlap(left: np.ndarray, right: np.ndarray) -> int:
+    small, big = (left, right) if len(left) <= len(right) else (right, left)
+    return int(np.count_nonzero(big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small))
+
+
+def _blocked(near: DataFrame, bands: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across the components of large bands, enough of them to connect what is connected.
+
+    A band's main component and its other members are dealt into blocks by hash, and every two blocks that can hold
+    a pair across components meet in one group of bounded size. A group tests pairs from the most alike on and skips
+    those that its own links have joined; a pair that shares several bands is tested in the first of them only.
+    """
+    kind, floor, chance = near.schema["node"].dataType.simpleString(), floor_for(percent / 100), 2.0**-BITS
+    lanes = U64(sum(1 << i for i in range(0, 64, BITS)))
+    wide = near.join(bands.select("band", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("n0"), F.ceil((F.col("all") - F.col("n_main")) / BLOCK).cast("int").alias("n1")), "band")
+    is_main = F.col("component") == F.col("main")
+    block = F.when(is_main, F.pmod(F.xxhash64("node"), F.col("n0"))).otherwise(F.col("n0") + F.pmod(F.xxhash64("node"), F.col("n1"))).cast("int")
+    other = F.when(is_main, F.sequence(F.col("n0"), F.col("n0") + F.col("n1") - 1)).otherwise(F.sequence(F.lit(0), F.col("n0") + F.col("n1") - 1))
+    wide = wide.withColumn("block", block).withColumn("with", F.explode(other))
+    wide = wide.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "of.n", "of.m", "of.sig")
+    wide = wide.join(sets.select("node", "n", "set"), ["node", "n"]).join(classes.select("node", F.col("n_shingles").alias("n"), "bands"), ["node", "n"])
+
+    def test(key, rows):
+        band, lo, hi = (x.as_py() for x in key)
+        listed = lambda c, w: np.asarray(rows.column(c).combine_chunks().flatten()).view(np.uint64).reshape(-1, w)
+        sig, bands_of = listed("sig", MINIMA // _LANES), listed("bands", n_bands)
+        n, m, block = (rows.column(c).to_numpy() for c in ("n", "m", "block"))
+        node, blobs = rows.column("node").to_pylist(), rows.column("set").to_pylist()
+        group: dict = {}
+        comp = np.array([group.setdefault(c, len(group)) for c in rows.column("component").to_pylist()], np.int64)
+        p, q = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        place = int(np.flatnonzero(bands_of[0] == U64(band & (2**64 - 1)))[0])
+        differ = np.zeros((len(p), len(q)), np.int64)
+        for i in range(sig.shape[1]):
+            x = sig[p, i][:, None] ^ sig[q, i][None, :]
+            x |= x >> U64(1)
+            x |= x >> U64(2)
+            differ += np.bitwise_count(x & lanes)
+        alike = ((MINIMA - differ) / MINIMA - chance) / (1 - chance)
+        least = np.minimum(m[p][:, None], m[q][None, :])
+        fine = (alike >= floor) & (comp[p][:, None] != comp[q][None, :]) & (100 * least >= percent * (n[p][:, None] + n[q][None, :] - least))
+        if lo == hi:
+            fine &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
+        i, j = np.nonzero(fine)
+        order = np.argsort(-alike[i, j], kind="stable")
+        i, j = p[i[order]], q[j[order]]
+        first = ~(bands_of[i, :place] == bands_of[j, :place]).any(axis=1)
+        up, unpacked, links = list(range(len(group))), {}, ([], [])
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        def shingles_of(r: int) -> np.ndarray:
+            if r not in unpacked:
+                unpacked[r] = lookup.unpack(blobs[r])
+            return unpacked[r]
+
+        for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            x, y = root(comp[a]), root(comp[b])
+            if x == y:
+                continue
+            both = _overlap(shingles_of(a), shingles_of(b))
+            if 100 * both >= percent * (int(n[a]) + int(n[b]) - both):
+                up[x] = y
+                links[0].append(node[a])
+                links[1].append(node[b])
+        kind_of = rows.schema.field("node").type
+        return pa.table([pa.array(links[0], kind_of), pa.array(links[1], kind_of)], ["a", "b"])
+
+    n_bands = bands_for(percent / 100)
+    return wide.groupBy("band", "lo", "hi").applyInArrow(test, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
     """Components of documents whose shingle sets have 100 * intersection >= percent * union.
 
     Returns (doc_id, n_shingles long, component_id, kept boolean), a row for each input row. Words are those of
@@ -161,35 +296,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     shared = member.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band")
     member = checkpointed(member.join(shared, "band"))
     sets = source.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = checkpointed(_sets(sets, k))
-    sig = classes.select("node", "sig")
+    sets = checkpointed(_matchable(_sets(sets, k), percent))
+    known = sets.select("node", "n", "m").join(classes.select("node", "n_shingles", "sig"), "node").where("n = n_shingles")
+    known = known.select("node", F.struct("n", "m", "sig").alias("of"))
+    member = checkpointed(member.join(known, "node"))
     links, label = None, None
-    tested = member.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for turn in range(star_rounds + 1):
         placed = member.withColumn("component", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.min("node").alias("low"))
-        bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.min(F.struct("n", "low", "component")).alias("least"))
-        bands = checkpointed(bands.where("all * all > within"))
+        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+        bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max(F.struct("n", "component")).alias("main"))
+        bands = checkpointed(bands.where("all * all > within").select("band", "all", "within", F.col("main.n").alias("n_main"), F.col("main.component").alias("main")))
         cross, rows = bands.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
         if not cross:
             break
-        last = turn == star_rounds or cross <= 2 * rows
+        last = turn == star_rounds or cross <= ENUMERATE * rows
+        near = placed.join(bands.select("band", "main"), "band")
         if last:
-            left = placed.join(bands.select("band"), "band").select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-            right = left.select("band", F.col("a").alias("b"), F.col("ca").alias("cb"))
-            pairs = left.join(right, "band").where("a < b AND ca <> cb").select("a", "b")
+            small = near.join(bands.where(F.col("all") <= BLOCK_FROM).select("band"), "band", "left_semi")
+            left = small.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("of").alias("fa"))
+            right = small.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("of").alias("fb"))
+            pairs = left.join(right, (left["band"] == right["band"]) & (left["a"] < right["b"]) & (left["ca"] != right["cb"]) & _possible("fa", "fb", percent))
+            pairs = pairs.select("a", "b").distinct()
         else:
-            lead = bands.select("band", F.col("least.low").alias("lead"), F.col("least.component").alias("lead_component"))
-            pairs = placed.join(lead, "band").where("component <> lead_component").select(F.least("node", "lead").alias("b"), F.greatest("node", "lead").alias("a"))
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        pairs = pairs.withColumn("alike", estimate(F.col("sa"), F.col("sb"))).where(F.col("alike") >= floor_for(threshold))
-        if turn == 0:  # one link for each document is enough to begin with
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        pairs = checkpointed(pairs.select("a", "b"))
-        found = _confirmed(pairs, sets, percent)
+            choice = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("of").alias("fb"))
+            lead = near.where("component = main").groupBy("band").agg(F.min(choice).alias("x")).select("band", "x.b", "x.fb")
+            pairs = near.where("component <> main").select("band", F.col("node").alias("a"), F.col("of").alias("fa")).join(lead, "band").where(_possible("fa", "fb", percent))
+            if turn == 0:  # nothing is joined yet: all members against the leader, each by its best estimate
+                pairs = near.select("band", F.col("node").alias("a"), F.col("of").alias("fa"), "main").join(near.groupBy("band").agg(F.min(choice).alias("x")).select("band", "x.b", "x.fb"), "band")
+                pairs = pairs.where((F.col("a") != F.col("b")) & _possible("fa", "fb", percent))
+            pairs = pairs.groupBy("a").agg(F.max(F.struct(estimate(F.col("fa.sig"), F.col("fb.sig")).alias("alike"), "b")).alias("best")).select("a", "best.b")
+        found = _confirmed(checkpointed(pairs), sets, percent)
+        if last:
+            large = bands.where(F.col("all") > BLOCK_FROM)
+            found = found.unionByName(_blocked(near, large, sets, classes, percent))
         links = checkpointed(found if links is None else links.unionByName(found))
-        tested = pairs if turn == 0 else tested.unionByName(pairs.select("a", "b"))
         label = components(links)
         if last:
             break
