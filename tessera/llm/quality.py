@@ -206,13 +206,14 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
     The score is between 0 and 1, higher where label 1 is likelier, from every byte of the text. Null and empty
     texts get the score of a chunk without bytes. Equal texts score the same.
     """
-    chosen = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("__text"), *[docs[c] for c in keep])
+    body = text if text in keep else "__text"  # a text that is kept goes through the tasks once
+    chosen = docs.select(docs[doc_id].alias("doc_id"), *([] if text in keep else [docs[text].cast("string").alias("__text")]), *[docs[c] for c in keep])
     names = ["doc_id", *keep]
     out = ", ".join(f"`{n}` {chosen.schema[n].dataType.simpleString()}" for n in names) + ", score double"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = probabilities(net, *utf8(batch.column("__text")))
+            p = probabilities(net, *utf8(batch.column(body)))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(p, pa.float64())], [*names, "score"])
 
     return chosen.mapInArrow(apply, out)
