@@ -68,11 +68,20 @@ def _fails(name: str, arg: object, kind: T.DataType) -> Callable[[Column], Colum
     return lambda x: ~_number(x, kind).isin([float(a) for a in allowed])
 
 
+def _numbers(arr: Column, kind: T.DataType) -> Column:
+    return F.transform(arr, lambda x: _number(x, kind))
+
+
+def _outside(v: Column, low: float | None, high: float | None) -> Column:
+    """How many numbers of an array break either bound."""
+    below = F.lit(0) if low is None else F.size(F.filter(v, lambda x: x < low))
+    return below + (F.lit(0) if high is None else F.size(F.filter(v, lambda x: x > high)))
+
+
 def _range(arr: Column, kind: T.DataType, low: float | None, high: float | None) -> tuple[Column, Column, Column]:
     """Failing count (each bound counts), the text of least and greatest value, and a record's failing."""
-    v = F.transform(arr, lambda x: _number(x, kind))
-    outside = [F.size(F.filter(v, t)) for t in ([lambda x: x < low] if low is not None else []) + ([lambda x: x > high] if high is not None else [])]
-    each = sum(outside, F.lit(0))
+    v = _numbers(arr, kind)
+    each = _outside(v, low, high)
     actual = F.to_json(F.struct(F.min(F.array_min(v)).alias("min"), F.max(F.array_max(v)).alias("max")))
     return _total(each), actual, each > 0
 
@@ -157,12 +166,8 @@ def clause_check(schema: T.StructType, clause: Clause) -> Check:
                 continue
             arr, k = found
             if _is_number(k):
-                v = F.transform(arr, lambda x, k=k: _number(x, k))
-                low, high = r.get("minimum"), r.get("maximum")
-                if low is not None:
-                    each = each + F.size(F.filter(v, lambda x, low=low: x < low))
-                if high is not None:
-                    each = each + F.size(F.filter(v, lambda x, high=high: x > high))
+                v = _numbers(arr, k)
+                each = each + _outside(v, r.get("minimum"), r.get("maximum"))
                 if kind != "multi_field_numeric_range":
                     of = F.when(when, v)
                     actual = F.to_json(F.struct(F.min(F.array_min(of)).alias("min"), F.max(F.array_max(of)).alias("max")))

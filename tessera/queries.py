@@ -2,6 +2,439 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text
+from tessera.operators import adapter, checks, evolution, ingest, lineage, payloads, profile, reporting
+from tessera.plans.contract import Clause, Contract, FieldRule
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = None
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def outcome(df: DataFrame, contract: Contract) -> DataFrame:
+    return checks.evaluate(df, contract).select("check_id", "status", "severity", "records_failing")
+
+
+def _rows(*parts: tuple[str, str, str, str]) -> str:
+    """SQL of check results: (id, severity, failing count, table)."""
+    one = "SELECT '{0}' AS check_id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, '{1}' AS severity, n::BIGINT AS records_failing FROM (SELECT {2} AS n FROM {3})"
+    return " UNION ALL ".join(one.format(*p) for p in parts)
+
+
+def _fields(**rules: FieldRule) -> Contract:
+    return Contract("t", fields=rules)
+
+
+def _clause(id: str, severity: str = "error", **rule) -> Contract:
+    return Contract("t", clauses=[Clause(id, rule, severity)])
+
+
+LINEITEM = Contract(
+    "lineitem",
+    fields={
+        "l_orderkey": FieldRule("integer", True), "l_discount": FieldRule("number", True, minimum=0.0, maximum=0.08), "l_tax": FieldRule("number", minimum=0.0, maximum=0.08),
+        "l_returnflag": FieldRule("string", enum=["A", "N"]), "l_linestatus": FieldRule("string", enum=["O", "F"]), "l_quantity": FieldRule("number", True, minimum=1, maximum=50),
+    },
+    clauses=[Clause("lines.contiguous", {"type": "group_monotonic", "group_by": ["l_orderkey"], "field": "l_linenumber"}, "warn"), Clause("price.positive", {"type": "numeric_range", "field": "l_extendedprice", "minimum": 0})],
+)
+_CONTIGUOUS = "(SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING NOT (min(l_linenumber) = 1 AND max(l_linenumber) = count(l_linenumber) AND count(DISTINCT l_linenumber) = count(l_linenumber)))"
+_LINEITEM_SQL = _rows(
+    ("l_discount.range", "CRITICAL", "count(*) FILTER (l_discount < 0) + count(*) FILTER (l_discount > 0.08::DOUBLE)", "lineitem"), ("l_discount.required", "CRITICAL", "count(*) - count(l_discount)", "lineitem"), ("l_discount.type", "CRITICAL", "0", "(SELECT 1)"),
+    ("l_linestatus.enum", "HIGH", "count(*) FILTER (l_linestatus NOT IN ('O', 'F'))", "lineitem"), ("l_linestatus.type", "CRITICAL", "0", "(SELECT 1)"), ("l_orderkey.required", "CRITICAL", "count(*) - count(l_orderkey)", "lineitem"), ("l_orderkey.type", "CRITICAL", "0", "(SELECT 1)"),
+    ("l_quantity.range", "CRITICAL", "count(*) FILTER (l_quantity < 1) + count(*) FILTER (l_quantity > 50)", "lineitem"), ("l_quantity.required", "CRITICAL", "count(*) - count(l_quantity)", "lineitem"), ("l_quantity.type", "CRITICAL", "0", "(SELECT 1)"),
+    ("l_returnflag.enum", "HIGH", "count(*) FILTER (l_returnflag NOT IN ('A', 'N'))", "lineitem"), ("l_returnflag.type", "CRITICAL", "0", "(SELECT 1)"), ("l_tax.range", "CRITICAL", "count(*) FILTER (l_tax < 0) + count(*) FILTER (l_tax > 0.08::DOUBLE)", "lineitem"), ("l_tax.type", "CRITICAL", "0", "(SELECT 1)"),
+    ("lines.contiguous", "WARNING", "count(*)", _CONTIGUOUS), ("price.positive", "CRITICAL", "count(*) FILTER (l_extendedprice < 0)", "lineitem"),
+)
+
+
+@query(_LINEITEM_SQL)
+def validate_lineitem(spark, sf_dir):
+    """Every check of a whole contract in one aggregation, and one grouping for contiguity."""
+    return outcome(table(spark, sf_dir, "lineitem"), LINEITEM)
+
+
+FLAGSHIP = validate_lineitem
+
+
+@query(_rows(("c_custkey.required", "CRITICAL", "count(*) - count(c_custkey)", "customer"), ("c_name.required", "CRITICAL", "count(*) - count(c_name)", "customer")))
+def field_required(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "customer"), _fields(c_custkey=FieldRule(required=True), c_name=FieldRule(required=True)))
+
+
+@query(_rows(("value.type", "CRITICAL", "count(value)", "events"), ("user_id.type", "CRITICAL", "0", "(SELECT 1)"), ("event_type.type", "CRITICAL", "0", "(SELECT 1)")))
+def field_type(spark, sf_dir):
+    """A number where an integer is due fails; an integer where a number is due doesn't."""
+    return outcome(table(spark, sf_dir, "events"), _fields(value=FieldRule("integer"), user_id=FieldRule("number"), event_type=FieldRule("string")))
+
+
+@query(_rows(("o_orderstatus.enum", "HIGH", "count(*) FILTER (o_orderstatus NOT IN ('O', 'F'))", "orders")))
+def field_enum(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "orders"), _fields(o_orderstatus=FieldRule(enum=["O", "F"])))
+
+
+@query(_rows(("id.format", "HIGH", "count(*) FILTER (NOT regexp_matches(id, '^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$'))", "(SELECT substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS id FROM (SELECT md5(event_id::VARCHAR) AS m FROM events))")))
+def field_format_uuid(spark, sf_dir):
+    m = F.md5(F.col("event_id").cast("string"))
+    ids = table(spark, sf_dir, "events").select(F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]).alias("id"))
+    return outcome(ids, _fields(id=FieldRule(format="uuid")))
+
+
+@query(_rows(("p_brand.pattern", "HIGH", "count(*) FILTER (NOT regexp_matches(p_brand, '^(?:Brand#[1-3])'))", "part")))
+def field_pattern(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "part"), _fields(p_brand=FieldRule(pattern="Brand#[1-3]")))
+
+
+@query(_rows(("c_acctbal.range", "CRITICAL", "count(*) FILTER (c_acctbal < 0) + count(*) FILTER (c_acctbal > 9000)", "customer")))
+def field_range(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "customer"), _fields(c_acctbal=FieldRule(minimum=0, maximum=9000)))
+
+
+@query("SELECT 'gone.' || k AS check_id, CASE WHEN k = 'required' THEN 'FAIL' ELSE 'ERROR' END AS status, s AS severity, n FROM (SELECT count(*)::BIGINT AS n FROM region), (VALUES ('required', 'CRITICAL'), ('enum', 'HIGH'), ('format', 'HIGH'), ('pattern', 'HIGH'), ('range', 'CRITICAL')) v(k, s)".replace(", n FROM", ", n AS records_failing FROM"))
+def missing_column_error(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "region"), _fields(gone=FieldRule("string", True, "uuid", "x", 0, 1, ["a"])))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (coalesce(len(embedding), -1) < 65)", "embeddings")))
+def array_min_items(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "embeddings"), _clause("c", type="array_min_items", field="embedding", minimum=65))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (len(list_filter(embedding, lambda x: x < -0.3::DOUBLE)) > 0)", "embeddings")).replace("count(*) FILTER (len(list_filter(embedding, lambda x: x < -0.3::DOUBLE)) > 0)", "sum(len(list_filter(embedding, lambda x: x::DOUBLE < -0.3::DOUBLE)) + len(list_filter(embedding, lambda x: x::DOUBLE > 0.3::DOUBLE)))"))
+def nested_range(spark, sf_dir):
+    """Values inside arrays, counted within their record."""
+    return outcome(table(spark, sf_dir, "embeddings"), _clause("c", type="numeric_range", field="embedding", minimum=-0.3, maximum=0.3))
+
+
+@query(_rows(("c", "WARNING", "count(*) FILTER (length(text) < 200)", "documents")))
+def string_length(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "documents"), _clause("c", "warn", type="string_length", field="text", minimum=200))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (l_discount > 0.05::DOUBLE) + count(*) FILTER (l_tax > 0.05::DOUBLE)", "lineitem")))
+def multi_field_range(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "lineitem"), _clause("c", type="multi_field_numeric_range", fields=["l_discount", "l_tax"], maximum=0.05))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (NOT coalesce(o_orderdate < l_shipdate, false))", "lineitem JOIN orders ON l_orderkey = o_orderkey")))
+def temporal_order(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return outcome(j, _clause("c", type="temporal_order", left="o_orderdate", right="l_shipdate", operator="<"))
+
+
+@query(_rows(("c", "CRITICAL", "count(*)", "(SELECT 1 FROM (SELECT conv_id, turn + 1 AS t FROM conversations) GROUP BY conv_id HAVING NOT (min(t) = 1 AND max(t) = count(t) AND count(DISTINCT t) = count(t)))")))
+def group_contiguous(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("t"))
+    return outcome(c, _clause("c", type="group_monotonic", group_by=["conv_id"], field="t"))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (event_type = 'purchase' AND (value IS NULL OR value < 10 OR value > 90))", "events")))
+def conditional_range(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "events"), _clause("c", type="conditional_numeric_range", field="value", minimum=10, maximum=90, when={"field": "event_type", "equals": "purchase"}))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (o_orderstatus IN ('O', 'P') AND NOT coalesce(regexp_matches(o_orderpriority, '^(?:[1-3]-)'), false))", "orders")))
+def conditional_pattern(spark, sf_dir):
+    return outcome(table(spark, sf_dir, "orders"), _clause("c", type="conditional_pattern", field="o_orderpriority", pattern="[1-3]-", when={"field": "o_orderstatus", "in": ["O", "P"]}))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (NOT coalesce(abs(m - w) <= 5000, false))", "(SELECT avg(l_extendedprice) AS m, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS w FROM lineitem GROUP BY l_orderkey)")))
+def weighted_mean_equals(spark, sf_dir):
+    lines = F.collect_list(F.struct(F.col("l_extendedprice").alias("score"), F.col("l_quantity").alias("weight")))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines"), F.avg("l_extendedprice").alias("m"))
+    return outcome(g, _clause("c", type="weighted_mean_equals", map_field="lines", output="m", tolerance=5000))
+
+
+@query(_rows(("c", "CRITICAL", "count(*) FILTER (NOT coalesce(abs(l_discount + l_tax - 0.1::DOUBLE) <= 0.05::DOUBLE, false))", "lineitem")))
+def sum_equals(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_discount", "l_tax", F.lit(0.1).alias("whole"))
+    return outcome(d, _clause("c", type="sum_equals", parts=["l_discount", "l_tax"], output="whole", tolerance=0.05))
+
+
+@query(_rows(("c", "CRITICAL", "sum(CASE WHEN a NOT IN (SELECT unnest(ids)) THEN 1 ELSE 0 END + CASE WHEN b NOT IN (SELECT unnest(ids)) THEN 1 ELSE 0 END)", "(SELECT n_nationkey AS a, n_regionkey + 100 AS b FROM nation), (SELECT list(n_nationkey) AS ids FROM nation)")).replace("a NOT IN (SELECT unnest(ids))", "NOT list_contains(ids, a)").replace("b NOT IN (SELECT unnest(ids))", "NOT list_contains(ids, b)"))
+def edge_endpoints_exist(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    snapshot = n.agg(F.collect_list(F.struct(F.col("n_nationkey").alias("node_id"))).alias("nodes"), F.collect_list(F.struct(F.col("n_nationkey").alias("source"), (F.col("n_regionkey") + 100).alias("target"))).alias("edges"))
+    return outcome(snapshot, _clause("c", type="edge_endpoints_exist"))
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n FROM lineitem WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1")
+def reference_exists(spark, sf_dir):
+    """Anti-join against a reference table."""
+    part = table(spark, sf_dir, "part").where("p_size <= 25")
+    return checks.missing_references(table(spark, sf_dir, "lineitem"), "l_partkey", part, "p_partkey").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_discount FROM lineitem WHERE l_discount > 0.08::DOUBLE ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5")
+def sample_failures(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("k", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return checks.sample_failures(d, LINEITEM, "l_discount.range", "k").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+
+
+_STATS = " UNION ALL ".join(f"SELECT '{c}' AS path, count({c})::BIGINT AS n, min({c})::DOUBLE AS minimum, max({c})::DOUBLE AS maximum, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS stddev FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"))
+
+
+@query(_STATS)
+def numeric_profile(spark, sf_dir):
+    s = profile.numeric_profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])
+    return s.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS path, count({c})::BIGINT AS observed, (count(*) - count({c}))::BIGINT AS nulls, count(DISTINCT {c})::BIGINT AS cardinality, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM orders ORDER BY v LIMIT 5)) AS samples FROM orders" for c in ("o_orderstatus", "o_orderpriority")))
+def string_profile(spark, sf_dir):
+    return profile.field_profile(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT c AS field, e AS enum FROM (SELECT 'c_mktsegment' AS c, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS e, count(DISTINCT c_mktsegment) AS n FROM customer) WHERE n <= 5")
+def enum_inference(spark, sf_dir):
+    """Fields of at most five short values become enumerations."""
+    c = profile.infer_contract(table(spark, sf_dir, "customer"), "customer")
+    return spark.createDataFrame([(n, "|".join(sorted(r.enum))) for n, r in c.fields.items() if r.enum], "field string, enum string")
+
+
+@query("WITH m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS t FROM events), b AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events, m WHERE ts < t), n AS (SELECT avg(value) + 40 AS m FROM events, m WHERE ts >= t) SELECT 'value' AS path, round(abs(n.m - b.m) / greatest(b.s, 1e-9::DOUBLE), 6) AS z, CASE WHEN abs(n.m - b.m) / greatest(b.s, 1e-9::DOUBLE) > 3 THEN 'FAIL' WHEN abs(n.m - b.m) / greatest(b.s, 1e-9::DOUBLE) > 2 THEN 'WARN' ELSE 'PASS' END AS status FROM b, n")
+def drift_zscore(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    half = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("t"))
+    e = e.join(half)
+    base = profile.numeric_profile(e.where("ts < t").select("value"), ["value"])
+    now = profile.numeric_profile(e.where("ts >= t").select((F.col("value") + 40).alias("value")), ["value"])
+    return profile.drift(now, base).select("path", F.round("z", 6).alias("z"), "status")
+
+
+@query("SELECT path, round(m, 6) AS mean FROM (SELECT 'quality' AS path, avg(quality) AS m FROM labels UNION ALL SELECT 'toxic', avg(toxic) FROM labels UNION ALL SELECT 'l_linenumber', avg(l_linenumber) FROM lineitem) WHERE m > 0.99 OR m < 0.01")
+def suspicious_distribution(spark, sf_dir):
+    s = profile.numeric_profile(table(spark, sf_dir, "labels"), ["quality", "toxic"]).unionByName(profile.numeric_profile(table(spark, sf_dir, "lineitem"), ["l_linenumber"]))
+    return profile.suspicious(s).select("path", F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH r AS ({_LINEITEM_SQL}) SELECT count(*)::BIGINT AS total, count(*) FILTER (status = 'PASS')::BIGINT AS passed, count(*) FILTER (status = 'FAIL')::BIGINT AS failed, 0::BIGINT AS warned, 0::BIGINT AS errored, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_status FROM r")
+def status_summary(spark, sf_dir):
+    return checks.summary(checks.evaluate(table(spark, sf_dir, "lineitem"), LINEITEM))
+
+
+@query(f"WITH r AS ({_LINEITEM_SQL}) SELECT 'AUDIT' AS mode, false AS blocking UNION ALL SELECT 'WARN', bool_or(status = 'FAIL' AND severity = 'CRITICAL') FROM r UNION ALL SELECT 'ENFORCE', bool_or(status = 'FAIL' AND severity IN ('CRITICAL', 'HIGH')) FROM r")
+def gate_modes(spark, sf_dir):
+    return checks.gates(checks.evaluate(table(spark, sf_dir, "lineitem"), LINEITEM))
+
+
+@query(f"WITH r AS ({_LINEITEM_SQL}), t AS (SELECT count(*)::BIGINT AS total, count(*) FILTER (status = 'PASS')::BIGINT AS passed, count(*) FILTER (status = 'FAIL')::BIGINT AS failed, 0::BIGINT AS warned, count(*) FILTER (status = 'FAIL' AND severity = 'CRITICAL')::BIGINT AS critical FROM r) SELECT *, greatest(0, least(100, floor(passed * 100.0::DOUBLE / total) - 20 * critical))::INTEGER AS health FROM t")
+def health_score(spark, sf_dir):
+    return reporting.totals(checks.evaluate(table(spark, sf_dir, "lineitem"), LINEITEM))
+
+
+@query(f"WITH r AS ({_LINEITEM_SQL}) SELECT count(*) FILTER (status = 'FAIL' AND severity = 'CRITICAL')::BIGINT AS critical, count(*) FILTER (status = 'FAIL' AND severity = 'HIGH')::BIGINT AS high, 0::BIGINT AS medium, 0::BIGINT AS low FROM r")
+def severity_histogram(spark, sf_dir):
+    return reporting.severity_histogram(checks.evaluate(table(spark, sf_dir, "lineitem"), LINEITEM))
+
+
+def _violations(spark, sf_dir):
+    """Violations made of events: four severities by user, a check by type."""
+    sev = F.get(F.array(*[F.lit(s) for s in reporting.SEVERITIES]), F.pmod("user_id", F.lit(4)).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("check_id"), F.concat(F.lit("f"), F.pmod("user_id", F.lit(7)).cast("string")).alias("field"), F.lit("FAIL").alias("status"), sev.alias("severity"), F.floor("value").cast("long").alias("records_failing"), F.col("event_id").alias("seq"), F.pmod("event_id", F.lit(3)).cast("int").alias("depth"), F.concat(F.lit("s"), F.pmod("event_id", F.lit(5)).cast("string")).alias("system"), F.col("props").alias("message"))
+
+
+_VIOLATIONS = "v AS (SELECT event_type AS check_id, 'f' || user_id % 7 AS field, 'FAIL' AS status, (['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'])[user_id % 4 + 1] AS severity, (4 - user_id % 4) AS rank, floor(value)::BIGINT AS records_failing, event_id AS seq, (event_id % 3)::INTEGER AS depth, 's' || event_id % 5 AS system, props AS message FROM events)"
+
+
+@query(f"WITH {_VIOLATIONS} SELECT check_id, field, severity, records_failing, seq FROM v QUALIFY row_number() OVER (PARTITION BY check_id, field, status ORDER BY rank DESC, records_failing DESC, seq) = 1")
+def dedupe_violations(spark, sf_dir):
+    return reporting.deduplicated(_violations(spark, sf_dir)).select("check_id", "field", "severity", "records_failing", "seq")
+
+
+@query(f"WITH {_VIOLATIONS} SELECT check_id, field, severity, records_failing, seq FROM v ORDER BY rank DESC, records_failing DESC, seq LIMIT 3")
+def top_failures(spark, sf_dir):
+    return reporting.top(_violations(spark, sf_dir)).select("check_id", "field", "severity", "records_failing", "seq")
+
+
+@query(f"WITH {_VIOLATIONS} SELECT field, max(depth) AS max_depth, sum(records_failing)::BIGINT AS records, count(*)::BIGINT AS violations, string_agg(DISTINCT system, ',' ORDER BY system) AS systems FROM v GROUP BY field")
+def blast_radius_by_field(spark, sf_dir):
+    return reporting.radius_by_field(_violations(spark, sf_dir))
+
+
+@query(f"WITH {_VIOLATIONS} SELECT seq FROM v WHERE severity = 'HIGH' AND contains(lower(message), '\"k\": 7')")
+def search_filter(spark, sf_dir):
+    return reporting.search(_violations(spark, sf_dir), "high", '"K": 7').select("seq")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_key(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.event_type")
+
+
+@query("SELECT o_custkey, o_orderkey, days, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY confidence DESC, hops, path) AS rank FROM (SELECT *, greatest(0.0::DOUBLE, round((1.0::DOUBLE - days * 0.1::DOUBLE) - hops * 0.2::DOUBLE, 2)) AS confidence FROM (SELECT o_custkey, o_orderkey, o_orderkey::VARCHAR AS path, (o_orderkey % 9)::INTEGER AS days, (o_orderkey % 3)::INTEGER AS hops FROM orders))) WHERE rank <= 5")
+def blame_rank(spark, sf_dir):
+    c = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("string").alias("path"), F.pmod("o_orderkey", F.lit(9)).cast("int").alias("days"), F.pmod("o_orderkey", F.lit(3)).cast("int").alias("hops"))
+    return lineage.ranked_blame(c, ["o_custkey"]).select("o_custkey", "o_orderkey", "days", "confidence", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT * FROM (SELECT ts AS \"at\", 'event' AS kind, event_id AS ref FROM events UNION ALL SELECT o_orderdate, 'order', o_orderkey FROM orders) ORDER BY \"at\" DESC, kind, ref LIMIT 50")
+def timeline_union(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.lit("event").alias("kind"), F.col("event_id").alias("ref"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("at"), F.lit("order").alias("kind"), F.col("o_orderkey").alias("ref"))
+    return reporting.timeline([e, o], 50)
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence_number, ((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8)::BIGINT AS batch FROM events")
+def sequence_assign(spark, sf_dir):
+    e = ingest.numbered(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+    return ingest.batched(e, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "sequence_number", "batch")
+
+
+def _edges(spark, sf_dir):
+    n, s, c = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
+    key = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
+    return n.select(key("r", "n_regionkey").alias("source"), key("n", "n_nationkey").alias("target")).unionByName(s.select(key("n", "s_nationkey").alias("source"), key("s", "s_suppkey").alias("target"))).unionByName(c.select(key("n", "c_nationkey").alias("source"), key("c", "c_custkey").alias("target")))
+
+
+_EDGES = "e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, b AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 0 AS hops FROM region UNION SELECT start, target, hops + 1 FROM b JOIN e ON node = source) SELECT start, node, min(hops)::INTEGER AS hops FROM b WHERE node <> start GROUP BY ALL")
+def lineage_bfs_downstream(spark, sf_dir):
+    starts = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
+    return lineage.traverse(_edges(spark, sf_dir), starts)
+
+
+@query(f"WITH RECURSIVE {_EDGES}, b AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS hops FROM supplier UNION SELECT start, source, hops + 1 FROM b JOIN e ON node = target) SELECT start, node, min(hops)::INTEGER AS hops FROM b WHERE node <> start GROUP BY ALL")
+def lineage_bfs_upstream(spark, sf_dir):
+    starts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("start"))
+    return lineage.traverse(_edges(spark, sf_dir), starts, backward=True)
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT target AS node, 1 AS hops FROM e WHERE source = 'r1' UNION SELECT b.target, 2 FROM e a JOIN e b ON a.target = b.source WHERE a.source = 'r1') SELECT node, hops, hops AS depth FROM r")
+def contamination_depth(spark, sf_dir):
+    """Direct subscribers at 1, what lies behind them deeper."""
+    e = _edges(spark, sf_dir)
+    reached = lineage.traverse(e, spark.createDataFrame([("r1",)], "start string"))
+    return lineage.contamination_depth(reached, e.where("source = 'r1'").select(F.col("target").alias("node")), e)
+
+
+@query("WITH s AS (SELECT s_name AS node_id, CASE WHEN lower(s_name) = 'supplier#000000007' THEN 6 ELSE 0 END + 2 * len(list_intersect(list_distinct(regexp_extract_all(lower(s_name), '[a-z0-9]{3,}')), ['supplier', '000000007'])) + len(list_intersect(list_distinct(regexp_extract_all(lower(s_name), '[a-z0-9]{3,}')), ['supplier', '000000007'])) AS score FROM supplier) SELECT node_id, score::INTEGER AS score FROM s WHERE score >= (SELECT greatest(4, max(score) - 1) FROM s)")
+def seed_match(spark, sf_dir):
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("node_id"), F.lit(None).cast("string").alias("path"), F.col("s_name").alias("label"))
+    return lineage.match_seeds(nodes, "x/supplier_000000007.py".replace("_", " "), "Supplier#000000007")
+
+
+@query("SELECT c_nationkey AS source, n_regionkey AS target, 'IN' AS relationship, max(greatest(0, least(1, c_acctbal / 10000.0::DOUBLE)))::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def edge_merge_max(spark, sf_dir):
+    j = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return lineage.merged_edges(j.select(F.col("c_nationkey").alias("source"), F.col("n_regionkey").alias("target"), F.lit("IN").alias("relationship"), (F.col("c_acctbal") / 10000.0).alias("confidence")))
+
+
+OLD = Contract("c", fields={"a": FieldRule("integer", True), "b": FieldRule("number", True, minimum=0, maximum=1), "c": FieldRule("string", enum=["x", "y"]), "d": FieldRule("string"), "e": FieldRule("integer", minimum=0, maximum=10), "f": FieldRule("string", True)})
+NEW = Contract("c", fields={"a": FieldRule("number", True), "b": FieldRule("number", True, minimum=0, maximum=100), "c": FieldRule("string", enum=["x"]), "e": FieldRule("integer", minimum=0, maximum=20), "f": FieldRule("integer", True), "g": FieldRule("string", True)})
+_DIFF = "(VALUES ('a', 'TYPE_WIDENING', 'backward', 'LOW'), ('b', 'NUMERIC_SCALE_SHIFT', 'breaking', 'CRITICAL'), ('c', 'ENUM_VALUE_REMOVED', 'breaking', 'HIGH'), ('d', 'FIELD_REMOVED_OPTIONAL', 'forward', 'MEDIUM'), ('e', 'RANGE_WIDENING', 'forward', 'LOW'), ('f', 'TYPE_CHANGE', 'breaking', 'HIGH'), ('g', 'FIELD_ADDED_REQUIRED', 'breaking', 'HIGH')) v(field_name, change_type, compatibility_class, severity)"
+
+
+@query(f"SELECT * FROM {_DIFF}")
+def schema_diff(spark, sf_dir):
+    d = evolution.classify(evolution.field_table(spark, OLD), evolution.field_table(spark, NEW))
+    return d.select("field_name", "change_type", "compatibility_class", "severity")
+
+
+@query("SELECT 'breaking' AS verdict, 7::BIGINT AS changes")
+def schema_verdict(spark, sf_dir):
+    return evolution.verdict(evolution.classify(evolution.field_table(spark, OLD), evolution.field_table(spark, NEW)))
+
+
+@query("SELECT * FROM (VALUES ('team-a', 'facts', 'facts.confidence'), ('team-b', 'facts.confidence', 'facts.confidence'), ('team-c', 'facts.confidence.low', 'facts.confidence')) v(subscriber_id, field, failing)")
+def registry_blast_radius(spark, sf_dir):
+    subs = spark.createDataFrame([("team-a", "facts"), ("team-b", "facts.confidence"), ("team-c", "facts.confidence.low"), ("team-d", "facts.text")], "subscriber_id string, field string")
+    return evolution.blast_radius(subs, spark.createDataFrame([("facts.confidence",)], "failing string"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount * 100, 6) AS l_discount, l_tax AS rate, l_linenumber::DOUBLE AS n, CASE WHEN l_returnflag IN ('A', 'N') THEN 'X' ELSE l_returnflag END AS l_returnflag, 'v' AS added FROM lineitem")
+def adapter_rules(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_linenumber"))
+    rules = [{"type": "numeric_scaling", "field": "l_discount", "factor": 100}, {"type": "field_rename", "from": "l_tax", "to": "rate"}, {"type": "type_coercion", "field": "n", "to": "number"}, {"type": "enum_replace", "field": "l_returnflag", "values": ["A", "N"], "value": "X"}, {"type": "default_value", "field": "added", "value": "v"}, {"type": "remove_field", "field": "l_shipdate"}]
+    return adapter.apply_rules(d, rules).select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "rate", "n", "l_returnflag", "added")
+
+
+@query("SELECT v AS version, n FROM (SELECT (user_id % 3 + 1)::VARCHAR || '.0' AS v, count(*)::BIGINT AS n FROM events GROUP BY 1) ORDER BY n DESC, v LIMIT 1")
+def version_majority(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat((F.col("user_id") % 3 + 1).cast("string"), F.lit(".0.7")).alias("schema_version"))
+    return adapter.majority_version(adapter.version_normalize(e, "schema_version", 2))
+
+
+@query("WITH b AS (SELECT count(*) FILTER (l_discount < 0 OR l_discount > 1) AS f, count(*) FILTER (l_discount * 100 > 1) AS g FROM lineitem) SELECT stage, 1::BIGINT AS total, CASE WHEN k > 0 THEN 1 ELSE 0 END::BIGINT AS failed, CASE WHEN k > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_status, 'BREAKING_BUT_ADAPTABLE' AS verdict FROM (SELECT 'baseline' AS stage, f AS k FROM b UNION ALL SELECT 'raw', g FROM b UNION ALL SELECT 'adapted', f FROM b)")
+def whatif_scale_change(spark, sf_dir):
+    c = _fields(l_discount=FieldRule(minimum=0, maximum=1))
+    return adapter.what_if(table(spark, sf_dir, "lineitem"), c, {"change_type": "numeric_scale_change", "field": "l_discount", "factor": 100}, breaking=True)
+
+
+@query("SELECT CASE WHEN role = 'user' AND length(text) > 100 THEN 'long-user' WHEN role = 'user' THEN 'user' WHEN contains(text, '?') THEN 'question' ELSE 'other' END AS producer, count(*)::BIGINT AS n FROM conversations GROUP BY 1")
+def producer_classification(spark, sf_dir):
+    is_user = F.col("role") == "user"
+    who = payloads.classify_producer([("long-user", is_user & (F.char_length("text") > 100)), ("user", is_user), ("question", F.contains(F.col("text"), F.lit("?")))])
+    return table(spark, sf_dir, "conversations").groupBy(who.alias("producer")).agg(F.count("*").alias("n"))
+
+
+_BUCKETS = "b AS (SELECT lang, (('0x' || substr(sha256(t), 1, 8))::BIGINT % 128)::INTEGER AS bucket, count(*)::BIGINT AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY ALL)"
+
+
+@query(f"WITH {_BUCKETS} SELECT * FROM b")
+def hashed_vector(spark, sf_dir):
+    return payloads.bucket_counts(table(spark, sf_dir, "documents"), "text", ["lang"])
+
+
+@query(f"WITH {_BUCKETS}, v AS (SELECT lang, list(coalesce(n, 0)::DOUBLE ORDER BY i) AS v FROM (SELECT l.lang, i, n FROM (SELECT DISTINCT lang FROM b) l CROSS JOIN range(128) r(i) LEFT JOIN b ON b.lang = l.lang AND b.bucket = i) GROUP BY lang) SELECT a.lang, round(1 - list_cosine_similarity(a.v, e.v), 6) AS distance, CASE WHEN 1 - list_cosine_similarity(a.v, e.v) > 0.15::DOUBLE THEN 'FAIL' ELSE 'PASS' END AS status FROM v a, v e WHERE e.lang = 'en'")
+def embedding_drift(spark, sf_dir):
+    v = payloads.unit_vectors(payloads.bucket_counts(table(spark, sf_dir, "documents"), "text", ["lang"]), ["lang"])
+    d = v.join(v.where("lang = 'en'").select(F.col("v").alias("base")))
+    dist = payloads.cosine_distance(F.col("v"), F.col("base"))
+    return d.select("lang", (F.round(dist, 6) + 0.0).alias("distance"), payloads.drift_status(dist).alias("status"))
+
+
+_ERROR = "CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'lang: enum' WHEN length(text) < 100 THEN 'text: minLength' END"
+
+
+@query(f"SELECT coalesce({_ERROR}, 'valid') AS error, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def prompt_validation(spark, sf_dir):
+    e = F.coalesce(payloads.schema_error(F.col("lang"), "lang", {"enum": ["en", "de", "fr"]}), payloads.schema_error(F.col("text"), "text", {"minLength": 100}))
+    return table(spark, sf_dir, "documents").groupBy(F.coalesce(e, F.lit("valid")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (quality = 0)::BIGINT AS violations, count(*) FILTER (quality = 0) / count(*) AS rate, 'rising' AS trend, 'FAIL' AS status FROM labels")
+def schema_violation_rate(spark, sf_dir):
+    return payloads.violation_rate(table(spark, sf_dir, "labels"), payloads.schema_error(F.col("quality"), "quality", {"minimum": 1}), baseline=0.01)
+
+
+@query("SELECT 'k' AS key, 'integer' AS kinds, true AS required")
+def json_schema_infer(spark, sf_dir):
+    return ingest.json_types(table(spark, sf_dir, "events"), "props")
+
+
+@query(_rows(("value.range", "CRITICAL", "count(*) FILTER (user_id % 10 = 0 OR value > 100)", "events"), ("value.required", "CRITICAL", "count(*) - count(value)", "events")))
+def fault_injection_detect(spark, sf_dir):
+    e = ingest.inject(table(spark, sf_dir, "events"), "value", F.lit(127.0), F.col("user_id") % 10 == 0)
+    return outcome(e.withColumn("value", F.when(F.col("value") == 127.0, 127.0).otherwise(F.least("value", F.lit(1e9)))), _fields(value=FieldRule(required=True, maximum=100)))
+
+
+@query("SELECT n_regionkey AS source, n_nationkey AS target FROM nation WHERE n_regionkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
+def dangling_edges(spark, sf_dir):
+    e = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("source"), F.col("n_nationkey").alias("target"))
+    return lineage.without_dangling(e, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("node_id")))
+
+
+@query("SELECT o_orderkey, list_aggregate(list_transform(string_split(o_orderpriority, '-'), lambda x: x), 'string_agg', '/') AS parts, len(list_intersect(regexp_extract_all(lower(o_orderpriority), '[a-z0-9]+'), ['low', '5'])) / len(list_distinct(list_concat(regexp_extract_all(lower(o_orderpriority), '[a-z0-9]+'), ['low', '5']))) AS alike FROM orders")
+def scalar_functions(spark, sf_dir):
+    a = text.tokens(F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", F.split("o_orderpriority", "-")).alias("parts"), text.jaccard(a, F.array(F.lit("low"), F.lit("5"))).alias("alike"))
