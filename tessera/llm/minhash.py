@@ -29,7 +29,7 @@ from tessera.llm.words import U64, mix, shingles, utf8, words
 
 MINIMA, ROWS, BITS = 128, 3, 4
 #: Members of a band from which its pairs are tested in blocks of BLOCK members rather than joined row by row.
-BLOCK_FROM, BLOCK = 64, 512
+BLOCK_FROM, BLOCK = 64, 2048
 #: Pairs across components for each member of a band up to which they no star round is needed.
 ENUMERATE = 16
 #: Chance that a pair right at the threshold shares no band.
@@ -205,7 +205,7 @@ def _overlap(left: np.ndarray, right: np.ndarray) -> int:
     return int(np.count_nonzero(big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small))
 
 
-def _blocked(near: DataFrame, bands: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _blocked(near: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across the components of large bands, enough of them to connect what is connected.
 
     A band's main component and its other members are dealt into blocks by hash, and every two blocks that can hold
@@ -214,13 +214,14 @@ def _blocked(near: DataFrame, bands: DataFrame, sets: DataFrame, classes: DataFr
     """
     kind, floor, chance = near.schema["node"].dataType.simpleString(), floor_for(percent / 100), 2.0**-BITS
     lanes = U64(sum(1 << i for i in range(0, 64, BITS)))
-    wide = near.join(bands.select("band", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("n0"), F.ceil((F.col("all") - F.col("n_main")) / BLOCK).cast("int").alias("n1")), "band")
-    is_main = F.col("component") == F.col("main")
-    block = F.when(is_main, F.pmod(F.xxhash64("node"), F.col("n0"))).otherwise(F.col("n0") + F.pmod(F.xxhash64("node"), F.col("n1"))).cast("int")
-    other = F.when(is_main, F.sequence(F.col("n0"), F.col("n0") + F.col("n1") - 1)).otherwise(F.sequence(F.lit(0), F.col("n0") + F.col("n1") - 1))
-    wide = wide.withColumn("block", block).withColumn("with", F.explode(other))
-    wide = wide.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "of.n", "of.m", "of.sig")
+    is_main, n1 = F.col("component") == F.col("main"), F.ceil((F.col("all") - F.col("n_main")) / BLOCK).cast("int")
+    n0 = F.ceil(F.col("n_main") / BLOCK).cast("int")
+    block = F.when(is_main, F.pmod(F.xxhash64("node"), n0)).otherwise(n0 + F.pmod(F.xxhash64("node"), n1)).cast("int")
+    other = F.when(is_main, F.sequence(n0, n0 + n1 - 1)).otherwise(F.sequence(F.lit(0), n0 + n1 - 1))
+    wide = near.select("band", "node", "component", block.alias("block"), other.alias("others"), "of.n", "of.m", "of.sig")
     wide = wide.join(sets.select("node", "n", "set"), ["node", "n"]).join(classes.select("node", F.col("n_shingles").alias("n"), "bands"), ["node", "n"])
+    wide = wide.select("*", F.explode("others").alias("with"))
+    wide = wide.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "n", "m", "sig", "set", "bands")
 
     def test(key, rows):
         band, lo, hi = (x.as_py() for x in key)
@@ -232,20 +233,25 @@ def _blocked(near: DataFrame, bands: DataFrame, sets: DataFrame, classes: DataFr
         comp = np.array([group.setdefault(c, len(group)) for c in rows.column("component").to_pylist()], np.int64)
         p, q = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         place = int(np.flatnonzero(bands_of[0] == U64(band & (2**64 - 1)))[0])
-        differ = np.zeros((len(p), len(q)), np.int64)
-        for i in range(sig.shape[1]):
-            x = sig[p, i][:, None] ^ sig[q, i][None, :]
-            x |= x >> U64(1)
-            x |= x >> U64(2)
-            differ += np.bitwise_count(x & lanes)
-        alike = ((MINIMA - differ) / MINIMA - chance) / (1 - chance)
-        least = np.minimum(m[p][:, None], m[q][None, :])
-        fine = (alike >= floor) & (comp[p][:, None] != comp[q][None, :]) & (100 * least >= percent * (n[p][:, None] + n[q][None, :] - least))
-        if lo == hi:
-            fine &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
-        i, j = np.nonzero(fine)
-        order = np.argsort(-alike[i, j], kind="stable")
-        i, j = p[i[order]], q[j[order]]
+        found = []
+        for at in range(0, len(p), 128):
+            part = p[at : at + 128]
+            differ = np.zeros((len(part), len(q)), np.uint8)
+            for k in range(sig.shape[1]):
+                x = sig[part, k][:, None] ^ sig[q, k][None, :]
+                x |= x >> U64(1)
+                x |= x >> U64(2)
+                differ += np.bitwise_count(x & lanes)
+            alike = ((MINIMA - differ.astype(np.float32)) / MINIMA - chance) / (1 - chance)
+            least = np.minimum(m[part][:, None], m[q][None, :])
+            fine = (alike >= floor - 1e-6) & (comp[part][:, None] != comp[q][None, :]) & (100 * least >= percent * (n[part][:, None] + n[q][None, :] - least))
+            if lo == hi:
+                fine &= np.arange(at, at + len(part))[:, None] < np.arange(len(q))[None, :]
+            i, j = np.nonzero(fine)
+            found.append((part[i], q[j], alike[i, j]))
+        i, j, alike = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(-alike, kind="stable")
+        i, j = i[order], j[order]
         first = ~(bands_of[i, :place] == bands_of[j, :place]).any(axis=1)
         up, unpacked, links = list(range(len(group))), {}, ([], [])
 
@@ -299,40 +305,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     sets = checkpointed(_matchable(_sets(sets, k), percent))
     known = sets.select("node", "n", "m").join(classes.select("node", "n_shingles", "sig"), "node").where("n = n_shingles")
     known = known.select("node", F.struct("n", "m", "sig").alias("of"))
-    member = checkpointed(member.join(known, "node"))
+    member = checkpointed(member.join(known, "node").withColumn("component", F.col("node")))
     links, label = None, None
     for turn in range(star_rounds + 1):
-        placed = member.withColumn("component", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+        sizes = member.groupBy("band", "component").agg(F.count("*").alias("n"))
         bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max(F.struct("n", "component")).alias("main"))
-        bands = checkpointed(bands.where("all * all > within").select("band", "all", "within", F.col("main.n").alias("n_main"), F.col("main.component").alias("main")))
-        cross, rows = bands.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
+        bands = bands.where("all * all > within").select("band", "all", "within", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"))
+        near = checkpointed(member.join(bands, "band"))  # bands of one component are done with
+        cross, rows = near.agg(F.sum((F.col("all") - F.col("within") / F.col("all")) / 2), F.count("*")).first()
         if not cross:
             break
         last = turn == star_rounds or cross <= ENUMERATE * rows
-        near = placed.join(bands.select("band", "main"), "band")
+        a = near.select("band", F.col("node").alias("a"), F.col("of").alias("fa"), "component", "main", "all")
         if last:
-            small = near.join(bands.where(F.col("all") <= BLOCK_FROM).select("band"), "band", "left_semi")
-            left = small.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("of").alias("fa"))
-            right = small.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("of").alias("fb"))
-            pairs = left.join(right, (left["band"] == right["band"]) & (left["a"] < right["b"]) & (left["ca"] != right["cb"]) & _possible("fa", "fb", percent))
+            left = a.where(F.col("all") <= BLOCK_FROM)
+            right = left.select(F.col("band").alias("band_b"), F.col("a").alias("b"), F.col("fa").alias("fb"), F.col("component").alias("cb"))
+            pairs = left.join(right, (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & _possible("fa", "fb", percent))
             pairs = pairs.select("a", "b").distinct()
-        else:
-            choice = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("of").alias("fb"))
-            lead = near.where("component = main").groupBy("band").agg(F.min(choice).alias("x")).select("band", "x.b", "x.fb")
-            pairs = near.where("component <> main").select("band", F.col("node").alias("a"), F.col("of").alias("fa")).join(lead, "band").where(_possible("fa", "fb", percent))
-            if turn == 0:  # nothing is joined yet: all members against the leader, each by its best estimate
-                pairs = near.select("band", F.col("node").alias("a"), F.col("of").alias("fa"), "main").join(near.groupBy("band").agg(F.min(choice).alias("x")).select("band", "x.b", "x.fb"), "band")
-                pairs = pairs.where((F.col("a") != F.col("b")) & _possible("fa", "fb", percent))
+        else:  # each by its best estimate among the leaders of its bands; at first, all of a band follow one leader
+            choice = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("b"), F.col("fa").alias("fb"))
+            lead = (a if turn == 0 else a.where("component = main")).groupBy("band").agg(F.min(choice).alias("x")).select("band", "x.b", "x.fb")
+            pairs = (a if turn == 0 else a.where("component <> main")).join(lead, "band").where((F.col("a") != F.col("b")) & _possible("fa", "fb", percent))
             pairs = pairs.groupBy("a").agg(F.max(F.struct(estimate(F.col("fa.sig"), F.col("fb.sig")).alias("alike"), "b")).alias("best")).select("a", "best.b")
         found = _confirmed(checkpointed(pairs), sets, percent)
         if last:
-            large = bands.where(F.col("all") > BLOCK_FROM)
-            found = found.unionByName(_blocked(near, large, sets, classes, percent))
+            found = found.unionByName(_blocked(near.where(F.col("all") > BLOCK_FROM), sets, classes, percent))
         links = checkpointed(found if links is None else links.unionByName(found))
         label = components(links)
         if last:
             break
+        member = near.select("band", "node", "of").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        member = checkpointed(member)
     named = classes.select("f1", "f2", F.col("n_shingles").alias("n"), "node")
     out = signed.select("doc_id", "n_shingles", "f1", "f2")
     on = (out["f1"] == named["f1"]) & (out["f2"] == named["f2"]) & (out["n_shingles"] == named["n"]) & out["doc_id"].isNotNull()
