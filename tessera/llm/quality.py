@@ -49,15 +49,18 @@ def start(n_filters: int, hidden: int, seed: int) -> Network:
 
 
 def _padded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts padded to whole half chunks, the first half chunk of each, and the real bytes in each half chunk."""
+    """Texts padded to whole half chunks, the first half chunk of each, and the real bytes in each half chunk.
+
+    A text is followed by padding that its last filter positions reach into, never by the next text.
+    """
     size = np.diff(at)
-    halves = np.maximum(1, -(-size // HALF))
+    halves = -(-(size + WIDTH - 1) // HALF)
     first = np.concatenate(([0], np.cumsum(halves)))
     flat = np.zeros(first[-1] * HALF + WIDTH - 1, np.uint8)
     put = np.arange(at[-1] - at[0]) + np.repeat(first[:-1] * HALF - (at[:-1] - at[0]), size)
     flat[put] = raw[at[0] : at[-1]]
-    filled = np.full(first[-1], HALF)
-    filled[first[1:] - 1] = size - (halves - 1) * HALF
+    place = np.arange(first[-1]) - np.repeat(first[:-1], halves)
+    filled = np.clip(np.repeat(size, halves) - place * HALF, 0, HALF)
     return flat, first, filled
 
 
@@ -77,11 +80,16 @@ def _repeats(flat: np.ndarray, first: np.ndarray, filled: np.ndarray) -> np.ndar
     return out
 
 
-def _convolve(net: Network, flat: np.ndarray, n_half: int) -> np.ndarray:
+def _convolve(net: Network, flat: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Filter responses by half chunk; those that begin in padding are 0, as of padding alone."""
+    n_half = len(filled)
     total = net.filters[0][flat[: n_half * HALF]]
     for j in range(1, WIDTH):
         total += net.filters[j][flat[j : j + n_half * HALF]]
-    return total.reshape(n_half, HALF, -1)
+    total = total.reshape(n_half, HALF, -1)
+    for h in np.flatnonzero(filled < HALF):
+        total[h, filled[h] :] = 0
+    return total
 
 
 def _pairs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +120,7 @@ def probabilities(net: Network, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         step = 256
         for h in range(0, n_half, step):
             n = min(step, n_half - h)
-            maxima[h : h + n] = _convolve(net, flat[h * HALF : (h + n) * HALF + WIDTH - 1], n).max(axis=1) + net.bias
+            maxima[h : h + n] = _convolve(net, flat[h * HALF : (h + n) * HALF + WIDTH - 1], filled[h : h + n]).max(axis=1) + net.bias
         left, right, begin = _pairs(first)
         hidden = np.maximum(0, _features(maxima, _repeats(flat, first, filled), filled, left, right) @ net.dense + net.dense_bias)
         logit = np.maximum.reduceat(hidden, begin[:-1], axis=0) @ net.out + net.out_bias
@@ -121,8 +129,9 @@ def probabilities(net: Network, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[bytes], labels: list[int], n_filters: int = 16, hidden: int = 16, epochs: int = 12, batch: int = 32, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Fit by Adam on the logistic loss, both labels weighing the same. Of one label only, the score is constant."""
+def train(texts: list[bytes], labels: list[int], n_filters: int = 16, hidden: int = 16, epochs: int = 12, batch: int = 32, rate: float = 4e-3, seed: int = 7, steps: int = 400) -> Network:
+    """Fit by Adam on the logistic loss, both labels weighing the same; small samples are gone over until ``steps``
+    updates are made. Of one label only, the score is constant."""
     net = start(n_filters, hidden, seed)
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -132,6 +141,7 @@ def train(texts: list[bytes], labels: list[int], n_filters: int = 16, hidden: in
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     rng, step = np.random.default_rng(seed), 0
+    epochs = max(epochs, -(-steps * batch // len(y)))
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs) + 2e-4
         order = rng.permutation(len(y))
@@ -153,7 +163,7 @@ def _gradient(net: Network, raw: np.ndarray, at: np.ndarray, y: np.ndarray, weig
     maxima, where = np.empty((n_half, n_filters), np.float32), np.empty((n_half, n_filters), np.int64)
     for h in range(0, n_half, 256):
         n = min(256, n_half - h)
-        act = _convolve(net, flat[h * HALF : (h + n) * HALF + WIDTH - 1], n)
+        act = _convolve(net, flat[h * HALF : (h + n) * HALF + WIDTH - 1], filled[h : h + n])
         where[h : h + n] = act.argmax(axis=1) + ((h + np.arange(n)) * HALF)[:, None]
         maxima[h : h + n] = act.max(axis=1) + net.bias
     left, right, begin = _pairs(first)
