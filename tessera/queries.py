@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import adapter, checks, evolution, ingest, lineage, payloads, profile, reporting
+from tessera.operators import adapter, checks, crosschecks, evolution, ingest, lineage, payloads, profile, reporting
 from tessera.plans.contract import Clause, Contract, FieldRule
+from tessera.sources import flatten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -438,3 +439,48 @@ def dangling_edges(spark, sf_dir):
 def scalar_functions(spark, sf_dir):
     a = text.tokens(F.col("o_orderpriority"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", F.split("o_orderpriority", "-")).alias("parts"), text.jaccard(a, F.array(F.lit("low"), F.lit("5"))).alias("alike"))
+
+
+@query("SELECT 'k' AS path, 'integer' AS type, count(*)::BIGINT AS seen, count(*)::BIGINT AS observed, 0::BIGINT AS nulls, count(DISTINCT json_extract_string(props, '$.k'))::BIGINT AS cardinality FROM events")
+def raw_json_profile(spark, sf_dir):
+    """Types of raw JSON values, told apart one by one."""
+    return flatten.profile(flatten.observations(table(spark, sf_dir, "events"), "props"))
+
+
+@query("SELECT * FROM (VALUES ('team-a', 'b', 'NUMERIC_SCALE_SHIFT'), ('team-b', 'f', 'TYPE_CHANGE')) v(subscriber_id, field_name, change_type)")
+def change_notifications(spark, sf_dir):
+    """Subscribers of a contract whose declared breaking fields have changed."""
+    changes = evolution.classify(evolution.field_table(spark, OLD), evolution.field_table(spark, NEW))
+    registry = spark.createDataFrame([("c", "team-a", "b"), ("c", "team-b", "f"), ("c", "team-c", "d"), ("other", "team-d", "b")], "contract_id string, subscriber_id string, breaking_field string")
+    return evolution.notifications(changes, registry, "c")
+
+
+@query("WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), v AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY label) SELECT vec_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * m[i])) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(m, lambda x: x * x)))), 5) AS distance FROM embeddings e JOIN v ON v.label = e.label")
+def cosine_distance(spark, sf_dir):
+    """Each vector against the centroid of its label."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    size = 64
+    centroids = e.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(size)]).alias("m"))
+    return e.join(centroids, "label").select("vec_id", F.round(payloads.cosine_distance(F.col("embedding"), F.col("m")), 5).alias("distance"))
+
+
+@query("SELECT event_type, sum(CASE WHEN coalesce(n >= 0, false) THEN 0 ELSE 1 END)::BIGINT AS negative FROM (SELECT event_type, value - 50 AS n FROM events) GROUP BY 1")
+def conditional_counts(spark, sf_dir):
+    """Failing counts of several conditions, by group."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(~F.coalesce(F.col("value") - 50 >= 0, F.lit(False))).alias("negative"))
+
+
+@query(_rows(("events.value_present", "HIGH", "count(*) FILTER (value IS NULL)", "events"), ("events.known_type", "HIGH", "count(*) FILTER (event_type NOT IN ('view', 'click'))", "events")))
+def cross_record_checks(spark, sf_dir):
+    """Several conditions of a dataset counted in one pass."""
+    one = lambda c: F.when(F.coalesce(c, F.lit(False)), 0).otherwise(1)
+    d = crosschecks.counted(table(spark, sf_dir, "events"), {"events.value_present": ("HIGH", one(F.col("value").isNotNull())), "events.known_type": ("HIGH", one(F.col("event_type").isin("view", "click")))})
+    return d.select("check_id", "status", "severity", "records_failing")
+
+
+@query("SELECT path, n FROM (SELECT 'e' || (event_id % 7) AS path, count(*)::BIGINT AS n FROM events GROUP BY 1) WHERE path IN ('e1', 'e3')")
+def semi_join(spark, sf_dir):
+    """Rows kept where a reference has their key."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), (F.col("event_id") % 7).cast("string")).alias("path"))
+    keys = spark.createDataFrame([("e1",), ("e3",), ("e9",)], "path string")
+    return e.join(keys, "path", "left_semi").groupBy("path").agg(F.count("*").alias("n"))
