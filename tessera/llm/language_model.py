@@ -36,13 +36,16 @@ def _grams(w: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes each that hold them all, that number first."""
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(counts) or counts.max() <= np.iinfo(t).max)
-    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+    """Counts of a byte each; 255 stands for a larger one, given in full behind them."""
+    large = counts[counts >= 255].astype(np.uint64)
+    return np.uint32(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
 
 
 def _large(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"u{blob[0]}", offset=1).astype(np.int64)
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    counts = np.frombuffer(blob, np.uint8, n, 4).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(blob, np.uint64, offset=4 + n)
+    return counts
 
 
 def _own(key_index: np.ndarray, doc: np.ndarray, n_keys: int) -> np.ndarray:

@@ -10,6 +10,8 @@ executor costs only the tasks that it ran, since the same documents always form
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,24 +36,30 @@ def batched(docs: DataFrame, doc_id: str, text: str, batch_bytes: int = BATCH_BY
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences of the fewest bytes that hold them all."""
+    """Sorted 64-bit keys as differences of the fewest bytes that hold them all.
+
+    The low bytes of a difference are noise and stay as they are; the top two are small numbers and get compressed.
+    """
     if not len(keys):
         return b""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    head, gaps = gaps[:1], gaps[1:]
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + head.tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    gaps = np.diff(keys)
+    width = max(2, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 2
+    planes = gaps.view(np.uint8).reshape(-1, 8)
+    top = zlib.compress(np.ascontiguousarray(planes[:, width - 2 : width].T).tobytes(), 1)
+    return struct.pack("<BIQ", width, len(top), int(keys[0])) + top + planes[:, : width - 2].tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body) + 1, 8), np.uint8)
-    gaps[0] = np.frombuffer(blob, np.uint8, 8, offset=1)
-    gaps[1:, :width] = body
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+    width, size, first = struct.unpack_from("<BIQ", blob)
+    top = np.frombuffer(zlib.decompress(blob[13 : 13 + size]), np.uint8).reshape(2, -1)
+    gaps = np.zeros((top.shape[1] + 1, 8), np.uint8)
+    gaps[1:, width - 2 : width] = top.T
+    gaps[1:, : width - 2] = np.frombuffer(blob, np.uint8, offset=13 + size).reshape(-1, width - 2) if width > 2 else 0
+    out = gaps.view(np.uint64).ravel()
+    out[0] = first
+    return np.cumsum(out, dtype=np.uint64)
 
 
 def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
