@@ -9,7 +9,7 @@ from tessera.llm.minhash import OP7_SQL, op7_minhash
 from tessera.llm.mixing import OP3_SQL, op3_mixing
 from tessera.llm.quality import op4_quality
 from tessera.llm.secrets import op6_secrets
-from tessera.llm.substring_dedup import op1_substring_dedup
+from tessera.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from tessera.llm.topk import OP9_SQL, op9_exact_topk
 from tessera.llm.warc import OP10_SQL, op10_warc
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
     "op2_lm_scoring": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op5_decontamination": OP5_SQL,
