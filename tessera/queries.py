@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from tessera.functions import text
 from tessera.operators import adapter, checks, crosschecks, evolution, ingest, lineage, payloads, profile, reporting
 from tessera.plans.contract import Clause, Contract, FieldRule
 from tessera.sources import flatten
+from tessera.streaming.watch import latest_results, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,3 +487,33 @@ def semi_join(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), (F.col("event_id") % 7).cast("string")).alias("path"))
     keys = spark.createDataFrame([("e1",), ("e3",), ("e9",)], "path string")
     return e.join(keys, "path", "left_semi").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('orders-v1', 'billing-app', 'CONSUMED_BY'), ('billing-v1', 'orders-app', 'CONSUMED_BY'), ('billing-app', 'billing-v1', 'PUBLISHES'), ('orders-app', 'orders-v1', 'PUBLISHES')) v(source, target, relationship)")
+def contract_graph(spark, sf_dir):
+    """Edges of a registry, and those that names imply."""
+    return lineage.contract_graph(spark.createDataFrame([("orders-v1", "billing-app"), ("billing-v1", "orders-app")], "contract_id string, subscriber_id string"))
+
+
+@query("SELECT path, cardinality FROM (SELECT 'c_name' AS path, count(DISTINCT c_name)::BIGINT AS cardinality FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer) WHERE path LIKE '%name' AND cardinality > 20")
+def ambiguous_columns(spark, sf_dir):
+    """Text columns whose names say too little."""
+    p = profile.field_profile(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
+    return p.where(profile.is_ambiguous(F.col("path"), F.lit("string"), F.col("cardinality"))).select("path", "cardinality")
+
+
+@query("SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN value > 1 THEN value / 100 ELSE value END)) AS confidence, ts AS at FROM events")
+def normalised_facts(spark, sf_dir):
+    """Confidences on one scale and the first parsable timestamp."""
+    return table(spark, sf_dir, "events").select("event_id", ingest.confidence(F.col("value")).alias("confidence"), ingest.first_timestamp(F.lit("none"), F.col("ts")).alias("at"))
+
+
+@query(_rows(("value.range", "CRITICAL", "count(*) FILTER (value < 10) + count(*) FILTER (value > 90)", "events"), ("event_type.enum", "HIGH", "count(*) FILTER (event_type NOT IN ('view', 'click'))", "events")))
+def streaming_validation(spark, sf_dir):
+    """The events as a file stream, validated batch by batch; the counts of all batches are added up."""
+    where = f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/watch-{uuid.uuid4().hex}"
+    contract = _fields(value=FieldRule(minimum=10, maximum=90), event_type=FieldRule(enum=["view", "click"]))
+    source = table(spark, sf_dir, "events")
+    watch(spark, sf_dir, source.schema, contract, f"{where}/results", f"{where}/progress", files="events.parquet").awaitTermination()
+    r = latest_results(spark, f"{where}/results").groupBy("check_id", "severity").agg(F.sum("records_failing").alias("records_failing"))
+    return r.select("check_id", F.when(F.col("records_failing") > 0, "FAIL").otherwise("PASS").alias("status"), "severity", "records_failing")

@@ -13,8 +13,8 @@ from tessera.operators.checks import evaluate
 from tessera.plans.contract import Contract
 
 
-def watch(spark: SparkSession, path: str, schema: T.StructType, contract: Contract, results: str, checkpoint: str, fmt: str = "parquet", every: str | None = None, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Validate new files of a folder; results of each batch are appended with its number.
+def watch(spark: SparkSession, path: str, schema: T.StructType, contract: Contract, results: str, checkpoint: str, fmt: str = "parquet", every: str | None = None, files: str | None = None, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Validate new files of a folder (those whose names fit ``files``); results of each batch are appended with its number.
 
     A batch that is run again after a failure writes its results again under the same number; ``latest_results``
     keeps one set. Without ``every``, what is there is worked off and the stream ends.
@@ -26,7 +26,8 @@ def watch(spark: SparkSession, path: str, schema: T.StructType, contract: Contra
         if then is not None:
             then(out, number)
 
-    stream = spark.readStream.schema(schema).format(fmt).load(path)
+    reader = spark.readStream.schema(schema).format(fmt)
+    stream = (reader.option("pathGlobFilter", files) if files else reader).load(path)
     writer = stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
