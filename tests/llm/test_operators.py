@@ -319,6 +319,13 @@ def test_page_differencing(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_marked_pages_are_differenced_too(spark):
+    rows = [(i, f"http://h/{i}", f"<body><p>menu</p><p>date {i}</p><article><p>own {i}</p><p>licence</p></article></body>") for i in range(4)]
+    out = html_text.differenced(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in out) == [(i, f"own {i}\nlicence") for i in range(4)]
+    assert {(r["marked"], r["open_lines"], r["deleted"], r["restored"], r["outside"]) for r in out} == {(True, 4, 2, 1, 1)}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (400, 8)))]
