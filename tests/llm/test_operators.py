@@ -293,6 +293,18 @@ def test_page_lines():
     assert html_text.decided(html_text.lines("<p>a<br>b &nbsp; c</p>text only")) is None
 
 
+def test_names_inside_articles():
+    kept = ['<section id="related-work">a', '<section id="discussion">a', '<h2 id="search-algorithms">a', '<h3 id="social-history">a', '<div id="feedback-loops">a', '<p class="notice">a', '<section id="comments">a', '<div class="header-note">a']
+    gone = ['<div class="ad">a', '<div class="big comments">a', '<div class="share">a', '<section class="comments">a', '<div id="comments">a', '<div role="navigation">a', '<div id="disqus_thread">a']
+    for outer in ("article", "main"):
+        for x in kept + gone:
+            tag = x[1:].split()[0]
+            text = html_text.decided(html_text.lines(f"<{outer}><p>own</p>{x}</{tag}><p>end</p></{outer}>"))
+            assert text == ("own\na\nend" if x in kept else "own\nend"), x
+    assert html_text.decided(html_text.lines('<article id="feedback-loops" class="discussion-post">own</article>')) == "own"
+    assert html_text.decided(html_text.lines('<div class="related-links">x</div><article>own</article>')) == "own"
+
+
 def test_common_lines():
     def longest(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
