@@ -1,7 +1,7 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame operations only.
 
-Candidates are long words with letters and digits, and the values of assignments to names such as password or
-token. The forest sees a candidate's length, its character transitions, how much of it dictionary words cover,
+Candidates are all long runs of letters and digits in a word, and all values of assignments to names such as password
+or token, of whatever characters. The forest sees a candidate's length, its character transitions, how much of it dictionary words cover,
 whether it looks like a path (and the path of its file, if a column gives one), and the words beside it. It is
 trained from labelled findings and removes false positives such as commit hashes, checksums, identifiers and
 placeholders. Without findings of one's own, a fixed set is drawn up by rule.
@@ -25,7 +25,14 @@ SAMPLE_ROWS = 20_000
 LEAST = 16
 MASK = "[SECRET]"
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer)"
-_ASSIGNED = rf"(?i){_NAMES}[A-Za-z0-9_-]*[\"']?[:=]{{1,2}}[\"']?([A-Za-z0-9+/_.~-]{{8,}}={{0,2}})"
+_TO = rf"(?i){_NAMES}[A-Za-z0-9_-]*\\*[\"']?[:=]{{1,2}}"
+#: A bare value ends where the next name begins (query strings, lists) and before closing marks at its word's end.
+_BARE = r"((?:(?![&,;][\"']?[A-Za-z0-9_.-]+[\"']?[:=]|[,;)}\]>]{1,64}$|\\+[\"'])[^\s\"']){8,})"
+_ASSIGNED = [_TO + x for x in (r'\\*"((?:(?!\\+")[^\s"]){8,})', r"\\*'((?:(?!\\+')[^\s']){8,})", _BARE)]
+#: The part of a value in the letters that keys are made of, a candidate of its own where more follows.
+_PLAIN = _TO + r"\\*[\"']?([A-Za-z0-9+/_.~-]{8,}={0,2})"
+_QUOTED = r"^\\*([\"'`])(\S{8,}?)\\*\1"
+_ENDS = rf"(?i){_NAMES}[\"']?\s*(?:[:=]{{1,2}}|is)$"
 _CORE = rf"([A-Za-z0-9+/_.-]{{{LEAST},}}={{0,2}})"
 _BESIDE = rf"(?i)\b{_NAMES}\b"
 _AGAINST = r"(?i)\b(?:sha-?(?:1|256|512)?|md5|checksum|digest|commit|revision|rev|hash|uuid|guid|etag|version|build|id|ref|blob|example|sample|placeholder|dummy)\b"
@@ -75,18 +82,34 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     """(doc_id, word_no, candidate, assigned, before, after, path), a row for each candidate; words count from 0."""
     w = F.col("__w")
     d = docs.select(docs[doc_id].alias("doc_id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), F.split(F.coalesce(docs[text].cast("string"), F.lit("")), SEPARATORS).alias("__w"))
-    # Only words of some length with a digit, or of an assignment, are looked at closely.
-    long = F.filter(F.transform(w, lambda x, i: F.when((F.char_length(x) >= 12) & (x.rlike("[0-9]") | x.rlike("[:=]")), i)), lambda i: i.isNotNull())
+    # Only words of some length with a digit, or of an assignment, or that may follow one, are looked at closely.
+    closer = lambda x, i: ((F.char_length(x) >= 12) & (x.rlike("[0-9]") | x.rlike("[:=]"))) | ((F.char_length(x) >= 8) & F.coalesce(F.get(w, i - 1).rlike("(?i)(?:[:=]|is)$"), F.lit(False)))
+    long = F.filter(F.transform(w, lambda x, i: F.when(closer(x, i), i)), lambda i: i.isNotNull())
     d = d.select("doc_id", "path", "__w", F.explode(long).alias("word_no"))
     word = F.get(w, F.col("word_no"))
     take = lambda first, n: F.array_join(F.slice(w, first, n), " ")
     before = take(F.greatest(F.col("word_no") - 2, F.lit(1)), F.least(F.col("word_no"), F.lit(3)))
     d = d.select("doc_id", "path", "word_no", word.alias("word"), before.alias("before"), F.coalesce(F.get(w, F.col("word_no") + 1), F.lit("")).alias("after"))
-    value = F.regexp_extract("word", _ASSIGNED, 1)
-    core = F.regexp_extract("word", _CORE, 1)
-    ends = F.col("before").rlike(rf"(?i){_NAMES}[\"']?\s*(?:[:=]{{1,2}}|is)$")
-    d = d.withColumn("assigned", (value != "") | ends).withColumn("candidate", F.when(value != "", value).otherwise(core))
-    fine = (F.char_length("candidate") >= 8) & F.col("candidate").rlike("[A-Za-z]") & (F.col("candidate").rlike("[0-9]") | (value != ""))
+    # All values assigned inside the word, the whole word where it follows an assignment, and all long runs of the rest.
+    values = F.concat(*[F.regexp_extract_all("word", F.lit(p), F.lit(1)) for p in _ASSIGNED])
+    plain = F.filter(F.regexp_extract_all("word", F.lit(_PLAIN), F.lit(1)), lambda c: ~F.array_contains("values", c))
+    rest = reduce(lambda s, p: F.regexp_replace(s, p, " "), _ASSIGNED, F.col("word"))
+    whole = F.regexp_replace(F.regexp_replace("word", r"^[\\\"'`(\[{]+", ""), r"[\\\"'`,;)}\]>]{1,64}$", "")
+    quoted = F.regexp_extract("word", _QUOTED, 2)
+    whole = F.when(F.col("before").rlike(_ENDS), F.when(quoted != "", quoted).otherwise(whole)).otherwise("")
+    # After "is" a plain word is speech, not a value.
+    whole = F.when(whole.rlike(r"[^A-Za-z.]") | F.col("before").rlike("[:=]$"), whole).otherwise("")
+    d = d.withColumn("values", values).withColumns({"plain": plain, "whole": whole, "cores": F.regexp_extract_all(rest, F.lit(_CORE), F.lit(1)), "ends": F.col("before").rlike(_ENDS)})
+    one = lambda c, assigned, value: F.struct(c.alias("candidate"), assigned.alias("assigned"), value.alias("value"))
+    yes = F.lit(True)
+    found = F.concat(
+        F.transform("values", lambda c: one(c, yes, yes)),
+        F.transform("plain", lambda c: one(c, yes, yes)),
+        F.when((F.col("whole") != "") & ~F.array_contains("values", F.col("whole")), F.array(one(F.col("whole"), yes, yes))).otherwise(F.array().cast("array<struct<candidate:string,assigned:boolean,value:boolean>>")),
+        F.transform(F.filter("cores", lambda c: c != F.col("whole")), lambda c: one(c, F.col("ends"), F.lit(False))),
+    )
+    d = d.select("doc_id", "path", "word_no", "before", "after", F.explode(found).alias("f")).select("*", "f.*")
+    fine = (F.char_length("candidate") >= 8) & (F.col("value") | F.col("candidate").rlike("[A-Za-z]") & F.col("candidate").rlike("[0-9]"))
     return d.where(fine).select("doc_id", F.col("word_no").cast("long").alias("word_no"), "candidate", "assigned", "before", "after", "path")
 
 
@@ -123,7 +146,7 @@ def rule_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
             cut = F.when(size % 2 == 0, dig("j")).otherwise(alnum("j"))
             value, before, assigned = F.substring(cut, F.lit(1), size * 2 + 8), plain, F.lit(True)
         else:
-            assigned = before.rlike(rf"(?i){_NAMES}[\"']?\s*(?:[:=]{{1,2}}|is)$")
+            assigned = before.rlike(_ENDS)
         parts.append(some.select(value.alias("candidate"), assigned.alias("assigned"), before.alias("before"), speech("after", 2).alias("after"), path.cast("string").alias("path"), F.lit(label).alias("label")))
     return reduce(DataFrame.unionByName, parts)
 
