@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 
-MAX_HOPS = 64
-
 
-def traverse(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, backward: bool = False) -> DataFrame:
+def traverse(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, backward: bool = False) -> DataFrame:
     """(start, node, hops) of all nodes reached, by the fewest hops; a start itself is left out.
 
     ``edges``: (source, target); ``starts``: (start). A frontier is joined with the edges until nothing new is found,
-    so the number of joins is the depth of the graph; a node is visited once for each start.
+    so the number of joins is the depth of the graph; a node is visited once for each start. ``max_hops`` bounds the
+    hops only where it is given.
     """
     a, b = ("target", "source") if backward else ("source", "target")
     e = edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")).where("__from IS NOT NULL AND __to IS NOT NULL").distinct()
@@ -22,7 +23,7 @@ def traverse(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, back
 
     seen = kept(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         step = frontier.join(e, frontier["node"] == e["__from"]).select("start", F.col("__to").alias("node")).distinct()
         frontier = kept(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():

@@ -115,6 +115,14 @@ def test_adapters(records):
     assert {(x["stage"], x["overall_status"], x["verdict"]) for x in out.collect()} == {(s, o, "BREAKING_BUT_ADAPTABLE") for s, o in (("baseline", "PASS"), ("raw", "FAIL"), ("adapted", "PASS"))}
 
 
+def test_lineage_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(70)], "source long, target long").coalesce(1)
+    start = spark.createDataFrame([(0,)], "start long")
+    got = {(r["node"], r["hops"]) for r in lineage.traverse(e, start).collect()}
+    assert got == {(i, i) for i in range(1, 71)}
+    assert lineage.traverse(e, start, max_hops=2).count() == 2
+
+
 def test_lineage_with_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "x")], "source string, target string")
     got = {(r["node"], r["hops"]) for r in lineage.traverse(e, spark.createDataFrame([("a",)], "start string")).collect()}
