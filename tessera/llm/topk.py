@@ -67,7 +67,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
     key, last = F.struct("vec_id", "v"), None
     while True:
-        page = queries if last is None else queries.where(key > F.struct(F.lit(last[0]).cast("long"), F.array(*[F.lit(float(x)) for x in last[1]])))
+        page = queries if last is None else queries.where(key > F.struct(F.lit(last[0]).cast("long"), F.array(*[F.lit(float(x)) for x in last[1]]).cast("array<double>")))
         part = page.orderBy(key).limit(block).collect()
         if not part:
             break
@@ -82,7 +82,7 @@ def _search_block(rows: DataFrame, part: list, k: int, scale: float, bins: int)
     spark = rows.sparkSession
     ids = np.array([r["vec_id"] for r in part], np.int64)
     lengths = np.array([len(r["v"]) for r in part])
-    groups = {int(d): (np.flatnonzero(lengths == d), np.floor(np.array([r["v"] for r in part if len(r["v"]) == d], np.float64).reshape(-1, d) * scale)) for d in np.unique(lengths)}
+    groups = {int(d): (np.flatnonzero(lengths == d), np.floor(np.array([r["v"] for r in part if len(r["v"]) == d], np.float64).reshape(int((lengths == d).sum()), d) * scale)) for d in np.unique(lengths)}
     block = spark.sparkContext.broadcast((ids, groups))
 
     def scored(batches):

@@ -382,6 +382,14 @@ def test_topk(spark):
     assert topk.search(d.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_empty_vectors(spark):
+    rows = [(i, []) for i in (0, 100, 101)] + [(i, [0.5, float(i)]) for i in (200, 201)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(0, 1, 100, 0), (0, 2, 101, 0), (100, 1, 0, 0), (100, 2, 101, 0), (200, 1, 201, 512 * 512 + 1024 * 1024 * 200 * 201)]
+    for block in (1024, 1):
+        assert sorted(map(tuple, topk.search(d, F.col("vec_id") % 100 == 0, block=block).collect())) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "x" * (17 << 20)  # beyond what the length byte of a gzip member leaves zero
     rows = [(1, "http://a/\r\nb", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "ünï"), (5, "v", "ünï"), (None, "u", "same"), (6, "u", big)]
