@@ -6,12 +6,13 @@ Every stage works on all that its predecessor kept. Stages on word shingles take
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, minhash, mixing, quality, secrets
-from tessera.llm.shared import checkpoint_dir
+from tessera.llm.shared import checkpoint_dir, checkpointed
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +22,36 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``__key``: the doc_id, and for each row without one a number of its own beyond all doc_ids.
+
+    Those rows are written with their keys before use, so that a key stays.
+    """
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    kind = "decimal(20,0)"
+    nameless = checkpointed(nameless.withColumn("__key", (F.lit(Decimal(2**63)) + F.monotonically_increasing_id()).cast(kind)))
+    return docs.where("doc_id IS NOT NULL").withColumn("__key", F.col("doc_id").cast(kind)).unionByName(nameless)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id; one row of rows that repeat it."""
-    found = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__kept"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars"))
-    return kept.withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).where("__nth = 1").select(*docs.columns)
+    """One document of each near-duplicate group, that of the smallest doc_id; one row of rows that repeat it.
+
+    A row without doc_id is a document of its own and comes after those that have one.
+    """
+    keyed = with_key(docs)
+    found = minhash.near_duplicates(keyed, k=5, percent=80, doc_id="__key").where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = keyed.join(found, keyed["__key"] == found["__kept"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__key", F.xxhash64("text")).orderBy("source", "lang", "n_chars"))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = decontamination.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80)
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    keyed = with_key(docs)
+    hits = decontamination.contained(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, percent=80, doc_id="__key")
+    return keyed.join(hits.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -448,3 +448,19 @@ def test_pipeline_of_odd_rows(spark):
     for _, stage in p.STAGES[1:]:
         assert stage(spark, docs, d).count() >= 0
         assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_pipeline_examines_rows_without_id(spark):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    item = max((r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()), key=len)
+    same = " ".join(f"w{i}" for i in range(60))
+    texts = [(None, same), (None, same), (None, same + " more"), (5, same), (None, f"a b c d e {item} f g h i j"), (None, "other words of its own entirely"), (None, "x y z one two three four"), (None, "x y z one two three four"), (2**62, "large id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_dedup(spark, docs, d)
+    assert got.columns == docs.columns and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([texts[3], texts[4], texts[5], texts[6], texts[8]], key=repr)
+    clean = p.decontaminate(spark, docs, d)
+    assert clean.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted(texts[:4] + texts[5:], key=repr)
