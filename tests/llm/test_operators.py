@@ -319,6 +319,11 @@ def test_page_lines():
     assert html_text.decided(html_text.lines("<p>a<br>b &nbsp; c</p>text only")) is None
 
 
+def test_raw_elements_after_dotted_capital_i():
+    page = "<p>" + "\u0130" * 9 + "</p><SCRIPT>var x</Script><p>Text of the page</p><style>p{}</style>end"
+    assert html_text.lines(page) == [("other", "\u0130" * 9), ("other", "Text of the page"), ("other", "end")]
+
+
 def test_names_inside_articles():
     kept = ['<section id="related-work">a', '<section id="discussion">a', '<h2 id="search-algorithms">a', '<h3 id="social-history">a', '<div id="feedback-loops">a', '<p class="notice">a', '<section id="comments">a', '<div class="header-note">a']
     gone = ['<div class="ad">a', '<div class="big comments">a', '<div class="share">a', '<section class="comments">a', '<div id="comments">a', '<div role="navigation">a', '<div id="disqus_thread">a']
