@@ -362,6 +362,17 @@ def test_page_differencing(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_runs_of_copies(spark):
+    body = lambda k: "".join(f"<p>body {k} of the page, line {j}, in some more words</p>" for j in range(6))
+    page = lambda head, k: f"<body><div>site menu</div><p>{head}</p>{body(k)}<div>contact us</div></body>"
+    left = lambda head, k: "\n".join([head, *[f"body {k} of the page, line {j}, in some more words" for j in range(6)]])
+    rows = [(0, "http://h/a", page("first", "A"), left("first", "A")), (99, "http://h/z", page("last", "Z"), left("last", "Z"))]
+    rows += [(i, f"http://h/m{i}", page("same", "M"), left("same", "M")) for i in range(10, 22)]  # exact copies
+    rows += [(i, f"http://h/n{i}", page(f"day {i}", "N"), left(f"day {i}", "N")) for i in range(30, 42)]  # near copies
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect()) == sorted((r[0], r[3]) for r in rows)
+
+
 def test_marked_pages_are_differenced_too(spark):
     rows = [(i, f"http://h/{i}", f"<body><p>menu</p><p>date {i}</p><article><p>own {i}</p><p>licence</p></article></body>") for i in range(4)]
     out = html_text.differenced(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
