@@ -69,15 +69,18 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, doc_id: str = "doc_id", tex
 
     def ask(key, rows):
         w, batch = words(*utf8(rows.column("text"))), key[0].as_py()
-        out = {"bucket": [0], "order": [0], "keys": [b""], "counts": [_small(np.array([len(w.hashes)]))]}
+        copies = np.repeat(rows.column("copies").to_numpy(), np.diff(w.bounds))
+        out = {"bucket": [0], "order": [0], "keys": [b""], "counts": [_small(np.array([copies.sum()]))]}
         for order in ORDERS:
-            keys, counts = np.unique(_grams(w, order)[1], return_counts=True)
-            cut = lookup.cuts(keys, buckets, _KEY_BITS)
-            for b in np.flatnonzero(np.diff(cut)):
-                out["bucket"].append(int(b))
+            at, grams = _grams(w, order)
+            keys, back, counts = np.unique(grams, return_inverse=True, return_counts=True)
+            if len(copies) and copies.max() > 1:
+                np.add.at(counts, back, copies[at] - 1)
+            for b, s in lookup.runs(keys, buckets, _KEY_BITS).items():
+                out["bucket"].append(b)
                 out["order"].append(order)
-                out["keys"].append(lookup.pack(keys[cut[b] : cut[b + 1]]))
-                out["counts"].append(_small(counts[cut[b] : cut[b + 1]]))
+                out["keys"].append(lookup.pack(keys[s]))
+                out["counts"].append(_small(counts[s]))
         n = len(out["bucket"])
         return pa.table([pa.array(out["bucket"], pa.int32()), pa.array(out["order"], pa.int32()), pa.array([batch] * n, pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], ["bucket", "order", "batch", "keys", "counts"])
 
@@ -107,9 +110,9 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, doc_id: str = "doc_id", tex
         for order in ORDERS:
             at, keys = _grams(w, order)
             distinct, back = np.unique(keys, return_inverse=True)
-            cut, total = lookup.cuts(distinct, buckets, _KEY_BITS), np.zeros(len(distinct), np.int64)
-            for b in np.flatnonzero(np.diff(cut)):
-                total[cut[b] : cut[b + 1]] = _large(got[order, int(b)])
+            total = np.zeros(len(distinct), np.int64)
+            for b, s in lookup.runs(distinct, buckets, _KEY_BITS).items():
+                total[s] = _large(got[order, b])
             here = np.zeros(n, np.int64)
             here[at] = total[back] - _own(back, doc[at], len(distinct))
             counts.append(here)
@@ -126,10 +129,10 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, doc_id: str = "doc_id", tex
         p = np.where((place >= 2) & (tri > 0), tri / np.maximum(ctx2, 1), p)
         micro = np.concatenate(([0], np.cumsum(np.rint(np.log(p) * _MICRO).astype(np.int64))))
         sums = np.diff(micro[w.bounds])
-        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(sums / _MICRO, pa.float64())})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(sums / _MICRO, pa.float64()), "copies": rows.column("copies")})
 
     answers = source.groupBy("batch").applyInArrow(ask, _ASK).groupBy("bucket", "order").applyInArrow(answer, _ANSWER)
-    return source.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"doc_id {id_type}, n_words long, log_score double")
+    return lookup.spread(source.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"doc_id {id_type}, n_words long, log_score double, copies long"))
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:

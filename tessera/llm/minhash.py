@@ -6,10 +6,13 @@ the minima four low bits are kept, packed 16 to a long, and the share of equal l
 collisions, estimates the similarity of a candidate pair by bit counts. Pairs whose estimate is within five
 standard deviations of the threshold are confirmed on the full sets.
 
-All pairs of a band would be quadratic for large groups of copies. Only components matter, so a band's members are
-first held against one leader and components are merged, as long as the pairs across components are many for each
-member. Those left are then tested one and all: row by row in small bands, in blocks against blocks in large ones.
-Pairs within a component are not formed, and no pair across components of a band is left out.
+All pairs of a band would be quadratic for large groups of copies. Only components matter, so all of a band first
+follow one leader, and then what is not connected yet follows a leader of the band's main component. Pairs across the
+components left are tested one and all: row by row in small bands, in blocks against blocks in large ones. Pairs
+within a component are not formed, and no pair across components of a band is left out. Components between these
+steps are those that one look at the leaders' leaders finds; the true ones are computed once, of all links.
+
+No band sits in one task: what is joined on bands is joined on bands and SALTS shares of their members.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm import lookup
 from tessera.llm.graph import components
+from tessera.llm.salted import bit, for_members, salt
 from tessera.llm.shared import checkpointed
 from tessera.llm.words import U64, mix, shingles, utf8, words
 
 MINIMA, ROWS, BITS = 128, 3, 4
-#: Members of a band from which its pairs are tested in blocks of BLOCK members rather than joined row by row.
-BLOCK_FROM, BLOCK = 64, 2048
-#: Pairs across components for each member of a band up to which they no star round is needed.
+#: Members of a band from which its pairs are tested in blocks rather than joined row by row, and what a block holds
+#: at most: members, and bytes of their sets.
+BLOCK_FROM, BLOCK, BLOCK_BYTES = 64, 2048, 32 << 20
+#: Pairs across components for each member of a band up to which no second leader is followed.
 ENUMERATE = 16
 #: Chance that a pair right at the threshold shares no band.
 MISS = 1e-6
@@ -52,7 +57,7 @@ def _slices(at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sig, bands) of (doc_id, text); f1 and f2 are equal for equal sets only."""
+    """(doc_id, r1, r2, n_shingles, f1, f2, sig, bands) of (doc_id, text, r1, r2); f1 and f2 are equal for equal sets only."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,13 +83,13 @@ def signatures(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
                     for r in range(ROWS):
                         v = mix(v + minima[b * ROWS + r])
                     bands[b] = v
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(x)), pa.int32()), pa.array(np.ascontiguousarray(x.T).ravel().view(np.int64)))
+                listed = lambda x: _listed(np.ascontiguousarray(x.T).ravel(), np.arange(0, x.size + 1, len(x)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, n), pa.array(size, pa.int64()), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed(sig), listed(bands)],
-                    ["doc_id", "n_shingles", "f1", "f2", "sig", "bands"],
+                    [*[batch.column(c).slice(lo, n) for c in ("doc_id", "r1", "r2")], pa.array(size, pa.int64()), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed(sig), listed(bands)],
+                    ["doc_id", "r1", "r2", "n_shingles", "f1", "f2", "sig", "bands"],
                 )
 
-    return docs.mapInArrow(sign, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>")
+    return docs.mapInArrow(sign, f"doc_id {kind}, r1 long, r2 long, n_shingles long, f1 long, f2 long, sig array<long>, bands array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -107,9 +112,37 @@ def floor_for(threshold: float) -> float:
     return threshold - 5 * math.sqrt(equal * (1 - equal) / MINIMA) / (1 - chance)
 
 
+def _listed(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _longs(rows: pa.Table, name: str) -> np.ndarray:
+    """The items of an array column one after another."""
+    return np.asarray(rows.column(name).combine_chunks().flatten()).view(np.uint64)
+
+
+def _dealt(rows: DataFrame, n_bytes: int) -> tuple[DataFrame, int]:
+    """Rows with a batch by node, and the number of batches."""
+    n = max(1, math.ceil(n_bytes / lookup.BATCH_BYTES))
+    return rows.withColumn("batch", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")), n
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """(node, r1, r2, n, sig, bands) of classes that share a band, with those bands only."""
+    width = 8 * len(classes.columns) + MINIMA * BITS // 8 + 8 * (MINIMA // ROWS)
+    dealt, buckets = _dealt(classes.select("node", "r1", "r2", "n", "sig", "bands"), classes.count() * width)
+
+    def finish(table: pa.Table, again: np.ndarray) -> pa.Table:
+        shared = again.reshape(table.num_rows, -1)
+        at = np.concatenate(([0], np.cumsum(shared.sum(axis=1))))
+        out = table.select(["node", "r1", "r2", "n", "sig"]).append_column("bands", _listed(_longs(table, "bands")[again], at))
+        return out.filter(pa.array(shared.any(axis=1)))
+
+    return lookup.occurring_elsewhere(dealt, buckets, lambda t: _longs(t, "bands"), finish, "node long, r1 long, r2 long, n long, sig array<long>, bands array<long>")
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, set): the sorted shingles of (doc_id, text), packed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """(node, n, sig, bands, set) of (node, n, sig, bands, text): the sorted shingles of a text, packed."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,59 +150,34 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for lo, hi in _slices(at):
                 h, bounds = shingles(words(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], lower=True), k)
                 blobs = [lookup.pack(h[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["node", "set"])
-
-    return docs.mapInArrow(collect, f"node {kind}, set binary")
-
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in ("node", "n", "sig", "bands")], pa.array(blobs, pa.binary())], ["node", "n", "sig", "bands", "set"])
 
-_ASK = "bucket int, batch int, keys binary"
-_ANSWER = "batch int, bucket int, bits binary"
+    return docs.mapInArrow(collect, "node long, n long, sig array<long>, bands array<long>, set binary")
 
 
-def _matchable(sets: DataFrame, percent: int, batch_bytes: int = lookup.BATCH_BYTES) -> DataFrame:
-    """(node, set, n, m) of sets that can reach the threshold at all: m of their n shingles occur in another set.
+def _matchable(sets: DataFrame, n_bytes: int, percent: int) -> DataFrame:
+    """(node, n, m, sig, bands, set) of sets that can reach the threshold at all: m of their n shingles occur in another.
 
     No intersection is larger than the smaller m, so a set with too few such shingles has no partner, and pairs can
     be ruled out by their counts alone. This is what keeps groups of loosely similar texts from meeting pairwise.
     """
-    kind = sets.schema["node"].dataType.simpleString()
-    buckets = max(1, math.ceil((sets.agg(F.sum(F.octet_length("set").cast("long"))).first()[0] or 0) / batch_bytes))
-    dealt = sets.withColumn("batch", F.pmod(F.xxhash64("node", "set"), F.lit(buckets)).cast("int"))
-    last_bit = U64(1)
-
-    def keys_of(rows: pa.Table):
-        each = [lookup.unpack(x) for x in rows.column("set").to_pylist()]
-        keys, back, count = np.unique(np.concatenate(each) & ~last_bit, return_inverse=True, return_counts=True)
-        return [len(x) for x in each], keys, back, count
-
-    def ask(key, rows):
-        _, keys, _, count = keys_of(rows)
-        flagged, cut = keys | (count > 1).astype(np.uint64), lookup.cuts(keys, buckets)
-        full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        return pa.table([pa.array(full, pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array([lookup.pack(flagged[cut[b] : cut[b + 1]]) for b in full], pa.binary())], ["bucket", "batch", "keys"])
-
-    def answer(key, rows):
-        runs = [lookup.unpack(x) for x in rows.column("keys").to_pylist()]
-        merged = np.concatenate(runs)
-        _, back, count = np.unique(merged & ~last_bit, return_inverse=True, return_counts=True)
-        again = count > 1
-        again[back[(merged & last_bit) > 0]] = True
-        ends = np.cumsum([len(r) for r in runs])
-        bits = [np.packbits(again[back[e - len(r) : e]]).tobytes() for r, e in zip(runs, ends, strict=True)]
-        return pa.table([rows.column("batch"), pa.array([key[0].as_py()] * len(runs), pa.int32()), pa.array(bits, pa.binary())], ["batch", "bucket", "bits"])
-
-    def count(key, rows, answers):
-        sizes, keys, back, _ = keys_of(rows)
-        cut, again = lookup.cuts(keys, buckets), np.zeros(len(keys), bool)
-        for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-            again[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cut[b + 1] - cut[b]))
-        m = np.diff(np.concatenate(([0], np.cumsum(again[back])))[np.concatenate(([0], np.cumsum(sizes)))])
-        n = np.array(sizes)
-        out = pa.table([rows.column("node"), rows.column("set"), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["node", "set", "n", "m"])
+    dealt, buckets = _dealt(sets, n_bytes)
+
+    def once(table: pa.Table) -> np.ndarray:
+        """The first row of each node; rows that repeat in the input come with the same one."""
+        return np.sort(np.unique(table.column("node").to_numpy(), return_index=True)[1])
+
+    def keys_of(table: pa.Table) -> np.ndarray:
+        return np.concatenate([lookup.unpack(x) for x in table.column("set").take(pa.array(once(table))).to_pylist()])
+
+    def finish(table: pa.Table, again: np.ndarray) -> pa.Table:
+        table = table.take(pa.array(once(table)))
+        n = table.column("n").to_numpy()
+        m = np.diff(np.concatenate(([0], np.cumsum(again)))[np.concatenate(([0], np.cumsum(n)))])
+        out = table.select(["node", "n", "sig", "bands", "set"]).add_column(2, "m", pa.array(m, pa.int64()))
         return out.filter(pa.array(100 * m >= percent * n))
 
-    answers = dealt.groupBy("batch").applyInArrow(ask, _ASK).groupBy("bucket").applyInArrow(answer, _ANSWER)
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(count, f"node {kind}, set binary, n long, m long")
+    return lookup.occurring_elsewhere(dealt, buckets, keys_of, finish, "node long, n long, m long, sig array<long>, bands array<long>, set binary")
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -181,7 +189,6 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    kind = pairs.schema["a"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +204,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, f"a {kind}, b {kind}")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
 
 
 def _overlap(left: np.ndarray, right: np.ndarray) -> int:
@@ -205,34 +212,34 @@ def _overlap(left: np.ndarray, right: np.ndarray) -> int:
     return int(np.count_nonzero(big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small))
 
 
-def _blocked(near: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _blocked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across the components of large bands, enough of them to connect what is connected.
 
     A band's main component and its other members are dealt into blocks by hash, and every two blocks that can hold
-    a pair across components meet in one group of bounded size. A group tests pairs from the most alike on and skips
-    those that its own links have joined; a pair that shares several bands is tested in the first of them only.
+    a pair across components meet in one group, bounded in members and in bytes. A group tests pairs from the most
+    alike on and skips those that its own links have joined; a pair that shares several bands is tested in the first
+    of them only.
     """
-    kind, floor, chance = near.schema["node"].dataType.simpleString(), floor_for(percent / 100), 2.0**-BITS
+    floor, chance = floor_for(percent / 100), 2.0**-BITS
     lanes = U64(sum(1 << i for i in range(0, 64, BITS)))
-    is_main, n1 = F.col("component") == F.col("main"), F.ceil((F.col("all") - F.col("n_main")) / BLOCK).cast("int")
-    n0 = F.ceil(F.col("n_main") / BLOCK).cast("int")
+    is_main = F.col("component") == F.col("main")
+    blocks = lambda n, words: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(words * 8 / F.lit(BLOCK_BYTES))).cast("int")
+    n0, n1 = blocks(F.col("n_main"), F.col("words_main")), blocks(F.col("all") - F.col("n_main"), F.col("words") - F.col("words_main"))
     block = F.when(is_main, F.pmod(F.xxhash64("node"), n0)).otherwise(n0 + F.pmod(F.xxhash64("node"), n1)).cast("int")
     other = F.when(is_main, F.sequence(n0, n0 + n1 - 1)).otherwise(F.sequence(F.lit(0), n0 + n1 - 1))
-    wide = near.select("band", "node", "component", block.alias("block"), other.alias("others"), "of.n", "of.m", "of.sig")
-    wide = wide.join(sets.select("node", "n", "set"), ["node", "n"]).join(classes.select("node", F.col("n_shingles").alias("n"), "bands"), ["node", "n"])
-    wide = wide.select("*", F.explode("others").alias("with"))
-    wide = wide.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "n", "m", "sig", "set", "bands")
+    wide = near.select("band", "node", "component", "of.m", block.alias("block"), F.explode(other).alias("with"))
+    wide = wide.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "m")
+    wide = wide.join(sets.select("node", "n", "sig", "set", "bands"), "node")
 
     def test(key, rows):
         band, lo, hi = (x.as_py() for x in key)
-        listed = lambda c, w: np.asarray(rows.column(c).combine_chunks().flatten()).view(np.uint64).reshape(-1, w)
-        sig, bands_of = listed("sig", MINIMA // _LANES), listed("bands", n_bands)
+        sig = _longs(rows, "sig").reshape(-1, MINIMA // _LANES)
+        bands_of = [set(x) for x in rows.column("bands").to_pylist()]
         n, m, block = (rows.column(c).to_numpy() for c in ("n", "m", "block"))
         node, blobs = rows.column("node").to_pylist(), rows.column("set").to_pylist()
         group: dict = {}
         comp = np.array([group.setdefault(c, len(group)) for c in rows.column("component").to_pylist()], np.int64)
         p, q = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        place = int(np.flatnonzero(bands_of[0] == U64(band & (2**64 - 1)))[0])
         found = []
         for at in range(0, len(p), 128):
             part = p[at : at + 128]
@@ -251,8 +258,6 @@ def _blocked(near: DataFrame, sets: DataFrame, classes: DataFrame, percent: int)
             found.append((part[i], q[j], alike[i, j]))
         i, j, alike = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         order = np.argsort(-alike, kind="stable")
-        i, j = i[order], j[order]
-        first = ~(bands_of[i, :place] == bands_of[j, :place]).any(axis=1)
         up, unpacked, links = list(range(len(group))), {}, ([], [])
 
         def root(c: int) -> int:
@@ -266,20 +271,67 @@ def _blocked(near: DataFrame, sets: DataFrame, classes: DataFrame, percent: int)
                 unpacked[r] = lookup.unpack(blobs[r])
             return unpacked[r]
 
-        for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
             x, y = root(comp[a]), root(comp[b])
-            if x == y:
+            if x == y or min(bands_of[a] & bands_of[b]) != band:
                 continue
             both = _overlap(shingles_of(a), shingles_of(b))
             if 100 * both >= percent * (int(n[a]) + int(n[b]) - both):
                 up[x] = y
                 links[0].append(node[a])
                 links[1].append(node[b])
-        kind_of = rows.schema.field("node").type
-        return pa.table([pa.array(links[0], kind_of), pa.array(links[1], kind_of)], ["a", "b"])
-
-    n_bands = bands_for(percent / 100)
-    return wide.groupBy("band", "lo", "hi").applyInArrow(test, f"a {kind}, b {kind}")
+        return pa.table([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], ["a", "b"])
+
+    return wide.groupBy("band", "lo", "hi").applyInArrow(test, "a long, b long")
+
+
+def _best(pairs: DataFrame, thin: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), the one of each a that may reach the threshold and is most alike by its signature."""
+    of = F.struct("n", "m", "sig")
+    pairs = pairs.distinct().join(thin.select(F.col("node").alias("a"), of.alias("fa")), "a").join(thin.select(F.col("node").alias("b"), of.alias("fb")), "b")
+    alike = F.struct(estimate(F.col("fa.sig"), F.col("fb.sig")).alias("alike"), "b")
+    return pairs.where(_possible("fa", "fb", percent)).groupBy("a").agg(F.max(alike).alias("best")).select("a", "best.b")
+
+
+def _links(sets: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
+    """Links (a, b) between nodes of ``sets`` that connect all nodes connected by pairs at the threshold."""
+    thin = checkpointed(sets.select("node", "n", "m", "sig", "bands"))
+    member = thin.select("node", F.explode("bands").alias("band"), salt("node"))
+    lead = member.groupBy("band", "salt").agg(F.min("node").alias("low"), F.count("*").alias("n"))
+    lead = lead.groupBy("band").agg(F.min("low").alias("b"), F.sum("n").alias("n"), F.bit_or(bit("salt")).alias("salts")).where("n > 1").select("band", "b", "salts")
+    pairs = member.join(for_members(lead), ["band", "salt"]).where("node <> b").select(F.col("node").alias("a"), "b")
+    links = checkpointed(_confirmed(_best(pairs, thin, percent), sets, percent))
+    up = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    top = up.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    label = up.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    for turn in range(1, star_rounds + 1):
+        labelled = checkpointed(thin.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        member = labelled.select("node", "component", "n", F.explode("bands").alias("band"), salt("node"))
+        sizes = member.groupBy("band", "component", "salt").agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.min("node").alias("low"))
+        sizes = sizes.groupBy("band", "component").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.min("low").alias("low"), F.bit_or(bit("salt")).alias("salts"))
+        bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.sum("words").alias("words"), F.max(F.struct("n", "component", "low", "words")).alias("main"), F.bit_or("salts").alias("salts"))
+        bands = checkpointed(bands.where("all * all > within"))  # bands of one component are done with
+        cross, rows = bands.agg(F.sum((F.col("all") - F.col("within") / F.col("all")) / 2), F.sum("all")).first()
+        if not cross:
+            return links
+        last = turn == star_rounds or cross <= ENUMERATE * rows
+        near = member.join(for_members(bands), ["band", "salt"])
+        if not last:
+            pairs = near.where(F.col("component") != F.col("main.component")).select(F.col("node").alias("a"), F.col("main.low").alias("b"))
+            found = checkpointed(_confirmed(_best(pairs, thin, percent), sets, percent))
+            links = checkpointed(links.unionByName(found))
+            old = labelled.select("node", "component")
+            into = found.join(old.select(F.col("node").alias("a"), F.col("component").alias("component")), "a").join(old.select(F.col("node").alias("b"), F.col("component").alias("into")), "b")
+            into = into.groupBy("component").agg(F.min("into").alias("into"))
+            label = old.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+            continue
+        of = thin.select("node", F.struct("n", "m", "sig").alias("of"))
+        near = checkpointed(near.select("band", "node", "component", "all", "words", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"), F.col("main.words").alias("words_main")).join(of, "node"))
+        left = near.where(F.col("all") <= BLOCK_FROM).select("band", F.col("node").alias("a"), F.col("of").alias("fa"), "component")
+        right = left.select("band", F.col("a").alias("b"), F.col("fa").alias("fb"), F.col("component").alias("other"))
+        pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _possible("fa", "fb", percent)).select("a", "b").distinct()
+        found = _confirmed(pairs, sets, percent).unionByName(_blocked(near.where(F.col("all") > BLOCK_FROM), sets, percent))
+        return links.unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
@@ -287,63 +339,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     Returns (doc_id, n_shingles long, component_id, kept boolean), a row for each input row. Words are those of
     ``[^\\x20\\x09-\\x0D]+`` with A-Z folded; a text of fewer than k words is one shingle; null and empty texts have
-    none and are linked with nothing. ``component_id`` is the smallest doc_id of the component, and the document
-    of that id is the one kept; of rows that repeat its doc_id all are. Rows that share a doc_id are one document.
-    A null doc_id takes no part in links; its component is null and it is kept. Other columns are ignored. Pairs at
-    the threshold are missed with a chance of about 1e-6; whatever is linked has been confirmed on full sets.
-    ``star_rounds`` bounds the merging rounds before the remaining pairs are enumerated; it changes no result.
+    none and are linked with nothing. ``component_id`` is the smallest doc_id of the component, and the documents
+    of that id are kept. Every row is a document by its text: rows that repeat a doc_id with other texts are linked by
+    those texts only. Rows without doc_id are linked like others; a component of none but such has a null id, and all
+    of it is kept. Other columns are ignored. Pairs at the threshold are missed with a chance of about 1e-6; whatever
+    is linked has been confirmed on full sets. ``star_rounds`` bounds the leaders followed before the remaining pairs
+    are enumerated; it changes no result.
     """
-    threshold = percent / 100
-    source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    signed = checkpointed(signatures(source, k, bands_for(threshold)))
-    known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    member = classes.select("node", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band")
-    member = checkpointed(member.join(shared, "band"))
-    sets = source.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = checkpointed(_matchable(_sets(sets, k), percent))
-    known = sets.select("node", "n", "m").join(classes.select("node", "n_shingles", "sig"), "node").where("n = n_shingles")
-    known = known.select("node", F.struct("n", "m", "sig").alias("of"))
-    member = checkpointed(member.join(known, "node").withColumn("component", F.col("node")))
-    links, label = None, None
-    for turn in range(star_rounds + 1):
-        sizes = member.groupBy("band", "component").agg(F.count("*").alias("n"))
-        bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max(F.struct("n", "component")).alias("main"))
-        bands = bands.where("all * all > within").select("band", "all", "within", F.col("main.n").alias("n_main"), F.col("main.component").alias("main"))
-        near = checkpointed(member.join(bands, "band"))  # bands of one component are done with
-        cross, rows = near.agg(F.sum((F.col("all") - F.col("within") / F.col("all")) / 2), F.count("*")).first()
-        if not cross:
-            break
-        last = turn == star_rounds or cross <= ENUMERATE * rows
-        a = near.select("band", F.col("node").alias("a"), F.col("of").alias("fa"), "component", "main", "all")
-        if last:
-            left = a.where(F.col("all") <= BLOCK_FROM)
-            right = left.select(F.col("band").alias("band_b"), F.col("a").alias("b"), F.col("fa").alias("fb"), F.col("component").alias("cb"))
-            pairs = left.join(right, (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & _possible("fa", "fb", percent))
-            pairs = pairs.select("a", "b").distinct()
-        else:  # each by its best estimate among the leaders of its bands; at first, all of a band follow one leader
-            choice = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("b"), F.col("fa").alias("fb"))
-            lead = (a if turn == 0 else a.where("component = main")).groupBy("band").agg(F.min(choice).alias("x")).select("band", "x.b", "x.fb")
-            pairs = (a if turn == 0 else a.where("component <> main")).join(lead, "band").where((F.col("a") != F.col("b")) & _possible("fa", "fb", percent))
-            pairs = pairs.groupBy("a").agg(F.max(F.struct(estimate(F.col("fa.sig"), F.col("fb.sig")).alias("alike"), "b")).alias("best")).select("a", "best.b")
-        found = _confirmed(checkpointed(pairs), sets, percent)
-        if last:
-            found = found.unionByName(_blocked(near.where(F.col("all") > BLOCK_FROM), sets, classes, percent))
-        links = checkpointed(found if links is None else links.unionByName(found))
-        label = components(links)
-        if last:
-            break
-        member = near.select("band", "node", "of").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        member = checkpointed(member)
-    named = classes.select("f1", "f2", F.col("n_shingles").alias("n"), "node")
-    out = signed.select("doc_id", "n_shingles", "f1", "f2")
-    on = (out["f1"] == named["f1"]) & (out["f2"] == named["f2"]) & (out["n_shingles"] == named["n"]) & out["doc_id"].isNotNull()
-    out = out.join(named, on, "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
-    if label is not None:
-        out = out.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    else:
-        out = out.select("doc_id", "n_shingles", F.col("node").alias("component_id"))
+    t = docs[text].cast("string")
+    # r1 and r2 name a row by its content, so that the text of a class can be found again.
+    source = docs.select(docs[doc_id].alias("doc_id"), t.alias("text"), F.xxhash64(docs[doc_id], t).alias("r1"), F.xxhash64(t, docs[doc_id], F.lit(1)).alias("r2"))
+    signed = checkpointed(signatures(source, k, bands_for(percent / 100)))
+    classes = signed.where("n_shingles > 0").groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("r1", "r2")).alias("r"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = checkpointed(classes.select("f1", "f2", "n", "doc_id", "r.r1", "r.r2", "sig", "bands", F.monotonically_increasing_id().alias("node")))
+    shared = checkpointed(_candidates(classes))
+    texts = source.select("text", "r1", "r2").join(shared, ["r1", "r2"])
+    sets = checkpointed(_matchable(_sets(texts, k), 8 * (shared.agg(F.sum("n")).first()[0] or 0), percent))
+    label = components(_links(sets, percent, max(1, star_rounds)))
+    label = label.join(classes.select("node", "doc_id"), "node").select("node", "component", "doc_id", salt("node"))
+    least = label.groupBy("component", "salt").agg(F.min("doc_id").alias("low"))
+    least = least.groupBy("component").agg(F.min("low").alias("component_id"), F.bit_or(bit("salt")).alias("salts"))
+    label = label.join(for_members(least), ["component", "salt"]).select("node", "component_id", F.lit(True).alias("linked"))
+    named = classes.select("f1", "f2", "n", "node", "doc_id").join(label, "node", "left")
+    named = named.select("f1", "f2", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.lit(True).alias("classed"))
+    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -24,7 +24,15 @@ from tessera.llm.words import Words, utf8, windows, words
 _LOW = np.uint64(3)
 
 
-def _probes(w: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _repeated(w: Words, copies: np.ndarray, at: np.ndarray, back: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which of the distinct keys occur twice or more in the batch, those of a row of many copies among them."""
+    twice = count > 1
+    if len(at) and copies.max() > 1:
+        twice[back[np.repeat(copies > 1, np.diff(w.bounds))[at]]] = True
+    return twice
+
+
+def _probes(w: Words, copies: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys of all rolling blocks with two flags in the low bits (1: a reference block, 2: twice
     or more in the batch), and for each reference block its position and its index among the keys."""
     at, h = windows(w, block)
@@ -32,16 +40,15 @@ def _probes(w: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     ref = (at - start) % block == 0
     key = h & ~_LOW
     distinct, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    flags = (count > 1).astype(np.uint64) << np.uint64(1)
+    flags = _repeated(w, copies, at, back, count).astype(np.uint64) << np.uint64(1)
     flags[back[ref]] |= np.uint64(1)
     return distinct, flags, at[ref], back[ref]
 
 
 def _runs(batch: int, keys: np.ndarray, buckets: int, *more: np.ndarray) -> dict[str, list]:
     """A row for each bucket: its run of keys and what goes along with them."""
-    cut = lookup.cuts(keys, buckets)
-    full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    return {"bucket": full, "batch": [batch] * len(full), "keys": [lookup.pack(keys[cut[b] : cut[b + 1]]) for b in full], "more": [b"".join(x[cut[b] : cut[b + 1]].tobytes() for x in more) for b in full]}
+    stretch = lookup.runs(keys, buckets)
+    return {"bucket": list(stretch), "batch": [batch] * len(stretch), "keys": [lookup.pack(keys[s]) for s in stretch.values()], "more": [b"".join(x[s].tobytes() for x in more) for s in stretch.values()]}
 
 
 _ASK = "bucket int, batch int, keys binary, more binary"
@@ -62,6 +69,10 @@ def _bits(rows: pa.Table, step: int, lengths: dict[int, int]) -> dict[int, np.nd
     return out
 
 
+def _copies(rows: pa.Table) -> np.ndarray:
+    return rows.column("copies").to_numpy()
+
+
 def dedup_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = lookup.BATCH_BYTES) -> DataFrame:
     """Remove every word that a repeated stretch of ``window`` words covers.
 
@@ -78,7 +89,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id",
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def ask_blocks(key, rows):
-        distinct, flags, _, _ = _probes(words(*utf8(rows.column("text"))), block)
+        distinct, flags, _, _ = _probes(words(*utf8(rows.column("text"))), _copies(rows), block)
         return _table(_runs(key[0].as_py(), distinct | flags, buckets), _ASK)
 
     def answer_blocks(key, rows):
@@ -98,13 +109,13 @@ def dedup_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id",
         bits = [np.packbits(back[e - len(r) : e][(r & np.uint64(1)) > 0]).tobytes() for r, e in zip(runs, ends, strict=True)]
         return _table({"batch": rows.column("batch").to_pylist(), "step": [1] * len(runs), "bucket": [key[0].as_py()] * len(runs), "bits": bits}, _ANSWER)
 
-    def stretches(w: Words, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def stretches(w: Words, copies: np.ndarray, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions of stretches whose own reference block is hit; their distinct 96-bit hashes; index of each."""
-        distinct, flags, ref_at, ref_key = _probes(w, block)
-        cut, own = lookup.cuts(distinct, buckets), (flags & np.uint64(1)) > 0
+        distinct, flags, ref_at, ref_key = _probes(w, copies, block)
+        own = (flags & np.uint64(1)) > 0
         hit = np.zeros(len(distinct), bool)
-        parts = [np.flatnonzero(own[cut[b] : cut[b + 1]]) + cut[b] for b in range(buckets)]
-        for b, bits in _bits(answers, 1, {b: len(p) for b, p in enumerate(parts)}).items():
+        parts = {b: np.flatnonzero(own[s]) + s.start for b, s in lookup.runs(distinct, buckets).items()}
+        for b, bits in _bits(answers, 1, {b: len(p) for b, p in parts.items()}).items():
             hit[parts[b]] = bits
         n = len(w.hashes)
         hit_at = np.zeros(n + block, bool)
@@ -120,11 +131,11 @@ def dedup_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id",
         index = np.empty(len(at), np.int64)
         index[order] = np.cumsum(new) - 1
         count = np.diff(np.append(np.flatnonzero(new), len(s1)))
-        return at, s1[new], s2[new], (count > 1), index
+        return at, s1[new], s2[new], _repeated(w, copies, at, index, count), index
 
     def ask_stretches(key, rows, answers):
         """The answers so far travel along, as rows without keys, since the removal needs both."""
-        _, h1, h2, twice, _ = stretches(words(*utf8(rows.column("text"))), answers)
+        _, h1, h2, twice, _ = stretches(words(*utf8(rows.column("text"))), _copies(rows), answers)
         out = _runs(key[0].as_py(), h1, buckets, h2, twice.astype(np.uint8))
         for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
             for column, x in zip(("bucket", "batch", "keys", "more"), (b, key[0].as_py(), b"", bits), strict=True):
@@ -159,10 +170,10 @@ def dedup_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id",
         raw, offsets = utf8(rows.column("text"))
         w = words(raw, offsets, spans=True)
         n = len(w.hashes)
-        at, h1, _, _, index = stretches(w, answers)
-        cut, repeated = lookup.cuts(h1, buckets), np.zeros(len(h1), bool)
-        for b, bits in _bits(answers, 2, {b: int(cut[b + 1] - cut[b]) for b in range(buckets)}).items():
-            repeated[cut[b] : cut[b + 1]] = bits
+        at, h1, _, _, index = stretches(w, _copies(rows), answers)
+        stretch, repeated = lookup.runs(h1, buckets), np.zeros(len(h1), bool)
+        for b, bits in _bits(answers, 2, {b: s.stop - s.start for b, s in stretch.items()}).items():
+            repeated[stretch[b]] = bits
         edge = np.zeros(n + 1, np.int64)
         begin = at[repeated[index]] if len(at) else at
         np.add.at(edge, begin, 1)
@@ -182,12 +193,12 @@ def dedup_substrings(docs: DataFrame, window: int = 35, doc_id: str = "doc_id",
         n_words = np.diff(w.bounds)
         removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.bounds])
         texts = pa.LargeStringArray.from_buffers(len(n_words), pa.py_buffer(lengths.astype(np.int64).tobytes()), pa.py_buffer(out[mask].tobytes()))
-        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": texts.cast(pa.string())})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": texts.cast(pa.string()), "copies": rows.column("copies")})
 
     first = source.groupBy("batch").applyInArrow(ask_blocks, _ASK).groupBy("bucket").applyInArrow(answer_blocks, _ANSWER)
     asked = source.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(ask_stretches, _ASK)
     second = asked.groupBy("bucket").applyInArrow(answer_stretches, _ANSWER)
-    return source.groupBy("batch").cogroup(second.groupBy("batch")).applyInArrow(remove, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    return lookup.spread(source.groupBy("batch").cogroup(second.groupBy("batch")).applyInArrow(remove, f"doc_id {id_type}, n_words long, n_removed long, kept_text string, copies long"))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
