@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +68,53 @@ def raw(schema: T.StructType, path: str) -> tuple[Column, T.DataType] | None:
     return col, kind
 
 
+@dataclass
+class Values:
+    """The non-null values of a path in a record: the value itself where no array lies on the way, else an array."""
+
+    of: Column
+    kind: T.DataType
+    flat: bool
+
+    def test(self, bad: Callable[[Column], Column]) -> Column:
+        """Whether the record has such a value."""
+        return F.coalesce(self.of.isNotNull() & bad(self.of), F.lit(False)) if self.flat else F.exists(self.of, bad)
+
+    def count(self, bad: Callable[[Column], Column] | None = None) -> Column:
+        """How many such values the record has; all of them without a test."""
+        if self.flat:
+            return (self.of.isNotNull() if bad is None else self.test(bad)).cast("int")
+        return F.size(self.of if bad is None else F.filter(self.of, bad))
+
+    def total(self, bad: Callable[[Column], Column] | None = None) -> Column:
+        """How many such values all records have, an aggregate: a plain conditional count where there is no array."""
+        if self.flat:
+            return F.count(self.of) if bad is None else F.count_if(self.of.isNotNull() & bad(self.of))
+        return F.coalesce(F.sum(self.count(bad).cast("long")), F.lit(0).cast("long"))
+
+    def first(self, bad: Callable[[Column], Column]) -> Column:
+        """The record's first such value; null if it has none."""
+        return F.when(bad(self.of), self.of) if self.flat else F.get(F.filter(self.of, bad), F.lit(0))
+
+    def map(self, f: Callable[[Column], Column], kind: T.DataType) -> Values:
+        return Values(f(self.of) if self.flat else F.transform(self.of, f), kind, self.flat)
+
+    def least(self) -> Column:
+        return self.of if self.flat else F.array_min(self.of)
+
+    def greatest(self) -> Column:
+        return self.of if self.flat else F.array_max(self.of)
+
+
+def found(schema: T.StructType, path: str) -> Values | None:
+    """The non-null values of a path; None if the schema has no such path."""
+    one = (F.col(f"`{path}`"), schema[path].dataType) if path in schema.names else raw(schema, path)
+    if one is not None and not isinstance(one[1], (T.ArrayType, T.StructType, T.MapType)):
+        return Values(*one, True)
+    many = scalars(schema, path)
+    return many and Values(*many, False)
+
+
 def contract_type(kind: T.DataType) -> str:
     """boolean, integer, number or string."""
     if isinstance(kind, T.BooleanType):

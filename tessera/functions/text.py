@@ -11,7 +11,7 @@ SHA256 = r"^[0-9a-f]{64}$"
 SHA1 = r"^[0-9a-f]{40}$"
 SEMVER = r"^\d+\.\d+\.\d+$"
 SCHEMA_VERSION = r"^\d+\.\d+$"
-PASCAL_CASE = r"^[A-Z][A-Za-z0-9]+$"
+PASCAL_CASE = r"^[A-Z][A-Za-z0-9]*$"
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d{1,9})?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 
 

@@ -1,4 +1,4 @@
-"""Record adapters and what-if simulation: rewrites of columns, nested or in arrays, without copying records."""
+"""Record adapters: rewrites of columns, nested or in arrays, without copying records."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import leading_version
-from tessera.operators.checks import evaluate, summary
-from tessera.plans.contract import Contract
 
 
 def _rewrite(col: Column, kind: T.DataType, parts: list[str], f: Callable[[Column, T.DataType], Column]) -> Column:
@@ -126,51 +124,3 @@ def apply_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
             seen.append(rule)
             df = apply_rule(df, rule)
     return df
-
-
-def mutate(df: DataFrame, change: dict) -> DataFrame:
-    """The records after a hypothetical change."""
-    kind, field = change["change_type"], change.get("field", change.get("from"))
-    if kind == "field_rename":
-        return rename(df, change["from"], change["to"])
-    if kind == "numeric_scale_change":
-        return scale(df, field, float(change["factor"]))
-    if kind == "type_change":
-        return coerce(df, field, change["to"])
-    if kind == "add_field":
-        return default(df, field, change.get("default_value"))
-    if kind == "remove_field":
-        return remove(df, field)
-    if kind == "enum_change" and change.get("added_values"):
-        return enum_replace(df, field, change.get("replaces", []), change["added_values"][0])
-    return df
-
-
-def inverse(change: dict) -> list[dict]:
-    """Adapter rules that undo a change, where one can."""
-    kind, field = change["change_type"], change.get("field", change.get("from"))
-    if kind == "field_rename":
-        return [{"type": "field_rename", "from": change["to"], "to": change["from"]}]
-    if kind == "numeric_scale_change":
-        return [{"type": "numeric_scaling", "field": field, "factor": 1 / float(change["factor"])}]
-    if kind == "type_change" and "original" in change:
-        return [{"type": "type_coercion", "field": field, "to": change["original"]}]
-    if kind == "add_field":
-        return [{"type": "remove_field", "field": field}]
-    if kind == "remove_field" and "default_value" in change:
-        return [{"type": "default_value", "field": field, "value": change["default_value"]}]
-    if kind == "enum_change" and change.get("replaces"):
-        return [{"type": "enum_replace", "field": field, "values": change["added_values"], "value": change["replaces"][0]}]
-    return []
-
-
-def what_if(df: DataFrame, contract: Contract, change: dict, breaking: bool) -> DataFrame:
-    """(stage, total, failed, overall_status) of baseline, changed and adapted records, and the verdict on each row."""
-    changed = mutate(df, change)
-    stages = [("baseline", df), ("raw", changed), ("adapted", apply_rules(changed, inverse(change)))]
-    parts = [summary(evaluate(d, contract)).select(F.lit(s).alias("stage"), "total", (F.col("failed") + F.col("errored")).alias("failed"), "overall_status") for s, d in stages]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    fine = lambda s: F.bool_or((F.col("stage") == s) & (F.col("overall_status") == "PASS"))
-    adaptable = bool(inverse(change))
-    word = F.when(fine("raw") & ~F.lit(breaking), "COMPATIBLE").when(fine("adapted") & F.lit(adaptable), "BREAKING_BUT_ADAPTABLE").when(F.lit(adaptable), "BREAKING_REQUIRES_MIGRATION").otherwise("BREAKING")
-    return out.join(out.agg(word.alias("verdict")))

@@ -73,8 +73,8 @@ def classify(source: DataFrame, target: DataFrame, renames: dict[str, str] | Non
     lower = F.coalesce(F.col("t.minimum") > F.col("s.minimum"), F.lit(False))
     upper = F.coalesce(F.col("t.maximum") < F.col("s.maximum"), F.lit(False))
     differ = ~F.col("s.minimum").eqNullSafe(F.col("t.minimum")) | ~F.col("s.maximum").eqNullSafe(F.col("t.maximum"))
-    both = F.col("s.enum").isNotNull() & F.col("t.enum").isNotNull()
-    gone, came = F.size(F.array_except("s.enum", "t.enum")) > 0, F.size(F.array_except("t.enum", "s.enum")) > 0
+    values = lambda side: F.coalesce(F.col(f"{side}.enum"), F.array().cast("array<string>"))
+    gone, came = F.size(F.array_except(values("s"), values("t"))) > 0, F.size(F.array_except(values("t"), values("s"))) > 0
     change = (
         F.when(F.col("s.field").isin(list(renames)) if renames else F.lit(False), "FIELD_RENAME")
         .when(F.col("s.field").isNull(), F.when(F.col("t.required"), "FIELD_ADDED_REQUIRED").otherwise("FIELD_ADDED_OPTIONAL"))
@@ -86,8 +86,8 @@ def classify(source: DataFrame, target: DataFrame, renames: dict[str, str] | Non
         .when(~same, "TYPE_CHANGE")
         .when(differ & (lower | upper), "RANGE_NARROWING")
         .when(differ, "RANGE_WIDENING")
-        .when(both & gone, "ENUM_VALUE_REMOVED")
-        .when(both & came, "ENUM_VALUE_ADDED")
+        .when(gone, "ENUM_VALUE_REMOVED")
+        .when(came, "ENUM_VALUE_ADDED")
         .otherwise("NO_CHANGE")
     )
     # Fixed verdicts: change kind, class, severity, backward, forward.

@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.sources.shared import kept
 
 
-def traverse(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, backward: bool = False) -> DataFrame:
+def traverse(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, backward: bool = False, paths: bool = False) -> DataFrame:
     """(start, node, hops) of all nodes reached, by the fewest hops; a start itself is left out.
 
     ``edges``: (source, target); ``starts``: (start). A frontier is joined with the edges until nothing new is found,
-    so the number of joins is the depth of the graph; a node is visited once for each start. ``max_hops`` bounds the
-    hops only where it is given.
+    so the number of joins is the depth of the graph; a node is visited once for each start, and written once, with
+    those of its hop. ``max_hops`` bounds the hops only where it is given. With ``paths``, edges have a column
+    ``relationship``, and the result also has ``path``, the nodes from start to node, and ``relationships``; of several
+    shortest paths it is the least.
     """
     a, b = ("target", "source") if backward else ("source", "target")
-    e = edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")).where("__from IS NOT NULL AND __to IS NOT NULL").distinct()
-    from tessera.sources.shared import kept
-
-    seen = kept(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
-    frontier = seen
+    more = [F.col("relationship").alias("__by")] if paths else []
+    e = edges.select(F.col(a).alias("__from"), F.col(b).alias("__to"), *more).where("__from IS NOT NULL AND __to IS NOT NULL").distinct()
+    first = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
+    if paths:
+        first = first.withColumns({"path": F.array("start"), "relationships": F.array().cast("array<string>")})
+    levels = [kept(first)]
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
-        step = frontier.join(e, frontier["node"] == e["__from"]).select("start", F.col("__to").alias("node")).distinct()
-        frontier = kept(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
+        step = levels[-1].join(e, levels[-1]["node"] == e["__from"])
+        if paths:
+            way = F.min(F.struct(F.array_append("path", F.col("__to")).alias("path"), F.array_append("relationships", F.col("__by")).alias("relationships"))).alias("way")
+            step = step.groupBy("start", F.col("__to").alias("node")).agg(way)
+        else:
+            step = step.select("start", F.col("__to").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, [x.select("start", "node") for x in levels])
+        step = step.join(seen, ["start", "node"], "left_anti")
+        new = kept(step.select("start", "node", F.lit(hop).alias("hops"), *(["way.path", "way.relationships"] if paths else [])))
+        if new.isEmpty():
             break
-        seen = kept(seen.unionByName(frontier))
-    return seen.where("node <> start")
+        levels.append(new)
+    return reduce(DataFrame.unionByName, levels).where("node <> start")
 
 
 def contract_graph(subscriptions: DataFrame) -> DataFrame:
@@ -73,6 +85,59 @@ def match_seeds(nodes: DataFrame, path: str, label: str) -> DataFrame:
     return scored.join(best, F.col("score") >= F.col("least")).select("node_id", "score")
 
 
+def dataset_seeds(nodes: DataFrame, source_path: str, contract_id: str) -> DataFrame:
+    """(node_id): the node of that very path, and datasets that at least two words of path and contract id speak of.
+
+    ``nodes``: (node_id, type, path, label).
+    """
+    words = F.array_distinct(tokens(F.lit(f"{source_path} {contract_id}"), 3))
+    told = F.lower(F.concat_ws(" ", "node_id", "path", "label"))
+    hits = F.size(F.filter(words, lambda w: F.contains(told, w)))
+    return nodes.where((F.col("path") == source_path) | ((F.upper("type") == "DATASET") & (hits >= 2))).select("node_id").distinct()
+
+
+def upstream_producers(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, field: str) -> DataFrame:
+    """(file_path, hops, service, token_matches, rank): files of the services upstream of the seeds, the likeliest first.
+
+    A service owns the files below ``services/<name>``. Files whose path and label speak of more of the field's words
+    come first, then near ones; a file counts once, by its best service.
+    """
+    reached = traverse(edges, seeds.select(F.col("node_id").alias("start")), backward=True).groupBy("node").agg(F.min("hops").alias("hops"))
+    root = F.regexp_extract("path", r"^(.*?services/[^/]+)", 1)
+    services = reached.join(nodes, F.col("node") == F.col("node_id")).where(F.upper("type") == "SERVICE").select(F.col("node_id").alias("service"), root.alias("root"), "hops").where("root <> ''")
+    files = nodes.where(F.upper("type") == "FILE").select(F.col("path").alias("file_path"), root.alias("root"), "label")
+    words = F.array_distinct(tokens(F.lit(field), 3))
+    told = F.lower(F.concat_ws(" ", "file_path", "label"))
+    found = files.join(services, "root").withColumn("token_matches", F.size(F.filter(words, lambda w: F.contains(told, w))))
+    order = F.struct(-F.col("token_matches"), F.col("hops") + 1, "service")
+    best = found.groupBy("file_path").agg(F.min_by(F.struct((F.col("hops") + 1).alias("hops"), "service", "token_matches"), order).alias("b")).select("file_path", "b.*")
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("token_matches"), "hops", "file_path")))
+
+
+def candidate_files(nodes: DataFrame, field: str, hints: dict[str, list[str]] | None = None) -> DataFrame:
+    """(path): files of nodes that speak of a part of the field's name; if none does, of a hint that its name asks for.
+
+    ``hints``: a part of a name to the words to look for.
+    """
+    told = F.lower(F.concat_ws(" ", "node_id", "path", "label"))
+    speaks = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(told, w)) if words else F.lit(False)
+    parts = [p.lower() for p in field.replace("_", ".").split(".") if p]
+    hinted = next((words for part, words in (hints or {}).items() if part in field.lower()), [])
+    both = nodes.where("path IS NOT NULL AND path <> ''").select("path", speaks(parts).alias("direct"), speaks(hinted).alias("hinted")).where("direct OR hinted")
+    direct = both.agg(F.coalesce(F.bool_or("direct"), F.lit(False)).alias("any"))
+    return both.join(direct).where(F.col("direct") | ~F.col("any")).select("path").distinct()
+
+
+def blame(producers: DataFrame, history: DataFrame, now: Column, top: int = 5) -> DataFrame:
+    """(rank, path, commit, author, days, hops, confidence): who changed the likeliest files last.
+
+    ``producers``: of ``upstream_producers``; ``history``: of ``git_history``, whose files without a commit are new today.
+    """
+    h = history.select(F.col("path").alias("file_path"), "commit", "author", F.greatest(F.lit(0), F.coalesce(F.date_diff(now, F.to_date("committed_at")), F.lit(0))).alias("days"))
+    found = producers.join(h, "file_path").select(F.lit(0).alias("one"), F.col("file_path").alias("path"), "commit", "author", "days", "hops")
+    return ranked_blame(found, ["one"], top).select("rank", "path", "commit", "author", "days", "hops", "confidence")
+
+
 def merged_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target, relationship), of the highest confidence, held to 0 to 1."""
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence"), F.lit(0.0))))

@@ -8,10 +8,10 @@ from typing import Any
 import yaml
 
 # Fixed severities of field checks.
-SEVERITY = {"required": "CRITICAL", "type": "CRITICAL", "range": "CRITICAL", "enum": "HIGH", "format": "HIGH", "pattern": "HIGH", "drift": "HIGH"}
+SEVERITY = {"required": "CRITICAL", "type": "CRITICAL", "range": "CRITICAL", "enum": "HIGH", "format": "HIGH", "pattern": "HIGH", "drift": "MEDIUM"}
 _CLAUSE_SEVERITY = {"error": "CRITICAL", "warn": "WARNING", "warning": "WARNING", "info": "LOW"}
 _DBT_TYPE = {"integer": "int", "number": "float", "string": "string", "boolean": "boolean"}
-_KEYS = {"type": "type", "required": "required", "format": "format", "pattern": "pattern", "minimum": "minimum", "maximum": "maximum", "enum": "enum", "description": "description"}
+_WRITTEN = ("type", "required", "format", "pattern", "minimum", "maximum", "enum", "description")
 
 
 @dataclass
@@ -27,7 +27,7 @@ class FieldRule:
     stats: dict[str, float] | None = None
 
     def as_dict(self) -> dict[str, Any]:
-        return {name: getattr(self, key) for key, name in _KEYS.items() if getattr(self, key) not in (None, False)}
+        return {name: getattr(self, name) for name in _WRITTEN if getattr(self, name) not in (None, False)}
 
 
 @dataclass

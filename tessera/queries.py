@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import adapter, checks, crosschecks, evolution, ingest, lineage, payloads, profile, reporting
+from tessera.operators import adapter, checks, crosschecks, evolution, ingest, lineage, payloads, profile, reporting, whatif
 from tessera.plans.contract import Clause, Contract, FieldRule
 from tessera.sources import flatten
-from tessera.streaming.watch import latest_results, watch
+from tessera.sources.shared import folder
+from tessera.streaming.watch import latest_results, sequences, watch, windowed_failures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -331,6 +331,61 @@ def contamination_depth(spark, sf_dir):
     return lineage.contamination_depth(reached, e.where("source = 'r1'").select(F.col("target").alias("node")), e)
 
 
+@query(f"WITH RECURSIVE {_EDGES}, b AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 0 AS hops, ['r' || r_regionkey] AS path FROM region UNION ALL SELECT start, target, hops + 1, list_append(path, target) FROM b JOIN e ON node = source) SELECT start, node, hops, array_to_string(path, '>') AS path, repeat('OF>', hops - 1) || 'OF' AS relationships FROM b WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY hops, path) = 1")
+def lineage_paths(spark, sf_dir):
+    """The shortest way to every node, and the relationships along it."""
+    starts = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))
+    out = lineage.traverse(_edges(spark, sf_dir).withColumn("relationship", F.lit("OF")), starts, paths=True)
+    return out.select("start", "node", "hops", F.concat_ws(">", "path").alias("path"), F.concat_ws(">", "relationships").alias("relationships"))
+
+
+def _nodes(spark, sf_dir):
+    """Regions as datasets, nations as services, and suppliers as files of their nation's service."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    r = table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("node_id"), F.lit("DATASET").alias("type"), F.concat(F.lit("outputs/"), F.lower("r_name"), F.lit("/records.jsonl")).alias("path"), F.concat(F.lower("r_name"), F.lit(" records")).alias("label"))
+    n = table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("node_id"), F.lit("SERVICE").alias("type"), F.concat(key("services/n", "n_nationkey"), F.lit("/main.py")).alias("path"), F.col("n_name").alias("label"))
+    s = table(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("node_id"), F.lit("FILE").alias("type"), F.concat(key("services/n", "s_nationkey"), key("/s", "s_suppkey"), F.when(F.col("s_suppkey") % 3 == 0, "_price.py").otherwise(".py")).alias("path"), F.col("s_name").alias("label"))
+    return r.unionByName(n).unionByName(s)
+
+
+def _upstream(spark, sf_dir):
+    """Services feed the dataset of their region."""
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target"))
+
+
+@query("SELECT 'r' || r_regionkey AS node_id FROM region WHERE lower(r_name) = (SELECT lower(r_name) FROM region WHERE r_regionkey = 1)")
+def dataset_seeds(spark, sf_dir):
+    """The dataset nodes that a source path speaks of."""
+    name = table(spark, sf_dir, "region").where("r_regionkey = 1").select(F.lower("r_name")).first()[0]
+    return lineage.dataset_seeds(_nodes(spark, sf_dir), f"elsewhere/{name}/records.csv", "none")
+
+
+_PRODUCERS = "p AS (SELECT 'services/n' || s_nationkey || '/s' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '_price.py' ELSE '.py' END AS file_path, 2 AS hops, 'n' || s_nationkey AS service, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS token_matches FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)"
+
+
+@query(f"WITH {_PRODUCERS} SELECT *, (row_number() OVER (ORDER BY token_matches DESC, hops, file_path))::INTEGER AS rank FROM p")
+def upstream_producers(spark, sf_dir):
+    """Files of the services upstream of a dataset, ranked for a failing field."""
+    seeds = spark.createDataFrame([("r1",)], "node_id string")
+    return lineage.upstream_producers(_upstream(spark, sf_dir), _nodes(spark, sf_dir), seeds, "lines.unit_price")
+
+
+@query(f"WITH {_PRODUCERS}, h AS (SELECT file_path AS path, token_matches, hops, (length(file_path) % 12)::INTEGER AS days FROM p), c AS (SELECT path, days, hops, greatest(0.0::DOUBLE, round((1.0::DOUBLE - days * 0.1::DOUBLE) - hops * 0.2::DOUBLE, 2)) AS confidence FROM h) SELECT (row_number() OVER (ORDER BY confidence DESC, hops, path))::INTEGER AS rank, path, days, confidence FROM c ORDER BY rank LIMIT 5")
+def blame_chain(spark, sf_dir):
+    """From a failing field over the producers of its dataset to the last changes of their files."""
+    producers = lineage.upstream_producers(_upstream(spark, sf_dir), _nodes(spark, sf_dir), spark.createDataFrame([("r1",)], "node_id string"), "lines.unit_price")
+    path = F.col("path")
+    files = _nodes(spark, sf_dir).where("type = 'FILE'")
+    history = files.select("path", F.sha1("path").alias("commit"), F.lit("someone").alias("author"), F.date_format(F.date_sub(F.lit("2024-06-30").cast("date"), F.length(path) % 12), "yyyy-MM-dd'T'00:00:00").alias("committed_at"))
+    return lineage.blame(producers, history, F.lit("2024-06-30").cast("date")).select("rank", "path", "days", "confidence")
+
+
+@query("SELECT 'services/n' || s_nationkey || '/s' || s_suppkey || '_price.py' AS path FROM supplier WHERE s_suppkey % 3 = 0")
+def candidate_files(spark, sf_dir):
+    """Files that a field's name speaks of."""
+    return lineage.candidate_files(_nodes(spark, sf_dir), "unit_price")
+
+
 @query("WITH s AS (SELECT s_name AS node_id, CASE WHEN lower(s_name) = 'supplier#000000007' THEN 6 ELSE 0 END + 2 * len(list_intersect(list_distinct(regexp_extract_all(lower(s_name), '[a-z0-9]{3,}')), ['supplier', '000000007'])) + len(list_intersect(list_distinct(regexp_extract_all(lower(s_name), '[a-z0-9]{3,}')), ['supplier', '000000007'])) AS score FROM supplier) SELECT node_id, score::INTEGER AS score FROM s WHERE score >= (SELECT greatest(4, max(score) - 1) FROM s)")
 def seed_match(spark, sf_dir):
     nodes = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("node_id"), F.lit(None).cast("string").alias("path"), F.col("s_name").alias("label"))
@@ -378,10 +433,54 @@ def version_majority(spark, sf_dir):
     return adapter.majority_version(adapter.version_normalize(e, "schema_version", 2))
 
 
-@query("WITH b AS (SELECT count(*) FILTER (l_discount < 0 OR l_discount > 1) AS f, count(*) FILTER (l_discount * 100 > 1) AS g FROM lineitem) SELECT stage, 1::BIGINT AS total, CASE WHEN k > 0 THEN 1 ELSE 0 END::BIGINT AS failed, CASE WHEN k > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_status, 'BREAKING_BUT_ADAPTABLE' AS verdict FROM (SELECT 'baseline' AS stage, f AS k FROM b UNION ALL SELECT 'raw', g FROM b UNION ALL SELECT 'adapted', f FROM b)")
+def _what_if_sql(baseline: str, raw: str, adapted: str, verdict: str, advice: str, attempted: bool, applied: str, total: int = 1, of: str = "lineitem") -> str:
+    """SQL of a simulation's rows from the failing records of each stage."""
+    one = "SELECT '{0}' AS stage, {1}::BIGINT AS total, CASE WHEN {2} > 0 THEN 1 ELSE 0 END::BIGINT AS failed, CASE WHEN {2} > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_status, '{3}' AS verdict, '{4}' AS recommendation, {5} AS attempted, {6}::BIGINT AS applied FROM b"
+    b = f"WITH b AS (SELECT {baseline} AS f, {raw} AS g, {adapted} AS h, {applied} AS a FROM {of}) "
+    return b + " UNION ALL ".join(one.format(s, total, k, verdict, advice, str(attempted).lower(), "a") for s, k in (("baseline", "f"), ("raw", "g"), ("adapted", "h")))
+
+
+_OUT = "count(*) FILTER (l_discount < 0 OR l_discount > 1)"
+
+
+@query(_what_if_sql(_OUT, "count(*) FILTER (round(l_discount * 100, 6) > 1)", _OUT, "BREAKING_BUT_ADAPTABLE", "deploy with the adapter and refresh baselines", True, "count(*) FILTER (round(l_discount * 100, 6) <> l_discount)"))
 def whatif_scale_change(spark, sf_dir):
+    """A producer sends percent instead of shares; scaling back repairs it."""
     c = _fields(l_discount=FieldRule(minimum=0, maximum=1))
-    return adapter.what_if(table(spark, sf_dir, "lineitem"), c, {"change_type": "numeric_scale_change", "field": "l_discount", "factor": 100}, breaking=True)
+    return whatif.what_if(table(spark, sf_dir, "lineitem"), c, {"change_type": "numeric_scale_change", "field": "l_discount", "factor": 100, "field_schema": {"minimum": 0.0, "maximum": 100.0}})
+
+
+_FLAG = "count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R'))"
+
+
+@query(_what_if_sql(_FLAG, _FLAG, _FLAG, "FORWARD_COMPATIBLE", "proceed and bump the version", False, "0"))
+def whatif_enum_addition(spark, sf_dir):
+    """A value more in an enumeration: old readers must be ready for it."""
+    c = _fields(l_returnflag=FieldRule(enum=["A", "N", "R"]))
+    return whatif.what_if(table(spark, sf_dir, "lineitem"), c, {"change_type": "enum_change", "field": "l_returnflag", "added_values": ["X"]})
+
+
+@query(_what_if_sql("count(*) - count(l_orderkey)", "count(*) - count(l_orderkey)", "count(*) - count(l_orderkey)", "BREAKING_BUT_ADAPTABLE", "deploy with the adapter and refresh baselines", True, "count(*)"))
+def whatif_required_addition(spark, sf_dir):
+    """A new required field breaks the contract but not these records; dropping it adapts them."""
+    c = _fields(l_orderkey=FieldRule(required=True))
+    return whatif.what_if(table(spark, sf_dir, "lineitem"), c, {"change_type": "add_field", "field": "basis", "default_value": "none", "required": True})
+
+
+@query(_what_if_sql("count(*) - count(l_tax)", "count(*)", "count(*)", "BREAKING_REQUIRES_MIGRATION", "hold until a migration plan is approved", True, "0"))
+def whatif_removal(spark, sf_dir):
+    """A required field goes and nothing brings it back."""
+    c = _fields(l_tax=FieldRule(required=True))
+    return whatif.what_if(table(spark, sf_dir, "lineitem"), c, {"change_type": "remove_field", "field": "l_tax"})
+
+
+@query("SELECT 'n' || (n_nationkey % 3) AS subscriber_id, CASE WHEN n_nationkey % 3 = 0 THEN 'l_discount' ELSE 'l_tax' END AS fields FROM nation WHERE n_nationkey % 3 < 2 GROUP BY ALL")
+def whatif_affected(spark, sf_dir):
+    """Subscribers, made of nations, whose fields meet those of a diff."""
+    subs = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), (F.col("n_nationkey") % 3).cast("string")).alias("subscriber_id"), F.get(F.array(F.lit("l_discount"), F.lit("l_tax"), F.lit("l_comment")), (F.col("n_nationkey") % 3).cast("int")).alias("field"), (F.col("n_nationkey") % 2 == 0).alias("is_breaking"))
+    old = _fields(l_discount=FieldRule("number"), l_tax=FieldRule("number"), l_comment=FieldRule("string"))
+    new = _fields(l_discount=FieldRule("string"), l_comment=FieldRule("string"))
+    return whatif.affected(subs, evolution.classify(evolution.field_table(spark, old), evolution.field_table(spark, new)))
 
 
 @query("SELECT CASE WHEN role = 'user' AND length(text) > 100 THEN 'long-user' WHEN role = 'user' THEN 'user' WHEN contains(text, '?') THEN 'question' ELSE 'other' END AS producer, count(*)::BIGINT AS n FROM conversations GROUP BY 1")
@@ -511,9 +610,176 @@ def normalised_facts(spark, sf_dir):
 @query(_rows(("value.range", "CRITICAL", "count(*) FILTER (value < 10) + count(*) FILTER (value > 90)", "events"), ("event_type.enum", "HIGH", "count(*) FILTER (event_type NOT IN ('view', 'click'))", "events")))
 def streaming_validation(spark, sf_dir):
     """The events as a file stream, validated batch by batch; the counts of all batches are added up."""
-    where = f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/watch-{uuid.uuid4().hex}"
+    where = f"{folder(spark)}/watch-{uuid.uuid4().hex}"
     contract = _fields(value=FieldRule(minimum=10, maximum=90), event_type=FieldRule(enum=["view", "click"]))
     source = table(spark, sf_dir, "events")
     watch(spark, sf_dir, source.schema, contract, f"{where}/results", f"{where}/progress", files="events.parquet").awaitTermination()
     r = latest_results(spark, f"{where}/results").groupBy("check_id", "severity").agg(F.sum("records_failing").alias("records_failing"))
     return r.select("check_id", F.when(F.col("records_failing") > 0, "FAIL").otherwise("PASS").alias("status"), "severity", "records_failing")
+
+
+def _split(spark: SparkSession, sf_dir: str, name: str, parts: int) -> str:
+    """A table as a folder of files that a stream takes one by one."""
+    where = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    table(spark, sf_dir, name).repartition(parts).write.parquet(where)
+    return where
+
+
+def _worked_off(frame: DataFrame, mode: str) -> DataFrame:
+    """The last state of a streaming aggregate, once all that is there is worked off."""
+    spark, where = frame.sparkSession, f"{folder(frame.sparkSession)}/state-{uuid.uuid4().hex}"
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{where}/last")
+    frame.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/last")
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS n, NOT (min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*)) AS broken FROM conversations WHERE turn IS NOT NULL GROUP BY 1")
+def streaming_sequences(spark, sf_dir):
+    """Contiguity of conversations whose turns come in several micro-batches."""
+    where = _split(spark, sf_dir, "conversations", 3)
+    stream = spark.readStream.schema(spark.read.parquet(where).schema).option("maxFilesPerTrigger", 1).parquet(where)
+    return _worked_off(sequences(stream.withColumn("turn", F.col("turn") + 1), ["conv_id"], "turn"), "complete")
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(*)::BIGINT AS records, count(*) FILTER (value > 50)::BIGINT AS failing FROM events GROUP BY 1")
+def streaming_windows(spark, sf_dir):
+    """Failing and total events of each day, over micro-batches."""
+    where = _split(spark, sf_dir, "events", 3)
+    stream = spark.readStream.schema(spark.read.parquet(where).schema).option("maxFilesPerTrigger", 1).parquet(where)
+    out = _worked_off(windowed_failures(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", F.col("value") > 50, "1 day", "10000 days"), "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "records", "failing")
+
+
+def _cross(*parts: tuple[str, str, str, str]) -> str:
+    """SQL of cross-record checks: (id, severity, failing count, table)."""
+    return _rows(*parts).replace("'FAIL' ELSE 'PASS' END AS status, 'MEDIUM'", "'WARN' ELSE 'PASS' END AS status, 'MEDIUM'")
+
+
+def _counts(results: DataFrame) -> DataFrame:
+    return results.select("check_id", "status", "severity", "records_failing")
+
+
+_REFS = "(SELECT o_orderkey, l_orderkey, 'f' || (l_partkey % 30) AS file, l_linenumber AS a, l_linenumber + (l_partkey % 4) - 1 AS b, l_discount * 12 AS c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+@query(_cross(
+    ("intents.code_refs_non_empty", "HIGH", "count(*)", "orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"), ("intents.code_ref_line_bounds", "HIGH", "count(*) FILTER (l_orderkey IS NOT NULL AND NOT (a >= 1 AND b >= a))", _REFS),
+    ("intents.code_ref_confidence_scale", "CRITICAL", "count(*) FILTER (l_orderkey IS NOT NULL AND NOT c BETWEEN 0 AND 1)", _REFS), ("intents.code_ref_file_present", "HIGH", "count(*) FILTER (l_orderkey IS NOT NULL AND file NOT IN (SELECT 'f' || n_nationkey FROM nation))", _REFS),
+))
+def cross_intents(spark, sf_dir):
+    """Orders as intents, their lines as references into files."""
+    ref = F.struct(F.concat(F.lit("f"), (F.col("l_partkey") % 30).cast("string")).alias("file"), F.col("l_linenumber").alias("line_start"), (F.col("l_linenumber") + F.col("l_partkey") % 4 - 1).alias("line_end"), (F.col("l_discount") * 12).alias("confidence"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(ref).alias("code_refs"))
+    d = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("code_refs", F.coalesce("code_refs", F.array()))
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("path"))
+    return _counts(crosschecks.intents(d, files))
+
+
+_MEANS = "(SELECT c_nationkey AS n, sum((c_custkey % 6)::DOUBLE * CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 ELSE 1 END) / sum(CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 ELSE 1 END) AS m FROM customer GROUP BY 1)"
+
+
+@query(_cross(
+    ("verdicts.score_range_valid", "CRITICAL", "count(*) FILTER (c_custkey % 6 = 0)", "customer"), ("verdicts.overall_score_weighted_mean", "CRITICAL", "count(*) FILTER (n % 3 = 0)", _MEANS),
+    ("verdicts.rubric_hash_exists", "HIGH", "count(*) FILTER (n >= 20)", _MEANS),
+))
+def cross_verdicts(spark, sf_dir):
+    """Nations as verdicts, scored by their customers."""
+    score, weight = (F.col("c_custkey") % 6).cast("double"), (F.col("c_custkey") % 4).cast("double")
+    used = F.when(weight > 0, weight).otherwise(1.0)
+    entry = F.struct(F.col("c_custkey").cast("string").alias("key"), F.struct(score.cast("int").alias("score"), weight.alias("weight")).alias("value"))
+    d = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(entry)).alias("scores"), (F.sum(score * used) / F.sum(used)).alias("m"))
+    d = d.select("scores", F.when(F.col("c_nationkey") % 3 == 0, F.col("m") + 0.5).otherwise(F.col("m")).alias("overall_score"), F.sha2(F.col("c_nationkey").cast("string"), 256).alias("rubric_id"))
+    hashes = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.sha2(F.col("n_nationkey").cast("string"), 256).alias("sha256"))
+    return _counts(crosschecks.verdicts(d, hashes))
+
+
+@query(_cross(
+    ("extractions.entity_refs_exist", "HIGH", "count(*) FILTER (b.s_suppkey IS NULL)", "supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 AND b.s_nationkey = a.s_nationkey"),
+    ("extractions.extraction_rules_hash_exists", "HIGH", "count(*) FILTER (n % 2 = 1)", "(SELECT DISTINCT s_nationkey AS n FROM supplier)"),
+))
+def cross_extractions(spark, sf_dir):
+    """Nations as extractions: their suppliers as entities, and facts about each supplier and the next."""
+    s = table(spark, sf_dir, "supplier")
+    key = lambda k: F.concat(F.lit("s"), k.cast("string"))
+    entity, fact = F.struct(key(F.col("s_suppkey")).alias("entity_id")), F.struct(F.array(key(F.col("s_suppkey")), key(F.col("s_suppkey") + 1)).alias("entity_refs"))
+    d = s.groupBy("s_nationkey").agg(F.collect_list(entity).alias("entities"), F.collect_list(fact).alias("extracted_facts"))
+    return _counts(crosschecks.extractions(d.withColumn("extraction_rules_hash", F.concat(F.lit("h"), (F.col("s_nationkey") % 2).cast("string"))), "h0"))
+
+
+@query(_cross(("lineage.edges_reference_nodes", "CRITICAL", "count(*) FILTER (b.n_nationkey IS NULL)", "nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 AND b.n_regionkey = a.n_regionkey")))
+def cross_lineage(spark, sf_dir):
+    """Regions as snapshots of nations, each with an edge to the next."""
+    n = table(spark, sf_dir, "nation")
+    d = n.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("node_id"))).alias("nodes"), F.collect_list(F.struct(F.col("n_nationkey").alias("source"), (F.col("n_nationkey") + 1).alias("target"))).alias("edges"))
+    return _counts(crosschecks.lineage(d))
+
+
+def _iso(seconds: Column) -> Column:
+    return F.date_format(seconds.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+_NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS s FROM events)"
+
+
+@query(_cross(
+    ("events.recorded_after_occurred", "CRITICAL", "count(*) FILTER (NOT coalesce(floor(value - 20) >= 0, false))", "events"), ("events.sequence_monotonic", "CRITICAL", "count(*)", f"(SELECT 1 FROM {_NUMBERED} GROUP BY user_id HAVING NOT (min(s) = 1 AND max(s) = count(*) AND count(DISTINCT s) = count(*)))"),
+    ("events.payload_matches_schema", "HIGH", "count(*) FILTER (event_type NOT IN ('view', 'click') OR event_id % 2 = 1 OR value < 5)", "events"),
+))
+def cross_events(spark, sf_dir):
+    """Recording times, sequences by user, and payloads by type and version."""
+    e = ingest.numbered(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+    at = F.col("ts").cast("timestamp").cast("long")
+    d = e.select(
+        _iso(at).alias("occurred_at"), _iso(at + F.floor(F.col("value") - 20)).alias("recorded_at"), F.col("user_id").alias("aggregate_id"), "event_type", "value",
+        (F.col("sequence_number") + F.when(F.col("user_id") % 5 == 0, 1).otherwise(0)).alias("sequence_number"), F.concat((F.col("event_id") % 2).cast("string"), F.lit(".0")).alias("schema_version"),
+    )
+    schemas = spark.createDataFrame([("view", "0.0"), ("click", "0.0")], "event_type string, schema_version string")
+    return _counts(crosschecks.events(d, schemas, F.when(F.col("value") < 5, "value: minimum")))
+
+
+def _traces(spark, sf_dir):
+    e, at = table(spark, sf_dir, "events"), F.col("ts").cast("timestamp").cast("long")
+    known = F.get(F.array(*[F.lit(t) for t in ("LLM ", "chain", "planner")]), (F.col("event_id") % 3).cast("int"))
+    cost = F.when(F.col("event_id") % 13 == 0, "-1").when(F.col("event_id") % 17 == 0, "x").otherwise("0.5")
+    return e.select(
+        _iso(at).alias("start_time"), _iso(at + F.floor(F.col("value") / 20)).alias("end_time"), (F.col("user_id") % 10).alias("prompt_tokens"), (F.col("event_id") % 7).alias("completion_tokens"),
+        (F.col("user_id") % 10 + F.col("event_id") % 7 + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)).alias("total_tokens"), known.alias("run_type"), cost.alias("total_cost"),
+        F.when(F.col("event_id") % 4 == 0, F.array("event_type")).alias("tags"), F.col("props").alias("inputs"), F.lit("{}").alias("outputs"), F.concat(F.lit("Run-"), F.col("event_type")).alias("name"), F.when(F.col("event_id") % 10 == 1, "at /q/file").alias("error"),
+    )
+
+
+@query(_cross(
+    ("traces.end_after_start", "CRITICAL", "count(*) FILTER (NOT coalesce(floor(value / 20) > 0, false))", "events"), ("traces.total_tokens_add_up", "CRITICAL", "count(*) FILTER (event_id % 11 = 0)", "events"),
+    ("traces.run_type_allowed", "HIGH", "count(*) FILTER (event_id % 3 = 2)", "events"), ("traces.total_cost_non_negative", "CRITICAL", "count(*) FILTER (event_id % 13 = 0 OR event_id % 17 = 0)", "events"),
+))
+def cross_traces(spark, sf_dir):
+    """Times, token counts, run types and costs of traces."""
+    return _counts(crosschecks.traces(_traces(spark, sf_dir)))
+
+
+PRODUCERS = {"p": {"tags": ["view"], "paths": ["inputs.none"], "names": ["run-click"], "fragments": []}, "q": {"tags": ["click"], "paths": ["outputs.r"], "names": [], "fragments": ["/Q/"]}}
+_WHO = "(SELECT CASE WHEN event_id % 4 = 0 AND event_type = 'view' THEN 'p' WHEN event_id % 4 = 0 AND event_type = 'click' THEN 'q' WHEN event_type = 'click' THEN 'p' WHEN event_id % 10 = 1 THEN 'q' ELSE 'other' END AS who, event_id, event_type FROM events)"
+
+
+@query(_cross(
+    ("traces.producer_classification.coverage", "MEDIUM", "count(*) FILTER (who = 'other')", _WHO), ("traces.p.row_shape", "HIGH", "count(*) FILTER (who = 'p' AND event_type <> 'click')", _WHO),
+    ("traces.q.row_shape", "HIGH", "count(*) FILTER (who = 'q' AND event_id % 10 <> 1)", _WHO),
+))
+def cross_producers(spark, sf_dir):
+    """Traces without a producer, and those that only a tag gives one."""
+    return _counts(crosschecks.producers(_traces(spark, sf_dir), PRODUCERS, ["q", "p"]))
+
+
+@query("SELECT 'value.drift' AS check_id, 'value' AS column_name, CASE WHEN z > 3 THEN 'FAIL' WHEN z > 2 THEN 'WARN' ELSE 'PASS' END AS status, CASE WHEN z > 2 AND z <= 3 THEN 'WARNING' ELSE 'MEDIUM' END AS severity, (z > 2)::BIGINT AS records_failing FROM (SELECT abs(avg(value * 2) - avg(value)) / greatest(stddev_pop(value), 1e-9::DOUBLE) AS z FROM events) UNION ALL SELECT 'baseline.' || k, '*', 'PASS', 'MEDIUM', 0 FROM (VALUES ('initialized'), ('unavailable')) v(k)")
+def drift_checks(spark, sf_dir):
+    """Drift against a baseline, and the first and the read-only run without one."""
+    e = table(spark, sf_dir, "events")
+    base = profile.numeric_profile(e.select("value"), ["value"])
+    now = profile.numeric_profile(e.select((F.col("value") * 2).alias("value")), ["value"])
+    return profile.drift_results(now, base).unionByName(profile.drift_results(now, None)).unionByName(profile.drift_results(now, None, read_only=True))
+
+
+@query("SELECT 'value' AS path, 'number' AS type, count(value) >= count(*) AS required, count(value) < count(*) AS nullable FROM events UNION ALL SELECT 'event_type', 'string', count(event_type) >= count(*), count(event_type) < count(*) FROM events UNION ALL SELECT 'user_id', 'integer', count(user_id) >= count(*), count(user_id) < count(*) FROM events")
+def structural_summary(spark, sf_dir):
+    """Types and presence of fields."""
+    return profile.structure(table(spark, sf_dir, "events"), ["value", "event_type", "user_id"])

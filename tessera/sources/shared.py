@@ -1,16 +1,25 @@
-"""Tables between steps of iterative queries."""
+"""Tables between steps of iterative queries, in the folder that spark.checkpoint.dir names."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Compute now and cut the lineage, in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, a temporary one on a single machine; a cluster must name one
+    that all its machines share."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Compute now, keep the rows in the shared folder and cut the lineage."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -37,6 +37,19 @@ def latest_results(spark: SparkSession, results: str) -> DataFrame:
     return spark.read.parquet(results).dropDuplicates(["batch", "check_id"])
 
 
+def sequences(stream: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """(keys, n, broken): of each group so far, how many numbers came and whether they aren't exactly 1 to n.
+
+    The state of a group is its count, its bounds and one combined hash of its numbers, so a group may come in any
+    number of batches, and a stream split over files is judged like a whole one. Nulls don't count.
+    """
+    number = F.col(field).cast("long")
+    g = stream.where(number.isNotNull()).groupBy(*keys).agg(F.count(number).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"), F.bit_xor(F.xxhash64(number)).alias("hash"))
+    sound = (F.col("low") == 1) & (F.col("high") == F.col("n"))
+    due = F.when(sound, F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.xxhash64(x))))
+    return g.select(*keys, "n", (~F.coalesce(F.col("hash") == due, F.lit(False))).alias("broken"))
+
+
 def windowed_failures(stream: DataFrame, at: str, fails: Column, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Failing and total records of each window of event time; records later than ``late`` are left out by the watermark."""
     return stream.withWatermark(at, late).groupBy(F.window(at, window)).agg(F.count(F.lit(1)).alias("records"), F.count_if(fails).alias("failing"))

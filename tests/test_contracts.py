@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import adapter, checks, evolution, ingest, lineage, payloads, profile, reporting
+from tessera.operators import adapter, checks, evolution, ingest, lineage, payloads, profile, reporting, whatif
 from tessera.plans.contract import Clause, Contract, FieldRule
 
 SCHEMA = "id string, facts array<struct<text string, confidence double, refs array<string>>>, score int, at string, done string, tags array<string>"
@@ -111,8 +111,36 @@ def test_adapters(records):
     d = adapter.apply_rules(records, [{"type": "numeric_scaling", "field": "facts.confidence", "factor": 10}, {"type": "field_rename", "from": "facts.text", "to": "facts.body"}, {"type": "remove_field", "field": "facts.refs"}, {"type": "default_value", "field": "score", "value": 0}])
     r = d.collect()
     assert r[0]["facts"][1].asDict() == {"confidence": 15.0, "body": "y"} and r[2]["facts"] is None and r[2]["score"] == 0
-    out = adapter.what_if(records.where("id = 'a'"), Contract("c", fields={"score": FieldRule(maximum=5)}), {"change_type": "numeric_scale_change", "field": "score", "factor": 100}, True)
-    assert {(x["stage"], x["overall_status"], x["verdict"]) for x in out.collect()} == {(s, o, "BREAKING_BUT_ADAPTABLE") for s, o in (("baseline", "PASS"), ("raw", "FAIL"), ("adapted", "PASS"))}
+
+
+def _stages(out):
+    rows = out.collect()
+    return {r["stage"]: r["overall_status"] for r in rows}, {r["verdict"] for r in rows}, {r["attempted"] for r in rows}
+
+
+def test_what_if(spark, records):
+    one = records.where("id = 'a'").select("id", "score", "facts")
+    c = Contract("c", fields={"score": FieldRule(None, True, maximum=5), "id": FieldRule("string", enum=["a"]), "facts.confidence": FieldRule("number", maximum=2)}, clauses=[Clause("k", {"type": "string_length", "field": "id", "minimum": 1})])
+    simulate = lambda **change: _stages(whatif.what_if(one, c, change))
+    ok, bad = "PASS", "FAIL"
+    stages = lambda a, b, x: {"baseline": a, "raw": b, "adapted": x}
+    assert simulate(change_type="numeric_scale_change", field="score", factor=100) == (stages(ok, bad, ok), {"BREAKING_BUT_ADAPTABLE"}, {True})
+    assert simulate(change_type="enum_change", field="id", added_values=["z"]) == (stages(ok, ok, ok), {"FORWARD_COMPATIBLE"}, {False})
+    assert simulate(change_type="add_field", field="basis", default_value="x", required=True) == (stages(ok, ok, ok), {"BREAKING_BUT_ADAPTABLE"}, {True})
+    assert simulate(change_type="add_field", field="basis", default_value="x") == (stages(ok, ok, ok), {"BACKWARD_COMPATIBLE"}, {False})
+    assert simulate(change_type="remove_field", field="score") == (stages(ok, bad, bad), {"BREAKING_REQUIRES_MIGRATION"}, {True})
+    assert simulate(change_type="field_rename", **{"from": "id", "to": "key"}) == (stages(ok, bad, ok), {"BREAKING_BUT_ADAPTABLE"}, {True})
+    assert simulate(change_type="range_change", field="score", maximum=9) == (stages(ok, ok, ok), {"FORWARD_COMPATIBLE"}, {False})
+    assert simulate(change_type="range_change", field="score", maximum=4) == (stages(ok, ok, ok), {"BREAKING_REQUIRES_MIGRATION"}, {True})
+    assert simulate(change_type="type_change", field="facts.confidence", to="number")[1] == {"COMPATIBLE"}
+    assert _stages(whatif.what_if(records, c, {"change_type": "type_change", "field": "id", "to": "string"}))[1] == {"BREAKING"}
+
+
+def test_affected_subscribers(spark):
+    old, new = Contract("c", fields={"a.b": FieldRule("string"), "k": FieldRule("string")}), Contract("c", fields={"a.b": FieldRule("integer"), "k": FieldRule("string")})
+    changes = evolution.classify(evolution.field_table(spark, old), evolution.field_table(spark, new))
+    subs = spark.createDataFrame([("x", "a", False), ("x", "a.b", True), ("y", "a", False), ("z", "k", True)], "subscriber_id string, field string, is_breaking boolean")
+    assert sorted(tuple(r) for r in whatif.affected(subs, changes).collect()) == [("x", "a.b"), ("y", "a")]
 
 
 def test_lineage_of_a_long_chain(spark):
