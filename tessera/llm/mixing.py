@@ -86,15 +86,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: f
 def emit_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` takes it, with a column ``copy`` from 1.
 
-    Rows that repeat doc_id, source and size are matched one to one.
+    Rows that repeat doc_id, source and size are matched one to one; nulls match nulls. Rows that the mix takes no
+    copy of, those of an empty table among them, are left out. Other columns stay, but a column ``copy`` is replaced.
     """
-    sized = docs.select(*[docs[c] for c in docs.columns if c != "copy"], n_words(docs[text]).alias("__size"))
+    names = [c for c in docs.columns if c != "copy"]
+    sized = docs.select(*[docs[c] for c in names], n_words(docs[text]).alias("__size"))
     nth = lambda d, *c: d.withColumn("__nth", F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(1))))
     left = nth(sized, sized[doc_id], sized[source], sized["__size"])
-    right = nth(mixed.where("copies > 0"), "doc_id", "source", "size").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("__nth").alias("__m"), "copies")
-    on = F.col(doc_id).eqNullSafe(F.col("__d")) & F.col(source).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__nth") == F.col("__m"))
+    right = nth(mixed.where("copies > 0"), "doc_id", "source", "size").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("__nth").alias("__m"), F.col("copies").alias("__copies"))
+    on = left[doc_id].eqNullSafe(right["__d"]) & left[source].eqNullSafe(right["__s"]) & (left["__size"] == right["__z"]) & (left["__nth"] == right["__m"])
     out = left.join(right, on)
-    return out.select(*[F.col(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return out.select(*[left[c] for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -78,18 +78,23 @@ def with_features(found: DataFrame) -> DataFrame:
     )
 
 
+def text_hash(text: Column) -> Column:
+    """What findings name a text by, so that those of documents without an id, or of one id, stay apart."""
+    return F.concat_ws(":", F.xxhash64(text), F.xxhash64(text, F.lit(1)))
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, word_no, candidate, assigned, before, after, path), a row for each candidate; words count from 0."""
-    w = F.col("__w")
-    d = docs.select(docs[doc_id].alias("doc_id"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), F.split(F.coalesce(docs[text].cast("string"), F.lit("")), SEPARATORS).alias("__w"))
+    """(doc_id, text_hash, word_no, candidate, assigned, before, after, path), a row for each candidate; words count from 0."""
+    w, t = F.col("__w"), docs[text].cast("string")
+    d = docs.select(docs[doc_id].alias("doc_id"), text_hash(t).alias("text_hash"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path"), F.split(F.coalesce(t, F.lit("")), SEPARATORS).alias("__w"))
     # Only words of some length with a digit, or of an assignment, or that may follow one, are looked at closely.
     closer = lambda x, i: ((F.char_length(x) >= 12) & (x.rlike("[0-9]") | x.rlike("[:=]"))) | ((F.char_length(x) >= 8) & F.coalesce(F.get(w, i - 1).rlike("(?i)(?:[:=]|is)$"), F.lit(False)))
     long = F.filter(F.transform(w, lambda x, i: F.when(closer(x, i), i)), lambda i: i.isNotNull())
-    d = d.select("doc_id", "path", "__w", F.explode(long).alias("word_no"))
+    d = d.select("doc_id", "text_hash", "path", "__w", F.explode(long).alias("word_no"))
     word = F.get(w, F.col("word_no"))
     take = lambda first, n: F.array_join(F.slice(w, first, n), " ")
     before = take(F.greatest(F.col("word_no") - 2, F.lit(1)), F.least(F.col("word_no"), F.lit(3)))
-    d = d.select("doc_id", "path", "word_no", word.alias("word"), before.alias("before"), F.coalesce(F.get(w, F.col("word_no") + 1), F.lit("")).alias("after"))
+    d = d.select("doc_id", "text_hash", "path", "word_no", word.alias("word"), before.alias("before"), F.coalesce(F.get(w, F.col("word_no") + 1), F.lit("")).alias("after"))
     # All values assigned inside the word, the whole word where it follows an assignment, and all long runs of the rest.
     values = F.concat(*[F.regexp_extract_all("word", F.lit(p), F.lit(1)) for p in _ASSIGNED])
     plain = F.filter(F.regexp_extract_all("word", F.lit(_PLAIN), F.lit(1)), lambda c: ~F.array_contains("values", c))
@@ -108,9 +113,9 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
         F.when((F.col("whole") != "") & ~F.array_contains("values", F.col("whole")), F.array(one(F.col("whole"), yes, yes))).otherwise(F.array().cast("array<struct<candidate:string,assigned:boolean,value:boolean>>")),
         F.transform(F.filter("cores", lambda c: c != F.col("whole")), lambda c: one(c, F.col("ends"), F.lit(False))),
     )
-    d = d.select("doc_id", "path", "word_no", "before", "after", F.explode(found).alias("f")).select("*", "f.*")
+    d = d.select("doc_id", "text_hash", "path", "word_no", "before", "after", F.explode(found).alias("f")).select("*", "f.*")
     fine = (F.char_length("candidate") >= 8) & (F.col("value") | F.col("candidate").rlike("[A-Za-z]") & F.col("candidate").rlike("[0-9]"))
-    return d.where(fine).select("doc_id", F.col("word_no").cast("long").alias("word_no"), "candidate", "assigned", "before", "after", "path")
+    return d.where(fine).select("doc_id", "text_hash", F.col("word_no").cast("long").alias("word_no"), "candidate", "assigned", "before", "after", "path")
 
 
 def rule_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
@@ -161,29 +166,31 @@ def train(findings: DataFrame, trees: int = 30, depth: int = 8, seed: int = 11,
 def scan(docs: DataFrame, forest: RandomForestClassificationModel, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Every candidate with the forest's verdict.
 
-    Returns (doc_id, word_no long, candidate string, score double, is_secret boolean), a row for each candidate.
-    Null and empty texts have none; null ids and repeated rows are scanned like others; a secret that occurs twice
-    is found twice. Other columns are ignored.
+    Returns (doc_id, word_no long, candidate string, score double, is_secret boolean, text_hash string), a row for
+    each candidate. Null and empty texts have none; null ids and repeated rows are scanned like others; a secret that
+    occurs twice is found twice. Other columns are ignored; an empty table gives no rows.
     """
     found = with_features(candidates(docs, doc_id, text, path))
     judged = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
     score = F.round(F.get(vector_to_array("probability"), F.lit(1)), 9)
-    return judged.select("doc_id", "word_no", "candidate", score.alias("score"), (score >= threshold).alias("is_secret"))
+    return judged.select("doc_id", "word_no", "candidate", score.alias("score"), (score >= threshold).alias("is_secret"), "text_hash")
 
 
-def masked(docs: DataFrame, findings: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with each secret of ``findings`` replaced by MASK wherever its document has it; columns stay.
+def masked(docs: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with each secret of ``findings`` replaced by MASK wherever a text of that hash has it; columns stay.
 
-    Secrets of one document are gathered, never its rows; long ones go first, so that one inside another is safe.
+    The distinct secrets of one text are gathered, never its rows, whatever their ids; long ones go first, so that one
+    inside another is safe. Texts without secrets, null and empty ones stay as they are.
     """
-    by_doc = findings.where("is_secret").select("doc_id", "candidate").distinct()
-    by_doc = by_doc.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct(F.char_length("candidate").alias("n"), "candidate")), asc=False).alias("__secrets"))
-    joined = docs.join(by_doc, docs[doc_id].eqNullSafe(by_doc["__id"]), "left")
-    clean = F.aggregate(F.col("__secrets"), docs[text], lambda t, s: F.replace(t, s["candidate"], F.lit(MASK)))
-    clean = F.when(F.col("__secrets").isNull(), docs[text]).otherwise(clean)
+    by_text = findings.where("is_secret").select(F.col("text_hash").alias("__hash"), "candidate").distinct()
+    by_text = by_text.groupBy("__hash").agg(F.sort_array(F.collect_list(F.struct(F.char_length("candidate").alias("n"), "candidate")), asc=False).alias("__secrets"))
+    joined = docs.join(by_text, text_hash(docs[text].cast("string")) == by_text["__hash"], "left")
+    clean = F.aggregate(by_text["__secrets"], docs[text], lambda t, s: F.replace(t, s["candidate"], F.lit(MASK)))
+    clean = F.when(by_text["__secrets"].isNull(), docs[text]).otherwise(clean)
     return joined.select(*[clean.alias(text) if c == text else docs[c] for c in docs.columns])
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     """Every candidate in ``documents``, judged by the forest of the rule-made findings."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(rule_findings(spark)))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(rule_findings(spark)))
+    return found.select("doc_id", "word_no", "candidate", "score", "is_secret")

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests), a temporary one."""
+    """The session's checkpoint folder. Where none is set, a temporary one on a single machine; a cluster must name one
+    that all its machines share."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if (sc.master or "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
-        where = sc.getCheckpointDir()
     return where
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute now, keep the rows in the shared folder and cut the lineage."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
