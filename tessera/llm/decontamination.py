@@ -1,14 +1,17 @@
 """Benchmark decontamination: short test items inside long documents, in DataFrame operations only.
 
-A containment search by MinHash, partitioned by size. Documents are partitioned by the power of two above their
-number of shingles, and hashed into as many bins as keep a bin's load at a level chosen for the smallest item; the
-least shingle of each bin is the document's sketch. An item is sketched once for every partition, with that
-partition's bins, so both sides agree on what a minimum is however long the document. A document and an item that
-share any minimum are candidates, and the load is such that an item contained to the threshold shares none with a
-chance below one in a million. Candidates are verified on all their distinct shingles, never on sketches.
-
-Documents are sketched inside their own row; nothing but sketch hits, and the texts of candidate documents, is
-ever shuffled.
+A containment search by MinHash, partitioned by size on both sides. Documents are partitioned by the power of two above
+their number of shingles, items by the power of two below theirs. For each pair of partitions, hashes fall into as many
+bins as keep a bin's load in the documents at a level chosen for the items; the least shingle of each bin is the sketch
+of a document and of an item, so both sides agree on what a minimum is however long the document. A document and an
+item that share any minimum are candidates, and loads are such that an item contained to the threshold shares none with
+a chance below one in a million. Candidates are verified on the shingles themselves, never on sketches or hashes.
+
+Bins are the top bits of a hash, so the minima of few bins are among those of more. A document thus sends one sketch,
+that of the densest load any item asks for, each minimum along with the hash before it in order; whether both are in one
+bin tells whether it is a minimum of fewer bins too. Sketches are made inside a document's row. While the items have
+at most BROADCAST_ROWS shingles they are broadcast, and only hits and the texts of candidates are shuffled; beyond,
+sketches are shuffled by hash, where a shingle that very many documents have is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -21,8 +24,11 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import checkpointed
 
 MISS = 1e-6
-#: Sketch rows up to which the benchmark side is broadcast (two longs and an id each, about 40 bytes); beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Shingles of all items up to which they are broadcast (two longs, an id and for verification five words each, about
+#: 100 bytes); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Bits at which every shingle is a minimum of its own bin.
+ALL_BITS = 63
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -31,13 +37,16 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def _hashed(table: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, h): the hashed k-word shingles in text order, repeats included; fewer words are one shingle."""
-    d = table.select(F.col(key), F.transform(word_list(F.col(text)), lambda w: F.xxhash64(w)).alias("__w"))
+def _shingles(table: DataFrame, key: str, text: str, k: int, hashed: bool = True) -> DataFrame:
+    """(key, h): the k-word shingles in text order, repeats included, hashed or as they stand; fewer words are one."""
+    d = table.select(F.col(key), word_list(F.col(text)).alias("__w"))
+    if hashed:
+        d = d.select(key, F.transform("__w", lambda w: F.xxhash64(w)).alias("__w"))
     n = F.size("__w")
-    at = lambda i: F.xxhash64(*[F.get(F.col("__w"), i + j) for j in range(k)])
+    at = (lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(k)])) if hashed else (lambda i: F.array_join(F.slice("__w", i + 1, k), " "))
     full = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), at)
-    h = F.when(n >= k, full).when(n > 0, F.array(F.xxhash64(F.col("__w")))).otherwise(F.array().cast("array<long>"))
+    short = F.xxhash64("__w") if hashed else F.array_join("__w", " ")
+    h = F.when(n >= k, full).when(n > 0, F.array(short)).otherwise(F.array().cast("array<long>" if hashed else "array<string>"))
     return d.select(key, h.alias("h"))
 
 
@@ -55,21 +64,21 @@ def least_load(smallest: int, threshold: float) -> float:
     return 0.0
 
 
-def _bin(h: Column, bits: Column) -> Column:
-    return F.call_function("shiftrightunsigned", h, F.lit(64) - bits)
+def shift_for(smallest: int, threshold: float) -> int:
+    """Bits of the bin number beyond those of a document's size class, for items of so many shingles or more."""
+    load = least_load(smallest, threshold)
+    return ALL_BITS if load == 0 else int(math.log2(1 / load))
 
 
-def _minima(sorted_hashes: str, bits: Column) -> Column:
-    """The least hash of each bin, from hashes in order: one that opens a bin. Bins are the top bits of a hash."""
-    s = F.col(sorted_hashes)
-    return F.filter(s, lambda x, i: (i == 0) | (_bin(x, bits) != _bin(F.get(s, i - 1), bits)))
+def _bits(exponent: Column, shift: Column) -> Column:
+    """Bits of the bin number for a document of at most 2**exponent shingles."""
+    return F.least(F.lit(ALL_BITS), F.greatest(F.lit(1), exponent + shift))
 
 
-def _bits(n: Column, load: float) -> Column:
-    """Bits of the bin number for a document of n shingles: those of its size class over the load."""
-    if load == 0:
-        return F.lit(63)
-    return F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int") + int(math.log2(1 / load)))
+def _opens(h: Column, before: Column, bits: Column) -> Column:
+    """Whether a hash is the least of its bin, given the hash before it in order (null: none)."""
+    bin_of = lambda x: F.call_function("shiftrightunsigned", x, F.lit(64) - bits)
+    return before.isNull() | (bin_of(h) != bin_of(before))
 
 
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -78,33 +87,37 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     Returns (doc_id, item_id, item_shingles long, shared long, containment double), a row for each pair. Words are
     lower-cased; an item or text of fewer than k words is one shingle. Null and empty items and texts match nothing,
     and rows with a null id take no part. Rows that share an id are one document (one item) of all their shingles.
-    Other columns are ignored. Pairs are missed with a chance below 1e-6; those returned are verified.
+    Other columns are ignored. Pairs are missed with a chance below 1e-6; those returned are verified. An empty table
+    on either side gives no rows.
     """
-    item = _hashed(items.select(items[item_id].alias("item_id"), items[item_text].cast("string").alias("t")), "item_id", "t", k)
-    item = item.where("item_id IS NOT NULL").select("item_id", F.explode("h").alias("h")).distinct()
-    item = checkpointed(item)
+    texts = items.select(items[item_id].alias("item_id"), items[item_text].cast("string").alias("t")).where("item_id IS NOT NULL")
+    item = checkpointed(_shingles(texts, "item_id", "t", k, hashed=False).select("item_id", F.explode("h").alias("h")).distinct())
     sized = item.groupBy("item_id").agg(F.count("*").alias("item_shingles"))
-    smallest, n_rows = sized.agg(F.min("item_shingles"), F.sum("item_shingles")).first()
-    load = least_load(smallest or 1, percent / 100)
-
-    own = F.sort_array("h")
-    d = _hashed(docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("t")), "doc_id", "t", k)
-    d = d.where("doc_id IS NOT NULL").select("doc_id", own.alias("s"), _bits(F.size("h"), load).alias("bits"))
-    probes = d.select("doc_id", "bits", F.explode(_minima("s", F.col("bits"))).alias("h"))
-
-    # A text has at most 2**30 shingles, so there are so many kinds of bins at most.
-    levels = [63] if load == 0 else list(range(1, 31 + int(math.log2(1 / load))))
-    lists = item.groupBy("item_id").agg(F.sort_array(F.collect_list("h")).alias("s"))
-    sketch = lists.withColumn("bits", F.explode(F.lit(levels))).select("item_id", "bits", F.explode(_minima("s", F.col("bits"))).alias("h"))
-    small = (n_rows or 0) * len(levels) <= BROADCAST_ROWS
-    hits = probes.join(F.broadcast(sketch) if small else sketch, ["bits", "h"]).select("doc_id", "item_id").distinct()
-    hits = checkpointed(hits)
+    largest, n_rows = sized.agg(F.max("item_shingles"), F.sum("item_shingles")).first()
+    hint = F.broadcast if (n_rows or 0) <= BROADCAST_ROWS else (lambda d: d)
+    shifts = [shift_for(1 << c, percent / 100) for c in range((largest or 1).bit_length())]
+    class_of = lambda n: F.length(F.bin(n)) - 1
+    pairs = lambda s: F.transform(s, lambda h, i: F.struct(h.alias("h"), F.get(s, i - 1).alias("before")))
+
+    lists = _shingles(texts, "item_id", "t", k).groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("h")))).alias("s")).where(F.size("s") > 0)
+    sketch = lists.select("item_id", F.get(F.lit(shifts), class_of(F.size("s").cast("long"))).alias("shift"), F.inline(pairs(F.col("s")))).withColumnRenamed("before", "item_before")
+
+    used = sized.select(class_of(F.col("item_shingles")).alias("c")).distinct().collect()  # at most 64 classes
+    densest = F.lit(max([shifts[r["c"]] for r in used], default=1))
+    d = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id IS NOT NULL")
+    exponent = F.length(F.bin(F.greatest(F.size("h"), F.lit(1)).cast("long") - 1)).cast("int")
+    probes = _shingles(d, "doc_id", "t", k).select("doc_id", F.sort_array("h").alias("s"), exponent.alias("exponent"))
+    opened = F.filter(pairs(F.col("s")), lambda x: _opens(x["h"], x["before"], _bits(F.col("exponent"), densest)))
+    probes = probes.select("doc_id", "exponent", F.inline(opened))
+    bits = _bits(F.col("exponent"), F.col("shift"))
+    hits = probes.join(hint(sketch), "h").where(_opens(F.col("h"), F.col("before"), bits) & _opens(F.col("h"), F.col("item_before"), bits))
+    hits = checkpointed(hits.select("doc_id", "item_id").distinct())
 
     found = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("t")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    shingle = _hashed(found, "doc_id", "t", k).select("doc_id", F.explode(F.array_distinct("h")).alias("h"))
-    shared = shingle.join(F.broadcast(item) if small else item, "h").select("doc_id", "item_id", "h").distinct()
+    shingle = _shingles(found, "doc_id", "t", k, hashed=False).select("doc_id", F.explode(F.array_distinct("h")).alias("h"))
+    shared = shingle.join(hint(item), "h").select("doc_id", "item_id", "h").distinct()
     shared = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(hits, ["doc_id", "item_id"])
-    out = shared.join(F.broadcast(sized) if small else sized, "item_id").where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
+    out = shared.join(hint(sized), "item_id").where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
     return out.select("doc_id", "item_id", "item_shingles", "shared", (F.col("shared") / F.col("item_shingles")).alias("containment"))
 
 
