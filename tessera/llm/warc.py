@@ -6,7 +6,9 @@ commit keeps them whole when executors are lost. Records with equal payloads are
 
 The reader takes each archive file as bytes, checks every member (gzip checksum, version line, block length and
 payload digest), and after a failed check searches for the next gzip member or version line from which a record
-can be read, so one damaged record costs itself only. Skipped bytes are returned as gaps.
+can be read, inside members of several records too, so one damaged record costs itself only. Skipped bytes are
+returned as gaps. Of a member that is cut off, those records count whose payloads have their digests; of one that fails
+its checksum, none.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.salted import bit, for_members, salt
 from tessera.llm.shared import checkpoint_dir, checkpointed
 
-#: Payload bytes from which an archive file is closed; a reader's task holds one file.
+#: Bytes from which an archive file is closed; a reader's task holds one file.
 ARCHIVE_BYTES = 16 << 20
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _STEP = 1 << 16
 
 
@@ -40,17 +44,17 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, kind: str, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, kind: str, date: str, size: int, digest: str) -> bytes:
     """One WARC/1.1 record. A revisit keeps the HTTP headers and the digest of the payload, not the payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + payload if kind == "response" else http
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    block = http + (payload or b"") if kind == "response" else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
         "Content-Type: application/http; msgtype=response",
-        f"WARC-Payload-Digest: sha1:{_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
@@ -61,68 +65,84 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def _member(data: bytes) -> bytes:
-    """A gzip member, less its last byte where that is zero: the line separator of the file writer restores it.
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
+
+
+def _as_line(archive: bytes) -> bytes:
+    """An archive less its last byte where that is zero: the line separator of the file writer restores it.
 
-    The last byte is the highest of the record's length, so it is zero below 16 MB; a longer record keeps it and
-    gets a zero byte of padding, which gzip allows.
+    The last byte is the highest of a record's length, so it is zero below 16 MB; a longer record keeps it and gets a
+    zero byte of padding, which gzip allows.
     """
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-    out = pack.compress(data) + pack.flush()
-    return out[:-1] if out[-1] == 0 else out
+    return archive[:-1] if archive.endswith(b"\0") else archive
 
 
 def with_roles(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, payload binary, kind, refers_to): which record of equal payloads keeps it.
+    """(page_id, url, payload binary, bytes, digest, kind, refers_to): which record of equal payloads keeps it.
 
-    Of records with equal payloads of at least ``min_bytes``, that of the smallest page_id (null last, then one of
-    the repeated rows) is the response.
+    Of records with equal payloads of at least ``min_bytes``, that of the smallest page_id (null last, then of the
+    least url, null last, then one of the equal rows) is the response. Copies meet on their digest and a share of
+    them, so that a payload that a third of all pages have is no task's alone; equal rows are counted before.
     """
     rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), F.coalesce(pages[html].cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    shared = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("same"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long"), "salt": salt("page_id", "url")})
+    out = ["page_id", "url", "payload", "bytes", "digest", "kind", "refers_to"]
+    same = ["digest", "bytes"]
+    shared = rows.where(F.col("bytes") >= min_bytes).groupBy(*same, "page_id").agg(F.count("*").alias("same"), F.bit_or(bit("salt")).alias("salts"))
     rank = F.struct(F.col("page_id").isNull(), "page_id")
-    shared = shared.groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(F.min(F.struct(rank.alias("rank"), "same")).alias("first"), F.sum("same").alias("all"))
-    shared = checkpointed(shared.where("all > 1").select("d", "b", F.col("first.rank.page_id").alias("first_id"), F.col("first.same").alias("same")))
-    joined = rows.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
-    is_first = F.col("d").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
-    kind = F.when(F.col("d").isNull() | (is_first & (F.col("same") == 1)), F.lit("response")).when(is_first, F.lit("one of")).otherwise(F.lit("revisit"))
-    joined = joined.withColumn("kind", kind)
-    out = ["page_id", "url", "payload", "kind", F.when(F.col("kind") == "revisit", F.col("first_id")).alias("refers_to")]
+    shared = shared.groupBy(*same).agg(F.min(F.struct(rank.alias("rank"), "same")).alias("first"), F.sum("same").alias("all"), F.bit_or("salts").alias("salts"))
+    shared = checkpointed(shared.where("all > 1").select(*same, F.col("first.rank.page_id").alias("first_id"), F.col("first.same").alias("same"), "salts"))
+    joined = rows.join(for_members(shared), [*same, "salt"], "left")
+    is_first = F.col("same").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
+    kind = F.when(F.col("same").isNull() | (is_first & (F.col("same") == 1)), "response").when(is_first, "one of").otherwise("revisit")
+    joined = joined.withColumn("kind", kind).withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("first_id")))
     if not shared.where("same > 1").limit(1).count():
         return joined.select(*out)
     plain = joined.where(F.col("kind") != "one of").select(*out)
-    repeated = joined.where(F.col("kind") == "one of")
-    nth = F.row_number().over(Window.partitionBy("digest", "bytes").orderBy("url"))
-    repeated = repeated.withColumn("kind", F.when(nth == 1, F.lit("response")).otherwise(F.lit("revisit"))).select(*out)
-    return plain.unionByName(repeated)
+    many = joined.where(F.col("kind") == "one of").groupBy(*same, "page_id", "url").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
+    least = many.groupBy(*same).agg(F.min(F.struct(F.col("url").isNull().alias("no"), "url")).alias("least"), F.bit_or(bit(salt("page_id", "url"))).alias("salts"))
+    many = many.withColumn("salt", salt("page_id", "url")).join(for_members(least), [*same, "salt"]).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
+    chosen = F.col("url").eqNullSafe(F.col("least.url")) & (F.col("nth") == 1)
+    many = many.withColumn("kind", F.when(chosen, "response").otherwise("revisit")).withColumn("refers_to", F.when(~chosen, F.col("page_id")))
+    return plain.unionByName(many.select(*out))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write a record for each row of ``pages`` to archive files in the folder ``path``.
 
-    Null html is an empty payload, a null url leaves the target out, and control characters in urls are
-    percent-encoded. Repeated rows are written each. Other columns are ignored; an empty table gives no records.
+    A file is closed once it has ``archive_bytes``, so it is larger by one record at most. Null html is an empty
+    payload, a null url leaves the target out, and control characters in urls are percent-encoded. Repeated rows are
+    written each. Other columns are ignored; an empty table gives no records.
     """
-    total, n = pages.agg(F.sum(F.octet_length(pages[html].cast("string")).cast("long")), F.count("*")).first()
-    per_file = max(1, int(archive_bytes * (n or 1) / max(total or 0, 1)))
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each file: the members of as many records as fill it."""
+        line = lambda parts: pa.RecordBatch.from_arrays([pa.array([_as_line(b"".join(parts))], pa.binary())], ["value"])
+        parts, size = [], 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "kind")]
-            out = [_member(record(*(x.as_py() for x in row), date)) for row in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    packed = with_roles(pages, min_bytes, page_id, url, html).mapInArrow(members, "value binary")
-    lines = packed.select(F.col("value").cast("string").alias("value"))
-    lines.write.mode("overwrite").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
-
-
-def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and length of the record that ``data`` begins with; None if a check fails."""
-    end = data.find(b"\r\n\r\n", 0, 1 << 20)
-    if not data.startswith(_VERSION) or end < 0:
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "kind", "bytes", "digest")]
+            for row in zip(*columns, strict=True):
+                *what, n, digest = (x.as_py() for x in row)
+                parts.append(_member(record(*what, date, n, base64.b32encode(bytes.fromhex(digest)).decode())))
+                size += len(parts[-1])
+                if size >= archive_bytes:
+                    yield line(parts)
+                    parts, size = [], 0
+        if parts:
+            yield line(parts)
+
+    roles = with_roles(pages, min_bytes, page_id, url, html)
+    roles = roles.withColumn("payload", F.when(F.col("kind") == "response", F.col("payload")))
+    lines = roles.mapInArrow(archives, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.mode("overwrite").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def _parse(data: bytes, at: int, digest: bool = False) -> tuple[dict[str, str], bytes, int] | None:
+    """Headers, block and end of the record that begins at ``at``; None if a check fails. ``digest``: one is asked for."""
+    if not data.startswith(_VERSION, at) or (end := data.find(b"\r\n\r\n", at)) < 0:
         return None
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     size = head.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", size):
@@ -130,31 +150,60 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     stop = end + 4 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         return None
-    block = data[end + 4 : stop]
-    if head.get("warc-type") == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if head.get("warc-payload-digest", "") not in ("", f"sha1:{_digest(payload)}"):
-            return None
+    block, known = data[end + 4 : stop], head.get("warc-payload-digest", "")
+    if digest and not (known and head.get("warc-type") == "response"):
+        return None
+    if head.get("warc-type") == "response" and known not in ("", f"sha1:{_digest(block.partition(b'\r\n\r\n')[2])}"):
+        return None
     return head, block, stop + 4
 
 
-def _unzip(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at ``at`` and where it ends; None if it is cut off or fails its checksum."""
+def _unzip(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds and where it ends: no end if it is cut off, and nothing either if it is damaged."""
     unpack, out, stop = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
             piece = data[stop : stop + _STEP]
             if not piece:
-                return None
+                return b"".join(out), None
             out.append(unpack.decompress(piece))
             stop += len(piece)
     except zlib.error:
-        return None
+        return b"", None
     return b"".join(out), stop - len(unpack.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """("record", offset, length, headers, block) and ("gap", offset, length, {}, b"") in file order."""
+Found = tuple[str, int, int, int | None, dict[str, str], bytes]
+
+
+def _inside(content: bytes, whole: bool) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(offset, length, headers, block) of the records in a member's content; without headers, of what lies between.
+
+    Of a member that isn't ``whole``, only records with the digest of their payload count.
+    """
+    at, bad = 0, None
+    while at < len(content):
+        if parsed := _parse(content, at, digest=not whole):
+            if bad is not None:
+                yield bad, at - bad, None, b""
+                bad = None
+            yield at, parsed[2] - at, parsed[0], parsed[1]
+            at = parsed[2]
+            continue
+        bad = at if bad is None else bad
+        following = _LINE.search(content, at + 1)
+        at = following.start() if following else len(content)
+    if bad is not None:
+        yield bad, len(content) - bad, None, b""
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """("record", offset, length, inner, headers, block) and ("gap", offset, length, inner, {}, b"") in file order.
+
+    Offset and length are those in the file: of a whole gzip member, whatever it holds, or of a plain record. ``inner``
+    is the place in the member's content of what is not its only record; records recovered from a member that is cut off have
+    length 0, as its bytes are a gap.
+    """
     at, bad = 0, None
     while at < len(data):
         if data[at] == 0 and bad is None:  # padding between members
@@ -163,38 +212,41 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
                 stop += 1
             at = stop
             continue
-        found = None
+        end, found = None, []
         if data.startswith(_MAGIC, at):
-            if member := _unzip(data, at):
-                if (parsed := _parse(member[0])) and parsed[2] == len(member[0]):
-                    found = parsed[0], parsed[1], member[1]
-        elif data.startswith(_VERSION, at):
-            stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
-            size = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,15})[ \t]*(?=\r\n)", data[at : stop + 2]) if stop >= 0 else None
-            if size and (parsed := _parse(data[at : stop + 8 + int(size[1])])):
-                found = parsed[0], parsed[1], at + parsed[2]
-        if found:
+            content, end = _unzip(data, at)
+            found = [(i, head, block) for i, _, head, block in _inside(content, end is not None) if head is not None or end is not None]
+            if not any(head for _, head, _ in found):
+                end, found = None, []
+        elif parsed := _parse(data, at):
+            end, found = parsed[2], [(0, parsed[0], parsed[1])]
+        if end is not None:
             if bad is not None:
-                yield "gap", bad, at - bad, {}, b""
+                yield "gap", bad, at - bad, None, {}, b""
                 bad = None
-            yield "record", at, found[2] - at, found[0], found[1]
-            at = found[2]
+            for i, head, block in found:
+                inner = None if len(found) == 1 else i
+                yield ("gap", at, end - at, i, {}, b"") if head is None else ("record", at, end - at, inner, head, block)
+            at = end
             continue
+        for i, head, block in found:
+            yield "record", at, 0, i, head, block
         bad = at if bad is None else bad
         following = _START.search(data, at + 1)
         at = following.start() if following else len(data)
     if bad is not None:
-        yield "gap", bad, len(data) - bad, {}, b""
+        yield "gap", bad, len(data) - bad, None, {}, b""
 
 
-_READ = "file string, offset long, length long, status string, record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_READ = "file string, offset long, length long, inner long, status string, record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
 def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archive files in ``path``.
 
-    Returns (file, offset, length, status, record_type, page_id, target_uri, payload_bytes, payload_digest,
-    refers_to, payload): status is ``record``, or ``gap`` for quarantined bytes, whose other columns are null.
+    Returns (file, offset, length, inner, status, record_type, page_id, target_uri, payload_bytes, payload_digest,
+    refers_to, payload): status is ``record``, or ``gap`` for quarantined bytes, whose other columns are null; offset,
+    length and inner are those of ``salvage``.
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, of revisits too; ``payload`` is null for
     revisits and where ``payloads`` is false. Empty files give no rows.
     """
@@ -204,13 +256,13 @@ def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows, held = [], 0
-                for status, at, length, head, block in salvage(content.as_py() or b""):
+                for status, at, length, inner, head, block in salvage(content.as_py() or b""):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     size = re.search(rb"(?i)content-length: *([0-9]+)", http)
                     kind = head.get("warc-type")
                     digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     body = payload if payloads and kind == "response" else None
-                    rows.append((name.as_py(), at, length, status, kind, number(head.get("warc-record-id")), head.get("warc-target-uri"), (len(payload) if kind == "response" else int(size[1]) if size else None), digest, number(head.get("warc-refers-to")), body))
+                    rows.append((name.as_py(), at, length, inner, status, kind, number(head.get("warc-record-id")), head.get("warc-target-uri"), (len(payload) if kind == "response" else int(size[1]) if size else None), digest, number(head.get("warc-refers-to")), body))
                     held += len(body or b"")
                     if len(rows) >= 10_000 or held >= 8 << 20:
                         yield _rows(rows)
