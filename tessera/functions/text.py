@@ -34,6 +34,13 @@ def has_format(value: Column, kind: str | None) -> Column:
     return F.lit(True)
 
 
+def uuid5(namespace: str, name: Column) -> Column:
+    """The version 5 UUID of a name: bits of the SHA-1 of the namespace's bytes and the name."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 def tokens(value: Column, least: int = 1) -> Column:
     """Lower-case alphanumeric tokens of at least so many characters."""
     return F.regexp_extract_all(F.lower(value), F.lit(f"([a-z0-9]{{{least},}})"), F.lit(1))

@@ -12,7 +12,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -285,6 +285,20 @@ def sample_failures(df: DataFrame, contract: Contract, check_id: str, order: str
     return df.where(check.rows).orderBy(order).limit(limit)
 
 
+def all_samples(df: DataFrame, contract: Contract, order: str, limit: int = 5) -> DataFrame:
+    """(check_id, n, columns of df): for each check the first records, by ``order``, that fail it, numbered from 1.
+
+    Each record is tested once for all checks; of those that fail, a task passes on at most ``limit`` for each check.
+    """
+    tested = [c for c in compile_checks(df.schema, contract) if c.rows is not None]
+    if not tested:
+        return df.limit(0).select(F.lit("").alias("check_id"), F.lit(0).alias("n"), *df.columns)
+    failed = F.filter(F.array(*[F.when(c.rows, F.lit(c.id)) for c in tested]), lambda x: x.isNotNull())
+    out = df.select("*", F.explode(failed).alias("check_id"))
+    out = out.withColumn("n", F.row_number().over(Window.partitionBy("check_id").orderBy(order))).where(F.col("n") <= limit)
+    return out.select("check_id", "n", *df.columns)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """Counts by status and the overall status: FAIL before WARN before PASS."""
     n = lambda *s: F.coalesce(F.sum(F.col("status").isin(*s).cast("long")), F.lit(0).cast("long"))

@@ -16,6 +16,49 @@ def batched(df: DataFrame, by: list[str], order: list[str], size: int = 8) -> Da
     return numbered(df, by, order, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")
 
 
+def intents_with_refs(intents: DataFrame, traces: DataFrame) -> DataFrame:
+    """The newest row of each ``intent_id``, with the distinct references of all its traces in order.
+
+    ``intents``: (intent_id, at, ...); ``traces``: (intent_id, files array<struct<path, ranges array<struct<first, last>>>>),
+    whose nested references are taken apart inside their row and grouped before the join.
+    """
+    newest = intents.withColumn("__r", F.row_number().over(Window.partitionBy("intent_id").orderBy(F.col("at").desc_nulls_last()))).where("__r = 1").drop("__r")
+    each = F.flatten(F.transform("files", lambda f: F.transform(f["ranges"], lambda r: F.struct(f["path"].alias("path"), r["first"].alias("first"), r["last"].alias("last")))))
+    refs = traces.select("intent_id", F.explode(each).alias("ref")).distinct().groupBy("intent_id").agg(F.array_sort(F.collect_list("ref")).alias("code_refs"))
+    out = newest.join(refs, "intent_id", "left")
+    return out.withColumn("code_refs", F.coalesce("code_refs", F.array().cast(refs.schema["code_refs"].dataType)))
+
+
+def facts(blocks: DataFrame, doc: str, order: list[str], text: str, score: str, most: int = 25, least: int = 25) -> DataFrame:
+    """(doc, fact_no, text, confidence): the first ``most`` blocks of each document that have ``least`` characters; where
+    a document has fewer such, its short ones fill up. Confidences are brought to 0 to 1."""
+    trimmed = F.trim(F.col(text))
+    b = blocks.where(trimmed != "").withColumn("__short", F.char_length(trimmed) < least)
+    b = b.withColumn("fact_no", F.row_number().over(Window.partitionBy(doc).orderBy("__short", *order))).where(F.col("fact_no") <= most)
+    return b.select(doc, "fact_no", trimmed.alias("text"), confidence(F.col(score)).alias("confidence"))
+
+
+def markdown_sections(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(keep..., section_no, title, body, fields): the ``##`` sections of Markdown texts; ``fields`` maps the names of
+    ``- **name**: value`` lines to their values, of a name given twice the last."""
+    parts = F.filter(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n##[ \t]+"), lambda p: p != "")
+    s = df.select(*keep, F.posexplode(F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n##[ \t]+"), 2, F.greatest(F.size(parts), F.lit(1)))).alias("section_no", "__s"))
+    named = r"(?m)^- \*\*([^*\n]+)\*\*:[ \t]*([^\n]*)$"
+    names, values = F.regexp_extract_all("__s", F.lit(named), F.lit(1)), F.regexp_extract_all("__s", F.lit(named), F.lit(2))
+    entries = F.arrays_zip(names.alias("k"), values.alias("v"))
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), e["k"]))
+    return s.select(*keep, F.col("section_no").cast("long").alias("section_no"), F.trim(F.substring_index("__s", "\n", 1)).alias("title"), F.trim(F.regexp_replace("__s", r"^[^\n]*\n?", "")).alias("body"), F.map_from_entries(last).alias("fields"))
+
+
+def routed(rules: list[tuple[str, str]], *said: Column, other: str = "unknown") -> Column:
+    """The service of the first (words, service) of which any column speaks."""
+    told = F.lower(F.concat_ws(" ", *said))
+    out = F.lit(other)
+    for words, service in reversed(rules):
+        out = F.when(told.rlike(words), service).otherwise(out)
+    return out
+
+
 def first_timestamp(*candidates: Column) -> Column:
     """The first candidate that is a timestamp."""
     return F.coalesce(*[F.try_to_timestamp(c.cast("string")) for c in candidates])

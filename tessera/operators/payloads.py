@@ -80,6 +80,36 @@ def violation_rate(df: DataFrame, error: Column, baseline: float | None = None)
     return r.withColumn("status", F.when(F.col("rate") > RATE_FAIL, "FAIL").when((F.col("violations") > 0) | (F.col("trend") == "rising"), "WARN").otherwise("PASS"))
 
 
+def prompt_inputs(df: DataFrame, doc_id: Column, path: Column, facts: Column, metadata: Column | None = None, most: int = 8000) -> DataFrame:
+    """(doc_id, source_path, preview) of each record: what its metadata says comes before the record's own, and the preview
+    is the start of its first fact (a struct with ``source_excerpt``)."""
+    over = lambda name, own: own if metadata is None else F.coalesce(metadata[name], own)
+    first = F.coalesce(F.get(facts, F.lit(0))["source_excerpt"], F.lit(""))
+    return df.select(over("doc_id", doc_id).cast("string").alias("doc_id"), over("source_path", path).alias("source_path"), over("content_preview", F.substring(first, 1, most)).alias("preview"))
+
+
+def ai_violations(checks: DataFrame) -> DataFrame:
+    """(check_id, severity, records_failing, message): a violation for each of (name, status, failing, detail) that failed
+    or warns; drift and bad inputs are grave, the rest is graver only if it failed."""
+    failed, warned = F.col("status").isin("FAIL", "ERROR"), F.col("status") == "WARN"
+    grave = F.col("name").isin("embedding_drift", "prompt_inputs")
+    severity = F.when(failed & grave, "CRITICAL").when(failed, "HIGH").otherwise("MEDIUM")
+    return checks.where(failed | warned).select(F.concat(F.lit("ai."), "name").alias("check_id"), severity.alias("severity"), F.col("failing").cast("long").alias("records_failing"), F.concat_ws(": ", "name", "detail").alias("message"))
+
+
+def combined_status(checks: DataFrame) -> DataFrame:
+    """(total, passed, status) of check results (status): SKIPPED without any, FAIL before WARN before PASS."""
+    bad, warned = F.count_if(F.col("status").isin("FAIL", "ERROR")), F.count_if(F.col("status") == "WARN")
+    word = F.when(F.count(F.lit(1)) == 0, "SKIPPED").when(bad > 0, "FAIL").when(warned > 0, "WARN").otherwise("PASS")
+    return checks.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "PASS").alias("passed"), word.alias("status"))
+
+
+def trace_contract(traces: DataFrame, results: DataFrame) -> DataFrame:
+    """The combined status of a trace dataset's check results; SKIPPED where there are no traces."""
+    some = traces.limit(1).agg((F.count(F.lit(1)) > 0).alias("some"))
+    return combined_status(results.join(some).where("some"))
+
+
 def classify_producer(rules: list[tuple[str, Column]], other: str = "other") -> Column:
     """The first rule that holds names the producer."""
     out = F.lit(other)

@@ -41,6 +41,47 @@ def deduplicated(violations: DataFrame, tie: str = "seq") -> DataFrame:
     return violations.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
+def last_wins(violations: DataFrame, tie: str = "seq") -> DataFrame:
+    """One violation for each (check_id, field, status): of more records, then the last."""
+    order = Window.partitionBy("check_id", "field", "status").orderBy(F.desc("records_failing"), F.desc(tie))
+    return violations.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+
+
+def ordered(violations: DataFrame, n: int, systems: str = "systems", at: str = "detected_at", tie: str = "seq") -> DataFrame:
+    """The first n violations by severity, affected systems, failing records and time, each from the highest."""
+    return violations.orderBy(severity_rank(F.col("severity")).desc(), F.desc(systems), F.desc("records_failing"), F.desc(at), tie).limit(n)
+
+
+def report_totals(reports: DataFrame) -> DataFrame:
+    """Totals over reports of (total, passed, failed, warned, results array<struct<status, severity>>).
+
+    A count that a report doesn't give is counted from its results; ERROR counts as failed.
+    """
+    of = lambda *s: F.size(F.filter(F.coalesce("results", F.array().cast(reports.schema["results"].dataType)), lambda r: r["status"].isin(*s) if s else F.lit(True))).cast("long")
+    n = lambda name, *s: F.coalesce(F.sum(F.coalesce(F.col(name).cast("long"), of(*s))), F.lit(0).cast("long")).alias(name)
+    critical = F.size(F.filter("results", lambda r: r["status"].isin("FAIL", "ERROR") & (r["severity"] == "CRITICAL")))
+    return reports.agg(n("total"), n("passed", "PASS"), n("failed", "FAIL", "ERROR"), n("warned", "WARN"), F.coalesce(F.sum(F.when(F.col("results").isNotNull(), critical)), F.lit(0)).cast("long").alias("critical"))
+
+
+def ai_counts(checks: DataFrame) -> DataFrame:
+    """One row of counts of (name, status): a baseline that was just set counts as passed."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return checks.agg(F.count(F.lit(1)).alias("total"), n("PASS", "BASELINE_SET").alias("passed"), n("FAIL", "ERROR").alias("failed"), n("WARN").alias("warned"))
+
+
+def first_match(rows: DataFrame, key: str, reference: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """``rows`` with the first row of ``reference``, by the place of the column in ``columns`` and then by ``order``,
+    that has the key in any of the columns; nulls where none has.
+
+    The reference is cut down to one row for each value before it is joined, so no key is joined with many.
+    """
+    each = F.array(*[F.struct(F.col(c).cast("string").alias("__value"), F.lit(i).alias("__place")) for i, c in enumerate(columns)])
+    r = reference.select("*", F.inline(each)).where("__value IS NOT NULL")
+    whole = F.struct(*[F.col(c) for c in reference.columns])
+    r = r.groupBy("__value").agg(F.min_by(whole, F.struct("__place", order)).alias("match"))
+    return rows.join(r, F.col(key).cast("string") == F.col("__value"), "left").drop("__value")
+
+
 def top(violations: DataFrame, n: int = 3, tie: str = "seq") -> DataFrame:
     """The n gravest violations."""
     return violations.orderBy(severity_rank(F.col("severity")).desc(), F.desc("records_failing"), tie).limit(n)
@@ -52,8 +93,11 @@ def radius_by_field(violations: DataFrame) -> DataFrame:
 
 
 def blame_summary(blames: DataFrame) -> DataFrame:
-    """(file, commit, impact, best): how many fields and the highest confidence."""
-    return blames.groupBy("file", "commit").agg(F.count(F.lit(1)).alias("impact"), F.count_distinct("field").alias("fields"), F.max("confidence").alias("best"))
+    """(file, commit, impact, fields, best, author): how often, the distinct fields in order, the highest confidence and
+    the author of that one (of several, the least)."""
+    return blames.groupBy("file", "commit").agg(
+        F.count(F.lit(1)).alias("impact"), F.array_sort(F.collect_set("field")).alias("fields"), F.max("confidence").alias("best"), F.min_by("author", F.struct(-F.col("confidence"), "author")).alias("author")
+    )
 
 
 def search(violations: DataFrame, severity: str | None = None, text: str | None = None, columns: tuple[str, ...] = ("field", "message")) -> DataFrame:

@@ -783,3 +783,132 @@ def drift_checks(spark, sf_dir):
 def structural_summary(spark, sf_dir):
     """Types and presence of fields."""
     return profile.structure(table(spark, sf_dir, "events"), ["value", "event_type", "user_id"])
+
+
+def _ranked(spark, sf_dir):
+    return _violations(spark, sf_dir).withColumns({"systems": F.col("seq") % 4, "detected_at": F.col("seq") % 100})
+
+
+@query(f"WITH {_VIOLATIONS} SELECT seq, severity, records_failing FROM v ORDER BY rank DESC, seq % 4 DESC, records_failing DESC, seq % 100 DESC, seq LIMIT 20")
+def violations_order(spark, sf_dir):
+    """Severity, affected systems, failing records and time, from the highest."""
+    return reporting.ordered(_ranked(spark, sf_dir), 20).select("seq", "severity", "records_failing")
+
+
+@query(f"WITH {_VIOLATIONS} SELECT check_id, field, records_failing, seq FROM v QUALIFY row_number() OVER (PARTITION BY check_id, field, status ORDER BY records_failing DESC, seq DESC) = 1")
+def dedupe_last_wins(spark, sf_dir):
+    """Of equal counts the later violation stays."""
+    return reporting.last_wins(_violations(spark, sf_dir)).select("check_id", "field", "records_failing", "seq")
+
+
+@query("SELECT 'f' || (user_id % 5) AS file, event_type AS commit, count(*)::BIGINT AS impact, string_agg(DISTINCT 'x' || (event_id % 6), ',' ORDER BY 'x' || (event_id % 6)) AS fields, max((event_id % 10) / 10.0::DOUBLE) AS best, arg_min('a' || (event_id % 100), (-((event_id % 10) / 10.0::DOUBLE), 'a' || (event_id % 100))) AS author FROM events GROUP BY 1, 2")
+def blame_summary(spark, sf_dir):
+    """Impact, fields, confidence and author of each file and commit."""
+    key = lambda p, k: F.concat(F.lit(p), k.cast("string"))
+    b = table(spark, sf_dir, "events").select(key("f", F.col("user_id") % 5).alias("file"), F.col("event_type").alias("commit"), key("x", F.col("event_id") % 6).alias("field"), (F.col("event_id") % 10 / F.lit(10.0)).alias("confidence"), key("a", F.col("event_id") % 100).alias("author"))
+    return reporting.blame_summary(b).withColumn("fields", F.concat_ws(",", "fields"))
+
+
+_STATUS = "(['PASS', 'FAIL', 'WARN', 'ERROR'])[l_linenumber % 4 + 1]"
+
+
+@query(f"SELECT sum(n)::BIGINT AS total, sum(CASE WHEN o % 3 = 0 THEN 5 ELSE p END)::BIGINT AS passed, sum(f)::BIGINT AS failed, sum(w)::BIGINT AS warned, sum(c)::BIGINT AS critical FROM (SELECT l_orderkey AS o, count(*) AS n, count(*) FILTER ({_STATUS} = 'PASS') AS p, count(*) FILTER ({_STATUS} IN ('FAIL', 'ERROR')) AS f, count(*) FILTER ({_STATUS} = 'WARN') AS w, count(*) FILTER ({_STATUS} IN ('FAIL', 'ERROR') AND l_returnflag = 'A') AS c FROM lineitem GROUP BY 1)")
+def report_totals(spark, sf_dir):
+    """Orders as reports, their lines as results; some give a count of their own."""
+    status = F.get(F.array(*[F.lit(x) for x in ("PASS", "FAIL", "WARN", "ERROR")]), (F.col("l_linenumber") % 4).cast("int"))
+    result = F.struct(status.alias("status"), F.when(F.col("l_returnflag") == "A", "CRITICAL").otherwise("LOW").alias("severity"))
+    r = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(result).alias("results"))
+    none = F.lit(None).cast("long")
+    return reporting.report_totals(r.select("results", none.alias("total"), F.when(F.col("l_orderkey") % 3 == 0, 5).alias("passed"), none.alias("failed"), none.alias("warned")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 25 THEN p_size WHEN p_size + 0 IN (SELECT n_nationkey * 2 FROM nation) THEN p_size // 2 END AS nation FROM part")
+def first_match_lookup(spark, sf_dir):
+    """Parts whose size is a nation's key, else twice a nation's key."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 2).alias("double"))
+    return reporting.first_match(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", n, ["n_nationkey", "double"], "n_nationkey").select("p_partkey", F.col("match.n_nationkey").alias("nation"))
+
+
+_AI = "a AS (SELECT (['embedding_drift', 'prompt_inputs', 'output_schema'])[event_id % 3 + 1] AS name, (['PASS', 'FAIL', 'WARN', 'BASELINE_SET'])[event_id % 4 + 1] AS status, event_id % 50 AS failing FROM events)"
+
+
+def _ai(spark, sf_dir):
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int"))
+    return table(spark, sf_dir, "events").select(pick(("embedding_drift", "prompt_inputs", "output_schema"), 3).alias("name"), pick(("PASS", "FAIL", "WARN", "BASELINE_SET"), 4).alias("status"), (F.col("event_id") % 50).alias("failing"), F.lit("seen").alias("detail"))
+
+
+@query(f"WITH {_AI} SELECT count(*)::BIGINT AS total, count(*) FILTER (status IN ('PASS', 'BASELINE_SET'))::BIGINT AS passed, count(*) FILTER (status = 'FAIL')::BIGINT AS failed, count(*) FILTER (status = 'WARN')::BIGINT AS warned FROM a")
+def ai_counts(spark, sf_dir):
+    return reporting.ai_counts(_ai(spark, sf_dir))
+
+
+@query(f"WITH {_AI} SELECT 'ai.' || name AS check_id, CASE WHEN status = 'WARN' THEN 'MEDIUM' WHEN name = 'output_schema' THEN 'HIGH' ELSE 'CRITICAL' END AS severity, failing AS records_failing, name || ': seen' AS message FROM a WHERE status IN ('FAIL', 'WARN')")
+def ai_violations(spark, sf_dir):
+    return payloads.ai_violations(_ai(spark, sf_dir))
+
+
+@query("SELECT 'all' AS of, 4::BIGINT AS total, (SELECT count(*) FROM (SELECT count(*) FILTER (NOT coalesce(floor(value / 20) > 0, false)) AS n FROM events UNION ALL SELECT count(*) FILTER (event_id % 11 = 0) FROM events UNION ALL SELECT count(*) FILTER (event_id % 3 = 2) FROM events UNION ALL SELECT count(*) FILTER (event_id % 13 = 0 OR event_id % 17 = 0) FROM events) WHERE n = 0)::BIGINT AS passed, 'FAIL' AS status UNION ALL SELECT 'none', 0, 0, 'SKIPPED'")
+def trace_contract(spark, sf_dir):
+    """The combined verdict on traces, and on none."""
+    t = _traces(spark, sf_dir)
+    some = lambda d, name: payloads.trace_contract(d, crosschecks.traces(d)).select(F.lit(name).alias("of"), "total", "passed", "status")
+    return some(t, "all").unionByName(some(t.limit(0), "none"))
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'm' || c_custkey ELSE c_custkey::VARCHAR END AS doc_id, c_name AS source_path, substr(c_mktsegment, 1, 4) AS preview FROM customer")
+def prompt_inputs(spark, sf_dir):
+    """Inputs from metadata where it speaks, else from the record."""
+    c = table(spark, sf_dir, "customer")
+    told = F.struct(F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("m"), F.col("c_custkey").cast("string"))).alias("doc_id"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("string").alias("content_preview"))
+    d = c.select("c_custkey", "c_name", F.array(F.struct(F.col("c_mktsegment").alias("source_excerpt"))).alias("facts"), told.alias("metadata"))
+    return payloads.prompt_inputs(d, F.col("c_custkey").cast("string"), F.col("c_name"), F.col("facts"), F.col("metadata"), most=4)
+
+
+@query("WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(list_filter(['discount', 'quantity'], lambda x: (x = 'discount' AND l_discount > 0.05::DOUBLE) OR (x = 'quantity' AND l_quantity > 30))) AS k FROM lineitem) SELECT CASE WHEN k = 'discount' THEN 'l_discount.range' ELSE 'l_quantity.range' END AS check_id, n, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey))::INTEGER AS n FROM f) WHERE n <= 5")
+def sample_all_failures(spark, sf_dir):
+    """The first records that fail each check, of all checks at once."""
+    d = table(spark, sf_dir, "lineitem").withColumn("k", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    c = _fields(l_discount=FieldRule(maximum=0.05), l_quantity=FieldRule(maximum=30))
+    return checks.all_samples(d, c, "k").select("check_id", "n", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("WITH i AS (SELECT o_orderkey % 500 AS intent_id, o_orderkey AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 500 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1), r AS (SELECT DISTINCT l_orderkey % 500 AS intent_id, 'f' || (l_partkey % 9) AS path, l_linenumber AS a, l_linenumber + 2 AS b FROM lineitem UNION SELECT l_orderkey % 500, 'f' || (l_partkey % 9), 0, 1 FROM lineitem), g AS (SELECT intent_id, string_agg(path || ':' || a || '-' || b, ',' ORDER BY path, a, b) AS refs FROM r GROUP BY 1) SELECT i.intent_id, k, coalesce(refs, '') AS refs FROM i LEFT JOIN g ON g.intent_id = i.intent_id")
+def intents_traces(spark, sf_dir):
+    """The newest intent of each id with the references of its traces."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 500).alias("intent_id"), F.col("o_orderkey").alias("k"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    span = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+    zero = F.lit(0).cast("long")
+    n = F.col("l_linenumber").cast("long")
+    files = F.array(F.struct(F.concat(F.lit("f"), (F.col("l_partkey") % 9).cast("string")).alias("path"), F.array(span(n, n + 2), span(zero, zero + 1)).alias("ranges")))
+    t = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("intent_id"), files.alias("files"))
+    out = ingest.intents_with_refs(o, t)
+    said = lambda r: F.concat(r["path"], F.lit(":"), r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))
+    return out.select("intent_id", "k", F.array_join(F.transform("code_refs", said), ",").alias("refs"))
+
+
+@query("WITH b AS (SELECT conv_id, turn, trim(text) AS t, (turn * 37 % 150)::DOUBLE AS c FROM conversations WHERE trim(text) <> ''), n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY length(t) < 60, turn, t))::INTEGER AS fact_no FROM b) SELECT conv_id, fact_no, t AS text, greatest(0, least(1, CASE WHEN c > 1 THEN c / 100 ELSE c END))::DOUBLE AS confidence FROM n WHERE fact_no <= 3")
+def facts_of_documents(spark, sf_dir):
+    """The first long blocks of each conversation, filled up with short ones."""
+    c = table(spark, sf_dir, "conversations").withColumn("score", (F.col("turn") * 37 % 150).cast("double"))
+    return ingest.facts(c, "conv_id", ["turn", "text"], "text", "score", most=3, least=60)
+
+
+@query("SELECT n_nationkey, 0::BIGINT AS section_no, n_name AS title, 'v' || n_regionkey AS status, 'second' AS twice FROM nation UNION ALL SELECT n_nationkey, 1, 'Notes', NULL, NULL FROM nation")
+def markdown_records(spark, sf_dir):
+    """Sections and named lines of Markdown texts made of nations."""
+    text = F.concat(F.lit("# head\n\n## "), "n_name", F.lit("\n- **status**: v"), F.col("n_regionkey").cast("string"), F.lit("\n- **twice**: first\n- **twice**: second\nfree text\n## Notes\nnone\n"))
+    s = ingest.markdown_sections(table(spark, sf_dir, "nation").withColumn("md", text), "md", ["n_nationkey"])
+    return s.select("n_nationkey", "section_no", "title", F.try_element_at("fields", F.lit("status")).alias("status"), F.try_element_at("fields", F.lit("twice")).alias("twice"))
+
+
+@query("SELECT CASE WHEN contains(text, 'a') AND regexp_matches(lower(text), 'th|en') THEN 'first' WHEN regexp_matches(lower(text), 'er') THEN 'second' ELSE 'unknown' END AS service, count(*)::BIGINT AS n FROM (SELECT coalesce(role, '') || ' a ' || coalesce(text, '') AS text FROM conversations) GROUP BY 1")
+def service_routing(spark, sf_dir):
+    """The first route whose words a turn has."""
+    who = ingest.routed([("th|en", "first"), ("er", "second")], F.col("role"), F.lit("a"), F.col("text"))
+    return table(spark, sf_dir, "conversations").groupBy(who.alias("service")).agg(F.count("*").alias("n"))
+
+
+@query("WITH h AS (SELECT n_name, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || n_name::BLOB) AS h FROM nation) SELECT n_name, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || (['8', '9', 'a', 'b'])[('0x' || substr(h, 17, 1))::INTEGER % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h")
+def uuid5_ids(spark, sf_dir):
+    """Version 5 identifiers of names."""
+    return table(spark, sf_dir, "nation").select("n_name", text.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("n_name")).alias("id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from typing import Any
 
 import yaml
@@ -41,9 +43,61 @@ def read_yaml(spark: SparkSession, path: str) -> Any:
     return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
 
 
+def read_spec(spark: SparkSession, path: str) -> dict:
+    """A change specification: JSON by its suffix, else YAML. A missing file is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    text = spark.read.text(path, wholetext=True).first()[0]
+    return json.loads(text) if path.lower().endswith(".json") else yaml.safe_load(text)
+
+
+def read_reports(spark: SparkSession, folder: str, schema: T.StructType | str, baseline: bool = False, names: Sequence[str] = ("clean.json", "clean_run.json")) -> DataFrame:
+    """The reports of a folder, those of its JSON files that have ``results``, with their ``file`` name.
+
+    As a baseline, one file is taken: the first of ``names`` that is there, else the least that begins with clean;
+    where there is none, all are.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    r = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    r = r.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).where("results IS NOT NULL")
+    if not baseline:
+        return r
+    place = F.coalesce(*[F.when(F.col("file") == n, i) for i, n in enumerate(names)], F.when(F.col("file").startswith("clean"), len(names)))
+    chosen = r.agg(F.min(F.when(place.isNotNull(), F.struct(place, "file"))).alias("c")).select(F.col("c.file").alias("__chosen"))
+    return r.join(chosen).where(F.col("__chosen").isNull() | (F.col("file") == F.col("__chosen"))).drop("__chosen")
+
+
+TIMES = ("generated_at", "run_timestamp", "detected_at", "end_time", "start_time")
+
+
+def latest_file(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
+    """The newest record among a folder's JSON files: by the first of TIMES that it has, else by its file's own time."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    r = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    at = F.coalesce(*[F.try_to_timestamp(F.col(c)) for c in TIMES if c in schema.names], F.col("_metadata.file_modification_time").cast("timestamp"))
+    return r.select("*", at.alias("__at"), F.col("_metadata.file_path").alias("__file")).orderBy(F.desc("__at"), "__file").limit(1).drop("__at", "__file")
+
+
+def _in_key_order(col: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_in_key_order(col[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(col.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _in_key_order(x, kind.elementType))
+    return col
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    """JSON lines with sorted keys."""
-    df.select(*sorted(df.columns)).write.mode("append" if append else "overwrite").json(path)
+    """JSON lines with sorted keys, those of nested records too."""
+    ordered = [_in_key_order(df[f.name], f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    df.select(*ordered).write.mode("append" if append else "overwrite").json(path)
+
+
+def write_report(spark: SparkSession, results: DataFrame, path: str, **head: Any) -> None:
+    """A report of check results, a row for each check, as one indented JSON document."""
+    from tessera.sources.store import write_text
+
+    write_text(spark, path, json.dumps({**head, "results": [r.asDict(True) for r in results.collect()]}, indent=2, sort_keys=True, default=str))
 
 
 def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

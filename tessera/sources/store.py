@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tessera.operators.profile import merged_baseline
 from tessera.plans.contract import Contract
 from tessera.sources.records import exists
-from tessera.sources.shared import kept
 
 
 def write_text(spark: SparkSession, path: str, content: str) -> None:
@@ -62,10 +61,24 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def upsert_baseline(stats: DataFrame, path: str) -> None:
-    """Keep (path, mean, stddev) of each field; new statistics win. What is read is fixed before it is overwritten."""
-    new = stats.select("path", "mean", "stddev")
-    old = read_baseline(stats.sparkSession, path)
-    kept(new if old is None else merged_baseline(old, new)).write.mode("overwrite").parquet(path)
+    """Keep (path, mean, stddev) of each field; new statistics win.
+
+    The new table is written aside and then takes the old one's name, so that a crash leaves one of them whole: the old
+    one is set aside as ``.old`` for that moment, and is taken up again by the next call if nothing replaced it.
+    """
+    spark = stats.sparkSession
+    jvm = spark.sparkContext._jvm
+    place = lambda ending="": jvm.org.apache.hadoop.fs.Path(path + ending)
+    fs = place().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place()) and fs.exists(place(".old")):
+        fs.rename(place(".old"), place())
+    new, old = stats.select("path", "mean", "stddev"), read_baseline(spark, path)
+    (new if old is None else merged_baseline(old, new)).write.mode("overwrite").parquet(path + ".new")
+    fs.delete(place(".old"), True)
+    if old is not None:
+        fs.rename(place(), place(".old"))
+    fs.rename(place(".new"), place())
+    fs.delete(place(".old"), True)
 
 
 def retained(names: list[str], keep: int) -> tuple[list[str], list[str]]:

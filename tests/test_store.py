@@ -1,9 +1,11 @@
 from datetime import UTC, datetime
 
+import pytest
+
 from tessera.operators import checks, evolution, profile
 from tessera.plans import catalogue
 from tessera.plans.contract import Contract, FieldRule
-from tessera.sources import store
+from tessera.sources import records, store
 
 
 def test_snapshots_and_diff(spark, tmp_path):
@@ -34,3 +36,32 @@ def test_catalogue_on_events(spark):
     broken = df.where("sequence_number <> 2")
     assert {r["check_id"] for r in checks.evaluate(broken, c).where("status = 'FAIL'").collect()} == {"events.sequence"}
     assert {k: len(catalogue.clauses_for(k)) for k in ("intents", "generic")} == {"intents": 5, "generic": 0}
+
+
+def test_interrupted_baseline(spark, tmp_path):
+    """A run that ended between both renames leaves the old table aside; the next one takes it up."""
+    path = tmp_path / "b"
+    stats = lambda name: profile.numeric_profile(spark.createDataFrame([(1.0,)], f"{name} double"), [name])
+    store.upsert_baseline(stats("x"), f"file://{path}")
+    path.rename(tmp_path / "b.old")
+    store.upsert_baseline(stats("y"), f"file://{path}")
+    assert sorted(r["path"] for r in store.read_baseline(spark, f"file://{path}").collect()) == ["x", "y"]
+    assert not (tmp_path / "b.old").exists()
+
+
+def test_reports_specs_and_latest(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    for name, body in (("a.json", '{"generated_at": "2024-01-02T00:00:00Z", "results": [{"status": "PASS"}]}'), ("clean_x.json", '{"results": [{"status": "FAIL"}]}'), ("clean.json", '{"generated_at": "2024-01-03T00:00:00Z", "results": []}'), ("none.json", '{"x": 1}'), ("s.yaml", "change_type: add_field")):
+        store.write_text(spark, f"{folder}/{name}", body)
+    schema = "generated_at string, results array<struct<status string>>"
+    names = lambda **how: sorted(r["file"] for r in records.read_reports(spark, folder, schema, **how).collect())
+    assert names() == ["a.json", "clean.json", "clean_x.json"] and names(baseline=True) == ["clean.json"] and names(baseline=True, names=()) == ["clean.json"]
+    assert records.latest_file(spark, folder, "generated_at string").where("generated_at IS NULL").count() == 1  # written just now
+    assert records.read_spec(spark, f"{folder}/s.yaml") == {"change_type": "add_field"} and records.read_spec(spark, f"{folder}/none.json") == {"x": 1}
+    with pytest.raises(FileNotFoundError):
+        records.read_spec(spark, f"{folder}/absent.json")
+    nested = spark.createDataFrame([(1, (2, [(3, 4)]))], "z int, a struct<y: int, b: array<struct<q: int, c: int>>>")
+    records.write_jsonl(nested, f"{folder}/out")
+    assert [r[0] for r in spark.read.text(f"{folder}/out").collect()] == ['{"a":{"b":[{"c":4,"q":3}],"y":2},"z":1}']
+    records.write_report(spark, spark.createDataFrame([("c", "PASS")], "check_id string, status string"), f"{folder}/r.json", total=1)
+    assert records.read_spec(spark, f"{folder}/r.json") == {"total": 1, "results": [{"check_id": "c", "status": "PASS"}]}
