@@ -398,26 +398,75 @@ def edge_merge_max(spark, sf_dir):
     return lineage.merged_edges(j.select(F.col("c_nationkey").alias("source"), F.col("n_regionkey").alias("target"), F.lit("IN").alias("relationship"), (F.col("c_acctbal") / 10000.0).alias("confidence")))
 
 
-OLD = Contract("c", fields={"a": FieldRule("integer", True), "b": FieldRule("number", True, minimum=0, maximum=1), "c": FieldRule("string", enum=["x", "y"]), "d": FieldRule("string"), "e": FieldRule("integer", minimum=0, maximum=10), "f": FieldRule("string", True)})
-NEW = Contract("c", fields={"a": FieldRule("number", True), "b": FieldRule("number", True, minimum=0, maximum=100), "c": FieldRule("string", enum=["x"]), "e": FieldRule("integer", minimum=0, maximum=20), "f": FieldRule("integer", True), "g": FieldRule("string", True)})
-_DIFF = "(VALUES ('a', 'TYPE_WIDENING', 'backward', 'LOW'), ('b', 'NUMERIC_SCALE_SHIFT', 'breaking', 'CRITICAL'), ('c', 'ENUM_VALUE_REMOVED', 'breaking', 'HIGH'), ('d', 'FIELD_REMOVED_OPTIONAL', 'forward', 'MEDIUM'), ('e', 'RANGE_WIDENING', 'forward', 'LOW'), ('f', 'TYPE_CHANGE', 'breaking', 'HIGH'), ('g', 'FIELD_ADDED_REQUIRED', 'breaking', 'HIGH')) v(field_name, change_type, compatibility_class, severity)"
-
-
-@query(f"SELECT * FROM {_DIFF}")
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+_SIZES = " UNION ALL ".join(f"SELECT '{c}' AS field, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM lineitem" for c in _MEASURES)
+#: Old and new fields: l_discount in percent, l_tax gone, l_linenumber a number, l_quantity an integer, prices bounded by what was seen.
+_CHANGED = f"""m AS ({_SIZES}), c AS (
+  SELECT field, CASE
+    WHEN field = 'l_discount' THEN CASE WHEN low >= 0 AND high <= 1 AND high * 100 > 1 THEN 'NUMERIC_SCALE_SHIFT' ELSE 'NO_CHANGE' END
+    WHEN field = 'l_tax' THEN 'FIELD_REMOVED_OPTIONAL' WHEN field = 'l_linenumber' THEN 'TYPE_WIDENING' WHEN field = 'l_quantity' THEN 'TYPE_NARROWING'
+    WHEN high < 100000 THEN 'RANGE_NARROWING' WHEN high > 100000 THEN 'RANGE_WIDENING' ELSE 'NO_CHANGE' END AS change_type FROM m
+  UNION ALL SELECT 'added', 'FIELD_ADDED_REQUIRED')"""
+_CLASSES = "(VALUES ('NUMERIC_SCALE_SHIFT', 'breaking', 'CRITICAL'), ('FIELD_REMOVED_OPTIONAL', 'forward', 'MEDIUM'), ('TYPE_WIDENING', 'backward', 'LOW'), ('TYPE_NARROWING', 'breaking', 'CRITICAL'), ('RANGE_NARROWING', 'breaking', 'HIGH'), ('RANGE_WIDENING', 'forward', 'LOW'), ('NO_CHANGE', 'backward', 'LOW'), ('FIELD_ADDED_REQUIRED', 'breaking', 'HIGH')) k(t, class, severity)"
+
+
+def _field_tables(spark, sf_dir):
+    """Fields of lineitem as measured, before and after a release that changes them."""
+    d = table(spark, sf_dir, "lineitem")
+    none, kind = F.lit(None).cast("double"), F.when(F.col("path") == "l_linenumber", "integer").otherwise("number")
+    fields = lambda stats, kind, top: stats.select(F.col("path").alias("field"), kind.alias("type"), F.lit(False).alias("required"), none.alias("minimum"), top.alias("maximum"), F.lit(None).cast("array<string>").alias("enum"), F.col("minimum").alias("low"), F.col("maximum").alias("high"))
+    priced = lambda value: F.when(F.col("path") == "l_extendedprice", value)
+    old = fields(profile.numeric_profile(d, _MEASURES), kind, priced(F.lit(100000.0)))
+    stats = profile.numeric_profile(d.withColumn("l_discount", F.round(F.col("l_discount") * 100, 6)).drop("l_tax"), [m for m in _MEASURES if m != "l_tax"])
+    new = fields(stats, F.when(F.col("path") == "l_quantity", "integer").otherwise("number"), priced(F.col("maximum")))
+    added = spark.createDataFrame([("added", "string", True, None, None, None, None, None)], evolution.FIELDS)
+    return old, new.unionByName(added)
+
+
+@query(f"WITH {_CHANGED} SELECT field AS field_name, change_type, class AS compatibility_class, severity FROM c JOIN {_CLASSES} ON t = change_type")
 def schema_diff(spark, sf_dir):
-    d = evolution.classify(evolution.field_table(spark, OLD), evolution.field_table(spark, NEW))
-    return d.select("field_name", "change_type", "compatibility_class", "severity")
+    """Change kinds of fields whose bounds and statistics are measured."""
+    return evolution.classify(*_field_tables(spark, sf_dir)).select("field_name", "change_type", "compatibility_class", "severity")
 
 
-@query("SELECT 'breaking' AS verdict, 7::BIGINT AS changes")
+@query(f"WITH {_CHANGED} SELECT CASE WHEN bool_or(class = 'breaking') THEN 'breaking' ELSE 'backward' END AS verdict, count(*) FILTER (change_type <> 'NO_CHANGE')::BIGINT AS changes FROM c JOIN {_CLASSES} ON t = change_type")
 def schema_verdict(spark, sf_dir):
-    return evolution.verdict(evolution.classify(evolution.field_table(spark, OLD), evolution.field_table(spark, NEW)))
+    return evolution.verdict(evolution.classify(*_field_tables(spark, sf_dir)))
+
 
+_REGISTRY = "r AS (SELECT 'c' || (p_partkey % 2) AS contract_id, p_brand AS subscriber_id, (['l_discount', 'l_quantity', 'l_linenumber', 'l_tax', 'added'])[p_size % 5 + 1] AS breaking_field FROM part)"
+
+
+@query(f"WITH {_CHANGED}, {_REGISTRY} SELECT subscriber_id, breaking_field AS field_name, change_type FROM r JOIN c ON field = breaking_field JOIN {_CLASSES} ON t = change_type WHERE class = 'breaking' AND contract_id = 'c1'")
+def change_notifications(spark, sf_dir):
+    """Subscribers of a contract, made of parts, whose declared breaking fields have changed."""
+    field = F.get(F.array(*[F.lit(f) for f in ("l_discount", "l_quantity", "l_linenumber", "l_tax", "added")]), (F.col("p_size") % 5).cast("int"))
+    registry = table(spark, sf_dir, "part").select(F.concat(F.lit("c"), (F.col("p_partkey") % 2).cast("string")).alias("contract_id"), F.col("p_brand").alias("subscriber_id"), field.alias("breaking_field"))
+    return evolution.notifications(evolution.classify(*_field_tables(spark, sf_dir)), registry, "c1")
 
-@query("SELECT * FROM (VALUES ('team-a', 'facts', 'facts.confidence'), ('team-b', 'facts.confidence', 'facts.confidence'), ('team-c', 'facts.confidence.low', 'facts.confidence')) v(subscriber_id, field, failing)")
+
+_PATHS = "s AS (SELECT DISTINCT p_brand AS subscriber_id, lower(p_type) || (['', '.s' || (p_size % 4), '.s' || (p_size % 4) || '.x'])[p_partkey % 3 + 1] AS field FROM part), f AS (SELECT DISTINCT lower(p_type) || '.s1' AS failing FROM part WHERE p_size % 10 = 1)"
+
+
+@query(f"WITH {_PATHS} SELECT DISTINCT subscriber_id, field, failing FROM s JOIN f ON field = failing OR starts_with(failing, field || '.') OR starts_with(field, failing || '.')")
 def registry_blast_radius(spark, sf_dir):
-    subs = spark.createDataFrame([("team-a", "facts"), ("team-b", "facts.confidence"), ("team-c", "facts.confidence.low"), ("team-d", "facts.text")], "subscriber_id string, field string")
-    return evolution.blast_radius(subs, spark.createDataFrame([("facts.confidence",)], "failing string"))
+    """Subscriptions to part types, sizes and what lies below as field paths, and sizes that fail."""
+    p, kind, size = table(spark, sf_dir, "part"), F.lower("p_type"), F.concat(F.lit(".s"), (F.col("p_size") % 4).cast("string"))
+    field = F.concat(kind, F.get(F.array(F.lit(""), size, F.concat(size, F.lit(".x"))), (F.col("p_partkey") % 3).cast("int")))
+    return evolution.blast_radius(p.select(F.col("p_brand").alias("subscriber_id"), field.alias("field")).distinct(), p.where("p_size % 10 = 1").select(F.concat(kind, F.lit(".s1")).alias("failing")).distinct())
+
+
+_SUBSCRIBED = "s AS (SELECT DISTINCT 'r' || n_regionkey || '-v' || n_nationkey AS c, 'r' || (n_nationkey % 7) || '-app' AS u FROM nation)"
+
+
+@query(f"WITH {_SUBSCRIBED} SELECT c AS source, u AS target, 'CONSUMED_BY' AS relationship FROM s UNION ALL SELECT a.u, b.c, 'PUBLISHES' FROM (SELECT DISTINCT u FROM s) a JOIN (SELECT DISTINCT c FROM s) b ON split_part(a.u, '-', 1) = split_part(b.c, '-', 1) AND a.u <> b.c")
+def contract_graph(spark, sf_dir):
+    """Edges of a registry made of nations, and those that names imply."""
+    n = table(spark, sf_dir, "nation")
+    text_of = lambda c: c.cast("string")
+    contract = F.concat(F.lit("r"), text_of(F.col("n_regionkey")), F.lit("-v"), text_of(F.col("n_nationkey")))
+    return lineage.contract_graph(n.select(contract.alias("contract_id"), F.concat(F.lit("r"), text_of(F.col("n_nationkey") % 7), F.lit("-app")).alias("subscriber_id")))
+
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount * 100, 6) AS l_discount, l_tax AS rate, l_linenumber::DOUBLE AS n, CASE WHEN l_returnflag IN ('A', 'N') THEN 'X' ELSE l_returnflag END AS l_returnflag, 'v' AS added FROM lineitem")
@@ -549,14 +598,6 @@ def raw_json_profile(spark, sf_dir):
     return flatten.profile(flatten.observations(table(spark, sf_dir, "events"), "props"))
 
 
-@query("SELECT * FROM (VALUES ('team-a', 'b', 'NUMERIC_SCALE_SHIFT'), ('team-b', 'f', 'TYPE_CHANGE')) v(subscriber_id, field_name, change_type)")
-def change_notifications(spark, sf_dir):
-    """Subscribers of a contract whose declared breaking fields have changed."""
-    changes = evolution.classify(evolution.field_table(spark, OLD), evolution.field_table(spark, NEW))
-    registry = spark.createDataFrame([("c", "team-a", "b"), ("c", "team-b", "f"), ("c", "team-c", "d"), ("other", "team-d", "b")], "contract_id string, subscriber_id string, breaking_field string")
-    return evolution.notifications(changes, registry, "c")
-
-
 @query("WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), v AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY label) SELECT vec_id, round(1 - list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * m[i])) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(m, lambda x: x * x)))), 5) AS distance FROM embeddings e JOIN v ON v.label = e.label")
 def cosine_distance(spark, sf_dir):
     """Each vector against the centroid of its label."""
@@ -588,12 +629,6 @@ def semi_join(spark, sf_dir):
     return e.join(keys, "path", "left_semi").groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('orders-v1', 'billing-app', 'CONSUMED_BY'), ('billing-v1', 'orders-app', 'CONSUMED_BY'), ('billing-app', 'billing-v1', 'PUBLISHES'), ('orders-app', 'orders-v1', 'PUBLISHES')) v(source, target, relationship)")
-def contract_graph(spark, sf_dir):
-    """Edges of a registry, and those that names imply."""
-    return lineage.contract_graph(spark.createDataFrame([("orders-v1", "billing-app"), ("billing-v1", "orders-app")], "contract_id string, subscriber_id string"))
-
-
 @query("SELECT path, cardinality FROM (SELECT 'c_name' AS path, count(DISTINCT c_name)::BIGINT AS cardinality FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer) WHERE path LIKE '%name' AND cardinality > 20")
 def ambiguous_columns(spark, sf_dir):
     """Text columns whose names say too little."""
