@@ -4,45 +4,59 @@ from __future__ import annotations
 
 import yaml
 
-from tessera.functions import text
-from tessera.plans.contract import Clause, Contract, FieldRule
+from tessera.plans.contract import Clause, Contract
 
-# Fixed clauses by kind of dataset.
-CLAUSES = """
+# The clauses of each kind of dataset. Ids begin with the kind, as contracts of a kind may have any name.
+CLAUSES = r"""
 intents:
+  - {id: intents.intent_id, rule: {type: field_format, field: intent_id, format: uuid}}
+  - {id: intents.created_at, rule: {type: field_format, field: created_at, format: date-time}}
   - {id: intents.code_refs, rule: {type: array_min_items, field: code_refs, minimum: 1}}
   - {id: intents.confidence, rule: {type: numeric_range, field: code_refs.confidence, minimum: 0, maximum: 1}}
-  - {id: intents.line_start, rule: {type: numeric_range, field: code_refs.line_start, minimum: 1}}
-  - {id: intents.created_at, rule: {type: field_format, field: created_at, format: date-time}}
-  - {id: intents.files, severity: warn, rule: {type: repo_path_exists, field: code_refs.file}}
+  - {id: intents.files, rule: {type: repo_path_exists, field: code_refs.file}}
 verdicts:
-  - {id: verdicts.verdict, rule: {type: field_enum, field: overall_verdict, allowed: [PASS, WARN, FAIL]}}
-  - {id: verdicts.rubric_version, rule: {type: field_pattern, field: rubric_version, pattern: '\\d+\\.\\d+\\.\\d+$'}}
-  - {id: verdicts.weighted_mean, rule: {type: weighted_mean_equals, map_field: scores, output: overall_score, tolerance: 0.01}}
+  - {id: verdicts.verdict_id, rule: {type: field_format, field: verdict_id, format: uuid}}
+  - {id: verdicts.verdict, rule: {type: field_enum, field: overall_verdict, allowed: [PASS, FAIL, WARN]}}
+  - {id: verdicts.scores, rule: {type: numeric_range, field: scores.score, minimum: 1, maximum: 5}}
+  - {id: verdicts.weighted_mean, rule: {type: weighted_mean_equals, map_field: scores, output: overall_score, tolerance: 0.001}}
+  - {id: verdicts.rubric_id, rule: {type: field_pattern, field: rubric_id, pattern: '[0-9a-f]{64}$'}}
+  - {id: verdicts.rubric_version, rule: {type: field_pattern, field: rubric_version, pattern: '\d+\.\d+\.\d+$'}}
   - {id: verdicts.confidence, rule: {type: numeric_range, field: confidence, minimum: 0, maximum: 1}}
   - {id: verdicts.evaluated_at, rule: {type: field_format, field: evaluated_at, format: date-time}}
 extractions:
-  - {id: extractions.facts, rule: {type: array_min_items, field: extracted_facts, minimum: 1}}
-  - {id: extractions.confidence, rule: {type: multi_field_numeric_range, fields: [extracted_facts.confidence, entities.confidence], minimum: 0, maximum: 1}}
+  - {id: extractions.doc_id, rule: {type: field_format, field: doc_id, format: uuid}}
+  - {id: extractions.extracted_at, rule: {type: field_format, field: extracted_at, format: date-time}}
+  - {id: extractions.fact_id, rule: {type: field_format, field: extracted_facts.fact_id, format: uuid}}
+  - {id: extractions.confidence, rule: {type: numeric_range, field: extracted_facts.confidence, minimum: 0, maximum: 1}}
   - {id: extractions.page_ref, rule: {type: numeric_range, field: extracted_facts.page_ref, minimum: 1}}
-  - {id: extractions.entity_type, rule: {type: field_enum, field: entities.type, allowed: [PERSON, ORG, LOCATION, DATE, AMOUNT, OTHER]}}
+  - {id: extractions.excerpt, rule: {type: string_length, field: extracted_facts.source_excerpt, minimum: 1}}
+  - {id: extractions.source_hash, rule: {type: field_pattern, field: source_hash, pattern: '[0-9a-f]{64}$'}}
+  - {id: extractions.rules_hash, rule: {type: field_pattern, field: extraction_rules_hash, pattern: '[0-9a-f]{64}$'}}
   - {id: extractions.processing_time, rule: {type: numeric_range, field: processing_time_ms, minimum: 1}}
-  - {id: extractions.tokens, rule: {type: multi_field_numeric_range, fields: [token_count.input, token_count.output], minimum: 0}}
-  - {id: extractions.excerpt, severity: warn, rule: {type: string_length, field: extracted_facts.source_excerpt, minimum: 1}}
+  - {id: extractions.source_path, severity: warn, rule: {type: field_pattern, field: source_path, pattern: '.*/(artifacts/)?week3/.refinery/(extracted|chunks)/.+'}}
+  - {id: extractions.tokens, severity: warn, rule: {type: multi_field_numeric_range, fields: [token_count.input, token_count.output], minimum: 0}}
 lineage:
-  - {id: lineage.endpoints, rule: {type: edge_endpoints_exist, nodes: nodes, edges: edges}}
+  - {id: lineage.snapshot_id, rule: {type: field_format, field: snapshot_id, format: uuid}}
+  - {id: lineage.commit, rule: {type: field_pattern, field: git_commit, pattern: '[0-9a-f]{40}$'}}
   - {id: lineage.relationship, rule: {type: field_enum, field: edges.relationship, allowed: [IMPORTS, CALLS, READS, WRITES, PRODUCES, CONSUMES]}}
+  - {id: lineage.endpoints, rule: {type: edge_endpoints_exist, nodes: nodes, edges: edges}}
   - {id: lineage.confidence, rule: {type: numeric_range, field: edges.confidence, minimum: 0, maximum: 1}}
-  - {id: lineage.commit, rule: {type: field_pattern, field: git_commit, pattern: '[0-9a-f]{40}$'}}
   - {id: lineage.captured_at, rule: {type: field_format, field: captured_at, format: date-time}}
 events:
-  - {id: events.sequence, rule: {type: group_monotonic, group_by: [aggregate_id], field: sequence_number}}
-  - {id: events.order, rule: {type: temporal_order, left: occurred_at, right: recorded_at, operator: '<='}}
-  - {id: events.type, rule: {type: field_pattern, field: event_type, pattern: '[A-Z][A-Za-z0-9]+$'}}
-  - {id: events.schema_version, rule: {type: field_pattern, field: schema_version, pattern: '\\d+\\.\\d+$'}}
   - {id: events.event_id, rule: {type: field_format, field: event_id, format: uuid}}
-  - {id: events.correlation, severity: warn, rule: {type: field_format, field: metadata.correlation_id, format: uuid}}
+  - {id: events.aggregate_id, rule: {type: field_format, field: aggregate_id, format: uuid}}
+  - {id: events.aggregate_type, rule: {type: field_enum, field: aggregate_type, allowed: [LoanApplication, AgentSession, DocumentPackage, ComplianceRecord, AuditLedger]}}
+  - {id: events.type, rule: {type: field_pattern, field: event_type, pattern: '[A-Z][A-Za-z0-9]*$'}}
+  - {id: events.occurred_at, rule: {type: field_format, field: occurred_at, format: date-time}}
+  - {id: events.order, rule: {type: temporal_order, left: occurred_at, right: recorded_at, operator: '<='}}
+  - {id: events.sequence_number, rule: {type: numeric_range, field: sequence_number, minimum: 1}}
+  - {id: events.sequence, rule: {type: group_monotonic, group_by: [aggregate_id], field: sequence_number}}
+  - {id: events.schema_version, rule: {type: field_enum, field: schema_version, allowed: ['1.0', '2.0']}}
+  - {id: events.correlation, rule: {type: field_format, field: metadata.correlation_id, format: uuid}}
+  - {id: events.amount, rule: {type: conditional_numeric_range, field: payload.requested_amount_usd, minimum: 0.01, when: {field: event_type, equals: ApplicationSubmitted}}}
+  - {id: events.document, severity: warn, rule: {type: conditional_pattern, field: payload.document_path, pattern: '.+\.pdf$', when: {field: event_type, in: [DocumentUploadRequested, DocumentUploaded, DocumentAdded]}}}
 traces:
+  - {id: traces.id, rule: {type: field_format, field: id, format: uuid}}
   - {id: traces.order, rule: {type: temporal_order, left: start_time, right: end_time, operator: '<'}}
   - {id: traces.tokens, rule: {type: sum_equals, parts: [prompt_tokens, completion_tokens], output: total_tokens, tolerance: 0}}
   - {id: traces.run_type, rule: {type: field_enum, field: run_type, allowed: [llm, chain, tool, retriever, embedding]}}
@@ -55,20 +69,51 @@ def clauses_for(kind: str) -> list[Clause]:
     return [Clause(c["id"], c["rule"], c.get("severity", "error")) for c in yaml.safe_load(CLAUSES).get(kind, [])]
 
 
-# Fields of known meaning: those that exist in a learned contract get these rules on top.
-OVERRIDES = {
-    "git_commit": FieldRule(pattern=text.SHA1), "source_hash": FieldRule(pattern=text.SHA256), "rubric_id": FieldRule(pattern=text.SHA256), "extraction_rules_hash": FieldRule(pattern=text.SHA256),
-    "rubric_version": FieldRule(pattern=text.SEMVER), "processing_time_ms": FieldRule(minimum=1), "total_cost": FieldRule(minimum=0.0), "sequence_number": FieldRule(minimum=1),
-}
+# Rules of fields of known meaning, by kind of dataset; a learned contract that has the field gets them.
+OVERRIDES = r"""
+intents: {intent_id: {format: uuid}, created_at: {format: date-time}, code_refs.confidence: {type: number, minimum: 0.0, maximum: 1.0}}
+verdicts:
+  overall_verdict: {enum: [PASS, FAIL, WARN]}
+  overall_score: {type: number, minimum: 1.0, maximum: 5.0}
+  scores.score: {type: integer, minimum: 1, maximum: 5}
+  rubric_version: {pattern: '^\d+\.\d+\.\d+$'}
+extractions:
+  doc_id: {format: uuid}
+  source_hash: {pattern: '^[0-9a-f]{64}$'}
+  extraction_rules_hash: {pattern: '^[0-9a-f]{64}$'}
+  entities.type: {enum: [PERSON, ORG, LOCATION, DATE, AMOUNT, OTHER]}
+  processing_time_ms: {type: integer, minimum: 1}
+  extracted_at: {format: date-time}
+lineage:
+  git_commit: {pattern: '^[0-9a-f]{40}$'}
+  nodes.node_id: {format: null}
+  edges.relationship: {enum: [IMPORTS, CALLS, READS, WRITES, PRODUCES, CONSUMES]}
+  edges.confidence: {type: number, minimum: 0.0, maximum: 1.0}
+events:
+  event_id: {format: uuid}
+  aggregate_id: {format: uuid}
+  event_type: {pattern: '^[A-Z][A-Za-z0-9]*$'}
+  aggregate_type: {pattern: '^[A-Z][A-Za-z0-9]*$'}
+  schema_version: {pattern: '^\d+\.\d+$'}
+  sequence_number: {type: integer, minimum: 1}
+  occurred_at: {format: date-time}
+  recorded_at: {format: date-time}
+traces:
+  id: {format: uuid}
+  run_type: {enum: [llm, chain, tool, retriever, embedding]}
+  start_time: {format: date-time}
+  end_time: {format: date-time}
+  total_tokens: {type: integer, minimum: 0}
+  total_cost: {type: number, minimum: 0.0}
+"""
 
 
 def completed(contract: Contract, kind: str) -> Contract:
-    """A contract with the clauses of its kind, and overrides of the fields that it has."""
-    for name, rule in OVERRIDES.items():
+    """A contract with the clauses of its kind, and the fixed rules of the fields that it has."""
+    for name, rule in yaml.safe_load(OVERRIDES).get(kind, {}).items():
         if name in contract.fields:
-            for key in ("pattern", "minimum", "maximum"):
-                if getattr(rule, key) is not None:
-                    setattr(contract.fields[name], key, getattr(rule, key))
+            for key, value in rule.items():
+                setattr(contract.fields[name], key, value)
     known = {c.id for c in contract.clauses}
     contract.clauses += [c for c in clauses_for(kind) if c.id not in known]
     return contract

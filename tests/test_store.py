@@ -29,13 +29,15 @@ def test_baselines(spark, tmp_path):
 
 
 def test_catalogue_on_events(spark):
-    rows = [("a", i, f"2024-01-01T00:00:0{i}Z", "2024-01-01T00:00:05Z", "LoanOpened", "1.0") for i in (1, 2, 3)]
-    df = spark.createDataFrame(rows, "aggregate_id string, sequence_number long, occurred_at string, recorded_at string, event_type string, schema_version string")
+    id_of = "550e8400-e29b-41d4-a716-44665544000{}".format
+    rows = [(id_of(i), id_of(0), "AgentSession", i, f"2024-01-01T00:00:0{i}Z", "2024-01-01T00:00:05Z", "LoanOpened", "1.0", (id_of(9),)) for i in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "event_id string, aggregate_id string, aggregate_type string, sequence_number long, occurred_at string, recorded_at string, event_type string, schema_version string, metadata struct<correlation_id string>")
     c = catalogue.completed(profile.infer_contract(df, "events"), "events")
     assert checks.summary(checks.evaluate(df, c)).first()["overall_status"] == "PASS" and c.fields["sequence_number"].minimum == 1
     broken = df.where("sequence_number <> 2")
     assert {r["check_id"] for r in checks.evaluate(broken, c).where("status = 'FAIL'").collect()} == {"events.sequence"}
-    assert {k: len(catalogue.clauses_for(k)) for k in ("intents", "generic")} == {"intents": 5, "generic": 0}
+    assert {k: len(catalogue.clauses_for(k)) for k in ("intents", "verdicts", "extractions", "lineage", "events", "traces", "generic")} == {"intents": 5, "verdicts": 8, "extractions": 11, "lineage": 6, "events": 12, "traces": 5, "generic": 0}
+    assert all(c.rule["type"] in checks.ON_RECORDS + checks.ON_GROUPS + checks.ON_FILES for k in ("intents", "verdicts", "extractions", "lineage", "events", "traces") for c in catalogue.clauses_for(k))
 
 
 def test_interrupted_baseline(spark, tmp_path):
