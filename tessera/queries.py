@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import adapter, checks, crosschecks, evolution, ingest, lineage, payloads, profile, reporting, whatif
 from tessera.plans.contract import Clause, Contract, FieldRule
-from tessera.sources import flatten
+from tessera.sources import flatten, records, store
 from tessera.sources.shared import folder
 from tessera.streaming.watch import latest_results, sequences, watch, windowed_failures
 
@@ -947,3 +947,94 @@ def service_routing(spark, sf_dir):
 def uuid5_ids(spark, sf_dir):
     """Version 5 identifiers of names."""
     return table(spark, sf_dir, "nation").select("n_name", text.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("n_name")).alias("id"))
+
+
+_CLAUSED = "(SELECT p_partkey, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS id, p_brand, p_type, 'src/' || lower(p_type) || '/' || (p_partkey % 9) || '.py' AS path FROM (SELECT *, md5(p_partkey::VARCHAR) AS m FROM part))"
+
+
+@query(_rows(
+    ("c.format", "CRITICAL", "count(*) FILTER (NOT regexp_matches(id, '^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$'))", _CLAUSED), ("c.pattern", "WARNING", "count(*) FILTER (NOT regexp_matches(p_brand, '^(?:Brand#[1-9]$)'))", _CLAUSED),
+    ("c.enum", "LOW", "count(*) FILTER (p_type NOT IN ('ECONOMY', 'SMALL'))", _CLAUSED), ("c.path", "CRITICAL", "count(*) FILTER (p_partkey % 9 > 3)", _CLAUSED),
+))
+def clause_rules(spark, sf_dir):
+    """Format, pattern, enumeration and path clauses with their own severities."""
+    m = F.md5(F.col("p_partkey").cast("string"))
+    path = lambda n: F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), n.cast("string"), F.lit(".py"))
+    d = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]).alias("id"), "p_brand", "p_type", path(F.col("p_partkey") % 9).alias("path"))
+    files = table(spark, sf_dir, "part").select("p_type", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("n")).select(path(F.col("n")).alias("path")).distinct()
+    rules = [("c.format", "error", {"type": "field_format", "field": "id", "format": "uuid"}), ("c.pattern", "warn", {"type": "field_pattern", "field": "p_brand", "pattern": "Brand#[1-9]$"}), ("c.enum", "info", {"type": "field_enum", "field": "p_type", "allowed": ["ECONOMY", "SMALL"]}), ("c.path", "error", {"type": "repo_path_exists", "field": "path"})]
+    c = Contract("t", clauses=[Clause(i, r, s) for i, s, r in rules])
+    return checks.evaluate(d, c, files).select("check_id", "status", "severity", "records_failing")
+
+
+@query("SELECT o_orderstatus, count(*)::BIGINT AS n, sum(o_custkey)::BIGINT AS keys FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1")
+def jsonl_round_trip(spark, sf_dir):
+    """Orders written as JSON lines beside comments and broken lines, and read back tolerantly."""
+    where = f"{folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    records.write_jsonl(o.where("o_orderkey % 7 <> 0"), where)
+    o.where("o_orderkey % 7 = 0").select(F.when(F.col("o_orderkey") % 2 == 0, "# a comment").otherwise('{"o_orderkey": ').alias("value")).write.mode("append").text(where)
+    back = records.read_jsonl(spark, where, o.schema, tolerant=True)
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
+
+
+@query("SELECT coalesce(e, 'valid') AS error, count(*)::BIGINT AS n FROM (SELECT CASE WHEN value < 10 THEN 'value: minimum' WHEN event_type = 'view' THEN 'event_type: enum' END AS e FROM events) GROUP BY 1")
+def quarantine_split(spark, sf_dir):
+    """Valid records and those kept out, with what keeps them out."""
+    error = F.coalesce(payloads.schema_error(F.col("value"), "value", {"minimum": 10}), F.when(F.col("event_type") == "view", "event_type: enum"))
+    fine, bad = records.split_quarantine(table(spark, sf_dir, "events"), error)
+    return fine.select(F.lit("valid").alias("error")).unionByName(bad.select("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, max(coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END, o_orderdate - INTERVAL 1 DAY)) AS at FROM orders GROUP BY 1")
+def latest_records(spark, sf_dir):
+    """The newest order of each customer, by the first time that a record has."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("generated_at"), (F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).alias("run_timestamp"))
+    return records.latest(o, ["o_custkey"], ["generated_at", "run_timestamp"]).select("o_custkey", F.coalesce("generated_at", "run_timestamp").alias("at"))
+
+
+@query("SELECT 'l_quantity' AS path, round(avg(l_quantity), 6) AS mean FROM lineitem UNION ALL SELECT 'l_tax', round(avg(l_tax * 2), 6) FROM lineitem UNION ALL SELECT 'l_discount', round(avg(l_discount), 6) FROM lineitem")
+def baseline_upsert(spark, sf_dir):
+    """A baseline kept over two runs: the second replaces one field and adds another."""
+    where, d = f"{folder(spark)}/baseline-{uuid.uuid4().hex}", table(spark, sf_dir, "lineitem")
+    store.upsert_baseline(profile.numeric_profile(d, ["l_quantity", "l_tax"]), where)
+    store.upsert_baseline(profile.numeric_profile(d.withColumn("l_tax", F.col("l_tax") * 2), ["l_tax", "l_discount"]), where)
+    return store.read_baseline(spark, where).select("path", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'fixed' AS l_returnflag, 1 AS added FROM lineitem")
+def adapter_set_remove(spark, sf_dir):
+    """Fields set and removed."""
+    rules = [{"type": "set_value", "field": "l_returnflag", "value": "fixed"}, {"type": "remove_field", "field": "l_tax"}, {"type": "set_value", "field": "added", "value": 1}, {"type": "optional_field", "field": "gone"}]
+    out = adapter.apply_rules(table(spark, sf_dir, "lineitem"), rules)
+    return out.select([c for c in out.columns if c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_tax", "added")])
+
+
+@query(f"WITH {_EDGES}, m AS (SELECT 'graph' AS source, 'NODE' AS kind, target AS id, 1 AS hops FROM e WHERE source = 'r1' UNION ALL SELECT 'graph', 'NODE', b.target, 2 FROM e a JOIN e b ON a.target = b.source WHERE a.source = 'r1' UNION ALL SELECT 'registry', 'CONTRACT', 'n' || n_nationkey, 3 FROM nation UNION ALL SELECT 'graph', 'NODE', 'n' || n_nationkey, 5 FROM nation) SELECT source, kind, id, min(hops)::INTEGER AS hops FROM m GROUP BY ALL")
+def lineage_merge(spark, sf_dir):
+    """Entries of two graphs as one list, the nearest of each."""
+    reached = lineage.traverse(_edges(spark, sf_dir), spark.createDataFrame([("r1",)], "start string"))
+    of = lambda d, source, kind, hops: d.select(F.lit(source).alias("source"), F.lit(kind).alias("kind"), "id", hops.cast("int").alias("hops"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
+    parts = of(reached.select(F.col("node").alias("id"), "hops"), "graph", "NODE", F.col("hops")), of(nations, "registry", "CONTRACT", F.lit(3)), of(nations, "graph", "NODE", F.lit(5))
+    return lineage.merged_entries(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query("SELECT field_name, change_type FROM (SELECT 'l_tax' AS field_name, 'FIELD_RENAME' AS change_type UNION ALL SELECT 'l_quantity', 'NO_CHANGE' UNION ALL SELECT 'l_discount', CASE WHEN (SELECT min(l_discount) >= 0 AND max(l_discount) <= 1 AND max(l_discount) * 100 > 1 FROM lineitem) THEN 'TYPE_NARROWING_SCALE_SHIFT' ELSE 'TYPE_NARROWING' END)")
+def schema_rename(spark, sf_dir):
+    """A renamed field found by its likeness, a share that becomes whole percents, and a field that stays."""
+    d = table(spark, sf_dir, "lineitem")
+    learned = profile.infer_contract(d.select("l_tax", "l_quantity", "l_discount"), "old")
+    later = d.select(F.col("l_tax").alias("l_tax_rate"), "l_quantity", F.round(F.col("l_discount") * 100).cast("long").alias("l_discount"))
+    after = profile.infer_contract(later, "new")
+    renames = evolution.detect_renames(learned, after)
+    changes = evolution.classify(evolution.field_table(spark, learned), evolution.field_table(spark, after), renames)
+    return changes.select("field_name", "change_type")
+
+
+@query("SELECT p_partkey, lower(p_type) || '.sizes.s' || p_size AS path, p_size || '.' || (p_partkey % 5) || '.0' AS version FROM part")
+def path_and_version_rules(spark, sf_dir):
+    """Field paths without indexes and stray dots, and versions of three parts."""
+    size = F.col("p_size").cast("string")
+    raw = F.concat(F.lit("."), F.lower("p_type"), F.lit("[0]..sizes[*]. s"), size, F.lit("."))
+    return table(spark, sf_dir, "part").select("p_partkey", text.normal_field_path(raw).alias("path"), text.three_part_version(F.concat(size, F.lit("."), (F.col("p_partkey") % 5).cast("string"))).alias("version"))
