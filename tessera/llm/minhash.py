@@ -307,9 +307,9 @@ def _links(sets: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
     for turn in range(1, star_rounds + 1):
         labelled = checkpointed(thin.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
         member = labelled.select("node", "component", "n", F.explode("bands").alias("band"), salt("node"))
-        sizes = member.groupBy("band", "component", "salt").agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.min("node").alias("low"))
-        sizes = sizes.groupBy("band", "component").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.min("low").alias("low"), F.bit_or(bit("salt")).alias("salts"))
-        bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.sum("words").alias("words"), F.max(F.struct("n", "component", "low", "words")).alias("main"), F.bit_or("salts").alias("salts"))
+        sizes = member.groupBy("band", "component", "salt").agg(F.count("*").alias("n"), F.sum("n").alias("words"), F.max("node").alias("high"))
+        sizes = sizes.groupBy("band", "component").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("high").alias("high"), F.bit_or(bit("salt")).alias("salts"))
+        bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.sum("words").alias("words"), F.max(F.struct("n", "component", "high", "words")).alias("main"), F.bit_or("salts").alias("salts"))
         bands = checkpointed(bands.where("all * all > within"))  # bands of one component are done with
         cross, rows = bands.agg(F.sum((F.col("all") - F.col("within") / F.col("all")) / 2), F.sum("all")).first()
         if not cross:
@@ -317,7 +317,7 @@ def _links(sets: DataFrame, percent: int, star_rounds: int) -> DataFrame | None:
         last = turn == star_rounds or cross <= ENUMERATE * rows
         near = member.join(for_members(bands), ["band", "salt"])
         if not last:
-            pairs = near.where(F.col("component") != F.col("main.component")).select(F.col("node").alias("a"), F.col("main.low").alias("b"))
+            pairs = near.where(F.col("component") != F.col("main.component")).select(F.col("node").alias("a"), F.col("main.high").alias("b"))  # not the first leader again
             found = checkpointed(_confirmed(_best(pairs, thin, percent), sets, percent))
             links = checkpointed(links.unionByName(found))
             old = labelled.select("node", "component")
