@@ -42,15 +42,19 @@ def _one(path: str, v: object, counted: bool) -> tuple[str, str, str | None, flo
     return path, _kind(v), text, float(v) if isinstance(v, (bool, int, float)) else None, counted
 
 
-def observations(lines: DataFrame, column: str = "value") -> DataFrame:
-    """A row for each value of each dotted path of JSON objects; arrays of objects are unnested. Malformed lines fail."""
+def observations(lines: DataFrame, column: str = "value", tolerant: bool = False) -> DataFrame:
+    """A row for each value of each dotted path of JSON objects; arrays of objects are unnested.
+
+    Null and blank lines have none. A malformed line fails, or has none if ``tolerant``.
+    """
+    good = lines.where(F.try_parse_json(column).isNotNull()) if tolerant else lines
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for line in batch[column] if line and line.strip() for r in _values("", json.loads(line)) if r[0]]
             yield pd.DataFrame(rows, columns=["path", "kind", "sval", "dval", "counted"])
 
-    return lines.select(column).mapInPandas(read, SCHEMA)
+    return good.select(column).mapInPandas(read, SCHEMA)
 
 
 def profile(obs: DataFrame) -> DataFrame:

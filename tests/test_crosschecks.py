@@ -62,3 +62,5 @@ def test_raw_observations(spark):
     got = {r["path"]: (r["type"], r["seen"], r["observed"], r["nulls"]) for r in flatten.profile(obs).collect()}
     assert got == {"a": ("string", 2, 0, 1), "a.b": ("number", 2, 2, 0), "c": ("string", 2, 1, 1), "e": ("integer", 2, 1, 1), "f": ("string", 1, 3, 0), "g": ("boolean", 1, 1, 0)}
     assert flatten.observations(spark.createDataFrame([], "value string")).agg(F.count("*")).first()[0] == 0
+    broken = spark.createDataFrame([(x,) for x in [*lines, '{"a": ', None, "  "]], "value string")
+    assert flatten.observations(broken, tolerant=True).count() == obs.count()
