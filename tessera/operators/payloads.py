@@ -26,6 +26,13 @@ def unit_vectors(counts: DataFrame, by: list[str]) -> DataFrame:
     return m.select(*by, at.alias("v"))
 
 
+def centroids(df: DataFrame, by: list[str], vector: str, name: str = "v") -> DataFrame:
+    """(by..., name): the mean of each component over a group's vectors, of any length; a task passes on one row for each
+    component and group."""
+    means = df.select(*by, F.posexplode(vector).alias("__i", "__x")).groupBy(*by, "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
+    return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda c: c["__m"]).alias(name))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 less the cosine; 1 if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

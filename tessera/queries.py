@@ -602,9 +602,7 @@ def raw_json_profile(spark, sf_dir):
 def cosine_distance(spark, sf_dir):
     """Each vector against the centroid of its label."""
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    size = 64
-    centroids = e.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(size)]).alias("m"))
-    return e.join(centroids, "label").select("vec_id", F.round(payloads.cosine_distance(F.col("embedding"), F.col("m")), 5).alias("distance"))
+    return e.join(payloads.centroids(e, ["label"], "embedding", "m"), "label").select("vec_id", F.round(payloads.cosine_distance(F.col("embedding"), F.col("m")), 5).alias("distance"))
 
 
 @query("SELECT event_type, sum(CASE WHEN coalesce(n >= 0, false) THEN 0 ELSE 1 END)::BIGINT AS negative FROM (SELECT event_type, value - 50 AS n FROM events) GROUP BY 1")
