@@ -10,6 +10,7 @@ from copy import deepcopy
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import path_matches
 from tessera.operators import adapter, evolution
@@ -148,6 +149,19 @@ def recommendation(word: Column) -> Column:
     )
 
 
+def _differ(raw: T.StructType, adapted: T.StructType) -> Column:
+    """Whether a record's columns ``raw`` and ``adapted`` differ; fields that no rule touched cost nothing, as both are
+    the same expression."""
+    if set(raw.names) != set(adapted.names):
+        return F.lit(True)
+    out = F.lit(False)
+    for f in raw.fields:
+        a, b = F.col("raw")[f.name], F.col("adapted")[f.name]
+        same = f.dataType == adapted[f.name].dataType
+        out = out | ~(a.eqNullSafe(b) if same else a.cast("string").eqNullSafe(b.cast("string")))
+    return out
+
+
 def what_if(df: DataFrame, contract: Contract, change: dict, rules: list[dict] | None = None) -> DataFrame:
     """(stage, total, failed, overall_status, verdict, recommendation, attempted, applied), a row for each stage.
 
@@ -172,7 +186,7 @@ def what_if(df: DataFrame, contract: Contract, change: dict, rules: list[dict] |
     bad = F.col("status").isin("FAIL", "ERROR")
     by_stage = results.groupBy(F.substring_index("check_id", ".", 1).alias("stage")).agg(F.count("*").alias("total"), F.count_if(bad).alias("failed"))
     by_stage = by_stage.withColumn("overall_status", F.when(F.col("failed") > 0, "FAIL").otherwise("PASS"))
-    rewritten = d.agg(F.count_if(F.to_json("raw") != F.to_json("adapted")).alias("applied"))
+    rewritten = d.agg(F.count_if(_differ(d.schema["raw"].dataType, d.schema["adapted"].dataType)).alias("applied"))
     passed = {s: F.coalesce(F.min(F.when(F.col("stage") == s, F.col("failed") == 0)), F.lit(True)) for s in STAGES}
     one = by_stage.agg(*[p.alias(s) for s, p in passed.items()]).join(compared.select(F.col("verdict").alias("compatibility"), "changes")).join(rewritten)
     flags = {s: F.col(s) for s in STAGES}
