@@ -1,7 +1,7 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame operations only.
 
 Candidates are all long runs of letters and digits in a word, all values of assignments to names such as password
-or token, of whatever characters, and whole blocks of private keys. The forest sees a candidate's length, its character transitions, how much of it dictionary words cover,
+or token, of whatever characters, passwords in addresses, and whole blocks of private keys. The forest sees a candidate's length, its character transitions, how much of it dictionary words cover,
 whether it looks like a path (and the path of its file, if a column gives one), and the words beside it. It is
 trained from labelled findings and removes false positives such as commit hashes, checksums, identifiers and
 placeholders. Without findings of one's own, a fixed set is drawn up by rule.
@@ -26,7 +26,7 @@ SAMPLE_ROWS = 20_000
 LEAST = 16
 MASK = "[SECRET]"
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer)"
-_TO = rf"(?i){_NAMES}[A-Za-z0-9_-]*\\*[\"']?[:=]{{1,2}}"
+_TO = rf"(?i){_NAMES}[A-Za-z0-9_-]{{0,64}}+\\*[\"']?[:=]{{1,2}}"
 #: A bare value ends where the next name begins (query strings, lists) and before closing marks at its word's end.
 _BARE = r"((?:(?![&,;][\"']?[A-Za-z0-9_.-]+[\"']?[:=]|[,;)}\]>]{1,64}$|\\+[\"'])[^\s\"']){8,})"
 _ASSIGNED = [_TO + x for x in (r'\\*"((?:(?!\\+")[^\s"]){8,})', r"\\*'((?:(?!\\+')[^\s']){8,})", _BARE)]
@@ -36,7 +36,17 @@ _QUOTED = r"^\\*([\"'`])(\S{8,}?)\\*\1"
 _ENDS = rf"(?i){_NAMES}[\"']?\s*(?:[:=]{{1,2}}|is)$"
 _CORE = rf"([A-Za-z0-9+/_.-]{{{LEAST},}}={{0,2}})"
 _BLOCK_MARK = "PRIVATE KEY-----"
-_BLOCK = r"(?s)(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)"
+# Texts are cut before each mark, and each part is matched once from its begin on, so the work is in proportion to the
+# text. No repeated group is unbounded, which Java would match by recursion.
+_BLOCK_CUT = "(?=-----BEGIN )"
+_BLOCK = r"(?s)^()(-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----.*?-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----)"
+#: Values in quotes that hold white space, after an assignment: up to the next such quote of the line.
+_SPACED_TO = rf"(?i){_NAMES}[A-Za-z0-9_-]{{0,64}}+[\"']?\s{{0,8}}+[:=]{{1,2}}+\s{{0,8}}+"
+_SPACED = _SPACED_TO + r"[\"'](?=[^\"'\n\s]*+[^\S\n])"
+_SPACED_CUT = f"(?={_SPACED})"
+_SPACED_VALUE = [f"^({_SPACED_TO}{q})" + rf"([^{q}\n]{{8,}}+)(?={q})" for q in ('"', "'")]
+#: Passwords in connection addresses.
+_IN_URL = r"://[^\s:/@\"']{0,256}+:([^\s@\"'/]{4,}+)@"
 _BESIDE = rf"(?i)\b{_NAMES}\b"
 _AGAINST = r"(?i)\b(?:sha-?(?:1|256|512)?|md5|checksum|digest|commit|revision|rev|hash|uuid|guid|etag|version|build|id|ref|blob|example|sample|placeholder|dummy)\b"
 _QUIET_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|fixtures?|docs?|mocks?|locks?)(?:[/_.-]|$)"
@@ -86,14 +96,30 @@ def text_hash(text: Column) -> Column:
     return F.concat_ws(":", F.xxhash64(text), F.xxhash64(text, F.lit(1)))
 
 
+def _placed(text: Column, cut: str, bodies: list[str]) -> Column:
+    """Structs (value, at, before) of the parts of a text, cut at each match of ``cut``, that one of ``bodies`` matches:
+    its second group, the number of words before it, and its first group."""
+    none = F.array().cast("array<struct<value:string,at:int,before:string>>")
+
+    def step(seen, part):
+        value, lead = (F.coalesce(*[F.nullif(F.regexp_extract(part, b, i), F.lit("")) for b in bodies]) for i in (2, 1))
+        lead = F.coalesce(lead, F.lit(""))
+        one = F.struct(value.alias("value"), (seen["words"] + F.regexp_count(lead, F.lit(SEPARATORS))).cast("int").alias("at"), lead.alias("before"))
+        return F.struct((seen["words"] + F.regexp_count(part, F.lit(SEPARATORS))).cast("int").alias("words"), F.when(value.isNull(), seen["found"]).otherwise(F.concat(seen["found"], F.array(one))).alias("found"))
+
+    return F.aggregate(F.split(text, cut), F.struct(F.lit(0).alias("words"), none.alias("found")), step, lambda seen: seen["found"])
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, text_hash, word_no, candidate, assigned, before, after, path), a row for each candidate; words count from 0."""
     w, t = F.col("__w"), docs[text].cast("string")
     names = [docs[doc_id].alias("doc_id"), text_hash(t).alias("text_hash"), (docs[path].cast("string") if path else F.lit(None).cast("string")).alias("path")]
     d = docs.select(*names, F.split(F.coalesce(t, F.lit("")), SEPARATORS).alias("__w"))
-    blocks = docs.where(F.contains(t, F.lit(_BLOCK_MARK))).select(*names, t.alias("__t"), F.explode(F.regexp_extract_all(t, F.lit(_BLOCK), F.lit(1))).alias("candidate"))
-    at = F.size(F.split(F.call_function("substring_index", F.col("__t"), F.col("candidate"), F.lit(1)), SEPARATORS)) - 1
-    blocks = blocks.select("doc_id", "text_hash", at.cast("long").alias("word_no"), "candidate", F.lit(True).alias("assigned"), F.lit("").alias("before"), F.lit("").alias("after"), "path")
+    placed = lambda where, cut, body: (
+        docs.where(where).select(*names, F.explode(_placed(t, cut, body)).alias("__p"))
+        .select("doc_id", "text_hash", F.col("__p.at").cast("long").alias("word_no"), F.col("__p.value").alias("candidate"), F.lit(True).alias("assigned"), F.col("__p.before").alias("before"), F.lit("").alias("after"), "path")
+    )
+    blocks = placed(F.contains(t, F.lit(_BLOCK_MARK)), _BLOCK_CUT, [_BLOCK]).unionByName(placed(t.rlike(_SPACED), _SPACED_CUT, _SPACED_VALUE))
     # Only words of some length with a digit, or of an assignment, or that may follow one, are looked at closely.
     closer = lambda x, i: ((F.char_length(x) >= 12) & (x.rlike("[0-9]") | x.rlike("[:=]"))) | ((F.char_length(x) >= 8) & F.coalesce(F.get(w, i - 1).rlike("(?i)(?:[:=]|is)$"), F.lit(False)))
     long = F.filter(F.transform(w, lambda x, i: F.when(closer(x, i), i)), lambda i: i.isNotNull())
@@ -111,7 +137,9 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     whole = F.when(F.col("before").rlike(_ENDS), F.when(quoted != "", quoted).otherwise(whole)).otherwise("")
     # After "is" a plain word is speech, not a value.
     whole = F.when(whole.rlike(r"[^A-Za-z.]") | F.col("before").rlike("[:=]$"), whole).otherwise("")
-    d = d.withColumn("values", values).withColumns({"plain": plain, "whole": whole, "cores": F.regexp_extract_all(rest, F.lit(_CORE), F.lit(1)), "ends": F.col("before").rlike(_ENDS)})
+    in_url = F.filter(F.regexp_extract_all("word", F.lit(_IN_URL), F.lit(1)), lambda c: ~F.array_contains("values", c))
+    d = d.withColumn("values", values).withColumn("values", F.concat("values", in_url))
+    d = d.withColumns({"plain": plain, "whole": whole, "cores": F.regexp_extract_all(rest, F.lit(_CORE), F.lit(1)), "ends": F.col("before").rlike(_ENDS)})
     one = lambda c, assigned, value: F.struct(c.alias("candidate"), assigned.alias("assigned"), value.alias("value"))
     yes = F.lit(True)
     found = F.concat(

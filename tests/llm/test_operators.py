@@ -342,13 +342,50 @@ def test_all_candidates_of_a_word(spark):
         assert sorted(got.get(i, [])) == sorted(want), i
 
 
+def test_values_with_spaces_and_in_addresses(spark, forest):
+    rows = [
+        (1, 'set password = "correct horse battery staple" now', 3, "correct horse battery staple"),
+        (2, "DB_URL=postgres://admin:S3cr3tPassw0rd@db.example.com:5432/app", 0, "S3cr3tPassw0rd"),
+        (3, "a b 'api_key': 'two words 99' and token: 'open\nline two'", 3, "two words 99"),
+        (4, 'passphrase:"one two" secret="three four five"', None, None),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {(r["doc_id"], r["word_no"], r["candidate"]) for r in secrets.candidates(docs).collect()}
+    assert {(i, at, value) for i, _, at, value in rows[:3]} <= got and {(4, 2, "three four five")} == {g for g in got if g[0] == 4 and " " in g[2]}
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs, secrets.scan(docs, forest, threshold=0.0)).collect()}
+    assert masked[1] == 'set password = "[SECRET]" now' and "S3cr3t" not in masked[2]
+
+
+def test_long_texts_against_the_patterns(spark):
+    """Texts of up to a megabyte that patterns with repeated groups overflow on, or take quadratic time for."""
+    body = "QUJD" * 12
+    block = f"-----BEGIN EC PRIVATE KEY-----\n{body}\n-----END EC PRIVATE KEY-----"
+    texts = [
+        "-----BEGIN " + "CAPITAL " * 125_000 + " PRIVATE KEY-----",
+        "-----BEGIN RSA PRIVATE KEY-----\n" * 30_000,
+        "-----BEGIN " * 90_000 + block,
+        "password=" + "x" * 1_000_000,
+        "pass" * 200_000 + "=1",
+        'token="' * 140_000,
+        "secret = 'a " * 80_000,
+        "://a:" * 200_000,
+        "-" * 1_000_000 + "PRIVATE KEY-----",
+        "&," * 400_000 + "token=",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.candidates(docs).select("doc_id", F.length("candidate").alias("n"), F.when(F.length("candidate") < 500, F.col("candidate")).alias("c")).collect()
+    assert [r["c"] for r in got if r["doc_id"] == 2 and (r["c"] or "").startswith("-----BEGIN")] == [block]
+    assert {r["doc_id"] for r in got if r["n"] == 1_000_000} == {3}
+    assert not [r for r in got if r["doc_id"] in (0, 1) and (r["c"] or "-----BEGIN").startswith("-----BEGIN")]
+
+
 def test_key_blocks(spark, forest):
     body = "\n".join(base64.b64encode(random.Random(i).randbytes(48)).decode() for i in range(5))
     block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
     docs = spark.createDataFrame([(1, f"two words\n{block}\nand {block} more"), (2, "-----BEGIN PUBLIC KEY----- PRIVATE KEY----- nothing")], "doc_id long, text string")
     found = secrets.scan(docs, forest)
     got = [(r["doc_id"], r["word_no"]) for r in found.where("is_secret").collect() if r["candidate"] == block]
-    assert got == [(1, 2), (1, 2)]
+    assert sorted(got) == [(1, 2), (1, 2 + len(block.split()) + 1)]
     assert sorted(r["text"] for r in secrets.masked(docs, found).collect()) == ["-----BEGIN PUBLIC KEY----- PRIVATE KEY----- nothing", "two words\n[SECRET]\nand [SECRET] more"]
 
 
