@@ -349,21 +349,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     t = docs[text].cast("string")
     # r1 and r2 name a row by its content, so that the text of a class can be found again.
     source = docs.select(docs[doc_id].alias("doc_id"), t.alias("text"), F.xxhash64(docs[doc_id], t).alias("r1"), F.xxhash64(t, docs[doc_id], F.lit(1)).alias("r2"))
-    signed = checkpointed(signatures(source, k, bands_for(percent / 100)))
-    classes = signed.where("n_shingles > 0").groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("r1", "r2")).alias("r"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = checkpointed(classes.select("f1", "f2", "n", "doc_id", "r.r1", "r.r2", "sig", "bands", F.monotonically_increasing_id().alias("node")))
+    signed = checkpointed(signatures(source, k, bands_for(percent / 100)).select("*", salt(F.monotonically_increasing_id())))
+    classes = signed.where("n_shingles > 0").groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("r1", "r2")).alias("r"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.bit_or(bit("salt")).alias("salts"))
+    classes = checkpointed(classes.select("f1", "f2", "n", "doc_id", "r.r1", "r.r2", "sig", "bands", "salts", F.monotonically_increasing_id().alias("node")))
     shared = checkpointed(_candidates(classes))
-    texts = source.select("text", "r1", "r2").join(shared, ["r1", "r2"])
+    texts = source.groupBy("r1", "r2").agg(F.first("text").alias("text")).join(shared, ["r1", "r2"])  # rows that repeat become one in their task
     sets = checkpointed(_matchable(_sets(texts, k), 8 * (shared.agg(F.sum("n")).first()[0] or 0), percent))
     label = components(_links(sets, percent, max(1, star_rounds)))
     label = label.join(classes.select("node", "doc_id"), "node").select("node", "component", "doc_id", salt("node"))
     least = label.groupBy("component", "salt").agg(F.min("doc_id").alias("low"))
     least = least.groupBy("component").agg(F.min("low").alias("component_id"), F.bit_or(bit("salt")).alias("salts"))
     label = label.join(for_members(least), ["component", "salt"]).select("node", "component_id", F.lit(True).alias("linked"))
-    named = classes.select("f1", "f2", "n", "node", "doc_id").join(label, "node", "left")
-    named = named.select("f1", "f2", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.lit(True).alias("classed"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.select("f1", "f2", "n", "node", "doc_id", "salts").join(label, "node", "left")
+    named = named.select("f1", "f2", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "salts")
+    out = signed.where("n_shingles > 0").join(for_members(named), ["f1", "f2", "n_shingles", "salt"]).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -342,6 +342,19 @@ def test_all_candidates_of_a_word(spark):
         assert sorted(got.get(i, [])) == sorted(want), i
 
 
+def test_minhash_rows_that_repeat_meet_once(spark, monkeypatch):
+    """Rows equal in id and text are one before their sets are made; each still gets its row of the result."""
+    base = [f"w{i}" for i in range(40)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(None, " ".join(base))] * 2000 + [(7, near)] * 30 + [(None, None)] * 50 + [(3, "")] * 50 + [(9, "quite another text of few words")]
+    seen, made = [], minhash._sets
+    monkeypatch.setattr(minhash, "_sets", lambda texts, k: (seen.append(texts.count()), made(texts, k))[1])
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = collections.Counter(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect())
+    assert seen == [2]
+    assert got == {(None, 36, 7): 2000, (7, 36, 7): 30, (None, 0, None): 50, (3, 0, 3): 50, (9, 2, 9): 1}
+
+
 def test_values_with_spaces_and_in_addresses(spark, forest):
     rows = [
         (1, 'set password = "correct horse battery staple" now', 3, "correct horse battery staple"),
