@@ -31,7 +31,7 @@ _SPACE = r"\t\n\v\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORD = re.compile(rf" ?[{_LETTERS}]++(?![^\x00-\x40\x5b-\x60\x7b-\x7f])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 _WHOLE = re.compile(r"[\x00\x1c-\x1f\x85\u180e\u200b\ufeff]")
-_OTHER_SPACE = re.compile(r"[\t\v\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = re.compile(r"[\x00\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class Encoder:
@@ -56,9 +56,10 @@ class Encoder:
 
     def split(self, text: str) -> list[str] | None:
         """Parts that are encoded each by itself; those that begin at a single space are given without it."""
-        if _WHOLE.search(text) or any(s in text for s in self.special):
+        odd = _ODD.search(text)
+        if (odd and _WHOLE.search(text)) or any(s in text for s in self.special):
             return None
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
+        if odd or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
             return [p[1:] if p[:1] == " " and len(p) > 1 and p[1:].strip() else "\x00" + p for p in _WORD.findall(text)]
         first, *rest = text.split(" ")
         return ["\x00" + first, *rest]
