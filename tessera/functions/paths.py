@@ -115,6 +115,13 @@ def found(schema: T.StructType, path: str) -> Values | None:
     return many and Values(*many, False)
 
 
+def absent(wanted: Column, there: Column) -> Column:
+    """How many elements of one array the other doesn't have, nulls and repeats counted. Both are hashed once; what is
+    missing, mostly nothing, is looked up again to count it."""
+    missing = F.array_except(wanted, F.coalesce(there, F.array()))
+    return F.when(F.size(missing) == 0, 0).otherwise(F.size(F.filter(wanted, lambda x: x.isNull() | F.array_contains(missing, x))))
+
+
 def contract_type(kind: T.DataType) -> str:
     """boolean, integer, number or string."""
     if isinstance(kind, T.BooleanType):

@@ -68,6 +68,12 @@ def normal_field_path(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"\.\.+", "."), r"^\.+|\.+$", "")
 
 
+def ancestors(path: Column) -> Column:
+    """A dotted path and all paths that it lies in."""
+    parts = F.split(path, r"\.")
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "."))
+
+
 def path_matches(failing: Column, field: Column, how: str = "below") -> Column:
     """exact; below: the failing path is the field or lies in it; either: one lies in the other."""
     below = (failing == field) | failing.startswith(F.concat(field, F.lit(".")))

@@ -203,7 +203,9 @@ def clause_check(schema: T.StructType, clause: Clause) -> Check:
         return by_record(~(F.abs(mean - paths.first_scalar(schema, r["output"]).cast("double")) <= r.get("tolerance", 0)))
     if kind == "edge_endpoints_exist":
         ids = F.transform(F.col(r.get("nodes", "nodes")), lambda x: x[r.get("node_key", "node_id")])
-        each = F.aggregate(F.col(r.get("edges", "edges")), F.lit(0), lambda s, e: s + F.when(e.isNull(), 1).otherwise((~F.array_contains(ids, e["source"])).cast("int") + (~F.array_contains(ids, e["target"])).cast("int")))
+        edges = F.col(r.get("edges", "edges"))
+        ends = F.flatten(F.transform(F.filter(edges, lambda e: e.isNotNull()), lambda e: F.array(e["source"], e["target"])))
+        each = F.size(F.filter(edges, lambda e: e.isNull())) + paths.absent(ends, F.filter(ids, lambda x: x.isNotNull()))
         return make(_total(F.coalesce(each, F.lit(0))), rows=each > 0)
     raise ValueError(f"unknown rule type: {kind}")
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.paths import absent
 from tessera.functions.text import instant
 from tessera.operators.checks import RESULT, broken_sequences
 
@@ -83,7 +84,8 @@ def extractions(df: DataFrame, rules_hash: str | None) -> DataFrame:
     Without a reference hash that check is an ERROR for all rows; rows without a hash are skipped.
     """
     ids = F.transform("entities", lambda e: e["entity_id"])
-    missing = F.aggregate("extracted_facts", F.lit(0), lambda s, f: s + F.coalesce(F.size(F.filter(f["entity_refs"], lambda r: ~F.coalesce(F.array_contains(ids, r), F.lit(False)))), F.lit(0)))
+    wanted = F.flatten(F.transform("extracted_facts", lambda f: F.coalesce(f["entity_refs"], F.array())))
+    missing = F.coalesce(absent(wanted, F.filter(ids, lambda x: x.isNotNull())), F.lit(0))
     out = counted(df, {"extractions.entity_refs_exist": ("HIGH", missing), "extractions.extraction_rules_hash_exists": ("HIGH", F.lit(1) if rules_hash is None else F.when(F.col("extraction_rules_hash") != rules_hash, 1).otherwise(0))})
     if rules_hash is None:
         return out.withColumn("status", F.when(F.col("check_id").endswith("hash_exists"), "ERROR").otherwise(F.col("status")))
@@ -93,8 +95,8 @@ def extractions(df: DataFrame, rules_hash: str | None) -> DataFrame:
 def lineage(df: DataFrame) -> DataFrame:
     """Both ends of each edge are nodes of the same snapshot."""
     ids = F.transform("nodes", lambda n: n["node_id"])
-    has = lambda e: F.coalesce(F.array_contains(ids, e), F.lit(False)).cast("int")
-    return counted(df, {"lineage.edges_reference_nodes": ("CRITICAL", _each("edges", lambda e: 2 - has(e["source"]) - has(e["target"])))}, "edges")
+    ends = F.flatten(F.transform("edges", lambda e: F.array(e["source"], e["target"])))
+    return counted(df, {"lineage.edges_reference_nodes": ("CRITICAL", F.coalesce(absent(ends, F.filter(ids, lambda x: x.isNotNull())), F.lit(0)))}, "edges")
 
 
 def events(df: DataFrame, schemas: DataFrame | None = None, error: Column | None = None) -> DataFrame:

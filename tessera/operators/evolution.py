@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import path_matches
+from tessera.functions.text import ancestors
 from tessera.plans.contract import Contract
 
 FIELDS = "field string, type string, required boolean, minimum double, maximum double, enum array<string>, low double, high double"
@@ -121,12 +121,25 @@ def notifications(changes: DataFrame, registry: DataFrame, contract_id: str) ->
     return subs.join(breaking, F.col("breaking_field") == F.col("field_name")).select("subscriber_id", "field_name", "change_type")
 
 
-def blast_radius(subscriptions: DataFrame, failing: DataFrame, how: str = "either") -> DataFrame:
-    """Subscribers whose declared field meets a failing one; ``subscriptions``: (subscriber_id, field), ``failing``: (failing).
+def meeting(declared: DataFrame, failing: DataFrame, field: str = "field", path: str = "failing", how: str = "either") -> DataFrame:
+    """Rows of both where the failing path is the declared field or, by ``how``, lies in it (below) or around it (either).
 
-    Both tables are metadata; contract ids restrict them before.
+    Each pair once for each pair of rows, by two equi-joins on the paths that the one or the other lies in; ``path_matches``
+    says the same of one pair.
     """
-    return subscriptions.join(failing, path_matches(F.col("failing"), F.col("field"), how)).select("subscriber_id", "field", "failing").distinct()
+    if how == "exact":
+        return declared.join(failing, F.col(field) == F.col(path))
+    inside = failing.withColumn("__in", F.explode(ancestors(F.col(path))))
+    out = declared.join(inside, F.col(field) == F.col("__in")).drop("__in")
+    if how == "below":
+        return out
+    around = declared.withColumn("__in", F.explode(ancestors(F.col(field)))).where(F.col("__in") != F.col(field))
+    return out.unionByName(around.join(failing, F.col("__in") == F.col(path)).drop("__in"))
+
+
+def blast_radius(subscriptions: DataFrame, failing: DataFrame, how: str = "either") -> DataFrame:
+    """Subscribers whose declared field meets a failing one; ``subscriptions``: (subscriber_id, field), ``failing``: (failing)."""
+    return meeting(subscriptions.select("subscriber_id", "field"), failing.select("failing"), how=how).select("subscriber_id", "field", "failing").distinct()
 
 
 def checklist(changes: Iterable) -> list[str]:

@@ -57,16 +57,21 @@ def contract_graph(subscriptions: DataFrame) -> DataFrame:
     return consumed.unionByName(published.select("source", "target", F.lit("PUBLISHES").alias("relationship")))
 
 
-def contamination_depth(reached: DataFrame, direct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, depth): 1 for direct subscribers, else the hops beyond the nearest of them, else the hops themselves.
+def contamination_depth(reached: DataFrame, direct: DataFrame) -> DataFrame:
+    """(start, node, hops, depth): 1 for direct subscribers; else the steps from the first of them on the node's own path,
+    and 1 more; else the hops.
 
-    ``reached``: of ``traverse``; ``direct``: (node) of the contract's own subscribers.
+    ``reached``: of ``traverse`` with paths; ``direct``: (node) of the contract's own subscribers. A path's nodes are
+    looked up by one join, and each task passes on the first place for each path.
     """
-    beyond = traverse(edges, direct.select(F.col("node").alias("start"))).groupBy("node").agg((F.min("hops") + 1).alias("past"))
-    d = direct.select("node").distinct().withColumn("is_direct", F.lit(True))
-    out = reached.groupBy("node").agg(F.min("hops").alias("hops")).join(d, "node", "left").join(beyond, "node", "left")
-    depth = F.when(F.col("is_direct"), 1).otherwise(F.coalesce("past", F.greatest(F.col("hops"), F.lit(1))))
-    return out.select("node", "hops", depth.cast("int").alias("depth"))
+    d = direct.select(F.col("node").alias("__direct")).distinct()
+    between = F.col("size") - 2
+    ways = reached.select("start", "node", "hops", F.size("path").alias("size"), "path")
+    steps = ways.select("start", "node", F.posexplode(F.slice("path", F.lit(2), F.greatest(between, F.lit(0)))).alias("place", "__direct"))
+    first = steps.join(d, "__direct", "left_semi").groupBy("start", "node").agg(F.min("place").alias("place"))
+    out = ways.drop("path").join(first, ["start", "node"], "left").join(d.withColumn("is_direct", F.lit(True)), F.col("node") == F.col("__direct"), "left")
+    depth = F.when(F.col("is_direct"), 1).when(F.col("place").isNotNull(), 1 + between - F.col("place")).otherwise(F.greatest(F.col("hops"), F.lit(1)))
+    return out.select("start", "node", "hops", depth.cast("int").alias("depth"))
 
 
 def match_seeds(nodes: DataFrame, path: str, label: str) -> DataFrame:
@@ -138,9 +143,10 @@ def blame(producers: DataFrame, history: DataFrame, now: Column, top: int = 5) -
     return ranked_blame(found, ["one"], top).select("rank", "path", "commit", "author", "days", "hops", "confidence")
 
 
-def merged_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each (source, target, relationship), of the highest confidence, held to 0 to 1."""
-    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence"), F.lit(0.0))))
+def merged_edges(edges: DataFrame, missing: float = 0.95) -> DataFrame:
+    """One edge for each (source, target, relationship), of the highest confidence, held to 0 to 1; edges that name none
+    have ``missing``."""
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence"), F.lit(missing))))
     return edges.groupBy("source", "target", "relationship").agg(F.max(inside).alias("confidence"))
 
 

@@ -95,13 +95,25 @@ def prompt_inputs(df: DataFrame, doc_id: Column, path: Column, facts: Column, me
     return df.select(over("doc_id", doc_id).cast("string").alias("doc_id"), over("source_path", path).alias("source_path"), over("content_preview", F.substring(first, 1, most)).alias("preview"))
 
 
+#: Fixed ids of the checks of model inputs and outputs: the field that each is about, and the severity of FAIL and of WARN
+#: (none: no violation).
+AI_CHECKS = {
+    "prompt_input_validation": ("content_preview", "MEDIUM", "MEDIUM"),
+    "structured_llm_output_enforcement": ("overall_verdict", "MEDIUM", "LOW"),
+    "embedding_drift": ("extracted_facts.text", "HIGH", None),
+    "langsmith_trace_schema_contracts": ("id", "HIGH", "MEDIUM"),
+}
+
+
 def ai_violations(checks: DataFrame) -> DataFrame:
-    """(check_id, severity, records_failing, message): a violation for each of (name, status, failing, detail) that failed
-    or warns; drift and bad inputs are grave, the rest is graver only if it failed."""
-    failed, warned = F.col("status").isin("FAIL", "ERROR"), F.col("status") == "WARN"
-    grave = F.col("name").isin("embedding_drift", "prompt_inputs")
-    severity = F.when(failed & grave, "CRITICAL").when(failed, "HIGH").otherwise("MEDIUM")
-    return checks.where(failed | warned).select(F.concat(F.lit("ai."), "name").alias("check_id"), severity.alias("severity"), F.col("failing").cast("long").alias("records_failing"), F.concat_ws(": ", "name", "detail").alias("message"))
+    """(check_id, field_name, status, severity, records_failing, message): a violation for each of (name, status, failing,
+    detail) of AI_CHECKS that failed or warns, but for drift, which must have failed and counts as one record."""
+    rules = checks.sparkSession.createDataFrame(
+        [(name, field, status, severity) for name, (field, *both) in AI_CHECKS.items() for status, severity in zip(("FAIL", "WARN"), both, strict=True) if severity], "name string, field_name string, status string, severity string"
+    )
+    n = F.when(F.col("name") == "embedding_drift", 1).otherwise(F.col("failing")).cast("long")
+    found = checks.join(F.broadcast(rules), ["name", "status"])
+    return found.select(F.concat(F.lit("ai."), "name").alias("check_id"), "field_name", "status", "severity", n.alias("records_failing"), F.concat_ws(": ", "name", "detail").alias("message"))
 
 
 def combined_status(checks: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import path_matches
 from tessera.operators import adapter, evolution
 from tessera.operators.checks import evaluate
 from tessera.plans.contract import Clause, Contract, FieldRule
@@ -204,6 +203,6 @@ def affected(subscriptions: DataFrame, changes: DataFrame) -> DataFrame:
     merely read are not listed. Both tables are metadata, a row for each declaration and change.
     """
     changed = changes.where("change_type <> 'NO_CHANGE'").select("field_name")
-    met = subscriptions.join(changed, path_matches(F.col("field_name"), F.col("field"), "either")).select("subscriber_id", "field", "is_breaking").distinct()
+    met = evolution.meeting(subscriptions, changed, path="field_name").select("subscriber_id", "field", "is_breaking").distinct()
     listed = met.groupBy("subscriber_id").agg(F.array_sort(F.collect_set(F.when(F.col("is_breaking"), F.col("field")))).alias("b"), F.array_sort(F.collect_set("field")).alias("f"))
     return listed.select("subscriber_id", F.concat_ws("|", F.when(F.size("b") > 0, F.col("b")).otherwise(F.col("f"))).alias("fields"))

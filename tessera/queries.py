@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import adapter, checks, crosschecks, evolution, ingest, lineage, payloads, profile, reporting, whatif
+from tessera.operators import adapter, checks, crosschecks, evolution, ingest, jsonschema, lineage, payloads, profile, raw, reporting, whatif
 from tessera.plans.contract import Clause, Contract, FieldRule
 from tessera.sources import flatten, records, store
 from tessera.sources.shared import folder
@@ -327,8 +327,8 @@ def lineage_bfs_upstream(spark, sf_dir):
 def contamination_depth(spark, sf_dir):
     """Direct subscribers at 1, what lies behind them deeper."""
     e = _edges(spark, sf_dir)
-    reached = lineage.traverse(e, spark.createDataFrame([("r1",)], "start string"))
-    return lineage.contamination_depth(reached, e.where("source = 'r1'").select(F.col("target").alias("node")), e)
+    reached = lineage.traverse(e.withColumn("relationship", F.lit("OF")), spark.createDataFrame([("r1",)], "start string"), paths=True)
+    return lineage.contamination_depth(reached, e.where("source = 'r1'").select(F.col("target").alias("node"))).drop("start")
 
 
 @query(f"WITH RECURSIVE {_EDGES}, b AS (SELECT 'r' || r_regionkey AS start, 'r' || r_regionkey AS node, 0 AS hops, ['r' || r_regionkey] AS path FROM region UNION ALL SELECT start, target, hops + 1, list_append(path, target) FROM b JOIN e ON node = source) SELECT start, node, hops, array_to_string(path, '>') AS path, repeat('OF>', hops - 1) || 'OF' AS relationships FROM b WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY hops, path) = 1")
@@ -862,12 +862,12 @@ def first_match_lookup(spark, sf_dir):
     return reporting.first_match(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", n, ["n_nationkey", "double"], "n_nationkey").select("p_partkey", F.col("match.n_nationkey").alias("nation"))
 
 
-_AI = "a AS (SELECT (['embedding_drift', 'prompt_inputs', 'output_schema'])[event_id % 3 + 1] AS name, (['PASS', 'FAIL', 'WARN', 'BASELINE_SET'])[event_id % 4 + 1] AS status, event_id % 50 AS failing FROM events)"
+_AI = "a AS (SELECT (['embedding_drift', 'prompt_input_validation', 'structured_llm_output_enforcement', 'langsmith_trace_schema_contracts', 'another'])[event_id % 5 + 1] AS name, (['PASS', 'FAIL', 'WARN', 'BASELINE_SET'])[event_id % 4 + 1] AS status, event_id % 50 AS failing FROM events)"
 
 
 def _ai(spark, sf_dir):
     pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int"))
-    return table(spark, sf_dir, "events").select(pick(("embedding_drift", "prompt_inputs", "output_schema"), 3).alias("name"), pick(("PASS", "FAIL", "WARN", "BASELINE_SET"), 4).alias("status"), (F.col("event_id") % 50).alias("failing"), F.lit("seen").alias("detail"))
+    return table(spark, sf_dir, "events").select(pick(("embedding_drift", "prompt_input_validation", "structured_llm_output_enforcement", "langsmith_trace_schema_contracts", "another"), 5).alias("name"), pick(("PASS", "FAIL", "WARN", "BASELINE_SET"), 4).alias("status"), (F.col("event_id") % 50).alias("failing"), F.lit("seen").alias("detail"))
 
 
 @query(f"WITH {_AI} SELECT count(*)::BIGINT AS total, count(*) FILTER (status IN ('PASS', 'BASELINE_SET'))::BIGINT AS passed, count(*) FILTER (status = 'FAIL')::BIGINT AS failed, count(*) FILTER (status = 'WARN')::BIGINT AS warned FROM a")
@@ -875,7 +875,11 @@ def ai_counts(spark, sf_dir):
     return reporting.ai_counts(_ai(spark, sf_dir))
 
 
-@query(f"WITH {_AI} SELECT 'ai.' || name AS check_id, CASE WHEN status = 'WARN' THEN 'MEDIUM' WHEN name = 'output_schema' THEN 'HIGH' ELSE 'CRITICAL' END AS severity, failing AS records_failing, name || ': seen' AS message FROM a WHERE status IN ('FAIL', 'WARN')")
+@query(f"""WITH {_AI} SELECT 'ai.' || name AS check_id,
+  CASE name WHEN 'embedding_drift' THEN 'extracted_facts.text' WHEN 'prompt_input_validation' THEN 'content_preview' WHEN 'structured_llm_output_enforcement' THEN 'overall_verdict' ELSE 'id' END AS field_name, status,
+  CASE name WHEN 'embedding_drift' THEN 'HIGH' WHEN 'prompt_input_validation' THEN 'MEDIUM' WHEN 'structured_llm_output_enforcement' THEN if(status = 'FAIL', 'MEDIUM', 'LOW') ELSE if(status = 'FAIL', 'HIGH', 'MEDIUM') END AS severity,
+  CASE WHEN name = 'embedding_drift' THEN 1 ELSE failing END::BIGINT AS records_failing, name || ': seen' AS message
+  FROM a WHERE name <> 'another' AND (status = 'FAIL' OR status = 'WARN' AND name <> 'embedding_drift')""")
 def ai_violations(spark, sf_dir):
     return payloads.ai_violations(_ai(spark, sf_dir))
 
@@ -1036,3 +1040,94 @@ def path_and_version_rules(spark, sf_dir):
     size = F.col("p_size").cast("string")
     raw = F.concat(F.lit("."), F.lower("p_type"), F.lit("[0]..sizes[*]. s"), size, F.lit("."))
     return table(spark, sf_dir, "part").select("p_partkey", text.normal_field_path(raw).alias("path"), text.three_part_version(F.concat(size, F.lit("."), (F.col("p_partkey") % 5).cast("string"))).alias("version"))
+
+
+def _raw(spark, sf_dir):
+    """Events as raw JSON, whose member v is absent, null, true, a text, an array, an integer or a fraction in turn."""
+    i = F.col("event_id")
+    v = F.when(i % 7 == 1, "null").when(i % 7 == 2, "true").when(i % 7 == 3, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(i % 7 == 4, '[1,"x",null]').when(i % 7 == 5, F.col("user_id").cast("string")).when(i % 7 == 6, "0.5")
+    inner = F.concat(F.lit('[{"k":'), (i % 50).cast("string"), F.lit("}"), F.when(i % 3 == 0, ',{"k":"late"}').otherwise(""), F.lit("]"))
+    line = F.concat(F.lit('{"id":'), i.cast("string"), F.coalesce(F.concat(F.lit(',"v":'), v), F.lit("")), F.lit(',"in":'), inner, F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", line.alias("value"))
+
+
+_RAW_CONTRACT = Contract("raw", fields={"v": FieldRule("integer", True, enum=["click", "view", 1], minimum=0, maximum=40), "in.k": FieldRule("integer", True, maximum=30), "id": FieldRule("integer", True), "gone": FieldRule("string", True, pattern="x")})
+_BAD_V = "(i % 7 = 3 AND event_type NOT IN ('click', 'view') OR i % 7 = 4 OR i % 7 = 5 AND user_id <> 1 OR i % 7 = 6)"
+_RAW_SQL = "WITH e AS (SELECT event_id AS i, event_type, user_id FROM events) " + _rows(
+    ("v.required", "CRITICAL", "count(*) FILTER (i % 7 = 0)", "e"), ("v.type", "CRITICAL", "count(*) FILTER (i % 7 > 1) + count(*) FILTER (i % 7 = 4)", "e"), ("v.enum", "HIGH", f"count(*) FILTER {_BAD_V}", "e"), ("v.range", "CRITICAL", "count(*) FILTER (i % 7 = 5 AND user_id > 40)", "e"),
+    ("in.k.required", "CRITICAL", "0", "(SELECT 1)"), ("in.k.type", "CRITICAL", "count(*) + count(*) FILTER (i % 3 = 0)", "e"), ("in.k.range", "CRITICAL", "count(*) FILTER (i % 50 > 30)", "e"), ("id.required", "CRITICAL", "0", "(SELECT 1)"), ("id.type", "CRITICAL", "0", "(SELECT 1)"),
+    ("gone.required", "CRITICAL", "count(*)", "e"),
+) + " UNION ALL SELECT 'gone.pattern', 'ERROR', 'HIGH', count(*)::BIGINT FROM e"
+
+
+@query(_RAW_SQL)
+def raw_contract(spark, sf_dir):
+    """A contract over raw records: absent, null and values of many kinds told apart in one scan."""
+    return raw.evaluate(_raw(spark, sf_dir), _RAW_CONTRACT, order=F.col("event_id")).select("check_id", "status", "severity", "records_failing")
+
+
+@query(f"""WITH e AS (SELECT event_id AS i, event_type, user_id FROM events),
+  f AS (SELECT 'v.enum' AS check_id, i, CASE i % 7 WHEN 3 THEN event_type WHEN 4 THEN 'x' WHEN 5 THEN user_id::VARCHAR ELSE '0.5' END AS value FROM e WHERE {_BAD_V}
+    UNION ALL SELECT 'v.range', i, user_id::VARCHAR FROM e WHERE i % 7 = 5 AND user_id > 40 UNION ALL SELECT 'in.k.range', i, (i % 50)::VARCHAR FROM e WHERE i % 50 > 30)
+  SELECT check_id, n::INTEGER AS n, value FROM (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY i) AS n FROM f) WHERE n <= 5""")
+def raw_first_failures(spark, sf_dir):
+    """The first five values, in the order of records, that fail each check."""
+    return raw.first_failures(_raw(spark, sf_dir), _RAW_CONTRACT, F.col("event_id"))
+
+
+@query("""WITH e AS (SELECT event_id AS i, event_type, user_id FROM events),
+  v AS (SELECT 'v' AS field, i, 0 AS place, CASE i % 7 WHEN 2 THEN 'true' WHEN 3 THEN event_type WHEN 4 THEN '1' WHEN 5 THEN user_id::VARCHAR ELSE '0.5' END AS value FROM e WHERE i % 7 > 1
+    UNION ALL SELECT 'v', i, 1, 'x' FROM e WHERE i % 7 = 4 UNION ALL SELECT 'in.k', i, 0, (i % 50)::VARCHAR FROM e UNION ALL SELECT 'in.k', i, 1, 'late' FROM e WHERE i % 3 = 0),
+  f AS (SELECT field, value, min((i, place)) AS seen FROM v GROUP BY ALL)
+  SELECT field, n::INTEGER AS n, value FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY seen) AS n FROM f) WHERE n <= 5""")
+def raw_first_seen(spark, sf_dir):
+    """The first five distinct values of a path, in the order in which records show them."""
+    return raw.first_seen(_raw(spark, sf_dir), ["v", "in.k"], F.col("event_id"))
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'null' WHEN 2 THEN '1' WHEN 3 THEN '\"' || event_type || '\"' WHEN 4 THEN '[1,\"x\",null]' WHEN 5 THEN user_id::VARCHAR WHEN 6 THEN '0' END AS v FROM events")
+def raw_coercion(spark, sf_dir):
+    """Values coerced to integers; texts and arrays that can't be stay as they are."""
+    return raw.coerce(_raw(spark, sf_dir), {"v": "integer"}).select("event_id", F.to_json("v").alias("v"))
+
+
+def _schema_table(spark, sf_dir):
+    """A schema for each type of event and each of four versions."""
+    t = table(spark, sf_dir, "events").select("event_type").distinct().withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    text = F.format_string(
+        '{"type":"object","required":["k","t"],"additionalProperties":false,"properties":{"k":{"type":"integer","maximum":%d},"t":{"type":["string","null"],"minLength":%d},"xs":{"type":"array","minItems":1,"items":{"type":"integer","minimum":%d}}}}',
+        60 + 10 * F.col("version") - F.length("event_type"), 1 + F.col("version"), F.col("version"),
+    )
+    return t.select(F.concat_ws("/", "event_type", F.col("version").cast("string")).alias("schema_id"), text.alias("schema"))
+
+
+@query("""WITH e AS (SELECT event_id AS i, event_type, event_id // 7 % 5 AS v FROM events),
+  c AS (SELECT i, event_type || '/' || v AS schema_id, unnest([
+    CASE WHEN v = 4 THEN ('$', 'schema') END,
+    CASE WHEN v < 4 AND i % 11 = 0 THEN ('$', 'additionalProperties: extra') END, CASE WHEN v < 4 AND i % 5 = 0 THEN ('$', 'required: t') END,
+    CASE WHEN v < 4 AND i % 100 > 60 + 10 * v - length(event_type) THEN ('k', 'maximum') END, CASE WHEN v < 4 AND i % 5 = 2 AND 2 < 1 + v THEN ('t', 'minLength') END, CASE WHEN v < 4 AND i % 5 = 4 THEN ('t', 'type') END,
+    CASE WHEN v < 4 AND i % 8 = 0 THEN ('xs', 'minItems') END, CASE WHEN v < 4 AND i % 8 <> 0 AND i % 4 < v THEN ('xs.0', 'minimum') END, CASE WHEN v < 4 AND i % 8 <> 0 AND i % 6 < v THEN ('xs.1', 'minimum') END]) AS f FROM e)
+  SELECT i AS event_id, schema_id, min(f)[1] AS field, min(f)[2] AS message, count(*)::BIGINT AS errors FROM c WHERE f IS NOT NULL GROUP BY ALL""")
+def payload_schemas(spark, sf_dir):
+    """Payloads against the schema of their own type and version, 20 of them and one unknown version, in one plan."""
+    i = F.col("event_id")
+    t = F.when(i % 5 == 1, ',"t":null').when(i % 5 == 2, ',"t":"ab"').when(i % 5 == 3, ',"t":"abcdef"').when(i % 5 == 4, ',"t":7').otherwise("")
+    xs = F.when(i % 8 == 0, "[]").otherwise(F.format_string("[%d,%d]", i % 4, i % 6))
+    line = F.concat(F.format_string('{"k":%d', i % 100), t, F.lit(',"xs":'), xs, F.when(i % 11 == 0, ',"extra":1').otherwise(""), F.lit("}"))
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat_ws("/", "event_type", F.floor(i / 7 % 5).cast("int").cast("string")).alias("schema_id"), line.alias("value"))
+    return jsonschema.validate(lines, jsonschema.compile_schemas(_schema_table(spark, sf_dir)), ["event_id"])
+
+
+@query("""WITH n AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (event_id % 7 <> 0)::BIGINT AS v, count(*) FILTER (event_id % 7 = 4)::BIGINT AS a FROM events)
+  SELECT '' AS path, 'object' AS types, n, false AS required FROM n UNION ALL SELECT '/id', 'integer', n, true FROM n UNION ALL SELECT '/v', 'array,boolean,integer,null,number,string', v, false FROM n UNION ALL SELECT '/v/~[]', 'integer', a, false FROM n
+  UNION ALL SELECT '/in', 'array', n, true FROM n UNION ALL SELECT '/in/~[]', 'object', n, false FROM n UNION ALL SELECT '/in/~[]/k', 'integer', n, true FROM n""")
+def json_schema_nested(spark, sf_dir):
+    """The nested schema of raw records, by counts that add up."""
+    return jsonschema.infer(_raw(spark, sf_dir)).select("path", F.array_join("types", ",").alias("types"), "n", "required")
+
+
+@query("SELECT c_nationkey AS source, 1 AS target, 'IN' AS relationship, max(CASE WHEN c_acctbal < 0 THEN 0.95::DOUBLE ELSE least(1, c_acctbal / 20000.0::DOUBLE) END)::DOUBLE AS confidence FROM customer GROUP BY ALL")
+def edge_merge_unsaid(spark, sf_dir):
+    """Edges that name no confidence."""
+    c = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 20000.0)
+    return lineage.merged_edges(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source"), F.lit(1).alias("target"), F.lit("IN").alias("relationship"), c.alias("confidence")))

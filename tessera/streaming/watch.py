@@ -16,15 +16,18 @@ from tessera.plans.contract import Contract
 def watch(spark: SparkSession, path: str, schema: T.StructType, contract: Contract, results: str, checkpoint: str, fmt: str = "parquet", every: str | None = None, files: str | None = None, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Validate new files of a folder (those whose names fit ``files``); results of each batch are appended with its number.
 
-    A batch that is run again after a failure writes its results again under the same number; ``latest_results``
-    keeps one set. Without ``every``, what is there is worked off and the stream ends.
+    A batch that is run again after a failure overwrites its own results. Clauses on groups can't be judged batch by batch,
+    since a group may go on in the next one, and are refused: ``sequences`` keeps their state. Without ``every``, what
+    is there is worked off and the stream ends.
     """
+    groups = [c.id for c in contract.clauses if c.rule.get("type") == "group_monotonic"]
+    if groups:
+        raise ValueError(f"clauses on groups go on over batches; watch them with sequences(): {', '.join(groups)}")
 
     def check(batch: DataFrame, number: int) -> None:
-        out = evaluate(batch, contract).withColumn("batch", F.lit(number).cast("long"))
-        out.write.mode("append").parquet(results)
+        evaluate(batch, contract).write.mode("overwrite").parquet(f"{results}/batch={number}")
         if then is not None:
-            then(out, number)
+            then(spark.read.parquet(f"{results}/batch={number}").withColumn("batch", F.lit(number).cast("long")), number)
 
     reader = spark.readStream.schema(schema).format(fmt)
     stream = (reader.option("pathGlobFilter", files) if files else reader).load(path)
@@ -33,20 +36,22 @@ def watch(spark: SparkSession, path: str, schema: T.StructType, contract: Contra
 
 
 def latest_results(spark: SparkSession, results: str) -> DataFrame:
-    """Results of all batches, each check of a batch once."""
-    return spark.read.parquet(results).dropDuplicates(["batch", "check_id"])
+    """Results of all batches with their number, each check of a batch once."""
+    return spark.read.parquet(results).withColumn("batch", F.col("batch").cast("long")).dropDuplicates(["batch", "check_id"])
 
 
 def sequences(stream: DataFrame, keys: list[str], field: str) -> DataFrame:
     """(keys, n, broken): of each group so far, how many numbers came and whether they aren't exactly 1 to n.
 
-    The state of a group is its count, its bounds and one combined hash of its numbers, so a group may come in any
-    number of batches, and a stream split over files is judged like a whole one. Nulls don't count.
+    The state of a group is its count, its bounds and one combined hash of its steps, so a group may come in any
+    number of batches, and a stream split over files is judged like a whole one. A number stands for the step from the
+    number before it, hash against hash; steps that join up leave the two ends alone, so what is due needs no list of
+    the numbers. Nulls don't count.
     """
     number = F.col(field).cast("long")
-    g = stream.where(number.isNotNull()).groupBy(*keys).agg(F.count(number).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"), F.bit_xor(F.xxhash64(number)).alias("hash"))
+    g = stream.where(number.isNotNull()).groupBy(*keys).agg(F.count(number).alias("n"), F.min(number).alias("low"), F.max(number).alias("high"), F.bit_xor(F.xxhash64(number).bitwiseXOR(F.xxhash64(number - 1))).alias("hash"))
     sound = (F.col("low") == 1) & (F.col("high") == F.col("n"))
-    due = F.when(sound, F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.xxhash64(x))))
+    due = F.when(sound, F.xxhash64(F.col("n")).bitwiseXOR(F.xxhash64(F.lit(0).cast("long"))))
     return g.select(*keys, "n", (~F.coalesce(F.col("hash") == due, F.lit(False))).alias("broken"))
 
 
