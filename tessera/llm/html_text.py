@@ -32,8 +32,11 @@ _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ENDS_OF_TAG = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _MAIN = re.compile(r"""\brole\s*=\s*["']?main\b|\bitemprop\s*=\s*["']?articleBody\b""", re.I)
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _RAW = frozenset("script style title noscript iframe xmp noframes textarea template svg".split())
 _RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in _RAW}
+#: A value without quotes takes a closing slash for its own.
+_UNQUOTED_END = re.compile(r"""=\s*[^\s"'>]*/$""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
@@ -131,22 +134,57 @@ def _open_line(open_tags: list[tuple[str, str]], tag: str) -> int | None:
     return None
 
 
+def _self_closed(tag: str, attributes: str) -> bool:
+    """Whether an element ends in its own tag. HTML knows none but foreign ones, but pages write others that way too; those
+    whose content is no markup never do."""
+    return attributes.endswith("/") and (tag not in _RAW or tag == "svg") and not _UNQUOTED_END.search(attributes)
+
+
+class _Ends:
+    """Whether open elements are closed further on in a page, by counts of the tags of their name."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def closes(self, tag: str, at: int, depth: int) -> bool:
+        """Whether the ``depth`` innermost open elements of a name all end after ``at``."""
+        if tag not in self.known:
+            name = re.escape(tag)
+            self.known[tag] = [[m.start() for m in re.finditer(f"<{slash}{name}[\\s/>]", self.page, re.I)] for slash in ("/", "")]
+        ends, begins = (len(x) - bisect_left(x, at) for x in self.known[tag])
+        return ends - begins >= depth
+
+
 def lines(page: str) -> list[tuple[str, str]]:
+    """(kind, text) of the page's blocks in order, as ``_read`` has them.
+
+    An article in chrome that ends further on, a teaser in a sidebar or a comment, say, is chrome. Only where this leaves a page
+    that has articles without any, ends of chrome are not trusted, and an article in chrome is one.
+    """
+    out = _read(page, True)
+    marked = any(k in ("article", "main") for k, _ in out)
+    return out if marked or not (_ARTICLE.search(page) or _MAIN.search(page)) else _read(page, False)
+
+
+def _read(page: str, trusted: bool) -> list[tuple[str, str]]:
     """(kind, text) of the page's blocks in order; kind is chrome, article, main or other.
 
     Character references are decoded, white space becomes one space, blocks without text are left out. A p ends where
     the next block begins and an li where the next li does. Any other element that never ends stops at the next
-    article or main, or where an element around it ends.
+    article or main, or where an element around it ends; chrome that is ``trusted`` to end goes on over an article. Chrome
+    inside a line, an advert or a button, say, is taken out of the line, which goes on after it.
     """
     out: list[tuple[str, str]] = []
-    text: list[str] = []
+    text: list[tuple[str, str]] = []  # pieces of a block and their kinds
+    ends = _Ends(page)
     open_tags: list[tuple[str, str]] = []  # containers, and the kind that each puts its text in
     kind = "other"
 
     def flush() -> None:
-        block = " ".join("".join(text).split())
-        if block:
-            out.append((kind, block))
+        for k in dict.fromkeys(k for k, _ in text):
+            block = " ".join("".join(t for of, t in text if of == k).split())
+            if block:
+                out.append((k, block))
         text.clear()
 
     found, go_on = tokens(page), None
@@ -157,23 +195,24 @@ def lines(page: str) -> list[tuple[str, str]]:
             break
         go_on = None
         if not tag:
-            text.append(html.unescape(rest))
+            text.append((kind, html.unescape(rest)))
             continue
         if tag in _BLOCKS:
             flush()
         elif tag in _SPACES:
-            text.append(" ")
+            text.append((kind, " "))
         if slash:
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i][0] == tag:
                     del open_tags[i:]
                     around = open_tags[-1][1] if open_tags else "other"
-                    if around != kind:
+                    if around != kind and (kind != "chrome" or tag in _BLOCKS):
                         flush()
                     kind = around
                     break
             continue
-        if tag in _RAW and not rest.endswith("/"):
+        closed = _self_closed(tag, rest)
+        if tag in _RAW and not closed:
             stop = _RAW_END[tag].search(page, at)
             go_on = stop.start() if stop else len(page)
             continue
@@ -187,14 +226,17 @@ def lines(page: str) -> list[tuple[str, str]]:
         if _chrome(tag, rest, within):
             new = "chrome"
         elif tag in ("article", "main") or rest and _MAIN.search(rest):
-            if kind == "chrome" and not any(t in ("article", "main") for t, _ in open_tags):
-                open_tags.clear()
+            if kind == "chrome" and not any(t in ("article", "main") and k != "chrome" for t, k in open_tags):
+                first = next(i for i, (_, k) in enumerate(open_tags) if k == "chrome")
+                name = open_tags[first][0]
+                if not (trusted and ends.closes(name, at, sum(t == name for t, _ in open_tags[first:]))):
+                    open_tags.clear()
             new = "chrome" if open_tags and open_tags[-1][1] == "chrome" else "article" if tag == "article" or inside else "main"
         else:
             new = kind
-        if new != kind and tag not in _BLOCKS:
+        if new != kind and new != "chrome" and tag not in _BLOCKS:
             flush()
-        if not rest.endswith("/"):
+        if not closed:
             open_tags.append((tag, new))
             kind = new
     flush()

@@ -342,6 +342,30 @@ def test_all_candidates_of_a_word(spark):
         assert sorted(got.get(i, [])) == sorted(want), i
 
 
+ARTICLE = "<article><p>Real text.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<script src=/js/app.js/>var leak = 1;</script>" + ARTICLE, "Real text."),
+        ('<script src="a.js"/>var leak = 1;</script>' + ARTICLE, "Real text."),
+        ("<article>a<aside class=ad data-u=/x/>Buy now</aside>b</article>", "a\nb"),
+        (ARTICLE + "<aside><article><p>teaser</p></article></aside>", "Real text."),
+        ("<nav><article>card</article></nav>" + ARTICLE + "<footer><article>promo</article></footer>", "Real text."),
+        (ARTICLE + '<div id="comments" class="comments-area"><ol class="comment-list"><li class="comment"><article class="comment-body"><p>I like it</p></article></li></ol></div>', "Real text."),
+        ('<article><p>Text <span class="ad">Buy</span> more.</p></article>', "Text more."),
+        ("<article><p>One <button>Click</button> two</p><svg/><p>three</p></article>", "One two\nthree"),
+        ('<div class="sidebar"><article><p>only one</p></article></div>', "only one"),
+        ("<nav><a>menu</a><article><p>open chrome</p></article>", "open chrome"),
+        ("<nav><a>menu</a><article><p>open</p></article><nav>other</nav>", "open"),
+        ("<article><p>a</p><article><p>nested</p></article><p>b</p></article>", "a\nnested\nb"),
+    ],
+)
+def test_chrome_around_and_inside_articles(page, want):
+    assert html_text.decided(html_text.lines(page)) == want
+
+
 def test_minhash_rows_that_repeat_meet_once(spark, monkeypatch):
     """Rows equal in id and text are one before their sets are made; each still gets its row of the result."""
     base = [f"w{i}" for i in range(40)]
