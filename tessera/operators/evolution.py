@@ -6,7 +6,7 @@ import difflib
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ancestors
@@ -65,7 +65,11 @@ def classify(source: DataFrame, target: DataFrame, renames: dict[str, str] | Non
     """
     renames = renames or {}
     t = target.where(~F.col("field").isin(list(renames.values()))) if renames else target
-    j = source.alias("s").join(t.alias("t"), F.col("s.field") == F.col("t.field"), "full_outer")
+    return _classified(source.alias("s").join(t.alias("t"), F.col("s.field") == F.col("t.field"), "full_outer"), [], renames)
+
+
+def _classified(j: DataFrame, keys: list[str], renames: dict[str, str]) -> DataFrame:
+    """The change of each pair of a field before (s) and after (t), either of which may be missing."""
     numeric = lambda side: F.col(f"{side}.type").isin("integer", "number")
     shift = F.coalesce((_unit("s") & _percent("t")) | (_percent("s") & _unit("t")), F.lit(False))
     same = F.col("s.type") == F.col("t.type")
@@ -99,8 +103,85 @@ def classify(source: DataFrame, target: DataFrame, renames: dict[str, str] | Non
         ("ENUM_VALUE_REMOVED", "breaking", "HIGH", False, False), ("ENUM_VALUE_ADDED", "forward", "LOW", False, True), ("NO_CHANGE", "backward", "LOW", True, True),
     ]
     of = lambda i: F.coalesce(*[F.when(F.col("change_type") == row[0], F.lit(row[i])) for row in table])
-    out = j.select(F.coalesce("s.field", "t.field").alias("field_name"), change.alias("change_type"))
-    return out.select("field_name", "change_type", of(1).alias("compatibility_class"), of(2).alias("severity"), of(3).alias("backward_compatible"), of(4).alias("forward_compatible"))
+    out = j.select(*keys, F.coalesce("s.field", "t.field").alias("field_name"), change.alias("change_type"))
+    return out.select(*keys, "field_name", "change_type", of(1).alias("compatibility_class"), of(2).alias("severity"), of(3).alias("backward_compatible"), of(4).alias("forward_compatible"))
+
+
+_DEFINED = ["field", "type", "required", "minimum", "maximum", "enum", "low", "high"]
+
+
+def _steps(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(contract_id, version, n, latest, before, now, after_n): each field of each snapshot, and itself in the one before
+    (null: it wasn't there), by one window over a contract's field; snapshots of a contract are numbered from 1."""
+    versions = snapshots.select("contract_id", "version").distinct()
+    numbered = versions.withColumn("n", F.row_number().over(Window.partitionBy("contract_id").orderBy("version"))).withColumn("latest", F.max("n").over(Window.partitionBy("contract_id")))
+    rows = fields.select("contract_id", "version", F.struct(*_DEFINED).alias("now")).join(numbered, ["contract_id", "version"])
+    of = Window.partitionBy("contract_id", "now.field").orderBy("n")
+    rows = rows.withColumns({"before": F.lag("now").over(of), "before_n": F.lag("n").over(of), "after_n": F.lead("n").over(of)})
+    return rows.withColumn("before", F.when(F.col("before_n") == F.col("n") - 1, F.col("before"))).drop("before_n")
+
+
+def field_history(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(contract_id, version, field_name, change_type, compatibility_class, severity, backward_compatible,
+    forward_compatible): what changed with each snapshot of each contract, in one plan.
+
+    ``fields``: those of ``classify``, with contract_id and version, once for each snapshot; ``snapshots``: (contract_id,
+    version), those without fields included. Versions are in the order of their column. A contract's first snapshot changes
+    nothing; a field that goes and comes again is removed and added.
+    """
+    steps = _steps(fields, snapshots)
+    kept = steps.where("n > 1").select("contract_id", "n", F.col("before").alias("s"), F.col("now").alias("t"))
+    gone = steps.where("n < latest AND (after_n IS NULL OR after_n > n + 1)").select("contract_id", (F.col("n") + 1).alias("n"), F.col("now").alias("s"), F.when(F.lit(False), F.col("now")).alias("t"))
+    found = _classified(kept.unionByName(gone), ["contract_id", "n"], {}).where("change_type <> 'NO_CHANGE'")
+    number = F.row_number().over(Window.partitionBy("contract_id").orderBy("version"))
+    names = snapshots.select("contract_id", "version").distinct().withColumn("n", number)
+    return found.join(names, ["contract_id", "n"]).select("contract_id", "version", *[c for c in found.columns if c not in ("contract_id", "n")])
+
+
+def validity(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(contract_id, field, type, required, first_version, last_version, current): the spans of snapshots over which a field was
+    defined alike and without a gap."""
+    steps = _steps(fields, snapshots)
+    fresh = ~F.col("before").eqNullSafe(F.col("now"))
+    span = F.sum(fresh.cast("int")).over(Window.partitionBy("contract_id", "now.field").orderBy("n"))
+    spans = steps.withColumn("span", span).groupBy("contract_id", F.col("now.field").alias("field"), "span")
+    out = spans.agg(F.first("now").alias("now"), F.min(F.struct("n", "version")).alias("a"), F.max(F.struct("n", "version")).alias("b"), F.max("latest").alias("latest"))
+    return out.select("contract_id", "field", "now.type", "now.required", F.col("a.version").alias("first_version"), F.col("b.version").alias("last_version"), (F.col("b.n") == F.col("latest")).alias("current"))
+
+
+def history_reports(history: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(contract_id, status, verdict, changes, rollback): how each contract's last snapshot differs from the one before.
+
+    The status is INSUFFICIENT_SNAPSHOTS where there is one only, else OK; the verdict is that of ``verdict``, and a
+    rollback is planned where it is breaking.
+    """
+    last = snapshots.groupBy("contract_id").agg(F.max("version").alias("version"), F.count_distinct("version").alias("n"))
+    j = last.join(history, ["contract_id", "version"], "left")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    word = F.when(some(F.col("compatibility_class") == "breaking"), "breaking").when(~some(~F.col("backward_compatible")), "backward").when(~some(~F.col("forward_compatible")), "forward").otherwise("backward")
+    out = j.groupBy("contract_id", "n").agg(word.alias("verdict"), F.count("change_type").alias("changes"))
+    few = F.col("n") < 2
+    return out.select("contract_id", F.when(few, "INSUFFICIENT_SNAPSHOTS").otherwise("OK").alias("status"), F.when(~few, F.col("verdict")).alias("verdict"), "changes", (~few & (F.col("verdict") == "breaking")).alias("rollback"))
+
+
+def failure_modes(history: DataFrame, snapshots: DataFrame, subscriptions: DataFrame, hops: DataFrame | None = None) -> DataFrame:
+    """(contract_id, subscriber_id, fields, failure_mode, hops): consumers whose declared field meets a breaking change of the
+    last snapshot, by equi-joins on contract and paths.
+
+    ``subscriptions``: (contract_id, subscriber_id, field, reason); without reasons the mode names the fields. ``hops``:
+    (contract_id, subscriber_id, hops) of the lineage, 0 where it has none.
+    """
+    last = snapshots.groupBy("contract_id").agg(F.max("version").alias("version"))
+    broken = history.where("compatibility_class = 'breaking'").join(last, ["contract_id", "version"], "left_semi")
+    at = lambda c: F.concat(F.col("contract_id").cast("string"), F.lit("\x00"), F.col(c))
+    declared = subscriptions.withColumn("__field", at("field"))
+    met = meeting(declared, broken.select(at("field_name").alias("__path"), "field_name"), "__field", "__path").select("contract_id", "subscriber_id", "field", "reason").distinct()
+    out = met.groupBy("contract_id", "subscriber_id").agg(F.array_sort(F.collect_set("field")).alias("f"), F.array_sort(F.collect_set("reason")).alias("r"))
+    mode = F.when(F.size("r") > 0, F.array_join("r", "; ")).otherwise(F.concat(F.lit("Consumer may fail on "), F.array_join("f", ", "), F.lit(".")))
+    out = out.select("contract_id", "subscriber_id", F.array_join("f", ",").alias("fields"), mode.alias("failure_mode"))
+    if hops is None:
+        return out.withColumn("hops", F.lit(0))
+    return out.join(hops.select("contract_id", "subscriber_id", "hops"), ["contract_id", "subscriber_id"], "left").withColumn("hops", F.coalesce("hops", F.lit(0)))
 
 
 def verdict(changes: DataFrame) -> DataFrame:

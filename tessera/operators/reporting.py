@@ -121,3 +121,15 @@ def timeline(parts: list[DataFrame], limit: int, at: str = "at", tie: tuple[str,
 
 def drift_score(changes: Column, failed: Column, warned: Column) -> Column:
     return F.least(F.lit(100), 15 * changes + 4 * failed + 2 * warned)
+
+
+def rollup(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., level, total, passed, failed, warned, critical, health): check results at every level of ``by``, from each of its
+    values together down to all results (level 0, whose columns are null), in one aggregation."""
+    bad = F.col("status").isin("FAIL", "ERROR")
+    g = results.rollup(*by).agg(
+        F.grouping_id().alias("__g"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(bad).alias("failed"), F.count_if(F.col("status") == "WARN").alias("warned"),
+        F.count_if(bad & (F.col("severity") == "CRITICAL")).alias("critical"),
+    )
+    level = (F.lit(len(by)) - F.bit_count("__g")).cast("int")
+    return g.select(*by, level.alias("level"), "total", "passed", "failed", "warned", "critical", health_score(F.col("passed"), F.col("total"), F.col("critical")).alias("health"))

@@ -1131,3 +1131,48 @@ def edge_merge_unsaid(spark, sf_dir):
     """Edges that name no confidence."""
     c = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 20000.0)
     return lineage.merged_edges(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source"), F.lit(1).alias("target"), F.lit("IN").alias("relationship"), c.alias("confidence")))
+
+
+def _snapshots(spark, sf_dir):
+    """Ten snapshots of a contract for each supplier: a type widens at 5, a bound narrows at 7, and a note comes and goes."""
+    none = lambda kind: F.lit(None).cast(kind)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("contract_id"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("version"))
+    one = lambda name, kind, top=None: F.struct(F.lit(name).alias("field"), kind.alias("type"), F.lit(name == "id").alias("required"), none("double").alias("minimum"), (none("double") if top is None else top).alias("maximum"), none("array<string>").alias("enum"), none("double").alias("low"), none("double").alias("high"))
+    v = F.col("version")
+    fields = F.array(one("id", F.lit("integer")), one("amount", F.when(v < 5, "integer").otherwise("number")), one("score", F.lit("number"), F.when(v < 7, 100.0).otherwise(50.0)))
+    fields = F.when((v + F.col("contract_id")) % 4 == 0, fields).otherwise(F.concat(fields, F.array(one("note", F.lit("string")))))
+    return s, s.select("contract_id", "version", F.explode(fields).alias("f")).select("contract_id", "version", "f.*")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS contract_id, unnest(range(2, 11))::INTEGER AS version FROM supplier)
+  SELECT contract_id, version, 'amount' AS field_name, 'TYPE_WIDENING' AS change_type, 'backward' AS compatibility_class FROM s WHERE version = 5
+  UNION ALL SELECT contract_id, version, 'score', 'RANGE_NARROWING', 'breaking' FROM s WHERE version = 7
+  UNION ALL SELECT contract_id, version, 'note', 'FIELD_REMOVED_OPTIONAL', 'forward' FROM s WHERE (version + contract_id) % 4 = 0
+  UNION ALL SELECT contract_id, version, 'note', 'FIELD_ADDED_OPTIONAL', 'backward' FROM s WHERE (version - 1 + contract_id) % 4 = 0""")
+def field_history(spark, sf_dir):
+    """What changed with every snapshot of every contract."""
+    snapshots, fields = _snapshots(spark, sf_dir)
+    return evolution.field_history(fields, snapshots).select("contract_id", "version", "field_name", "change_type", "compatibility_class")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS contract_id, unnest(range(1, 11))::INTEGER AS version FROM supplier),
+  f AS (SELECT contract_id, version, 'id' AS field, 1 AS d FROM s UNION ALL SELECT contract_id, version, 'amount', CASE WHEN version < 5 THEN 1 ELSE 2 END FROM s
+    UNION ALL SELECT contract_id, version, 'score', CASE WHEN version < 7 THEN 1 ELSE 2 END FROM s UNION ALL SELECT contract_id, version, 'note', 1 FROM s WHERE (version + contract_id) % 4 <> 0),
+  g AS (SELECT *, version - row_number() OVER (PARTITION BY contract_id, field, d ORDER BY version) AS island FROM f)
+  SELECT contract_id, field, min(version)::INTEGER AS first_version, max(version)::INTEGER AS last_version, max(version) = 10 AS current FROM g GROUP BY contract_id, field, d, island""")
+def field_validity(spark, sf_dir):
+    """The spans of snapshots over which each field was defined alike."""
+    snapshots, fields = _snapshots(spark, sf_dir)
+    return evolution.validity(fields, snapshots).select("contract_id", "field", "first_version", "last_version", "current")
+
+
+@query("""WITH r AS (SELECT event_type AS dataset, CASE WHEN event_id % 3 = 0 THEN 'range' ELSE 'enum' END AS check_type, (['PASS', 'FAIL', 'WARN', 'PASS'])[event_id % 4 + 1] AS status, CASE WHEN event_id % 97 = 1 THEN 'CRITICAL' ELSE 'LOW' END AS severity FROM events),
+  g AS (SELECT dataset, check_type, (2 - grouping(dataset) - grouping(check_type))::INTEGER AS level, count(*)::BIGINT AS total, count(*) FILTER (status = 'PASS')::BIGINT AS passed, count(*) FILTER (status = 'FAIL')::BIGINT AS failed, count(*) FILTER (status = 'WARN')::BIGINT AS warned,
+    count(*) FILTER (status = 'FAIL' AND severity = 'CRITICAL')::BIGINT AS critical FROM r GROUP BY ROLLUP (dataset, check_type))
+  SELECT *, greatest(0, least(100, floor(passed * 100.0 / total) - 20 * critical))::INTEGER AS health FROM g""")
+def results_rollup(spark, sf_dir):
+    """Check results by dataset and kind, by dataset, and of all, with the health of each."""
+    i = F.col("event_id")
+    status = F.get(F.array(*[F.lit(x) for x in ("PASS", "FAIL", "WARN", "PASS")]), (i % 4).cast("int"))
+    r = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset"), F.when(i % 3 == 0, "range").otherwise("enum").alias("check_type"), status.alias("status"), F.when(i % 97 == 1, "CRITICAL").otherwise("LOW").alias("severity"))
+    return reporting.rollup(r, ["dataset", "check_type"])

@@ -56,3 +56,19 @@ def test_watch_refuses_clauses_on_groups_and_overwrites_batches(spark, tmp_path)
     for ckpt in ("one", "two"):  # the second stream plays batch 0 again
         watch.watch(spark, f"{tmp_path}/in/a", schema, c, f"{tmp_path}/out", f"{tmp_path}/{ckpt}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1 and watch.latest_results(spark, f"{tmp_path}/out").first()["batch"] == 0
+
+
+def test_history_reports_and_failure_modes(spark):
+    ddl = "contract_id string, version int, field string, type string, required boolean, minimum double, maximum double, enum array<string>, low double, high double"
+    row = lambda c, v, f, kind="string", required=False: (c, v, f, kind, required, None, None, None, None, None)
+    fields = spark.createDataFrame([row("a", 1, "x.y"), row("a", 2, "x.y", "integer"), row("a", 2, "z"), row("b", 1, "x"), row("c", 1, "k"), row("c", 3, "k"), row("d", 1, "gone", required=True)], ddl)
+    snapshots = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("c", 2), ("c", 3), ("d", 1), ("d", 2)], "contract_id string, version int")
+    history = evolution.field_history(fields, snapshots)
+    got = {(r["contract_id"], r["version"], r["field_name"], r["change_type"]) for r in history.collect()}
+    assert got == {("a", 2, "x.y", "TYPE_CHANGE"), ("a", 2, "z", "FIELD_ADDED_OPTIONAL"), ("c", 2, "k", "FIELD_REMOVED_OPTIONAL"), ("c", 3, "k", "FIELD_ADDED_OPTIONAL"), ("d", 2, "gone", "FIELD_REMOVED_REQUIRED")}
+    reports = {r["contract_id"]: tuple(r)[1:] for r in evolution.history_reports(history, snapshots).collect()}
+    assert reports == {"a": ("OK", "breaking", 2, True), "b": ("INSUFFICIENT_SNAPSHOTS", None, 0, False), "c": ("OK", "backward", 1, False), "d": ("OK", "breaking", 1, True)}
+    subs = spark.createDataFrame([("a", "p", "x", None), ("a", "q", "z", None), ("b", "p", "x", None), ("d", "p", "gone", "it joins on it"), ("a", "p", "x.y", None)], "contract_id string, subscriber_id string, field string, reason string")
+    hops = spark.createDataFrame([("a", "p", 2)], "contract_id string, subscriber_id string, hops int")
+    modes = {(r["contract_id"], r["subscriber_id"]): (r["fields"], r["failure_mode"], r["hops"]) for r in evolution.failure_modes(history, snapshots, subs, hops).collect()}
+    assert modes == {("a", "p"): ("x,x.y", "Consumer may fail on x, x.y.", 2), ("d", "p"): ("gone", "it joins on it", 0)}
