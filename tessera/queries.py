@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import adapter, checks, crosschecks, evolution, ingest, jsonschema, lineage, payloads, profile, raw, reporting, whatif
+from tessera.operators import adapter, checks, crosschecks, evolution, ingest, jsonschema, lineage, migration, payloads, profile, raw, reporting, whatif
 from tessera.plans.contract import Clause, Contract, FieldRule
 from tessera.sources import flatten, records, store
 from tessera.sources.shared import folder
@@ -1176,3 +1176,45 @@ def results_rollup(spark, sf_dir):
     status = F.get(F.array(*[F.lit(x) for x in ("PASS", "FAIL", "WARN", "PASS")]), (i % 4).cast("int"))
     r = table(spark, sf_dir, "events").select(F.col("event_type").alias("dataset"), F.when(i % 3 == 0, "range").otherwise("enum").alias("check_type"), status.alias("status"), F.when(i % 97 == 1, "CRITICAL").otherwise("LOW").alias("severity"))
     return reporting.rollup(r, ["dataset", "check_type"])
+
+
+_MIGRATION = [
+    *migration.rules_for("week5-event-records"),
+    {"source_version": "0.8", "target_version": "0.9", "type": "numeric_scaling", "field": "value", "factor": 10, "description": "Tenths."},
+    {"source_version": "2.0", "target_version": "1.0", "type": "numeric_scaling", "field": "facts.confidence", "factor": 0.01, "above": 1.0, "description": "Percent."},
+    {"source_version": "2.0", "target_version": "1.0", "type": "optional_field", "field": "event_name", "description": "Gap."},
+]
+_MIGRATED = """WITH e AS (SELECT event_id, event_id % 5 AS k, event_type AS t, value AS v, least(value, 100) AS p FROM events),
+  r AS (SELECT event_id, t, v, p, k, CASE WHEN k = 0 THEN '0.8.0' WHEN k = 1 THEN '0.9.0' WHEN k = 4 THEN '7.0.0' WHEN k = 2 AND p > 1 THEN '2.0.0' ELSE '1.0.0' END AS source_version,
+    CASE WHEN k <> 2 THEN 'payload_schema_version' WHEN p > 1 THEN 'heuristic_percent' ELSE 'default_expected_version' END AS detection_method FROM e)"""
+
+
+def _mixed_versions(spark, sf_dir):
+    """Events of several schema versions in one table, some of which don't say theirs."""
+    k, p = F.col("event_id") % 5, F.least("value", F.lit(100.0))
+    facts = F.array(F.struct(F.when(k == 2, p).otherwise(p / 100).alias("confidence")), F.struct(F.lit(None).cast("double").alias("confidence")))
+    version = F.when(k == 0, "0.8").when(k == 1, "0.9.0").when(k == 3, "1.0").when(k == 4, "7")
+    e = table(spark, sf_dir, "events").select("event_id", version.alias("schema_version"), F.when(k < 2, F.col("event_type")).alias("event_name"), F.when(k >= 2, F.col("event_type")).alias("event_type"), "value", facts.alias("facts"))
+    return migration.adapt(e, _MIGRATION, "1.0", heuristics=[("percent", "exists(facts, f -> f.confidence > 1)", "2.0")])
+
+
+@query(_MIGRATED + """ SELECT event_id, source_version, t AS event_type, CASE WHEN k = 0 THEN round(v * 10, 6) ELSE v END AS value, CASE WHEN source_version = '2.0.0' THEN round(p * 0.01::DOUBLE, 6) WHEN k = 2 THEN p ELSE p / 100 END AS confidence,
+  CASE source_version WHEN '0.8.0' THEN 2 WHEN '0.9.0' THEN 1 WHEN '2.0.0' THEN 2 ELSE 0 END AS changed_values FROM r""")
+def adapter_by_version(spark, sf_dir):
+    """Each record taken from its own version to the target by its chain of steps."""
+    changed = F.aggregate("adaptation.operations", F.lit(0), lambda n, o: n + o["changed_values"])
+    return _mixed_versions(spark, sf_dir).select("event_id", "adaptation.source_version", "event_type", "value", F.col("facts")[0]["confidence"].alias("confidence"), changed.alias("changed_values"))
+
+
+@query(_MIGRATED + """ SELECT source_version, detection_method, count(*)::BIGINT AS records, (count(*) FILTER (source_version NOT IN ('1.0.0', '7.0.0')))::BIGINT AS changed, source_version <> '1.0.0' AS attempted,
+  source_version NOT IN ('1.0.0', '7.0.0') AS applied, source_version <> '7.0.0' AS succeeded, CASE WHEN source_version = '7.0.0' THEN 'no adapter rules available for 7.0.0 -> 1.0.0' ELSE '' END AS failure_reason FROM r GROUP BY ALL""")
+def adapter_outcomes(spark, sf_dir):
+    """What became of the records of each version."""
+    return migration.outcomes(_mixed_versions(spark, sf_dir)).drop("target_version", "fallback_succeeded")
+
+
+@query(_MIGRATED + """ SELECT source_version, rule_type, count(*)::BIGINT AS records, count(*)::BIGINT AS changed_values FROM r, (VALUES ('0.8.0', 'numeric_scaling'), ('0.8.0', 'field_rename'), ('0.9.0', 'field_rename'), ('2.0.0', 'numeric_scaling'), ('2.0.0', 'optional_field')) x(version, rule_type)
+  WHERE source_version = version GROUP BY ALL""")
+def adapter_rule_log(spark, sf_dir):
+    """How many values each rule changed in records of each version."""
+    return migration.rule_log(_mixed_versions(spark, sf_dir)).drop("description")
