@@ -27,7 +27,7 @@ def similarity(a: str, b: str) -> float:
     ta, tb = (set(re.findall("[a-z0-9]{2,}", x.lower())) for x in (a, b))
     overlap = len(ta & tb) / len(ta | tb) if ta | tb else 0.0
     bonus = LEAF_BONUS if a.rsplit(".", 1)[-1] == b.rsplit(".", 1)[-1] else 0.0
-    return min(1.0, max(overlap, difflib.SequenceMatcher(None, a, b).ratio()) + bonus)
+    return max(overlap, difflib.SequenceMatcher(None, a, b).ratio()) + bonus
 
 
 def detect_renames(old: Contract, new: Contract) -> dict[str, str]:

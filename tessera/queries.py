@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import adapter, checks, crosschecks, evolution, ingest, jsonschema, lineage, migration, payloads, profile, raw, reporting, whatif
+from tessera.operators import adapter, checks, crosschecks, evolution, ingest, jsonschema, lineage, migration, payloads, profile, raw, renames, reporting, sketches, whatif
 from tessera.plans.contract import Clause, Contract, FieldRule
 from tessera.sources import flatten, records, store
 from tessera.sources.shared import folder
@@ -1218,3 +1218,43 @@ def adapter_outcomes(spark, sf_dir):
 def adapter_rule_log(spark, sf_dir):
     """How many values each rule changed in records of each version."""
     return migration.rule_log(_mixed_versions(spark, sf_dir)).drop("description")
+
+
+@query("""SELECT event_type, path, count(*)::BIGINT AS n, (count(*) FILTER (nothing))::BIGINT AS nulls, min(x) AS minimum, max(x) AS maximum FROM (
+  SELECT event_type, 'value' AS path, CASE WHEN event_id % 10 > 0 THEN value END AS x, event_id % 10 = 0 AS nothing FROM events UNION ALL SELECT event_type, 'user_id', user_id::DOUBLE, user_id IS NULL FROM events
+  UNION ALL SELECT event_type, 'props', NULL, props IS NULL FROM events) GROUP BY ALL""")
+def sketch_profile(spark, sf_dir):
+    """Profiles by day, merged over all days: nothing but the sketches is read a second time."""
+    e = table(spark, sf_dir, "events").withColumns({"day": F.to_date("ts"), "value": F.when(F.col("event_id") % 10 > 0, F.col("value"))})
+    daily = sketches.sketched(e, ["value", "user_id", "props"], ["event_type", "day"])
+    return sketches.estimates(sketches.merged(daily, ["event_type"])).select("event_type", "path", "n", "nulls", "minimum", "maximum")
+
+
+@query("""WITH b AS (SELECT o_totalprice AS price, o_custkey::DOUBLE AS customer, o_orderkey::DOUBLE AS id, o_orderpriority AS priority FROM orders WHERE year(o_orderdate) < 1997),
+  c AS (SELECT o_totalprice * 1.5 AS price, o_custkey * 1.2::DOUBLE AS customer, o_orderkey::DOUBLE AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS priority FROM orders WHERE year(o_orderdate) >= 1997),
+  q AS (SELECT 'price' AS path, (SELECT quantile_disc(price, [0.05, 0.25, 0.5, 0.75, 0.95]) FROM b) AS was, (SELECT quantile_disc(price, [0.05, 0.25, 0.5, 0.75, 0.95]) FROM c) AS now
+    UNION ALL SELECT 'customer', (SELECT quantile_disc(customer, [0.05, 0.25, 0.5, 0.75, 0.95]) FROM b), (SELECT quantile_disc(customer, [0.05, 0.25, 0.5, 0.75, 0.95]) FROM c)
+    UNION ALL SELECT 'id', (SELECT quantile_disc(id, [0.05, 0.25, 0.5, 0.75, 0.95]) FROM b), (SELECT quantile_disc(id, [0.05, 0.25, 0.5, 0.75, 0.95]) FROM c)),
+  s AS (SELECT path, list_max(list_transform(range(1, 6), lambda i: abs(now[i] - was[i]))) / (was[5] - was[1]) AS d FROM q UNION ALL SELECT 'priority', abs((SELECT avg(CASE WHEN priority IS NULL THEN 1 ELSE 0 END) FROM c) - (SELECT avg(CASE WHEN priority IS NULL THEN 1 ELSE 0 END) FROM b)))
+  SELECT path, CASE WHEN d > 0.25 THEN 'FAIL' WHEN d > 0.1 THEN 'WARN' ELSE 'PASS' END AS status FROM s UNION ALL SELECT 'fresh', 'BASELINE_SET'""")
+def sketch_drift(spark, sf_dir):
+    """Orders of late years against sketches of the years before, made year by year."""
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("customer"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    late = o.where("year >= 1997").withColumns({"price": F.col("price") * 1.5, "customer": F.col("customer") * 1.2, "priority": F.when(F.col("id") % 2 == 0, F.col("priority")), "fresh": F.lit("x")})
+    before = sketches.sketched(o.where("year < 1997"), ["price", "customer", "id", "priority"], ["year"])
+    return sketches.drift(sketches.sketched(late, ["price", "customer", "id", "priority", "fresh"], ["year"]), before).select("path", "status")
+
+
+@query("""SELECT p_partkey // 10 AS contract_id, 'k' || p_partkey || '.amount' AS old_field, 'k' || p_partkey || '.total.amount' AS new_field, 2 / 3::DOUBLE AS tokens_shared FROM part WHERE p_partkey % 5 > 0
+  UNION ALL SELECT p_partkey // 10, 'Q' || p_partkey || 'x', 'Q' || p_partkey || 'y', 0 FROM part WHERE p_partkey % 10 = 7""")
+def rename_match(spark, sf_dir):
+    """Planted renames of ten fields a contract, some of which have another type now, and one told by its letters alone."""
+    key = F.col("p_partkey")
+    name = lambda a, b: F.concat(F.lit(a), key.cast("string"), F.lit(b))
+    p = table(spark, sf_dir, "part").select(F.floor(key / 10).alias("contract_id"), key)
+    fields = lambda path, kind, letters: p.select("contract_id", path.alias("field"), kind.alias("type"), key.alias("position")).unionByName(p.where(key % 10 == 7).select("contract_id", letters.alias("field"), F.lit("boolean").alias("type"), key.alias("position")))
+    old = fields(name("k", ".amount"), F.when(key % 5 > 0, "number").otherwise("integer"), name("Q", "x"))
+    new = fields(name("k", ".total.amount"), F.when(key % 5 > 0, "number").otherwise("string"), name("Q", "y"))
+    found = renames.matched(old, new)
+    words = lambda c: F.array_distinct(text.tokens(F.col(c), 2))
+    return found.select("contract_id", "old_field", "new_field", text.jaccard(words("old_field"), words("new_field")).alias("tokens_shared"))
