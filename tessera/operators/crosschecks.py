@@ -53,14 +53,14 @@ def intents(df: DataFrame, files: DataFrame) -> DataFrame:
     """code_refs are there, name existing files (``files``: path), have sound lines and confidences of 0 to 1."""
     ref = lambda f: F.aggregate("code_refs", F.lit(0), lambda s, x: s + f(x))
     rules = {
-        "intents.code_refs_non_empty": ("HIGH", _bad(F.size("code_refs") > 0)),
-        "intents.code_ref_line_bounds": ("HIGH", ref(lambda x: _bad((x["line_start"] >= 1) & (x["line_end"] >= x["line_start"])))),
-        "intents.code_ref_confidence_scale": ("CRITICAL", ref(lambda x: _bad(x["confidence"].between(0, 1)))),
+        "week1.code_refs_non_empty": ("HIGH", _bad(F.size("code_refs") > 0)),
+        "week1.code_ref_line_bounds": ("HIGH", ref(lambda x: _bad((x["line_start"] >= 1) & (x["line_end"] >= x["line_start"])))),
+        "week1.code_ref_confidence_scale": ("CRITICAL", ref(lambda x: _bad(x["confidence"].between(0, 1)))),
     }
     named = df.select(F.explode("code_refs.file").alias("path"))
     unsafe = F.col("path").isNull() | F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)")
     missing = named.where(unsafe).unionByName(named.where(~unsafe).join(files.select("path").distinct(), "path", "left_anti"))
-    return counted(df, rules, "code_refs").unionByName(_rows("intents.code_ref_file_present", "HIGH", missing))
+    return counted(df, rules, "code_refs").unionByName(_rows("week1.code_ref_file_present", "HIGH", missing))
 
 
 def verdicts(df: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -71,11 +71,11 @@ def verdicts(df: DataFrame, hashes: DataFrame) -> DataFrame:
     add = lambda f: F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x))
     mean = add(lambda x: x["score"].cast("double") * weight(x)) / F.nullif(add(weight), F.lit(0.0))
     rules = {
-        "verdicts.score_range_valid": ("CRITICAL", F.aggregate(v, F.lit(0), lambda s, x: s + _bad(x["score"].cast("double").isin([1.0, 2.0, 3.0, 4.0, 5.0])))),
-        "verdicts.overall_score_weighted_mean": ("CRITICAL", _bad(F.round(mean, 3) == F.round(F.col("overall_score"), 3))),
+        "week2.score_range_valid": ("CRITICAL", F.aggregate(v, F.lit(0), lambda s, x: s + _bad(x["score"].cast("double").isin([1.0, 2.0, 3.0, 4.0, 5.0])))),
+        "week2.overall_score_weighted_mean": ("CRITICAL", _bad(F.round(mean, 3) == F.round(F.col("overall_score"), 3))),
     }
     unknown = df.join(hashes.select(F.col("sha256").alias("rubric_id")).distinct(), "rubric_id", "left_anti")
-    return counted(df, rules, "scores").unionByName(_rows("verdicts.rubric_hash_exists", "HIGH", unknown))
+    return counted(df, rules, "scores").unionByName(_rows("week2.rubric_hash_exists", "HIGH", unknown))
 
 
 def extractions(df: DataFrame, rules_hash: str | None) -> DataFrame:
@@ -86,7 +86,7 @@ def extractions(df: DataFrame, rules_hash: str | None) -> DataFrame:
     ids = F.transform("entities", lambda e: e["entity_id"])
     wanted = F.flatten(F.transform("extracted_facts", lambda f: F.coalesce(f["entity_refs"], F.array())))
     missing = F.coalesce(absent(wanted, F.filter(ids, lambda x: x.isNotNull())), F.lit(0))
-    out = counted(df, {"extractions.entity_refs_exist": ("HIGH", missing), "extractions.extraction_rules_hash_exists": ("HIGH", F.lit(1) if rules_hash is None else F.when(F.col("extraction_rules_hash") != rules_hash, 1).otherwise(0))})
+    out = counted(df, {"week3.entity_refs_exist": ("HIGH", missing), "week3.extraction_rules_hash_exists": ("HIGH", F.lit(1) if rules_hash is None else F.when(F.col("extraction_rules_hash") != rules_hash, 1).otherwise(0))})
     if rules_hash is None:
         return out.withColumn("status", F.when(F.col("check_id").endswith("hash_exists"), "ERROR").otherwise(F.col("status")))
     return out
@@ -96,7 +96,7 @@ def lineage(df: DataFrame) -> DataFrame:
     """Both ends of each edge are nodes of the same snapshot."""
     ids = F.transform("nodes", lambda n: n["node_id"])
     ends = F.flatten(F.transform("edges", lambda e: F.array(e["source"], e["target"])))
-    return counted(df, {"lineage.edges_reference_nodes": ("CRITICAL", F.coalesce(absent(ends, F.filter(ids, lambda x: x.isNotNull())), F.lit(0)))}, "edges")
+    return counted(df, {"week4.edges_reference_nodes": ("CRITICAL", F.coalesce(absent(ends, F.filter(ids, lambda x: x.isNotNull())), F.lit(0)))}, "edges")
 
 
 def events(df: DataFrame, schemas: DataFrame | None = None, error: Column | None = None) -> DataFrame:
@@ -104,14 +104,14 @@ def events(df: DataFrame, schemas: DataFrame | None = None, error: Column | None
 
     ``schemas``: (event_type, schema_version) of known ones; ``error``: what is wrong with a payload, null if nothing.
     """
-    out = counted(df, {"events.recorded_after_occurred": ("CRITICAL", _bad(instant(F.col("recorded_at")) >= instant(F.col("occurred_at"))))})
+    out = counted(df, {"week5.recorded_after_occurred": ("CRITICAL", _bad(instant(F.col("recorded_at")) >= instant(F.col("occurred_at"))))})
     numbers = df.withColumn("sequence_number", F.coalesce("sequence_number", F.lit(0)))
-    out = out.unionByName(_rows("events.sequence_monotonic", "CRITICAL", broken_sequences(numbers, ["aggregate_id"], "sequence_number")))
+    out = out.unionByName(_rows("week5.sequence_monotonic", "CRITICAL", broken_sequences(numbers, ["aggregate_id"], "sequence_number")))
     if schemas is None:
         return out
     known = schemas.select("event_type", "schema_version").distinct().withColumn("__known", F.lit(True))
     bad = df.join(known, ["event_type", "schema_version"], "left").where(F.col("__known").isNull() | (F.lit(False) if error is None else error.isNotNull()))
-    return out.unionByName(_rows("events.payload_matches_schema", "HIGH", bad))
+    return out.unionByName(_rows("week5.payload_matches_schema", "HIGH", bad))
 
 
 def traces(df: DataFrame) -> DataFrame:

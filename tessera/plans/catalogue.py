@@ -6,61 +6,61 @@ import yaml
 
 from tessera.plans.contract import Clause, Contract
 
-# The clauses of each kind of dataset. Ids begin with the kind, as contracts of a kind may have any name.
+# The clauses of each kind of dataset. Reports and baselines are keyed by these ids, so they must agree.
 CLAUSES = r"""
 intents:
-  - {id: intents.intent_id, rule: {type: field_format, field: intent_id, format: uuid}}
-  - {id: intents.created_at, rule: {type: field_format, field: created_at, format: date-time}}
-  - {id: intents.code_refs, rule: {type: array_min_items, field: code_refs, minimum: 1}}
-  - {id: intents.confidence, rule: {type: numeric_range, field: code_refs.confidence, minimum: 0, maximum: 1}}
-  - {id: intents.files, rule: {type: repo_path_exists, field: code_refs.file}}
+  - {id: week1.intent_id_uuid, rule: {type: field_format, field: intent_id, format: uuid}}
+  - {id: week1.created_at_datetime, rule: {type: field_format, field: created_at, format: date-time}}
+  - {id: week1.code_refs_non_empty, rule: {type: array_min_items, field: code_refs, minimum: 1}}
+  - {id: week1.code_ref_confidence_unit_scale, rule: {type: numeric_range, field: code_refs.confidence, minimum: 0, maximum: 1}}
+  - {id: week1.code_ref_file_exists, rule: {type: repo_path_exists, field: code_refs.file}}
 verdicts:
-  - {id: verdicts.verdict_id, rule: {type: field_format, field: verdict_id, format: uuid}}
-  - {id: verdicts.verdict, rule: {type: field_enum, field: overall_verdict, allowed: [PASS, FAIL, WARN]}}
-  - {id: verdicts.scores, rule: {type: numeric_range, field: scores.score, minimum: 1, maximum: 5}}
-  - {id: verdicts.weighted_mean, rule: {type: weighted_mean_equals, map_field: scores, output: overall_score, tolerance: 0.001}}
-  - {id: verdicts.rubric_id, rule: {type: field_pattern, field: rubric_id, pattern: '[0-9a-f]{64}$'}}
-  - {id: verdicts.rubric_version, rule: {type: field_pattern, field: rubric_version, pattern: '\d+\.\d+\.\d+$'}}
-  - {id: verdicts.confidence, rule: {type: numeric_range, field: confidence, minimum: 0, maximum: 1}}
-  - {id: verdicts.evaluated_at, rule: {type: field_format, field: evaluated_at, format: date-time}}
+  - {id: week2.verdict_id_uuid, rule: {type: field_format, field: verdict_id, format: uuid}}
+  - {id: week2.overall_verdict_enum, rule: {type: field_enum, field: overall_verdict, allowed: [PASS, FAIL, WARN]}}
+  - {id: week2.score_range, rule: {type: numeric_range, field: scores.score, minimum: 1, maximum: 5}}
+  - {id: week2.overall_score_weighted_mean, rule: {type: weighted_mean_equals, map_field: scores, output: overall_score, tolerance: 0.001}}
+  - {id: week2.rubric_id_sha256, rule: {type: field_pattern, field: rubric_id, pattern: '[0-9a-f]{64}$'}}
+  - {id: week2.rubric_version_semver, rule: {type: field_pattern, field: rubric_version, pattern: '\d+\.\d+\.\d+$'}}
+  - {id: week2.confidence_unit_scale, rule: {type: numeric_range, field: confidence, minimum: 0, maximum: 1}}
+  - {id: week2.evaluated_at_datetime, rule: {type: field_format, field: evaluated_at, format: date-time}}
 extractions:
-  - {id: extractions.doc_id, rule: {type: field_format, field: doc_id, format: uuid}}
-  - {id: extractions.extracted_at, rule: {type: field_format, field: extracted_at, format: date-time}}
-  - {id: extractions.fact_id, rule: {type: field_format, field: extracted_facts.fact_id, format: uuid}}
-  - {id: extractions.confidence, rule: {type: numeric_range, field: extracted_facts.confidence, minimum: 0, maximum: 1}}
-  - {id: extractions.page_ref, rule: {type: numeric_range, field: extracted_facts.page_ref, minimum: 1}}
-  - {id: extractions.excerpt, rule: {type: string_length, field: extracted_facts.source_excerpt, minimum: 1}}
-  - {id: extractions.source_hash, rule: {type: field_pattern, field: source_hash, pattern: '[0-9a-f]{64}$'}}
-  - {id: extractions.rules_hash, rule: {type: field_pattern, field: extraction_rules_hash, pattern: '[0-9a-f]{64}$'}}
-  - {id: extractions.processing_time, rule: {type: numeric_range, field: processing_time_ms, minimum: 1}}
-  - {id: extractions.source_path, severity: warn, rule: {type: field_pattern, field: source_path, pattern: '.*/(artifacts/)?week3/.refinery/(extracted|chunks)/.+'}}
-  - {id: extractions.tokens, severity: warn, rule: {type: multi_field_numeric_range, fields: [token_count.input, token_count.output], minimum: 0}}
+  - {id: week3.doc_id_uuid, rule: {type: field_format, field: doc_id, format: uuid}}
+  - {id: week3.extracted_at_datetime, rule: {type: field_format, field: extracted_at, format: date-time}}
+  - {id: week3.fact_id_uuid, rule: {type: field_format, field: extracted_facts.fact_id, format: uuid}}
+  - {id: week3.confidence_unit_scale, rule: {type: numeric_range, field: extracted_facts.confidence, minimum: 0, maximum: 1}}
+  - {id: week3.page_ref_positive, rule: {type: numeric_range, field: extracted_facts.page_ref, minimum: 1}}
+  - {id: week3.source_excerpt_present, rule: {type: string_length, field: extracted_facts.source_excerpt, minimum: 1}}
+  - {id: week3.source_hash_sha256, rule: {type: field_pattern, field: source_hash, pattern: '[0-9a-f]{64}$'}}
+  - {id: week3.extraction_rules_hash_sha256, rule: {type: field_pattern, field: extraction_rules_hash, pattern: '[0-9a-f]{64}$'}}
+  - {id: week3.processing_time_positive, rule: {type: numeric_range, field: processing_time_ms, minimum: 1}}
+  - {id: week3.source_path_lineage, severity: warn, rule: {type: field_pattern, field: source_path, pattern: '.*/(artifacts/)?week3/.refinery/(extracted|chunks)/.+'}}
+  - {id: week3.token_counts_non_negative, severity: warn, rule: {type: multi_field_numeric_range, fields: [token_count.input, token_count.output], minimum: 0}}
 lineage:
-  - {id: lineage.snapshot_id, rule: {type: field_format, field: snapshot_id, format: uuid}}
-  - {id: lineage.commit, rule: {type: field_pattern, field: git_commit, pattern: '[0-9a-f]{40}$'}}
-  - {id: lineage.relationship, rule: {type: field_enum, field: edges.relationship, allowed: [IMPORTS, CALLS, READS, WRITES, PRODUCES, CONSUMES]}}
-  - {id: lineage.endpoints, rule: {type: edge_endpoints_exist, nodes: nodes, edges: edges}}
-  - {id: lineage.confidence, rule: {type: numeric_range, field: edges.confidence, minimum: 0, maximum: 1}}
-  - {id: lineage.captured_at, rule: {type: field_format, field: captured_at, format: date-time}}
+  - {id: week4.snapshot_id_uuid, rule: {type: field_format, field: snapshot_id, format: uuid}}
+  - {id: week4.git_commit_sha1, rule: {type: field_pattern, field: git_commit, pattern: '[0-9a-f]{40}$'}}
+  - {id: week4.edge_relationship_enum, rule: {type: field_enum, field: edges.relationship, allowed: [IMPORTS, CALLS, READS, WRITES, PRODUCES, CONSUMES]}}
+  - {id: week4.edge_endpoints_exist, rule: {type: edge_endpoints_exist, nodes: nodes, edges: edges}}
+  - {id: week4.edge_confidence_unit_scale, rule: {type: numeric_range, field: edges.confidence, minimum: 0, maximum: 1}}
+  - {id: week4.captured_at_datetime, rule: {type: field_format, field: captured_at, format: date-time}}
 events:
-  - {id: events.event_id, rule: {type: field_format, field: event_id, format: uuid}}
-  - {id: events.aggregate_id, rule: {type: field_format, field: aggregate_id, format: uuid}}
-  - {id: events.aggregate_type, rule: {type: field_enum, field: aggregate_type, allowed: [LoanApplication, AgentSession, DocumentPackage, ComplianceRecord, AuditLedger]}}
-  - {id: events.type, rule: {type: field_pattern, field: event_type, pattern: '[A-Z][A-Za-z0-9]*$'}}
-  - {id: events.occurred_at, rule: {type: field_format, field: occurred_at, format: date-time}}
-  - {id: events.order, rule: {type: temporal_order, left: occurred_at, right: recorded_at, operator: '<='}}
-  - {id: events.sequence_number, rule: {type: numeric_range, field: sequence_number, minimum: 1}}
-  - {id: events.sequence, rule: {type: group_monotonic, group_by: [aggregate_id], field: sequence_number}}
-  - {id: events.schema_version, rule: {type: field_enum, field: schema_version, allowed: ['1.0', '2.0']}}
-  - {id: events.correlation, rule: {type: field_format, field: metadata.correlation_id, format: uuid}}
-  - {id: events.amount, rule: {type: conditional_numeric_range, field: payload.requested_amount_usd, minimum: 0.01, when: {field: event_type, equals: ApplicationSubmitted}}}
-  - {id: events.document, severity: warn, rule: {type: conditional_pattern, field: payload.document_path, pattern: '.+\.pdf$', when: {field: event_type, in: [DocumentUploadRequested, DocumentUploaded, DocumentAdded]}}}
+  - {id: week5.event_id_uuid, rule: {type: field_format, field: event_id, format: uuid}}
+  - {id: week5.aggregate_id_uuid, rule: {type: field_format, field: aggregate_id, format: uuid}}
+  - {id: week5.aggregate_type_enum, rule: {type: field_enum, field: aggregate_type, allowed: [LoanApplication, AgentSession, DocumentPackage, ComplianceRecord, AuditLedger]}}
+  - {id: week5.event_type_pascal_case, rule: {type: field_pattern, field: event_type, pattern: '[A-Z][A-Za-z0-9]*$'}}
+  - {id: week5.occurred_at_datetime, rule: {type: field_format, field: occurred_at, format: date-time}}
+  - {id: week5.recorded_at_not_before_occurred_at, rule: {type: temporal_order, left: occurred_at, right: recorded_at, operator: '<='}}
+  - {id: week5.sequence_number_positive, rule: {type: numeric_range, field: sequence_number, minimum: 1}}
+  - {id: week5.sequence_monotonic_per_aggregate, rule: {type: group_monotonic, group_by: [aggregate_id], field: sequence_number}}
+  - {id: week5.schema_version_supported, rule: {type: field_enum, field: schema_version, allowed: ['1.0', '2.0']}}
+  - {id: week5.correlation_id_uuid, rule: {type: field_format, field: metadata.correlation_id, format: uuid}}
+  - {id: week5.application_submission_amount_positive, rule: {type: conditional_numeric_range, field: payload.requested_amount_usd, minimum: 0.01, when: {field: event_type, equals: ApplicationSubmitted}}}
+  - {id: week5.document_events_reference_pdf, severity: warn, rule: {type: conditional_pattern, field: payload.document_path, pattern: '.+\.pdf$', when: {field: event_type, in: [DocumentUploadRequested, DocumentUploaded, DocumentAdded]}}}
 traces:
-  - {id: traces.id, rule: {type: field_format, field: id, format: uuid}}
-  - {id: traces.order, rule: {type: temporal_order, left: start_time, right: end_time, operator: '<'}}
-  - {id: traces.tokens, rule: {type: sum_equals, parts: [prompt_tokens, completion_tokens], output: total_tokens, tolerance: 0}}
-  - {id: traces.run_type, rule: {type: field_enum, field: run_type, allowed: [llm, chain, tool, retriever, embedding]}}
-  - {id: traces.cost, rule: {type: numeric_range, field: total_cost, minimum: 0}}
+  - {id: traces.id_uuid, rule: {type: field_format, field: id, format: uuid}}
+  - {id: traces.start_end_temporal_order, rule: {type: temporal_order, left: start_time, right: end_time, operator: '<'}}
+  - {id: traces.total_tokens_sum, rule: {type: sum_equals, parts: [prompt_tokens, completion_tokens], output: total_tokens, tolerance: 0}}
+  - {id: traces.run_type_enum, rule: {type: field_enum, field: run_type, allowed: [llm, chain, tool, retriever, embedding]}}
+  - {id: traces.total_cost_non_negative, rule: {type: numeric_range, field: total_cost, minimum: 0}}
 """
 
 

@@ -203,7 +203,8 @@ def numeric_profile(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS path, count({c})::BIGINT AS observed, (count(*) - count({c}))::BIGINT AS nulls, count(DISTINCT {c})::BIGINT AS cardinality, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM orders ORDER BY v LIMIT 5)) AS samples FROM orders" for c in ("o_orderstatus", "o_orderpriority")))
 def string_profile(spark, sf_dir):
-    return profile.field_profile(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    found = profile.field_profile(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    return found.withColumn("samples", F.array_join("samples", "|"))
 
 
 @query("SELECT c AS field, e AS enum FROM (SELECT 'c_mktsegment' AS c, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS e, count(DISTINCT c_mktsegment) AS n FROM customer) WHERE n <= 5")
@@ -696,8 +697,8 @@ _REFS = "(SELECT o_orderkey, l_orderkey, 'f' || (l_partkey % 30) AS file, l_line
 
 
 @query(_cross(
-    ("intents.code_refs_non_empty", "HIGH", "count(*)", "orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"), ("intents.code_ref_line_bounds", "HIGH", "count(*) FILTER (l_orderkey IS NOT NULL AND NOT (a >= 1 AND b >= a))", _REFS),
-    ("intents.code_ref_confidence_scale", "CRITICAL", "count(*) FILTER (l_orderkey IS NOT NULL AND NOT c BETWEEN 0 AND 1)", _REFS), ("intents.code_ref_file_present", "HIGH", "count(*) FILTER (l_orderkey IS NOT NULL AND file NOT IN (SELECT 'f' || n_nationkey FROM nation))", _REFS),
+    ("week1.code_refs_non_empty", "HIGH", "count(*)", "orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"), ("week1.code_ref_line_bounds", "HIGH", "count(*) FILTER (l_orderkey IS NOT NULL AND NOT (a >= 1 AND b >= a))", _REFS),
+    ("week1.code_ref_confidence_scale", "CRITICAL", "count(*) FILTER (l_orderkey IS NOT NULL AND NOT c BETWEEN 0 AND 1)", _REFS), ("week1.code_ref_file_present", "HIGH", "count(*) FILTER (l_orderkey IS NOT NULL AND file NOT IN (SELECT 'f' || n_nationkey FROM nation))", _REFS),
 ))
 def cross_intents(spark, sf_dir):
     """Orders as intents, their lines as references into files."""
@@ -712,8 +713,8 @@ _MEANS = "(SELECT c_nationkey AS n, sum((c_custkey % 6)::DOUBLE * CASE WHEN c_cu
 
 
 @query(_cross(
-    ("verdicts.score_range_valid", "CRITICAL", "count(*) FILTER (c_custkey % 6 = 0)", "customer"), ("verdicts.overall_score_weighted_mean", "CRITICAL", "count(*) FILTER (n % 3 = 0)", _MEANS),
-    ("verdicts.rubric_hash_exists", "HIGH", "count(*) FILTER (n >= 20)", _MEANS),
+    ("week2.score_range_valid", "CRITICAL", "count(*) FILTER (c_custkey % 6 = 0)", "customer"), ("week2.overall_score_weighted_mean", "CRITICAL", "count(*) FILTER (n % 3 = 0)", _MEANS),
+    ("week2.rubric_hash_exists", "HIGH", "count(*) FILTER (n >= 20)", _MEANS),
 ))
 def cross_verdicts(spark, sf_dir):
     """Nations as verdicts, scored by their customers."""
@@ -727,8 +728,8 @@ def cross_verdicts(spark, sf_dir):
 
 
 @query(_cross(
-    ("extractions.entity_refs_exist", "HIGH", "count(*) FILTER (b.s_suppkey IS NULL)", "supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 AND b.s_nationkey = a.s_nationkey"),
-    ("extractions.extraction_rules_hash_exists", "HIGH", "count(*) FILTER (n % 2 = 1)", "(SELECT DISTINCT s_nationkey AS n FROM supplier)"),
+    ("week3.entity_refs_exist", "HIGH", "count(*) FILTER (b.s_suppkey IS NULL)", "supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 AND b.s_nationkey = a.s_nationkey"),
+    ("week3.extraction_rules_hash_exists", "HIGH", "count(*) FILTER (n % 2 = 1)", "(SELECT DISTINCT s_nationkey AS n FROM supplier)"),
 ))
 def cross_extractions(spark, sf_dir):
     """Nations as extractions: their suppliers as entities, and facts about each supplier and the next."""
@@ -739,7 +740,7 @@ def cross_extractions(spark, sf_dir):
     return _counts(crosschecks.extractions(d.withColumn("extraction_rules_hash", F.concat(F.lit("h"), (F.col("s_nationkey") % 2).cast("string"))), "h0"))
 
 
-@query(_cross(("lineage.edges_reference_nodes", "CRITICAL", "count(*) FILTER (b.n_nationkey IS NULL)", "nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 AND b.n_regionkey = a.n_regionkey")))
+@query(_cross(("week4.edges_reference_nodes", "CRITICAL", "count(*) FILTER (b.n_nationkey IS NULL)", "nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 AND b.n_regionkey = a.n_regionkey")))
 def cross_lineage(spark, sf_dir):
     """Regions as snapshots of nations, each with an edge to the next."""
     n = table(spark, sf_dir, "nation")
@@ -755,8 +756,8 @@ _NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, eve
 
 
 @query(_cross(
-    ("events.recorded_after_occurred", "CRITICAL", "count(*) FILTER (NOT coalesce(floor(value - 20) >= 0, false))", "events"), ("events.sequence_monotonic", "CRITICAL", "count(*)", f"(SELECT 1 FROM {_NUMBERED} GROUP BY user_id HAVING NOT (min(s) = 1 AND max(s) = count(*) AND count(DISTINCT s) = count(*)))"),
-    ("events.payload_matches_schema", "HIGH", "count(*) FILTER (event_type NOT IN ('view', 'click') OR event_id % 2 = 1 OR value < 5)", "events"),
+    ("week5.recorded_after_occurred", "CRITICAL", "count(*) FILTER (NOT coalesce(floor(value - 20) >= 0, false))", "events"), ("week5.sequence_monotonic", "CRITICAL", "count(*)", f"(SELECT 1 FROM {_NUMBERED} GROUP BY user_id HAVING NOT (min(s) = 1 AND max(s) = count(*) AND count(DISTINCT s) = count(*)))"),
+    ("week5.payload_matches_schema", "HIGH", "count(*) FILTER (event_type NOT IN ('view', 'click') OR event_id % 2 = 1 OR value < 5)", "events"),
 ))
 def cross_events(spark, sf_dir):
     """Recording times, sequences by user, and payloads by type and version."""

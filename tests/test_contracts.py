@@ -107,6 +107,11 @@ def test_renames_and_changes(spark):
     assert got == {"user_name": "FIELD_RENAME", "kept": "NO_CHANGE"}
 
 
+def test_enumerations_with_bars(spark):
+    c = profile.infer_contract(spark.createDataFrame([("a|b",), ("c",), ("",), (None,)], "s string"), "c")
+    assert c.fields["s"].enum == ["", "a|b", "c"]
+
+
 def test_adapters(records):
     d = adapter.apply_rules(records, [{"type": "numeric_scaling", "field": "facts.confidence", "factor": 10}, {"type": "field_rename", "from": "facts.text", "to": "facts.body"}, {"type": "remove_field", "field": "facts.refs"}, {"type": "default_value", "field": "score", "value": 0}])
     r = d.collect()

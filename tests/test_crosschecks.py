@@ -15,28 +15,28 @@ def test_kinds():
 def test_intents(spark):
     files = spark.createDataFrame([("a.py",)], "path string")
     d = spark.createDataFrame([([("a.py", 1, 2, 0.5), ("b.py", 3, 2, 1.5)],), ([],), ([("../a.py", 0, 1, None)],)], "code_refs array<struct<file string, line_start int, line_end int, confidence double>>")
-    assert failing(x.intents(d, files)) == {"intents.code_refs_non_empty": 1, "intents.code_ref_line_bounds": 2, "intents.code_ref_confidence_scale": 2, "intents.code_ref_file_present": 2}
+    assert failing(x.intents(d, files)) == {"week1.code_refs_non_empty": 1, "week1.code_ref_line_bounds": 2, "week1.code_ref_confidence_scale": 2, "week1.code_ref_file_present": 2}
 
 
 def test_verdicts(spark):
     hashes = spark.createDataFrame([("h",)], "sha256 string")
     d = spark.createDataFrame([("h", {"a": (4, 1.0), "b": (2, 3.0)}, 2.5), ("g", {"a": (7, 1.0)}, 7.0), ("h", {"a": (4, -1.0)}, 3.0)], "rubric_id string, scores map<string, struct<score int, weight double>>, overall_score double")
-    assert failing(x.verdicts(d, hashes)) == {"verdicts.score_range_valid": 1, "verdicts.overall_score_weighted_mean": 1, "verdicts.rubric_hash_exists": 1}
+    assert failing(x.verdicts(d, hashes)) == {"week2.score_range_valid": 1, "week2.overall_score_weighted_mean": 1, "week2.rubric_hash_exists": 1}
 
 
 def test_extractions_and_lineage(spark):
     d = spark.createDataFrame([([("e1",)], [(["e1", "e2", "e2"],), (None,)], "h"), ([], [(["e1"],)], None), (None, None, "g")], "entities array<struct<entity_id string>>, extracted_facts array<struct<entity_refs array<string>>>, extraction_rules_hash string")
-    assert failing(x.extractions(d, "h")) == {"extractions.entity_refs_exist": 3, "extractions.extraction_rules_hash_exists": 1}
+    assert failing(x.extractions(d, "h")) == {"week3.entity_refs_exist": 3, "week3.extraction_rules_hash_exists": 1}
     assert {r["status"] for r in x.extractions(d, None).where("check_id like '%hash%'").collect()} == {"ERROR"}
     g = spark.createDataFrame([([("a",), ("b",)], [("a", "b"), ("a", "c"), (None, "d")])], "nodes array<struct<node_id string>>, edges array<struct<source string, target string>>")
-    assert failing(x.lineage(g)) == {"lineage.edges_reference_nodes": 3}
+    assert failing(x.lineage(g)) == {"week4.edges_reference_nodes": 3}
 
 
 def test_events(spark):
     t = "2024-01-01T00:00:0{}Z".format
     d = spark.createDataFrame([("a", 1, "X", "1.0", t(0), t(1)), ("a", 2, "X", "2.0", t(2), t(1)), ("b", 2, "Y", "1.0", t(0), None), ("c", None, "X", "1.0", t(0), t(0))], "aggregate_id string, sequence_number long, event_type string, schema_version string, occurred_at string, recorded_at string")
     known = spark.createDataFrame([("X", "1.0")], "event_type string, schema_version string")
-    assert failing(x.events(d, known)) == {"events.recorded_after_occurred": 2, "events.sequence_monotonic": 2, "events.payload_matches_schema": 2}
+    assert failing(x.events(d, known)) == {"week5.recorded_after_occurred": 2, "week5.sequence_monotonic": 2, "week5.payload_matches_schema": 2}
     assert len(failing(x.events(d.limit(0)))) == 2
 
 

@@ -35,7 +35,7 @@ def test_catalogue_on_events(spark):
     c = catalogue.completed(profile.infer_contract(df, "events"), "events")
     assert checks.summary(checks.evaluate(df, c)).first()["overall_status"] == "PASS" and c.fields["sequence_number"].minimum == 1
     broken = df.where("sequence_number <> 2")
-    assert {r["check_id"] for r in checks.evaluate(broken, c).where("status = 'FAIL'").collect()} == {"events.sequence"}
+    assert {r["check_id"] for r in checks.evaluate(broken, c).where("status = 'FAIL'").collect()} == {"week5.sequence_monotonic_per_aggregate"}
     assert {k: len(catalogue.clauses_for(k)) for k in ("intents", "verdicts", "extractions", "lineage", "events", "traces", "generic")} == {"intents": 5, "verdicts": 8, "extractions": 11, "lineage": 6, "events": 12, "traces": 5, "generic": 0}
     assert all(c.rule["type"] in checks.ON_RECORDS + checks.ON_GROUPS + checks.ON_FILES for k in ("intents", "verdicts", "extractions", "lineage", "events", "traces") for c in catalogue.clauses_for(k))
 
