@@ -13,6 +13,7 @@ from tessera.operators import adapter, checks, crosschecks, evolution, ingest, j
 from tessera.plans.contract import Clause, Contract, FieldRule
 from tessera.sources import flatten, records, store
 from tessera.sources.shared import folder
+from tessera.streaming.status import latest_statuses, statuses
 from tessera.streaming.watch import latest_results, sequences, watch, windowed_failures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -684,6 +685,36 @@ def streaming_windows(spark, sf_dir):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "records", "failing")
 
 
+_WATCHED = """WITH e AS (SELECT 'd' || user_id AS dataset, ts AS t, event_id AS n, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'scan' END AS event, (floor(value / 50))::BIGINT AS signature FROM events WHERE user_id IS NOT NULL),
+  s AS (SELECT *, event = 'scan' AND lag(signature) OVER (PARTITION BY dataset, event ORDER BY t, n) <> signature AS changed FROM e),
+  c AS (SELECT *, lead(t) OVER (PARTITION BY dataset ORDER BY t, n) AS next FROM s WHERE changed OR event <> 'scan'),
+  m AS (SELECT dataset, max(t) AS last, max(max(t)) OVER () - INTERVAL 1 HOUR AS passed FROM e GROUP BY dataset),
+  d AS (SELECT dataset, t + INTERVAL 6 HOURS AS t, n, 'late' AS event FROM c JOIN m USING (dataset) WHERE event = 'start' AND (next IS NULL OR next > t + INTERVAL 6 HOURS) AND (last > t + INTERVAL 6 HOURS OR passed > t + INTERVAL 6 HOURS)),
+  a AS (SELECT dataset, t, n, event FROM c UNION ALL SELECT * FROM d),
+  w AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY t DESC, n DESC) AS r FROM a),
+  l AS (SELECT dataset, count(*) FILTER (event = 'done')::BIGINT AS validation_count, max(t) FILTER (event IN ('done', 'error', 'late')) AS last_completed_at, arg_max(CASE event WHEN 'scan' THEN 'outputs_changed' ELSE 'asked' END, t) FILTER (event IN ('scan', 'start')) AS last_reason,
+    arg_max(CASE event WHEN 'error' THEN 'broken' WHEN 'late' THEN 'no outcome in time' ELSE '' END, t) FILTER (event IN ('error', 'late', 'start')) AS last_error, max(CASE WHEN r = 1 THEN event END) AS event FROM w GROUP BY dataset)
+SELECT dataset, CASE event WHEN 'scan' THEN 'stale' WHEN 'start' THEN 'validating' WHEN 'done' THEN 'watching' WHEN 'error' THEN 'error' WHEN 'late' THEN 'error' ELSE 'idle' END AS status, coalesce(validation_count, 0) AS validation_count, last_reason, nullif(last_error, '') AS last_error, last_completed_at FROM m LEFT JOIN l USING (dataset)"""
+
+
+@query(_WATCHED)
+def streaming_statuses(spark, sf_dir):
+    """The state of each user's dataset, whose events come in micro-batches in order of time."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    event = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("scan")
+    detail = F.when(event == "start", "asked").when(event == "error", "broken")
+    rows = e.select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("dataset"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), event.alias("event"), F.floor(F.col("value") / 50).cast("string").alias("signature"), detail.alias("detail"))
+    where = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    day = F.dayofmonth("at")
+    for wanted in (day <= 10, (day > 10) & (day <= 20), day > 20):  # files in order of their writing
+        rows.where(wanted).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+    statuses(stream, limit=6 * 3600, late="1 hour").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
+    out = latest_statuses(spark.read.parquet(f"{where}/out"))
+    return out.select("dataset", "status", "validation_count", "last_reason", "last_error", F.col("last_completed_at").cast("timestamp_ntz").alias("last_completed_at"))
+
+
 def _cross(*parts: tuple[str, str, str, str]) -> str:
     """SQL of cross-record checks: (id, severity, failing count, table)."""
     return _rows(*parts).replace("'FAIL' ELSE 'PASS' END AS status, 'MEDIUM'", "'WARN' ELSE 'PASS' END AS status, 'MEDIUM'")
