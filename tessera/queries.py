@@ -534,6 +534,43 @@ def whatif_affected(spark, sf_dir):
     return whatif.affected(subs, evolution.classify(evolution.field_table(spark, old), evolution.field_table(spark, new)))
 
 
+_DECLARED = r"(-?\d+(?:\.\d+)?)\s*-\s*(-?\d+(?:\.\d+)?)"
+
+
+@query(rf"""WITH d AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'Float ' || l_suppkey || ' - ' || l_partkey WHEN 1 THEN 'int' WHEN 2 THEN 'between -' || l_suppkey || '.5-2' ELSE NULL END AS d, CASE l_linenumber % 3 WHEN 0 THEN 'x -> x * ' || l_suppkey WHEN 1 THEN 'X->x / ' || (l_suppkey % 3) ELSE 'y' END AS t FROM lineitem),
+  p AS (SELECT lower(nullif(regexp_extract(d, '(?i)\b(int|integer|float|number|string|boolean)\b', 1), '')) AS k, nullif(regexp_extract(d, '{_DECLARED}', 1), '')::DOUBLE AS minimum, nullif(regexp_extract(d, '{_DECLARED}', 2), '')::DOUBLE AS maximum, nullif(regexp_extract(t, '(?i)x -> x \* (\d+)', 1), '')::DOUBLE AS m, nullif(regexp_extract(t, '(?i)x->x / (\d+)', 1), '')::DOUBLE AS v FROM d)
+SELECT CASE k WHEN 'int' THEN 'integer' WHEN 'float' THEN 'number' ELSE k END AS type, minimum, maximum, round(coalesce(m, CASE WHEN v <> 0 THEN 1 / v END, 1), 6) AS factor, count(*)::BIGINT AS n FROM p GROUP BY ALL""")
+def whatif_descriptors(spark, sf_dir):
+    """Types, ranges and factors read from words, made of lines."""
+    name = lambda c: F.col(c).cast("string")
+    kind, third = F.col("l_linenumber") % 4, F.col("l_linenumber") % 3
+    said = F.when(kind == 0, F.concat(F.lit("Float "), name("l_suppkey"), F.lit(" - "), name("l_partkey"))).when(kind == 1, "int").when(kind == 2, F.concat(F.lit("between -"), name("l_suppkey"), F.lit(".5-2")))
+    turned = F.when(third == 0, F.concat(F.lit("x -> x * "), name("l_suppkey"))).when(third == 1, F.concat(F.lit("X->x / "), (F.col("l_suppkey") % 3).cast("string"))).otherwise("y")
+    d = table(spark, sf_dir, "lineitem").select(whatif.descriptor(said).alias("d"), F.round(whatif.factor(turned), 6).alias("factor"))
+    return d.groupBy("d", "factor").agg(F.count("*").alias("n")).select("d.*", "factor", "n")
+
+
+@query(f"""WITH b AS (SELECT {_OUT} AS f, count(*) FILTER (round(l_discount * 100, 6) > 1) AS g, count(*) FILTER (round(l_discount * 100, 6) <> l_discount) AS a FROM lineitem)
+SELECT 1 AS place, 'l_discount is multiplied by 100.0.' AS note UNION ALL SELECT 2, 'The comparison of the contracts is breaking.' UNION ALL SELECT 3, CASE WHEN f > 0 OR a = 0 AND g > 0 THEN 'The adapter was tried and doesn''t repair the records.' WHEN a > 0 THEN 'The adapter brings records back to the contract as it is.' ELSE 'Rules to go back are ready, though no record needed them.' END FROM b UNION ALL SELECT 4, '1 rules undo the change.'""")
+def whatif_notes(spark, sf_dir):
+    """What is to be said of a change of scale that comes as a written specification."""
+    c = _fields(l_discount=FieldRule("number", minimum=0, maximum=1))
+    return whatif.notes(table(spark, sf_dir, "lineitem"), c, whatif.specified({"change_type": "numeric_scale_change", "from_field": "l_discount", "sample_transform": "x -> x * 100", "from": "float 0.0-1.0", "to": "integer 0-100"}))
+
+
+@query(f"""WITH {_EDGES}, h AS (SELECT target AS id, 1 AS hops, [] :: VARCHAR[] AS via FROM e WHERE source = 'r1' UNION ALL SELECT b.target, 2, [a.target] FROM e a JOIN e b ON a.target = b.source WHERE a.source = 'r1'),
+  d AS (SELECT 'n' || n_nationkey AS subscriber_id, 'f' || (n_nationkey % 3) AS fields FROM nation WHERE n_nationkey % 2 = 0)
+SELECT subscriber_id, fields, CASE WHEN id IS NOT NULL THEN 'n' END AS kind, CASE WHEN id IS NOT NULL THEN 'OF' END AS relationship, coalesce(hops - 1, 0)::INTEGER AS contamination_depth, array_to_string(via, '>') AS via, true AS is_direct FROM d LEFT JOIN h ON id = subscriber_id
+UNION ALL SELECT id, NULL, substr(id, 1, 1), 'OF', (hops - 1)::INTEGER, array_to_string(via, '>'), false FROM h ANTI JOIN d ON id = subscriber_id""")
+def whatif_lineage(spark, sf_dir):
+    """Affected nations with their depth in the lineage of a region, and all else that it reaches."""
+    key = F.col("n_nationkey").cast("string")
+    direct = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), key).alias("subscriber_id"), F.concat(F.lit("f"), (F.col("n_nationkey") % 3).cast("string")).alias("fields"))
+    reached = lineage.traverse(_edges(spark, sf_dir).withColumn("relationship", F.lit("OF")), spark.createDataFrame([("r1",)], "start string"), paths=True)
+    entries = reached.select(F.col("node").alias("id"), F.substring("node", 1, 1).alias("kind"), F.lit("lineage_graph").alias("source"), F.element_at("relationships", -1).alias("relationship"), "hops", F.slice("path", F.lit(2), F.size("path") - 2).alias("via"))
+    return whatif.enriched(direct, entries).select("subscriber_id", "fields", "kind", "relationship", "contamination_depth", F.array_join("via", ">").alias("via"), "is_direct")
+
+
 @query("SELECT CASE WHEN role = 'user' AND length(text) > 100 THEN 'long-user' WHEN role = 'user' THEN 'user' WHEN contains(text, '?') THEN 'question' ELSE 'other' END AS producer, count(*)::BIGINT AS n FROM conversations GROUP BY 1")
 def producer_classification(spark, sf_dir):
     is_user = F.col("role") == "user"
