@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import absent
 from tessera.functions.text import instant
 from tessera.operators.checks import RESULT, broken_sequences
+from tessera.plans import catalogue
 
 # Kinds of dataset and the words that name them, the first that fits wins.
 KINDS = (("extractions", ("extract",)), ("events", ("event",)), ("lineage", ("lineage",)), ("verdicts", ("verdict",)), ("traces", ("trace",)), ("intents", ("intent",)))
@@ -129,7 +130,8 @@ def producer_of(rules: Mapping[str, Mapping[str, Sequence[str]]], late: Sequence
     """Which producer a trace comes from: by tag in the order of ``rules``; else by JSON paths that inputs and outputs
     have, by name, and by what an error text holds, each in the order of ``late``; else other.
 
-    ``rules``: producer to tags, paths, names, fragments. Paths begin with inputs. or outputs., which hold JSON.
+    ``rules``: producer to tags, paths, names, fragments. Paths begin with inputs. or outputs., which hold JSON. Tags and
+    names count without their case and the blanks around them.
     """
     def has_path(p: str) -> Column:
         head, _, rest = p.partition(".")
@@ -144,10 +146,10 @@ def producer_of(rules: Mapping[str, Mapping[str, Sequence[str]]], late: Sequence
     out = F
     if tags:
         for name, r in rules.items():
-            out = out.when(F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in r["tags"]])), F.lit(False)), name)
+            out = out.when(F.coalesce(F.exists("tags", lambda t: F.lower(F.trim(t)).isin([x.lower() for x in r["tags"]])), F.lit(False)), name)
     signals = (
         lambda r: any_of([has_path(p) for p in r["paths"]]),
-        lambda r: F.coalesce(F.lower("name").isin([n.lower() for n in r["names"]]), F.lit(False)),
+        lambda r: F.coalesce(F.lower(F.trim("name")).isin([n.lower() for n in r["names"]]), F.lit(False)),
         lambda r: any_of([F.contains(F.lower("error"), F.lit(f.lower())) for f in r["fragments"]]),
     )
     for signal in signals:
@@ -156,8 +158,11 @@ def producer_of(rules: Mapping[str, Mapping[str, Sequence[str]]], late: Sequence
     return out.otherwise("other")
 
 
-def producers(df: DataFrame, rules: Mapping[str, Mapping[str, Sequence[str]]], late: Sequence[str]) -> DataFrame:
-    """How many rows have no producer, and how many of each have no signal of it but a tag."""
+def producers(df: DataFrame, rules: Mapping[str, Mapping[str, Sequence[str]]] | None = None, late: Sequence[str] | None = None) -> DataFrame:
+    """How many rows have no producer, and how many of each have no signal of it but a tag; without ``rules``, by those
+    of ``catalogue.producer_rules``, the last of which comes first where no tag tells."""
+    rules = catalogue.producer_rules() if rules is None else rules
+    late = list(reversed(rules)) if late is None else late
     who = producer_of(rules, late)
     checks = {"traces.producer_classification.coverage": ("MEDIUM", F.when(who == "other", 1).otherwise(0))}
     for name in rules:

@@ -38,6 +38,29 @@ def facts(blocks: DataFrame, doc: str, order: list[str], text: str, score: str,
     return b.select(doc, "fact_no", trimmed.alias("text"), confidence(F.col(score)).alias("confidence"))
 
 
+def chunk_records(chunks: DataFrame, doc: str, order: list[str], text: str, size: int = 8, most: int = 6, least: int = 20, skip: str = "<!-- image -->") -> DataFrame:
+    """(doc, record_no, facts array<string>): a record for each ``size`` chunks in a row of a document that have a fact, numbered from 1.
+
+    A fact is a trimmed chunk of at least ``least`` characters other than ``skip``; the first ``most`` of each record are taken.
+    Nulls are no facts but count as chunks. Chunks are numbered by one window for each document.
+    """
+    b = batched(chunks.select(doc, *order, F.regexp_replace(F.col(text), r"^\s+|\s+$", "").alias("__t")), [doc], order, size)
+    b = b.where((F.char_length("__t") >= least) & (F.col("__t") != skip))
+    r = b.groupBy(doc, "batch").agg(F.array_sort(F.collect_list(F.struct(*order, "__t"))).alias("__f"))
+    r = r.withColumn("record_no", F.row_number().over(Window.partitionBy(doc).orderBy("batch")))
+    return r.select(doc, "record_no", F.transform(F.slice("__f", 1, most), lambda f: f["__t"]).alias("facts"))
+
+
+def topped_up(have: DataFrame, more: DataFrame, order: list[str], target: int = 50) -> DataFrame:
+    """``have``, and so many rows of ``more`` in ``order`` as there are missing to ``target``; what there is beyond it stays.
+
+    Both have the same columns. No more than ``target`` rows of ``more`` are numbered, each task passing on its first ones.
+    """
+    n = have.limit(target).agg(F.count(F.lit(1)).alias("__have"))
+    first = more.orderBy(*order).limit(target).withColumn("__n", F.row_number().over(Window.orderBy(*order)))
+    return have.unionByName(first.join(n).where(F.col("__have") + F.col("__n") <= target).drop("__n", "__have"))
+
+
 def markdown_sections(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(keep..., section_no, title, body, fields): the ``##`` sections of Markdown texts; ``fields`` maps the names of
     ``- **name**: value`` lines to their values, of a name given twice the last."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators.reporting import numbered_overall
 from tessera.sources.shared import kept
 
 
@@ -116,7 +118,7 @@ def upstream_producers(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, fie
     found = files.join(services, "root").withColumn("token_matches", F.size(F.filter(words, lambda w: F.contains(told, w))))
     order = F.struct(-F.col("token_matches"), F.col("hops") + 1, "service")
     best = found.groupBy("file_path").agg(F.min_by(F.struct((F.col("hops") + 1).alias("hops"), "service", "token_matches"), order).alias("b")).select("file_path", "b.*")
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("token_matches"), "hops", "file_path")))
+    return numbered_overall(best, [F.desc("token_matches"), F.col("hops"), F.col("file_path")], "rank")
 
 
 def candidate_files(nodes: DataFrame, field: str, hints: dict[str, list[str]] | None = None) -> DataFrame:
@@ -139,8 +141,8 @@ def blame(producers: DataFrame, history: DataFrame, now: Column, top: int = 5) -
     ``producers``: of ``upstream_producers``; ``history``: of ``git_history``, whose files without a commit are new today.
     """
     h = history.select(F.col("path").alias("file_path"), "commit", "author", F.greatest(F.lit(0), F.coalesce(F.date_diff(now, F.to_date("committed_at")), F.lit(0))).alias("days"))
-    found = producers.join(h, "file_path").select(F.lit(0).alias("one"), F.col("file_path").alias("path"), "commit", "author", "days", "hops")
-    return ranked_blame(found, ["one"], top).select("rank", "path", "commit", "author", "days", "hops", "confidence")
+    found = producers.join(h, "file_path").select(F.col("file_path").alias("path"), "commit", "author", "days", "hops")
+    return ranked_blame(found, [], top).select("rank", "path", "commit", "author", "days", "hops", "confidence")
 
 
 def merged_edges(edges: DataFrame, missing: float = 0.95) -> DataFrame:
@@ -150,6 +152,27 @@ def merged_edges(edges: DataFrame, missing: float = 0.95) -> DataFrame:
     return edges.groupBy("source", "target", "relationship").agg(F.max(inside).alias("confidence"))
 
 
+def map_view(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, type, path, purpose) and edges (source, target, relationship, confidence) of a graph to be shown.
+
+    Ids are trimmed, nodes without one and repeated ones left out (of those the least row stays); names that are missing get
+    their id, UNKNOWN and DEPENDS_ON. Edges have both ends, the highest confidence of their like, none counting 0.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    said = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), other)
+    n = nodes.select(text("node_id").alias("id"), said("label", text("node_id")).alias("label"), said("type", F.lit("UNKNOWN")).alias("type"), said("path", F.lit("")).alias("path"), said("purpose", F.lit("")).alias("purpose"))
+    n = n.where("id <> ''").groupBy("id").agg(F.min(F.struct("label", "type", "path", "purpose")).alias("n")).select("id", "n.*")
+    e = edges.select(text("source").alias("source"), text("target").alias("target"), said("relationship", F.lit("DEPENDS_ON")).alias("relationship"), F.col("confidence").cast("string").try_cast("double").alias("confidence"))
+    return n, without_dangling(merged_edges(e, missing=0.0), n.select(F.col("id").alias("node_id")))
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, shown: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """The edges between nodes whose id is ``shown``, and the nodes that such an edge ends in."""
+    e = edges.where(shown(F.col("source")) & shown(F.col("target")))
+    ends = e.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return nodes.join(ends, "id", "left_semi"), e
+
+
 def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends exist; ``nodes``: (node_id)."""
     n = nodes.select("node_id").distinct()
@@ -167,22 +190,25 @@ def blame_confidence(days: Column, hops: Column) -> Column:
 
 
 def ranked_blame(candidates: DataFrame, per: list[str], top: int = 5) -> DataFrame:
-    """The best candidates of each failure: ``candidates`` (..., path, days, hops)."""
+    """The best candidates of each failure, or of all without ``per``: ``candidates`` (..., path, days, hops)."""
     scored = candidates.withColumn("confidence", blame_confidence(F.col("days"), F.col("hops")))
-    rank = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("confidence"), "hops", "path"))
+    order = [F.desc("confidence"), "hops", "path"]
+    if not per:  # each task passes on its best, so the window sees no more than ``top`` rows
+        scored = scored.orderBy(*order).limit(top)
+    rank = F.row_number().over(Window.partitionBy(*per).orderBy(*order))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def git_history(spark: SparkSession, repo: str, files: list[str]) -> DataFrame:
-    """(path, commit, author, committed_at, message): the last commit of each file; files without one get a hash of
-    their content. A handful of files on the driver."""
+def git_history(spark: SparkSession, repo: str, files: list[str], since: str | None = None) -> DataFrame:
+    """(path, commit, author, committed_at, message): the last commit of each file, no older than ``since`` (14 days ago,
+    2024-01-31); files without one get a hash of their name and content. A handful of files on the driver."""
     import hashlib
     import pathlib
     import subprocess
 
     rows = []
     for f in files:
-        out = subprocess.run(["git", "-C", repo, "log", "-1", "--follow", "--format=%H%x1f%an%x1f%aI%x1f%s", "--", f], capture_output=True, text=True).stdout.strip()
+        out = subprocess.run(["git", "-C", repo, "log", "-1", "--follow", *([f"--since={since}"] if since else []), "--format=%H%x1f%an%x1f%aI%x1f%s", "--", f], capture_output=True, text=True).stdout.strip()
         path = pathlib.Path(repo, f)
         if out:
             rows.append((f, *out.split("\x1f")[:4]))

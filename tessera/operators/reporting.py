@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import kept
+
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
@@ -15,6 +17,17 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
+def numbered_overall(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 over the whole table in an order that tells them apart, without bringing them together: ranges
+    of the order are numbered by themselves, from where those before them end."""
+    parts = kept(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    out = parts.withColumn("__own", own).join(sizes.select("__part", before.alias("__before")), "__part")
+    return out.withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__part", "__own", "__before")
+
+
 def health_score(passed: Column, total: Column, critical: Column) -> Column:
     """Percent passed, less 20 for each critical failure, held to 0 to 100; 100 without checks."""
     raw = F.floor(passed * F.lit(100.0) / F.nullif(total, F.lit(0))) - 20 * critical

@@ -107,6 +107,30 @@ traces:
   total_cost: {type: number, minimum: 0.0}
 """
 
+# How traces tell which system made them: tags, JSON paths that inputs or outputs have, names, parts of error texts.
+PRODUCERS = r"""
+week3:
+  tags: [week3]
+  paths: [inputs.doc_id, inputs.doc_batch, inputs.question, inputs.semantic_query, inputs.strategy, inputs.hits, inputs.navigation_sections, outputs.answer, outputs.route, outputs.semantic_query, outputs.facts, outputs.vectors, outputs.chunks, outputs.citations, outputs.provenance_chain]
+  names: [execute, finalize, week3-extractor, week3-refinery-session, triage-retriever, fact-embedding-writer, citation-builder, refinery-quality-gate]
+  fragments: [/week3/, document-intelligence-refinery]
+week4:
+  tags: [week4]
+  paths: [inputs.arg, inputs.tool, inputs.direction, inputs.evidence, inputs.judicial_verdict, inputs.result, outputs.arg, outputs.tool, outputs.direction, outputs.evidence, outputs.judicial_verdict, outputs.result, outputs.output]
+  names: [trace_lineage, explain_module, blast_radius, find_implementation, _route_decision]
+  fragments: [/week4/, brownfield-cartographer]
+week5:
+  tags: [week5]
+  paths: [inputs.command, inputs.append_result, inputs.context_snapshot, inputs.metrics, inputs.pre_extracted_evidence, inputs.writer, inputs.document_paths, outputs.command, outputs.append_result, outputs.context_snapshot]
+  names: [_write, validate_inputs, load_context, prepare_output, write_output, analyze_credit, plan_analysis, plan_refinery, run_refinery]
+  fragments: [/week5/, ledger-agentic-event-store]
+"""
+
+
+def producer_rules() -> dict[str, dict[str, list[str]]]:
+    """The rules of PRODUCERS, as ``crosschecks.producers`` takes them."""
+    return yaml.safe_load(PRODUCERS)
+
 
 def completed(contract: Contract, kind: str) -> Contract:
     """A contract with the clauses of its kind, and the fixed rules of the fields that it has."""

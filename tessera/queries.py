@@ -1327,3 +1327,74 @@ def rename_match(spark, sf_dir):
     found = renames.matched(old, new)
     words = lambda c: F.array_distinct(text.tokens(F.col(c), 2))
     return found.select("contract_id", "old_field", "new_field", text.jaccard(words("old_field"), words("new_field")).alias("tokens_shared"))
+
+
+_HALF = _BUCKETS.replace("FROM documents)", "FROM documents WHERE {})")
+
+
+@query(f"""WITH {_BUCKETS.replace("b AS", "b0 AS", 1)}, {_HALF.format("doc_id % 3 = 0 AND lang <> 'de'").replace("b AS", "b1 AS", 1)},
+  v AS (SELECT i, lang, list(coalesce(n, 0)::DOUBLE ORDER BY k) AS v FROM (SELECT l.i, l.lang, k, n FROM (SELECT DISTINCT 0 AS i, lang FROM b0 UNION SELECT 1, lang FROM b1) l CROSS JOIN range(128) r(k) LEFT JOIN (SELECT 0 AS i, * FROM b0 UNION ALL SELECT 1, * FROM b1) b ON b.i = l.i AND b.lang = l.lang AND b.bucket = k) GROUP BY i, lang)
+SELECT a.lang, CASE WHEN e.lang IS NULL THEN 'BASELINE_SET' WHEN 1 - list_cosine_similarity(a.v, e.v) > 0.01::DOUBLE THEN 'FAIL' ELSE 'PASS' END AS status, coalesce(round(1 - list_cosine_similarity(a.v, e.v), 4), 0) + 0.0 AS drift FROM v a LEFT JOIN v e ON e.i = 1 AND e.lang = a.lang WHERE a.i = 0""")
+def stored_embedding_drift(spark, sf_dir):
+    """Languages against the vectors that a first run over a third of their documents kept; one has none yet."""
+    d, path = table(spark, sf_dir, "documents"), f"{folder(spark)}/baseline-{uuid.uuid4().hex}"
+    vectors = lambda docs: payloads.unit_vectors(payloads.bucket_counts(docs, "text", ["lang"]), ["lang"])
+    store.centroid_drift(vectors(d.where("doc_id % 3 = 0 AND lang <> 'de'")), ["lang"], path)
+    return store.centroid_drift(vectors(d), ["lang"], path, limit=0.01)
+
+
+_MADE_BY = "(SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'week4' WHEN event_id % 6 = 2 THEN 'week5' WHEN event_id % 6 = 1 THEN 'week4' WHEN event_id % 6 = 0 THEN 'week3' WHEN event_id % 5 = 0 THEN 'week5' WHEN event_id % 7 = 0 THEN 'week3' ELSE 'other' END AS who FROM events)"
+
+
+@query(_cross(
+    ("traces.producer_classification.coverage", "MEDIUM", "count(*) FILTER (who = 'other')", _MADE_BY), ("traces.week3.row_shape", "HIGH", "0 * count(*)", _MADE_BY),
+    ("traces.week4.row_shape", "HIGH", "count(*) FILTER (who = 'week4' AND event_id % 6 <> 1)", _MADE_BY), ("traces.week5.row_shape", "HIGH", "0 * count(*)", _MADE_BY),
+))
+def cross_trace_producers(spark, sf_dir):
+    """Traces by the fixed rules of producers: by tag, else by what inputs hold, by name and by error text."""
+    n = F.col("event_id")
+    inputs = F.when(n % 6 == 0, '{"doc_id": "d"}').when(n % 6 == 1, '{"arg": 1}').when(n % 6 == 2, '{"command": {"a": 1}}').otherwise(F.col("props"))
+    name, error = F.when(n % 5 == 0, " Load_Context").otherwise("run"), F.when(n % 7 == 0, "in /WEEK3/x")
+    traces = table(spark, sf_dir, "events").select(F.when(n % 4 == 0, F.array(F.lit("a"), F.lit(" Week4 "))).alias("tags"), inputs.alias("inputs"), F.lit("{}").alias("outputs"), name.alias("name"), error.alias("error"))
+    return _counts(crosschecks.producers(traces))
+
+
+def _map(spark, sf_dir):
+    def named(k: Column) -> Column:
+        t = k.cast("string")
+        return F.when(k % 3 == 0, F.concat(F.lit("service::week"), t)).when(k % 3 == 1, F.concat(F.lit(" dataset::outputs/"), t)).otherwise(F.concat(F.lit("file::"), t))
+
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    nodes = n.select(named(F.col("n_nationkey")).alias("node_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("label"), F.lit("TABLE").alias("type"), F.lit("").alias("path"), F.lit(None).cast("string").alias("purpose"))
+    k = F.col("c_custkey")
+    edges = c.select(named(F.col("c_nationkey")).alias("source"), named(k % 30).alias("target"), F.when(k % 4 > 0, "READS").alias("relationship"), F.when(k % 7 > 0, (k % 11 / 10).cast("string")).otherwise("x").alias("confidence"))
+    shown = lambda c: c.startswith("dataset::outputs/") | c.startswith("service::week")
+    return lineage.subgraph(*lineage.map_view(nodes.unionByName(nodes), edges), shown)
+
+
+_MAP = """n AS (SELECT n_nationkey AS k, (['service::week', 'dataset::outputs/', 'file::'])[n_nationkey % 3 + 1] || n_nationkey AS id, n_name FROM nation),
+  e AS (SELECT a.id AS source, b.id AS target, CASE WHEN c_custkey % 4 > 0 THEN 'READS' ELSE 'DEPENDS_ON' END AS relationship, max(CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 11 / 10 ELSE 0 END)::DOUBLE AS confidence FROM customer JOIN n a ON a.k = c_nationkey JOIN n b ON b.k = c_custkey % 30 WHERE a.k % 3 < 2 AND b.k % 3 < 2 GROUP BY ALL)"""
+
+
+@query(f"WITH {_MAP} SELECT source, target, relationship, least(confidence, 1.0::DOUBLE) AS confidence FROM e")
+def lineage_map_edges(spark, sf_dir):
+    """Edges between systems of a graph with odd names, loose ends and repeats."""
+    return _map(spark, sf_dir)[1]
+
+
+@query(f"WITH {_MAP} SELECT id, CASE WHEN k % 2 = 0 THEN n_name ELSE id END AS label, 'TABLE' AS type, '' AS path, '' AS purpose FROM n WHERE id IN (SELECT source FROM e UNION SELECT target FROM e)")
+def lineage_map_nodes(spark, sf_dir):
+    """The nodes of those edges."""
+    return _map(spark, sf_dir)[0]
+
+
+@query("""WITH b AS (SELECT conv_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1) // 3 AS batch FROM conversations WHERE turn IS NOT NULL AND text IS NOT NULL),
+  f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, batch ORDER BY turn, text) AS i FROM b WHERE length(t) >= 60),
+  r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY batch)::INTEGER AS record_no, string_agg(t, '|' ORDER BY i) FILTER (i <= 2) AS facts FROM f GROUP BY conv_id, batch)
+SELECT conv_id, record_no, facts FROM r WHERE record_no > 1 UNION ALL (SELECT conv_id, record_no, facts FROM r WHERE record_no = 1 ORDER BY conv_id LIMIT greatest(0, 80 - (SELECT count(*) FROM r WHERE record_no > 1)))""")
+def chunk_records(spark, sf_dir):
+    """Turns of conversations as records of up to two facts from three turns; later ones, topped up by first ones."""
+    c = table(spark, sf_dir, "conversations").where("turn IS NOT NULL AND text IS NOT NULL")
+    r = ingest.chunk_records(c, "conv_id", ["turn", "text"], "text", size=3, most=2, least=60)
+    out = ingest.topped_up(r.where("record_no > 1"), r.where("record_no = 1"), ["conv_id"], 80)
+    return out.select("conv_id", "record_no", F.array_join("facts", "|").alias("facts"))

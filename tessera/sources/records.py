@@ -33,9 +33,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, toler
     return parsed.where("r.__bad IS NULL AND r IS NOT NULL").select("r.*").drop("__bad")
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file as one record."""
-    return spark.read.option("multiLine", True).json(path)
+def read_document(spark: SparkSession, path: str) -> DataFrame | None:
+    """A JSON file as one record; None if it is missing, empty or no JSON."""
+    if not exists(spark, path):
+        return None
+    r = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "__bad").json(path)
+    return r if r.columns and "__bad" not in r.columns else None
 
 
 def read_yaml(spark: SparkSession, path: str) -> Any:
