@@ -344,6 +344,8 @@ def _sorted_out(found: list[tuple[str, str]]) -> list[tuple[str, str, bool]]:
 
 #: Keys of differing content that a walk remembers.
 KEPT = 8
+#: Up to so many bytes of ends of parts go by the driver; more stay in tables.
+ENDS_BYTES = 32 << 20
 _ENDS = pa.schema([("part", pa.int32()), ("i", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("key", pa.binary())])
 
 
@@ -451,15 +453,18 @@ def differenced(pages: DataFrame, page_id: str = "page_id", url: str = "url", pa
 
     spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A walk over each part of the keys in order, and one backward, meet the nearest keys of other content; what a
-    # walk begins with comes from the ends of the parts passed before. The driver holds KEPT keys for a part.
+    # walk begins with comes from the ends of the parts passed before, KEPT keys for each.
     order = ["host", "path", "hashes", "sizes", "key"]
     keys = chosen.mapInArrow(ring, "key binary, host string, path string, hashes binary, sizes binary").distinct()
     keys = checkpointed(keys.repartitionByRange(spread, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
 
     def walked(table: DataFrame, name: str, down: bool) -> DataFrame:
-        """``table``, of the parts of ``keys``, with the neighbour met on one walk; nothing is moved between parts."""
-        backward = [F.col(c).desc() for c in order]
-        here, table = (keys.sortWithinPartitions(*backward), table.sortWithinPartitions(*backward)) if down else (keys, table)
+        """``table``, of the parts of ``keys``, with the neighbour met on one walk.
+
+        Nothing is moved between parts while what they begin with is small; beyond ENDS_BYTES it is carried on in one
+        stream of KEPT rows for each part, which holds KEPT of them at a time, and meets its part by a shuffle.
+        """
+        way = [F.col(c).desc() if down else F.col(c) for c in ("part", *order)]
 
         def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The last keys of a part's walk that differ from each other, oldest first."""
@@ -471,26 +476,51 @@ def differenced(pages: DataFrame, page_id: str = "page_id", url: str = "url", pa
             for i, row in enumerate(k.row for k in walk.kept):
                 yield pa.RecordBatch.from_pylist([{"part": part, "i": i, **{c: row[c] for c in order}}], schema=_ENDS)
 
-        found: dict[int, list] = {}
-        for r in here.mapInArrow(ends, "part int, i int, host string, path string, hashes binary, sizes binary, key binary").collect():
-            found.setdefault(r["part"], []).append(r.asDict())
-        begin, carried = {}, _Walk()
-        for part in sorted(found, reverse=down):
-            begin[part] = [k.row for k in carried.kept]
-            for row in sorted(found[part], key=lambda r: r["i"]):
-                carried.step(row)
+        def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What each part begins with, from the ends of all parts in the order of the walk; of the first part nothing."""
+            walk, part = _Walk(), None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["part"] != part:
+                        part = row["part"]
+                        for i, r in enumerate(k.row for k in walk.kept):
+                            yield pa.RecordBatch.from_pylist([{"part": part, "i": i, **{c: r[c] for c in order}}], schema=_ENDS)
+                    walk.step(row)
+
+        fields = "part int, i int, host string, path string, hashes binary, sizes binary, key binary"
+        found = checkpointed(keys.sortWithinPartitions(*way).mapInArrow(ends, fields))
+        total = found.agg(F.sum(sum(F.octet_length(c).cast("long") for c in order))).first()[0] or 0
+        begin: dict[int, list[dict]] = {}
+        if total <= ENDS_BYTES:
+            rows = sorted((r.asDict() for r in found.collect()), key=lambda r: (-r["part"] if down else r["part"], r["i"]))
+            for batch in carried(iter([pa.RecordBatch.from_pylist(rows, schema=_ENDS)])):
+                for r in batch.to_pylist():
+                    begin.setdefault(r["part"], []).append(r)
+            here = table.withColumn("lead", F.lit(None).cast("int")).sortWithinPartitions(*way)
+        else:
+            lead = found.coalesce(1).sortWithinPartitions(way[0], "i").mapInArrow(carried, fields).withColumnRenamed("i", "lead")
+            here = table.unionByName(lead, allowMissingColumns=True).repartition(spread, "part").sortWithinPartitions(way[0], F.col("lead").asc_nulls_last(), *way[1:])
+
+        columns = table.columns
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            walk = None
+            walk, part = _Walk(), None
             for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    walk = walk or _Walk(begin.get(row["part"], []))
+                out, own = [], []
+                for i, row in enumerate(batch.to_pylist()):
+                    if row["part"] != part:
+                        part = row["part"]
+                        walk = _Walk(begin.get(part))
+                    if row["lead"] is not None:
+                        walk.kept.append(_Seen(row))
+                        continue
                     other = walk.step(row)
+                    own.append(i)
                     out.append((other["hashes"], other["path"]) if other else (None, None))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.string())], [*batch.schema.names, name, f"{name}_path"])
+                kept = batch.take(pa.array(own, pa.int64())).select(columns)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.string())], [*kept.schema.names, name, f"{name}_path"])
 
-        return table.mapInArrow(meet, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema) + f", {name} binary, {name}_path string")
+        return here.mapInArrow(meet, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema) + f", {name} binary, {name}_path string")
 
     sides = walked(walked(keys, "before", False), "after", True)
     gone = sides.mapInArrow(differ, "key binary, gone binary")

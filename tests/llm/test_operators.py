@@ -831,3 +831,22 @@ def test_pipeline_examines_rows_without_id(spark):
     clean = p.decontaminate(spark, docs, d)
     assert clean.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted(texts[:4] + texts[5:], key=repr)
+
+
+def test_ends_of_parts_by_tables(spark, monkeypatch):
+    """What parts begin with gives the same neighbours whether it goes by the driver or by tables, for any partitions."""
+    rng = random.Random(8)
+    words = [f"w{i} and more of it" for i in range(40)]
+    rows = [(i, f"http://h{rng.randrange(3)}.org/{rng.choice('ab')}/{rng.randrange(30)}", "".join(f"<p>{rng.choice(words[: rng.choice([3, 40])])}</p>" for _ in range(rng.randrange(7)))) for i in range(300)]
+    rows += [(1000 + i, "http://h1.org/a/5", rows[5][2]) for i in range(40)] + [(2000, None, None), (2001, "http://[", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = lambda: sorted(map(tuple, html_text.differenced(pages).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    want = read()
+    try:
+        for partitions, limit in (("9", html_text.ENDS_BYTES), ("9", -1), ("2", -1)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            monkeypatch.setattr(html_text, "ENDS_BYTES", limit)
+            assert read() == want and sum(r[6] for r in want) > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
