@@ -146,3 +146,30 @@ def rollup(results: DataFrame, by: list[str]) -> DataFrame:
     )
     level = (F.lit(len(by)) - F.bit_count("__g")).cast("int")
     return g.select(*by, level.alias("level"), "total", "passed", "failed", "warned", "critical", health_score(F.col("passed"), F.col("total"), F.col("critical")).alias("health"))
+
+
+# The checks whose violation stands for all, the first one there is, and the lines of its summary.
+PREFERRED = ("extracted_facts.confidence.range", "week3.confidence_unit_scale", "extracted_facts.confidence.drift")
+SUMMARY_TITLE = "ViolationAttributor live summary"
+SUMMARY_LINES = ("Failing check", "Field", "Top cause", "Commit", "Author", "Lineage traversal", "First downstream hop", "Blast radius")
+
+
+def primary(violations: DataFrame, order: list[str]) -> DataFrame:
+    """The violation of the first of PREFERRED that there is, of several the first in ``order``; else the first of all. No
+    row without violations; each task passes on one."""
+    place = F.coalesce(*[F.when(F.col("check_id") == c, i) for i, c in enumerate(PREFERRED)], F.lit(len(PREFERRED)))
+    return violations.orderBy(place, *order).limit(1)
+
+
+def live_summary(violations: DataFrame, order: list[str]) -> DataFrame:
+    """(summary): the primary violation in lines of text.
+
+    ``violations``: (check_id, field_name, blame array<struct<file_path, commit_hash, author>>, the likeliest first, lineage
+    array, affected array). What is missing is unknown for causes, none for places.
+    """
+    top = lambda name: F.coalesce(F.get("blame", F.lit(0))[name], F.lit("unknown"))
+    check, hops = F.coalesce("check_id", F.lit("")), F.coalesce("lineage", F.array().cast("array<string>"))
+    reached = F.when(F.size("affected") > 0, F.array_join("affected", ", ")).otherwise("none")
+    said = (check, F.coalesce("field_name", F.lit("")), top("file_path"), top("commit_hash"), top("author"), F.array_join(F.array_prepend(hops, check), " -> "), F.coalesce(F.get(hops, F.lit(0)), F.lit("none")), reached)
+    lines = [F.concat(F.lit(f"{name}: "), text) for name, text in zip(SUMMARY_LINES, said, strict=True)]
+    return primary(violations, order).select(F.concat_ws("\n", F.lit(SUMMARY_TITLE), *lines).alias("summary"))

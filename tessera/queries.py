@@ -1398,3 +1398,15 @@ def chunk_records(spark, sf_dir):
     r = ingest.chunk_records(c, "conv_id", ["turn", "text"], "text", size=3, most=2, least=60)
     out = ingest.topped_up(r.where("record_no > 1"), r.where("record_no = 1"), ["conv_id"], 80)
     return out.select("conv_id", "record_no", F.array_join("facts", "|").alias("facts"))
+
+
+@query(r"""WITH v AS (SELECT * FROM events ORDER BY event_type <> 'click', ts, event_id LIMIT 1)
+SELECT 'ViolationAttributor live summary' || chr(10) || 'Failing check: ' || c || chr(10) || 'Field: ' || event_type || chr(10) || 'Top cause: ' || f || chr(10) || 'Commit: ' || user_id || chr(10) || 'Author: unknown' || chr(10) || 'Lineage traversal: ' || c || ' -> n1 -> n' || event_id || chr(10) || 'First downstream hop: n1' || chr(10) || 'Blast radius: none' AS summary
+FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'week3.confidence_unit_scale' ELSE event_type || '.range' END AS c, 'f' || event_id AS f FROM v)""")
+def live_summary(spark, sf_dir):
+    """The violation that stands for those made of events, in words."""
+    e, name = table(spark, sf_dir, "events"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    check = F.when(F.col("event_type") == "click", "week3.confidence_unit_scale").otherwise(F.concat("event_type", F.lit(".range")))
+    blame = F.array(F.struct(name("f", "event_id").alias("file_path"), F.col("user_id").cast("string").alias("commit_hash"), F.lit(None).cast("string").alias("author")))
+    v = e.select("ts", "event_id", check.alias("check_id"), F.col("event_type").alias("field_name"), blame.alias("blame"), F.array(F.lit("n1"), name("n", "event_id")).alias("lineage"), F.array().cast("array<string>").alias("affected"))
+    return reporting.live_summary(v, ["ts", "event_id"])

@@ -111,3 +111,14 @@ def test_fixed_producers(spark):
     assert got == {i: c[-1] for i, c in enumerate(cases)}
     failing = {r["check_id"]: r["records_failing"] for r in crosschecks.producers(df).collect()}
     assert failing == {"traces.producer_classification.coverage": 2, "traces.week3.row_shape": 2, "traces.week4.row_shape": 0, "traces.week5.row_shape": 0}
+
+
+def test_summaries(spark):
+    ddl = "i int, check_id string, field_name string, blame array<struct<file_path string, commit_hash string, author string>>, lineage array<string>, affected array<string>"
+    rows = [(1, "other", "f", None, None, None), (2, "extracted_facts.confidence.drift", "c", [("a.py", "c1", "me"), ("b.py", "c2", "you")], ["s", "t"], ["s", "t"]), (3, "week3.confidence_unit_scale", None, [], [], []), (4, "week3.confidence_unit_scale", "late", None, None, None)]
+    v = spark.createDataFrame(rows, ddl)
+    said = lambda d: [r["summary"].split("\n")[1:] for r in reporting.live_summary(d, ["i"]).collect()]
+    empty = ["Top cause: unknown", "Commit: unknown", "Author: unknown", "Lineage traversal: week3.confidence_unit_scale", "First downstream hop: none", "Blast radius: none"]
+    assert said(v) == [["Failing check: week3.confidence_unit_scale", "Field: ", *empty]]
+    assert said(v.where("i < 3")) == [["Failing check: extracted_facts.confidence.drift", "Field: c", "Top cause: a.py", "Commit: c1", "Author: me", "Lineage traversal: extracted_facts.confidence.drift -> s -> t", "First downstream hop: s", "Blast radius: s, t"]]
+    assert said(v.where("i = 1"))[0][0] == "Failing check: other" and said(v.limit(0)) == []
