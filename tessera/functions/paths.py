@@ -116,10 +116,15 @@ def found(schema: T.StructType, path: str) -> Values | None:
 
 
 def absent(wanted: Column, there: Column) -> Column:
-    """How many elements of one array the other doesn't have, nulls and repeats counted. Both are hashed once; what is
-    missing, mostly nothing, is looked up again to count it."""
-    missing = F.array_except(wanted, F.coalesce(there, F.array()))
-    return F.when(F.size(missing) == 0, 0).otherwise(F.size(F.filter(wanted, lambda x: x.isNull() | F.array_contains(missing, x))))
+    """How many elements of one array the other doesn't have, nulls and repeats counted. Both are sorted into one, in which
+    an element follows its like, so the work is that of a sort however many are missing."""
+    tagged = lambda arr, tag: F.transform(arr, lambda x: F.struct(x.alias("v"), F.lit(tag).alias("tag")))
+    both = F.sort_array(F.concat(tagged(F.coalesce(there, F.array()), 0), tagged(wanted, 1)))
+    # s: the last element that is there, none at first, and how many are missing.
+    met = lambda s, x: F.coalesce(s["last"]["v"] == x["v"], F.lit(False))
+    step = lambda s, x: F.struct(F.when(x["tag"] == 0, x).otherwise(s["last"]).alias("last"), F.when((x["tag"] == 0) | met(s, x), s["n"]).otherwise(s["n"] + 1).alias("n"))
+    start = F.struct(F.when(F.lit(False), F.get(both, F.lit(0))).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(both, start, step, lambda s: s["n"])
 
 
 def contract_type(kind: T.DataType) -> str:
