@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +23,51 @@ def field_table(spark: SparkSession, contract: Contract) -> DataFrame:
     return spark.createDataFrame([(a, b, c, *(None if x is None else float(x) for x in (d, e)), f, *(None if x is None else float(x) for x in (g, h))) for a, b, c, d, e, f, g, h in rows], FIELDS)
 
 
+@lru_cache(maxsize=1 << 14)
+def _named(name: str) -> tuple[frozenset[str], str]:
+    """A name's tokens and its leaf."""
+    return frozenset(re.findall("[a-z0-9]{2,}", name.lower())), name.rsplit(".", 1)[-1]
+
+
+def _shared(a: str, b: str) -> tuple[float, float]:
+    """Token overlap of two names, and what is added where the leaves agree."""
+    (ta, la), (tb, lb) = _named(a), _named(b)
+    both = len(ta & tb)
+    return both / (len(ta) + len(tb) - both) if ta or tb else 0.0, LEAF_BONUS if la == lb else 0.0
+
+
+def matching_ratio(a: str, b: str) -> float:
+    """``SequenceMatcher(None, a, b).ratio()``: the longest common block, the first in a and then in b, and so on to its left
+    and right. Blocks are found by searching for ever longer ones; from 200 characters on the library leaves out frequent ones."""
+    if len(b) >= 200:
+        return difflib.SequenceMatcher(None, a, b).ratio()
+    matches, parts, length = 0, [(a, b)], len(a) + len(b)
+    while parts:
+        x, y = parts.pop()
+        at = best = 0
+        for i in range(len(x)):
+            if i + best >= len(x):
+                break
+            while i + best < len(x) and x[i : i + best + 1] in y:
+                at, best = i, best + 1
+        if best:
+            matches += best
+            to = y.index(x[at : at + best])
+            parts += [(x[:at], y[:to]), (x[at + best :], y[to + best :])]
+    return 2.0 * matches / length if length else 1.0
+
+
 def similarity(a: str, b: str) -> float:
     """How alike two field names are: the larger of token overlap and matching blocks, more if the leaves agree."""
-    ta, tb = (set(re.findall("[a-z0-9]{2,}", x.lower())) for x in (a, b))
-    overlap = len(ta & tb) / len(ta | tb) if ta | tb else 0.0
-    bonus = LEAF_BONUS if a.rsplit(".", 1)[-1] == b.rsplit(".", 1)[-1] else 0.0
-    return max(overlap, difflib.SequenceMatcher(None, a, b).ratio()) + bonus
+    overlap, bonus = _shared(a, b)
+    return max(overlap, matching_ratio(a, b)) + bonus
+
+
+def similarity_bound(a: str, b: str) -> float:
+    """What ``similarity`` can't pass, from tokens and lengths alone."""
+    overlap, bonus = _shared(a, b)
+    length = len(a) + len(b)
+    return max(overlap, 2.0 * min(len(a), len(b)) / length if length else 1.0) + bonus
 
 
 def detect_renames(old: Contract, new: Contract) -> dict[str, str]:

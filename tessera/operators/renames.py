@@ -1,26 +1,29 @@
 """Which added field each removed field has become, for any number of contracts at once.
 
-Pairs that could score enough are found by three equi-joins within a contract and a shape (type, format, pattern): the same
-leaf, a common token, or a common element among the rarest of a name's characters. None is missed: two names that share
+Fields fit within a contract and a shape (type, format, pattern). Where the removed and added ones of such a group make few
+pairs, as in most contracts, the group is one row and an executor matches it in the order of its removed fields. Elsewhere
+pairs that could score enough are found by three equi-joins: the same leaf, a common token, or a common element among the rarest of a name's characters. None is missed: two names that share
 neither leaf nor token must have matching blocks over more than half of their characters, so the rarest elements of each
-(all but the share that the overlap needs, and one) meet. Executors score the pairs. Pairs are then matched one to one in
+(all but the share that the overlap needs, and one) meet. Executors score the pairs, which are then matched one to one in
 rounds, which give what taking the removed fields in their order would: a field takes its best open partner as soon as
 no field before it has that partner among its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.operators.evolution import RENAME_LEAST, similarity
+from tessera.operators.evolution import RENAME_LEAST, similarity, similarity_bound
 from tessera.sources.shared import kept
 
 _SHAPE = ("type", "format", "pattern")
+#: Pairs of a group that is matched as one row.
+DIRECT = 4096
 
 
 def _elements(df: DataFrame) -> DataFrame:
@@ -60,12 +63,57 @@ def scored(removed: DataFrame, added: DataFrame, keys: Sequence[str] = ("contrac
     return pairs.withColumn("score", score("old_field", "new_field")).where(F.col("score") >= RENAME_LEAST)
 
 
-def matched(removed: DataFrame, added: DataFrame, keys: Sequence[str] = ("contract_id",)) -> DataFrame:
+def _in_order(old: Iterable[tuple[str, str | None]], new: Iterable[tuple[str, str | None]]) -> list[tuple[str, str, float]]:
+    """(old, new, score) of one group, removed fields in their order; fields are (name, enumeration)."""
+    open_, out = dict(new), []
+    for name, enum in old:
+        best = (0.0, "")
+        for bound, other in sorted((-similarity_bound(name, n), n) for n, e in open_.items() if enum is None or e is None or enum == e):
+            if (bound, other) > best or -bound < RENAME_LEAST:  # so are all that follow
+                break
+            best = min(best, (-similarity(name, other), other))
+        if -best[0] >= RENAME_LEAST:
+            out.append((name, best[1], -best[0]))
+            del open_[best[1]]
+    return out
+
+
+def _matched_by_row(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(__group, old_field, new_field, score) of groups that are small enough to be a row."""
+    enum = F.when(F.size("enum") > 0, F.to_json(F.sort_array(F.array_distinct("enum"))))
+    first = F.struct(F.coalesce("position", F.lit(0)).alias("p"), "field", enum.alias("enum"))
+    rows = lambda df, name: df.groupBy("__group").agg(F.sort_array(F.collect_list(first)).alias(name))
+
+    @F.pandas_udf("array<struct<old_field string, new_field string, score double>>")
+    def match(old: pd.Series, old_enum: pd.Series, new: pd.Series, new_enum: pd.Series) -> pd.Series:
+        found = (_in_order(zip(a, x, strict=True), zip(b, y, strict=True)) for a, x, b, y in zip(old, old_enum, new, new_enum, strict=True))
+        return pd.Series([[{"old_field": o, "new_field": n, "score": s} for o, n, s in f] for f in found], dtype="object")
+
+    pairs = rows(a, "old").join(rows(b, "new"), "__group").select("__group", match("old.field", "old.enum", "new.field", "new.enum").alias("found"))
+    return pairs.select("__group", F.inline("found"))
+
+
+def matched(removed: DataFrame, added: DataFrame, keys: Sequence[str] = ("contract_id",), direct: int = DIRECT) -> DataFrame:
     """(keys..., old_field, new_field, score): the pairs, each field in one at most.
 
     Removed fields choose in the order of position (where it is null or equal, of name), each the highest score, then the
-    least name. Null names take no part; repeated rows count once; empty tables give none.
+    least name. Null names take no part; repeated rows count once; empty tables give none. Fields of a contract and shape
+    that make at most ``direct`` pairs are matched as one row, others by joins, in rounds.
     """
+    # Structs of nulls are equal, so one join serves shapes that lack a format or pattern.
+    a, b = (_whole(x, keys).withColumn("__group", F.struct(*keys, *_SHAPE)) for x in (removed, added))
+    size = lambda df, name: df.groupBy("__group").agg(F.count("*").alias(name))
+    large = kept(size(a, "m").join(size(b, "n"), "__group").where(F.col("m") * F.col("n") > direct).select("__group"))
+    columns = [*keys, "old_field", "new_field", "score"]
+    own = lambda df: df.select(*[F.col("__group")[k].alias(k) for k in keys], "old_field", "new_field", "score")
+    if large.isEmpty():
+        return own(_matched_by_row(a, b))
+    few, many = ([x.join(large, "__group", how) for x in (a, b)] for how in ("left_anti", "left_semi"))
+    return own(_matched_by_row(*few)).unionByName(_matched_in_rounds(*[x.drop("__group") for x in many], keys).select(*columns))
+
+
+def _matched_in_rounds(removed: DataFrame, added: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``matched`` for groups of any size."""
     open_ = kept(scored(removed, added, keys))
     first = F.struct(F.coalesce("position", F.lit(0)).alias("p"), F.col("old_field").alias("f"))
     done = []
