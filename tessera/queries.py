@@ -742,12 +742,12 @@ def streaming_statuses(spark, sf_dir):
     detail = F.when(event == "start", "asked").when(event == "error", "broken")
     rows = e.select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("dataset"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("n"), event.alias("event"), F.floor(F.col("value") / 50).cast("string").alias("signature"), detail.alias("detail"))
     where = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    day = F.dayofmonth("at")
-    for wanted in (day <= 10, (day > 10) & (day <= 20), day > 20):  # files in order of their writing
-        rows.where(wanted).coalesce(1).write.mode("append").parquet(f"{where}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
-    statuses(stream, limit=6 * 3600, late="1 hour").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
+    day = F.dayofmonth("at")
+    for wanted in (day <= 10, (day > 10) & (day <= 20), day > 20):  # all files of ten days are one batch, worked off before the next come
+        rows.where(wanted).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in")
+        statuses(stream, limit=6 * 3600, late="1 hour").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
     out = latest_statuses(spark.read.parquet(f"{where}/out"))
     return out.select("dataset", "status", "validation_count", "last_reason", "last_error", F.col("last_completed_at").cast("timestamp_ntz").alias("last_completed_at"))
 

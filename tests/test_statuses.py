@@ -1,10 +1,12 @@
 """States of watched datasets over micro-batches."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.streaming import status
 from tessera.streaming.status import latest_statuses, statuses
 
 START = datetime(2024, 1, 1)
@@ -45,3 +47,19 @@ def test_timers(spark, tmp_path):
     got = _run(spark, tmp_path, [first, second], limit=1800)
     error = ("error", False, 0, "asked", "no outcome in time", 30)
     assert got == {"lost": error, "told": error, "ended": ("watching", False, 1, "asked", None, 20), "late": ("watching", False, 1, "asked", "no outcome in time", 50), "fresh": ("validating", True, 0, "asked", None, None)}
+
+
+@pytest.mark.parametrize("shares", [1, 4])
+def test_datasets_that_share_a_state(spark, tmp_path, shares):
+    """Each dataset goes its own way; before, each had a call and a state of its own, which took more than its events."""
+    rng = random.Random(15)
+    rows = [(f"d{rng.randint(1, 25)}", m, rng.choice(["scan", "scan", "start", "done", "error"]), rng.choice(["s", "t", None]), rng.choice(["x", None])) for m in range(300)]
+    fresh = lambda: dict.fromkeys(status._NAMES) | {"status": "idle", "validation_count": 0}
+    want = {}
+    for d, m, event, signature, detail in rows:
+        status._step(want.setdefault(d, fresh()), m * 60_000_000, event, signature, detail, 1_800_000_000)
+    for s in want.values():
+        status._expire(s, 299 * 60_000_000)
+    got = _run(spark, tmp_path, [rows[:140], rows[140:]], limit=1800, shares=shares)
+    minute = lambda us: None if us is None else us // 60_000_000
+    assert got == {d: (s["status"], s["status"] == "validating", s["validation_count"], s["last_reason"], s["last_error"], minute(s["last_completed_us"])) for d, s in want.items()}
