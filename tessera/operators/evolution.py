@@ -150,15 +150,24 @@ def _classified(j: DataFrame, keys: list[str], renames: dict[str, str]) -> DataF
 _DEFINED = ["field", "type", "required", "minimum", "maximum", "enum", "low", "high"]
 
 
+#: Least tasks of a history. Snapshots that repeat each other pack so small that sizes of shuffles ask for a few tasks, each with
+#: a great many rows to sort.
+TASKS = 200
+
+
 def _steps(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(contract_id, version, n, latest, before, now, after_n): each field of each snapshot, and itself in the one before
-    (null: it wasn't there), by one window over a contract's field; snapshots of a contract are numbered from 1."""
+    """(contract_id, version, n, latest, next_version, before, now, after_n): each field of each snapshot, and itself in the one
+    before (null: it wasn't there), by one window over a contract's field; snapshots of a contract are numbered from 1."""
+    tasks = max(TASKS, int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = Window.partitionBy("contract_id")
     versions = snapshots.select("contract_id", "version").distinct()
-    numbered = versions.withColumn("n", F.row_number().over(Window.partitionBy("contract_id").orderBy("version"))).withColumn("latest", F.max("n").over(Window.partitionBy("contract_id")))
-    rows = fields.select("contract_id", "version", F.struct(*_DEFINED).alias("now")).join(numbered, ["contract_id", "version"])
-    of = Window.partitionBy("contract_id", "now.field").orderBy("n")
+    numbered = versions.withColumns({"n": F.row_number().over(by.orderBy("version")), "next_version": F.lead("version").over(by.orderBy("version"))}).withColumn("latest", F.max("n").over(by))
+    on = ["contract_id", "version"]
+    rows = fields.select("contract_id", "version", F.struct(*_DEFINED).alias("now")).repartition(tasks, *on).join(numbered.repartition(tasks, *on), on)
+    of = Window.partitionBy("contract_id", "__field").orderBy("n")
+    rows = rows.withColumn("__field", F.col("now.field")).repartition(tasks, "contract_id", "__field")
     rows = rows.withColumns({"before": F.lag("now").over(of), "before_n": F.lag("n").over(of), "after_n": F.lead("n").over(of)})
-    return rows.withColumn("before", F.when(F.col("before_n") == F.col("n") - 1, F.col("before"))).drop("before_n")
+    return rows.withColumn("before", F.when(F.col("before_n") == F.col("n") - 1, F.col("before"))).drop("before_n", "__field")
 
 
 def field_history(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -169,13 +178,12 @@ def field_history(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
     version), those without fields included. Versions are in the order of their column. A contract's first snapshot changes
     nothing; a field that goes and comes again is removed and added.
     """
-    steps = _steps(fields, snapshots)
-    kept = steps.where("n > 1").select("contract_id", "n", F.col("before").alias("s"), F.col("now").alias("t"))
-    gone = steps.where("n < latest AND (after_n IS NULL OR after_n > n + 1)").select("contract_id", (F.col("n") + 1).alias("n"), F.col("now").alias("s"), F.when(F.lit(False), F.col("now")).alias("t"))
-    found = _classified(kept.unionByName(gone), ["contract_id", "n"], {}).where("change_type <> 'NO_CHANGE'")
-    number = F.row_number().over(Window.partitionBy("contract_id").orderBy("version"))
-    names = snapshots.select("contract_id", "version").distinct().withColumn("n", number)
-    return found.join(names, ["contract_id", "n"]).select("contract_id", "version", *[c for c in found.columns if c not in ("contract_id", "n")])
+    steps, none = _steps(fields, snapshots), F.when(F.lit(False), F.col("now"))
+    pair = lambda version, s, t: F.struct(version.alias("version"), s.alias("s"), t.alias("t"))
+    came = F.when((F.col("n") > 1) & ~F.col("before").eqNullSafe(F.col("now")), pair(F.col("version"), F.col("before"), F.col("now")))
+    gone = F.when((F.col("n") < F.col("latest")) & (F.col("after_n").isNull() | (F.col("after_n") > F.col("n") + 1)), pair(F.col("next_version"), F.col("now"), none))
+    changes = steps.select("contract_id", F.inline(F.array_compact(F.array(came, gone))))
+    return _classified(changes, ["contract_id", "version"], {}).where("change_type <> 'NO_CHANGE'")
 
 
 def validity(fields: DataFrame, snapshots: DataFrame) -> DataFrame:
